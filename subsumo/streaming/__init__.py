@@ -1,0 +1,2 @@
+"""Dependency discovery is a batch job: a dependency can be lost with every new
+dependent row, so there is no streaming operator here. The folder only states that."""
