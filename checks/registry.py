@@ -73,6 +73,11 @@ def flat_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+def star(spark: SparkSession, sf: str) -> TableSet:
+    """The joined tables are written once, since every level reads them."""
+    return table_set(spark, sf, STAR).stored()
+
+
 # --- unary --------------------------------------------------------------------------
 
 
@@ -237,22 +242,22 @@ def _(spark, sf):
 
 @query("nary_inds", lambda: Script(STAR).levels(4).select(Script(STAR).all_inds(4)))
 def _(spark, sf):
-    return flat(discover(table_set(spark, sf, STAR)).inds())
+    return flat(discover(star(spark, sf)).inds())
 
 
 @query("nary_inds_maximal", lambda: Script(STAR).levels(4).select(Script(STAR).maximal(4)))
 def _(spark, sf):
-    return flat(discover(table_set(spark, sf, STAR)).maximal())
+    return flat(discover(star(spark, sf)).maximal())
 
 
 @query("nary_inds_chunked", lambda: Script(STAR).levels(3).select(Script(STAR).all_inds(3)))
 def _(spark, sf):
-    return flat(discover(table_set(spark, sf, STAR), max_arity=3, chunk_size=12).inds())
+    return flat(discover(star(spark, sf), max_arity=3, chunk_size=12).inds())
 
 
 @query("nary_inds_binder", lambda: Script(STAR).levels(3, generator="binder").select(Script(STAR).all_inds(3)))
 def _(spark, sf):
-    return flat(discover(table_set(spark, sf, STAR), max_arity=3, generator="binder").maximal())
+    return flat(discover(star(spark, sf), max_arity=3, generator="binder").maximal())
 
 
 @query("nary_inds_with_nulls", lambda: Script(OUTCOMES).levels(3).select(Script(OUTCOMES).all_inds(3)))
@@ -287,9 +292,10 @@ def _(spark, sf):
 def _restricted(name: str) -> None:
     label = name.lower()
 
-    @query(f"nary_inds_{label}", lambda: Script(STAR).levels(2, name).select(Script(STAR).all_inds(2, 2)))
+    @query(f"nary_inds_{label}", lambda: Script(OUTCOMES).levels(3, name).select(Script(OUTCOMES).all_inds(3, 2)))
     def _(spark, sf):
-        return flat(algebra.of_arity(discover(table_set(spark, sf, STAR), max_arity=2, restrictions=name).inds(), 2))
+        found = discover(table_set(spark, sf, OUTCOMES), max_arity=3, restrictions=name).inds()
+        return flat(found.where(F.size("dep") > 1))
 
 
 for _name in algebra.RESTRICTIONS:
@@ -310,7 +316,7 @@ for _name in algebra.RESTRICTIONS:
     ),
 )
 def _(spark, sf):
-    return discover(table_set(spark, sf, STAR)).run_stats().select("arity", "candidates", "inds")
+    return discover(star(spark, sf)).run_stats().select("arity", "candidates", "inds")
 
 
 def _validated_sql() -> str:
@@ -323,7 +329,7 @@ def _validated_sql() -> str:
 
 @query("validated_candidates", _validated_sql)
 def _(spark, sf):
-    tables = table_set(spark, sf, STAR)
+    tables = star(spark, sf)
     level = as_ind_table(unary_inds(tables))
     candidates = [(tuple(r.dep), tuple(r.ref)) for r in apriori_candidates(level, None, 2).collect()]
     sides = nary.chunk_combos(candidates)
@@ -336,12 +342,12 @@ def _(spark, sf):
 
 @query("rule_inds", lambda: Script(STAR).rules(4).select(Script(STAR).maximal(4, "kept")))
 def _(spark, sf):
-    return flat(discover_with_rules(table_set(spark, sf, STAR)).maximal())
+    return flat(discover_with_rules(star(spark, sf)).maximal())
 
 
 @query("augmentation_rules", lambda: Script(STAR).rules(4).select(Script(STAR).all_rules(4)))
 def _(spark, sf):
-    return flat_rules(discover_with_rules(table_set(spark, sf, STAR)).rules())
+    return flat_rules(discover_with_rules(star(spark, sf)).rules())
 
 
 @query("augmentation_rules_with_nulls", lambda: Script(OUTCOMES).rules(3).select(Script(OUTCOMES).all_rules(3)))
@@ -383,21 +389,21 @@ def _candidate_query(name: str) -> None:
 
     @query(
         f"apriori_candidates_{label}",
-        lambda: _candidates_only(name).select(
+        lambda: _candidates_only(name, OUTCOMES).select(
             "SELECT 2 AS arity, concat_ws(',', d1, d2) AS dep, concat_ws(',', r1, r2) AS ref FROM cand2 UNION ALL "
             "SELECT 3 AS arity, concat_ws(',', d1, d2, d3) AS dep, concat_ws(',', r1, r2, r3) AS ref FROM cand3"
         ),
     )
     def _(spark, sf):
         """Candidates of arity 3 as if all candidates of arity 2 had been valid."""
-        level = as_ind_table(unary_inds(table_set(spark, sf, STAR)))
+        level = as_ind_table(unary_inds(table_set(spark, sf, OUTCOMES)))
         two = apriori_candidates(level, level, 2, name)
         three = apriori_candidates(two, level, 3, name)
         return flat(two.unionByName(three))
 
 
-def _candidates_only(name: str) -> Script:
-    script = Script(STAR).unary()
+def _candidates_only(name: str, relations=STAR) -> Script:
+    script = Script(relations).unary()
     script.step("ind1", "SELECT dep AS d1, ref AS r1, n FROM unary_inds")
     script.candidates(2, "ind1", name, "cand2")
     script.candidates(3, "cand2", name, "cand3")
@@ -428,7 +434,7 @@ def _(spark, sf):
     .select("SELECT a >> 16 AS tab, concat_ws(',', a, b) AS cols FROM sides"),
 )
 def _(spark, sf):
-    level = as_ind_table(unary_inds(table_set(spark, sf, STAR)))
+    level = as_ind_table(unary_inds(star(spark, sf)))
     return combos(apriori_candidates(level, None, 2)).select(F.col("table").alias("tab"), ids("cols").alias("cols"))
 
 
@@ -440,7 +446,7 @@ def _(spark, sf):
     .select("SELECT CAST(chunk AS BIGINT) AS chunk, least(10, t - chunk * 10) AS n FROM numbers, total WHERE chunk * 10 < t"),
 )
 def _(spark, sf):
-    level = as_ind_table(unary_inds(table_set(spark, sf, STAR)))
+    level = as_ind_table(unary_inds(star(spark, sf)))
     return with_chunk(apriori_candidates(level, None, 2), 10).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -448,7 +454,7 @@ def _(spark, sf):
 
 
 def _star_inds(spark, sf) -> DataFrame:
-    return discover(table_set(spark, sf, STAR)).inds()
+    return discover(star(spark, sf)).inds()
 
 
 def _star(select: Callable[[Script], str]) -> Callable[[], str]:
@@ -531,7 +537,7 @@ def _failed_sql(s: Script) -> str:
 
 @query("negative_border", _star(_failed_sql))
 def _(spark, sf):
-    tables = table_set(spark, sf, STAR)
+    tables = star(spark, sf)
     level = as_ind_table(unary_inds(tables))
     failed = []
     for arity, candidates in ((2, apriori_candidates(level, None, 2)), (3, apriori_candidates(apriori_candidates(level, None, 2), None, 3))):
@@ -564,7 +570,7 @@ def _set_tests_sql(s: Script) -> str:
 
 @query("ind_set_tests", lambda: _set_tests_sql(Script(STAR).levels(2, "ANY_REPETITION")))
 def _(spark, sf):
-    found = discover(table_set(spark, sf, STAR), max_arity=2, restrictions="ANY_REPETITION").inds()
+    found = discover(star(spark, sf), max_arity=2, restrictions="ANY_REPETITION").inds()
     return algebra.of_arity(found, 2).select(
         ids("dep").alias("dep"),
         ids("ref").alias("ref"),
@@ -588,7 +594,7 @@ def _relations_sql(s: Script) -> str:
 
 @query("ind_relations", _star(_relations_sql))
 def _(spark, sf):
-    found = discover(table_set(spark, sf, STAR), max_arity=2).inds()
+    found = discover(star(spark, sf), max_arity=2).inds()
     one = algebra.of_arity(found, 1).select(F.col("dep").alias("ud"), F.col("ref").alias("ur"))
     two = algebra.of_arity(found, 2)
     small, big = (F.col("ud"), F.col("ur")), (F.col("dep"), F.col("ref"))
@@ -663,7 +669,7 @@ def _names_sql(pattern: str) -> str:
     ),
 )
 def _(spark, sf):
-    tables = table_set(spark, sf, STAR)
+    tables = star(spark, sf)
     two = algebra.of_arity(discover(tables, max_arity=2).inds(), 2)
     return naming.rendered_named(two, tables).select("text")
 
@@ -676,7 +682,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    tables = table_set(spark, sf, STAR)
+    tables = star(spark, sf)
     two = algebra.of_arity(discover(tables, max_arity=2).inds(), 2)
     return two.select(naming.rendered(tables).alias("text"))
 

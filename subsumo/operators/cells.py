@@ -24,7 +24,7 @@ def _table_cells(tables: TableSet, table, drop_nulls: bool) -> DataFrame:
             entries.append(
                 F.struct(F.lit(word).alias("word"), F.lit(bit).cast("bigint").alias("bit"), F.col(f"c{column.index}").alias("k0"))
             )
-    long_form = tables.keys(table).select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
+    long_form = tables.keys(table).select(F.inline(F.array(*entries)))
     return long_form.where(F.col("k0").isNotNull()) if drop_nulls else long_form
 
 
@@ -37,7 +37,7 @@ def cell_values(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
             for c in tables.columns
             if c.table_number == table.number
         ]
-        part = table.text().select(F.explode(F.array(*entries)).alias("cell")).select("cell.*")
+        part = table.text().select(F.inline(F.array(*entries)))
         parts.append(part.where(F.col("v").isNotNull()) if drop_nulls else part)
     return union_all(parts)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsumo.functions.words import BITS, members
@@ -20,7 +20,8 @@ MAX_DENSE_WORDS = 32
 
 
 def attribute_groups(keyed: DataFrame, keys: Sequence[str], n_members: int) -> DataFrame:
-    """(words, n): the distinct attribute groups and how many values have each.
+    """(words, n): the distinct attribute groups and how many values have each. If there are
+    few words, they are also given as columns w0, w1, …
 
     ``keyed`` has one row (word, bit, *keys) per occurrence of a value. A value that fills
     a third of all rows is one partial row per map task, since ``bit_or`` combines there.
@@ -37,8 +38,7 @@ def attribute_groups(keyed: DataFrame, keys: Sequence[str], n_members: int) -> D
             ]
         per_value = keyed.groupBy(*keys).agg(*merged)
         counted = per_value.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-        slots = [F.struct(F.lit(k).alias("k"), F.col(name).alias("bits")) for k, name in enumerate(names)]
-        return counted.select(F.filter(F.array(*slots), lambda w: w.bits != 0).alias("words"), "n")
+        return counted.withColumn("words", _sparse(names))
     # Very wide schemas: one word per row first, so that no row carries all words.
     per_word = keyed.groupBy(*keys, "word").agg(F.bit_or("bit").alias("bits"))
     per_value = per_word.groupBy(*keys).agg(
@@ -47,9 +47,10 @@ def attribute_groups(keyed: DataFrame, keys: Sequence[str], n_members: int) -> D
     return per_value.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
 
 
-def member_words(groups: DataFrame) -> DataFrame:
-    """(m, words, n): every group once for each of its members."""
-    return groups.select(F.explode(members("words")).alias("m"), "words", "n")
+def _sparse(names: Sequence[str]) -> Column:
+    """Columns with one word each as a word array."""
+    slots = [F.struct(F.lit(k).alias("k"), F.col(name).alias("bits")) for k, name in enumerate(names)]
+    return F.filter(F.array(*slots), lambda w: w.bits != 0)
 
 
 def member_sizes(groups: DataFrame) -> DataFrame:
@@ -60,21 +61,22 @@ def member_sizes(groups: DataFrame) -> DataFrame:
 def inclusions(groups: DataFrame) -> DataFrame:
     """(m, size, refs): per member its distinct values and the members that hold all of them.
 
-    ``refs`` is a word array that contains the member itself. A word counts only if all
-    values of the member have it, as a missing word is an empty one.
-    """
+    ``refs`` is a word array that contains the member itself."""
+    dense = [c for c in groups.columns if c not in ("words", "n")]
+    by_member = groups.withColumn("m", F.explode(members("words")))
+    if dense:
+        common = by_member.groupBy("m").agg(F.sum("n").alias("size"), *[F.bit_and(w).alias(w) for w in dense])
+        return common.select("m", "size", _sparse(dense).alias("refs"))
+    # A word is common to all values only if no value lacks it.
     by_word = (
-        member_words(groups)
-        .select("m", "n", F.explode("words").alias("w"))
+        by_member.select("m", "n", F.explode("words").alias("w"))
         .groupBy("m", F.col("w.k").alias("k"))
         .agg(F.bit_and("w.bits").alias("bits"), F.sum("n").alias("s"))
     )
+    own_word = F.col("k") == F.floor(F.col("m") / BITS)
     return (
         by_word.groupBy("m")
-        .agg(
-            F.max(F.when(F.col("k") == F.floor(F.col("m") / BITS), F.col("s"))).alias("size"),
-            F.collect_list(F.struct("k", "bits", "s")).alias("ws"),
-        )
+        .agg(F.max(F.when(own_word, F.col("s"))).alias("size"), F.sort_array(F.collect_list(F.struct("k", "bits", "s"))).alias("ws"))
         .select(
             "m",
             "size",
@@ -84,24 +86,32 @@ def inclusions(groups: DataFrame) -> DataFrame:
 
 
 def overlaps(groups: DataFrame) -> DataFrame:
-    """(m, ref, overlap): shared distinct values of every overlapping ordered pair.
+    """(m, size, ref, overlap): shared distinct values of every overlapping ordered pair.
 
     Pairs are not expanded per group. Groups are first merged per member and word pattern,
-    then each merged row yields the at most 63 members of its word.
-    """
+    then each merged row yields the at most 63 members of its word. A member's overlap with
+    itself is its size, so the groups are read once."""
     patterns = (
-        member_words(groups)
+        groups.select(F.explode(members("words")).alias("m"), "words", "n")
         .select("m", "n", F.explode("words").alias("w"))
         .groupBy("m", F.col("w.k").alias("k"), F.col("w.bits").alias("bits"))
         .agg(F.sum("n").alias("n"))
         .select("m", "n", F.array(F.struct("k", "bits")).alias("word"))
     )
-    return (
+    shared = (
         patterns.select("m", "n", F.explode(members("word")).alias("ref"))
-        .where(F.col("m") != F.col("ref"))
         .groupBy("m", "ref")
         .agg(F.sum("n").alias("overlap"))
     )
+    return (
+        shared.groupBy("m")
+        .agg(
+            F.max(F.when(F.col("m") == F.col("ref"), F.col("overlap"))).alias("size"),
+            F.collect_list(F.struct("ref", "overlap")).alias("all"),
+        )
+        .select("m", "size", F.inline("all"))
+        .where(F.col("m") != F.col("ref"))
+    )
 
 
 def inclusion_lists(groups: DataFrame) -> DataFrame:

@@ -50,9 +50,9 @@ def combo_values(tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = T
             tables.keys(table, needed)
             .select(
                 F.array(*[f"c{i}" for i in needed]).alias("f"),
-                F.explode(F.from_json(F.lit(json.dumps(plan)), shape)).alias("c"),
+                F.inline(F.from_json(F.lit(json.dumps(plan)), shape)),
             )
-            .select("c.word", "c.bit", *[F.get("f", F.col(f"c.i{i}")).alias(f"k{i}") for i in range(n)])
+            .select("word", "bit", *[F.get("f", F.col(f"i{i}")).alias(f"k{i}") for i in range(n)])
         )
         parts.append(part.dropna(how="any", subset=keys) if drop_nulls else part)
     return union_all(parts)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsumo.functions.words import int_array, members
-from subsumo.operators.cells import cells, union_all
+from subsumo.operators.cells import cells
 from subsumo.operators.groups import attribute_groups, inclusions, member_sizes, overlaps
 from subsumo.sources.tables import TableSet
 
@@ -45,20 +45,33 @@ def column_inclusions(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
     )
 
 
-def unary_inds(tables: TableSet, drop_nulls: bool = True, include_void: bool = True) -> DataFrame:
-    """(dep, ref, size): all column pairs with dep included in ref. Void columns have size 0."""
-    found = column_inclusions(tables, drop_nulls)
-    pairs = found.select("dep", F.explode("refs").alias("ref"), "size")
-    return union_all([pairs, void_unary_inds(tables, found)]) if include_void else pairs
+def unary_inds(
+    tables: TableSet, drop_nulls: bool = True, include_void: bool = True, found: DataFrame | None = None
+) -> DataFrame:
+    """(dep, ref, size): all column pairs with dep included in ref.
+
+    Void columns have size 0 and are included in every other column. ``found`` takes
+    :func:`column_inclusions` that are there already."""
+    found = column_inclusions(tables, drop_nulls) if found is None else found
+    if not include_void:
+        return found.select("dep", F.explode("refs").alias("ref"), "size")
+    every = tables.registry().select(F.col("column_id").alias("dep")).join(found, "dep", "left")
+    return every.select(
+        "dep",
+        F.explode(F.coalesce("refs", _all_others(tables))).alias("ref"),
+        F.coalesce("size", F.lit(0).cast("bigint")).alias("size"),
+    )
+
+
+def void_unary_inds(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
+    """(dep, ref, size): only those of columns without any value."""
+    found = column_sizes(tables, drop_nulls).withColumnRenamed("column_id", "dep")
+    void = tables.registry().select(F.col("column_id").alias("dep")).join(found, "dep", "left_anti")
+    return void.select("dep", F.explode(_all_others(tables)).alias("ref"), F.lit(0).cast("bigint").alias("size"))
 
 
-def void_unary_inds(tables: TableSet, found: DataFrame | None = None, drop_nulls: bool = True) -> DataFrame:
-    """(dep, ref, size): a column without values is included in every other column."""
-    if found is None:
-        found = column_sizes(tables, drop_nulls).withColumnRenamed("column_id", "dep")
-    void = tables.registry().select(F.col("column_id").alias("dep")).join(found.select("dep"), "dep", "left_anti")
-    others = F.array_remove(int_array([c.column_id for c in tables.columns]), F.col("dep"))
-    return void.select("dep", F.explode(others).alias("ref"), F.lit(0).cast("bigint").alias("size"))
+def _all_others(tables: TableSet) -> Column:
+    return F.array_remove(int_array([c.column_id for c in tables.columns]), F.col("dep"))
 
 
 def count_unary_inds(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
@@ -70,9 +83,7 @@ def count_unary_inds(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
 
 def unary_overlaps(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
     """(dep, ref, size, overlap) for every ordered pair of columns that share a value."""
-    groups = column_groups(tables, drop_nulls)
-    sizes = member_sizes(groups)
-    return overlaps(groups).join(sizes, "m").select(
+    return overlaps(column_groups(tables, drop_nulls)).select(
         tables.column_id_of(F.col("m")).alias("dep"), tables.column_id_of(F.col("ref")).alias("ref"), "size", "overlap"
     )
 

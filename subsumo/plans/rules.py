@@ -25,7 +25,7 @@ from subsumo.operators.nary import (
     combo_null_counts,
     null_patterns,
 )
-from subsumo.operators.unary import column_inclusions, void_unary_inds
+from subsumo.operators.unary import column_inclusions, unary_inds
 from subsumo.plans.discovery import Discovery, DiscoveryError, as_ind_table, candidate_chunks, finish_level
 from subsumo.session import materialize, small_table
 from subsumo.sources.tables import TableSet
@@ -104,8 +104,7 @@ def _finish(found, level, rules, arity, n_candidates, started, on_ind, on_level)
 
 def unary_with_ref_sizes(tables: TableSet, columns: DataFrame) -> DataFrame:
     """(dep, ref, size, ref_size) of all unary dependencies, void ones included."""
-    pairs = columns.select("dep", F.explode("refs").alias("ref"), "size")
-    everything = union_all([pairs, void_unary_inds(tables, columns)])
+    everything = unary_inds(tables, found=columns)
     sizes = columns.select(F.col("dep").alias("ref"), F.col("size").alias("ref_size"))
     return everything.join(sizes, "ref", "left").select(
         "dep", "ref", "size", F.coalesce("ref_size", F.lit(0).cast("bigint")).alias("ref_size")

@@ -181,8 +181,11 @@ def csv_tables(
     column_bits: int = 16,
     recursive: bool = False,
     digest_long: bool = True,
+    spread: int | None = None,
 ) -> TableSet:
-    """Named delimited files as a table set. Columns are called column1, column2, … unless named."""
+    """Named delimited files as a table set. Columns are called column1, column2, … unless named.
+
+    Compressed files come as one task each; ``spread`` deals their rows to that many."""
     if policy not in POLICIES:
         raise ValueError(f"unknown width policy {policy!r}; choose from {POLICIES}")
     mask = (1 << column_bits) - 1
@@ -205,6 +208,8 @@ def csv_tables(
         df = apply_width_policy(parsed[name], {numbered[name]: expected[name]}, policy).select("f")
         if sample_percent != -1:
             df = materialize(round_robin_sample(df, sample_percent))
+        if spread:
+            df = df.repartition(spread)
         width = expected[name] if max_columns < 0 else min(expected[name], max_columns)
         names = (column_names or {}).get(name) or [f"column{i + 1}" for i in range(width)]
         tables.append(

@@ -7,8 +7,9 @@ on column-id order, so ids follow the order in which the tables are given.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from subsumo.functions.text import group_key, value_text
 from subsumo.functions.words import int_array
 from subsumo.operators.sampling import round_robin_sample
-from subsumo.session import materialize, small_table
+from subsumo.session import checkpoint_folder, materialize, small_table
 
 
 @dataclass
@@ -82,8 +83,12 @@ class TableSet:
         sample_percent: int = -1,
         null_string: str | None = None,
         digest_long: bool = True,
+        spread: int | None = None,
     ) -> "TableSet":
-        """Typed DataFrames; SQL nulls are the nulls, and ``null_string`` names a text that is one too."""
+        """Typed DataFrames; SQL nulls are the nulls, and ``null_string`` names a text that is one too.
+
+        ``spread`` deals the rows of every table to that many tasks first. Only for inputs
+        that cannot be split, such as one big compressed file; others are best read as they lie."""
         tables = []
         for number, (name, df) in enumerate(frames.items()):
             if 0 <= max_columns < len(df.columns):
@@ -91,6 +96,8 @@ class TableSet:
             if sample_percent != -1:
                 # Every level must see the same rows, so the sample is drawn once.
                 df = materialize(round_robin_sample(df, sample_percent))
+            if spread:
+                df = df.repartition(spread)
             fields, types = [], []
             for f in df.schema.fields:
                 text = value_text(F.col(_quoted(f.name)), f.dataType)
@@ -115,6 +122,21 @@ class TableSet:
         prefix = f"{_quoted(database)}." if database else ""
         return cls.from_dataframes(spark, {n: spark.table(prefix + _quoted(n)) for n in names}, **options)
 
+    def stored(self) -> "TableSet":
+        """The same set over Parquet copies in the shared folder.
+
+        Worth it before an n-ary run over joins, views or delimited files: every level reads
+        the tables again, and a copy is neither joined nor parsed again and lets a level
+        scan only the columns it needs."""
+        folder = f"{checkpoint_folder(self.spark)}/tables-{uuid.uuid4()}"
+        tables = []
+        for t in self.tables:
+            path = f"{folder}/{t.number}"
+            t.text().write.parquet(path)
+            copy = self.spark.read.schema(", ".join(f"c{i} string" for i in range(t.width))).parquet(path)
+            tables.append(replace(t, df=copy, fields=[F.col(f"c{i}") for i in range(t.width)]))
+        return TableSet(self.spark, tables, self.column_bits, self.digest_long)
+
     @property
     def mask(self) -> int:
         return (1 << self.column_bits) - 1
