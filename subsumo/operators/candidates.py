@@ -109,20 +109,23 @@ def generator_of(name: str | Generator) -> tuple[Generator, bool, bool]:
 
 # --- numbering ----------------------------------------------------------------------
 
-_BUCKETS = 256
+_CLUSTERS, _PARTS = 256, 64
 
 
-def with_dense_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def with_dense_number(df: DataFrame, keys: list[str], name: str, near: list[str] | None = None) -> DataFrame:
     """Numbers distinct rows 0, 1, 2, … without sorting them in one task.
 
     Rows are numbered inside hash buckets; the bucket offsets are a running sum over the
-    fixed number of buckets."""
-    bucketed = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)).cast("int"))
+    fixed number of buckets. Rows that agree in ``near`` get numbers close to each other,
+    and even if they are most of the rows, they are dealt to many buckets."""
+    cluster = F.pmod(F.xxhash64(*near), F.lit(_CLUSTERS)) if near else F.lit(0).cast("bigint")
+    bucketed = df.withColumn("_b", cluster * _PARTS + F.pmod(F.xxhash64(*keys), F.lit(_PARTS)))
     counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_b", (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_b")) - F.col("_n")).alias("_offset")
     )
     numbered = bucketed.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(*keys)) - 1)
+    # At most _CLUSTERS * _PARTS offsets.
     return numbered.join(F.broadcast(offsets), "_b").withColumn(name, F.col("_rn") + F.col("_offset")).drop(
         "_b", "_rn", "_offset"
     )
@@ -131,15 +134,18 @@ def with_dense_number(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 def combos(candidates: DataFrame, column_bits: int = 16) -> DataFrame:
     """(combo_id, table, cols): all distinct sides of the candidates with a dense id."""
     sides = candidates.select(F.explode(F.array("dep", "ref")).alias("cols")).distinct()
-    return with_dense_number(sides, ["cols"], "combo_id").select(
-        "combo_id", F.shiftright(F.element_at("cols", 1), column_bits).alias("table"), "cols"
-    )
+    tagged = sides.withColumn("table", F.shiftright(F.element_at("cols", 1), column_bits))
+    return with_dense_number(tagged, ["cols"], "combo_id", near=["table"]).select("combo_id", "table", "cols")
+
 
+def with_chunk(candidates: DataFrame, chunk_size: int, column_bits: int = 16) -> DataFrame:
+    """Adds a chunk number; a chunk has at most ``chunk_size`` candidates.
 
-def with_chunk(candidates: DataFrame, chunk_size: int) -> DataFrame:
-    """Adds a chunk number; a chunk has at most ``chunk_size`` candidates."""
-    numbered = with_dense_number(candidates, ["dep", "ref"], "_number")
-    return numbered.withColumn("chunk", F.floor(F.col("_number") / chunk_size)).drop("_number")
+    Candidates of a subspace stay together, so that a chunk's job reads few tables and
+    shares their combos."""
+    placed = with_subspace(candidates.select("dep", "ref"), column_bits)
+    numbered = with_dense_number(placed, ["dep", "ref"], "_number", near=["dep_table", "ref_table"])
+    return numbered.select("dep", "ref", F.floor(F.col("_number") / chunk_size).alias("chunk"))
 
 
 def restrict_combos(all_combos: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Level-wise discovery: unary dependencies, then candidates and checks per arity.
 
 The driver only counts levels and holds one bounded chunk of candidates at a time. The
-dependencies of every level stay in a checkpointed table, from which the next candidates
+dependencies of every level stay in a table that is written once, from which the next candidates
 and the final results are derived.
 """
 
@@ -20,7 +20,7 @@ from subsumo.operators.candidates import Generator, generator_of, with_chunk, wi
 from subsumo.operators.cells import union_all
 from subsumo.operators.nary import MAX_CHUNK, Combo, check_candidates, chunk_combos, combo_inclusions
 from subsumo.operators.unary import unary_inds
-from subsumo.session import materialize, small_table
+from subsumo.session import materialize, new_folder, small_table
 from subsumo.sources.tables import TableSet
 
 Chunk = list[tuple[Combo, Combo]]
@@ -113,15 +113,15 @@ def discover(
         while found.level_stats[-1].inds and (max_arity == -1 or arity < max_arity):
             arity += 1
             started = time.perf_counter()
-            checked, n_candidates = [], 0
-            for chunk in candidate_chunks(generate(last, generating, arity, rules, tables.column_bits), chunk_size):
+            candidates = generate(last, generating, arity, rules, tables.column_bits)
+            folder, last, n_candidates = new_folder(tables.spark, f"level-{arity}"), None, 0
+            for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
                 combos = chunk_combos(chunk)
                 results = check_candidates(tables, chunk, combo_inclusions(tables, combos, drop_nulls), combos)
-                checked.append(materialize(results.where("holds").select("dep", "ref", "size")))
+                last = materialize(results.where("holds").select("dep", "ref", "size"), folder)
                 n_candidates += len(chunk)
-            if not checked:
+            if last is None:
                 break
-            last = union_all(checked)
             finish_level(found, last, arity, n_candidates, started, on_ind, on_level)
     except Exception as error:
         raise DiscoveryError(f"discovery failed at arity {arity}: {error}", found) from error
@@ -132,7 +132,7 @@ def as_ind_table(unary: DataFrame) -> DataFrame:
     return unary.select(F.array("dep").alias("dep"), F.array("ref").alias("ref"), *unary.columns[2:])
 
 
-def candidate_chunks(candidates: DataFrame, chunk_size: int = -1) -> Iterator[Chunk]:
+def candidate_chunks(candidates: DataFrame, chunk_size: int = -1, column_bits: int = 16) -> Iterator[Chunk]:
     """Candidates in bounded pieces. Every piece is one validation job.
 
     Without a chunk size the bound is what one job can take as a literal of its plan."""
@@ -143,7 +143,7 @@ def candidate_chunks(candidates: DataFrame, chunk_size: int = -1) -> Iterator[Ch
     if len(first) <= limit:
         yield _as_chunk(first)
         return
-    numbered = materialize(with_chunk(candidates, limit))
+    numbered = materialize(with_chunk(candidates, limit, column_bits))
     last_chunk = numbered.agg(F.max("chunk")).first()[0]
     for number in range(last_chunk + 1):
         yield _as_chunk(numbered.where(F.col("chunk") == number).collect())

@@ -27,7 +27,7 @@ from subsumo.operators.nary import (
 )
 from subsumo.operators.unary import column_inclusions, unary_inds
 from subsumo.plans.discovery import Discovery, DiscoveryError, as_ind_table, candidate_chunks, finish_level
-from subsumo.session import materialize, small_table
+from subsumo.session import materialize, new_folder, small_table
 from subsumo.sources.tables import TableSet
 
 
@@ -70,19 +70,20 @@ def discover_with_rules(
         while found.level_stats[-1].inds and (max_arity == -1 or arity < max_arity):
             arity += 1
             started = time.perf_counter()
-            level_inds, level_stats, n_candidates = [], [], 0
+            holding, counted, n_candidates = None, None, 0
+            ind_folder, stat_folder = (new_folder(tables.spark, f"{kind}-{arity}") for kind in ("holding", "counted"))
             candidates = generate(last, unary_kept, arity, allowed, tables.column_bits)
-            for chunk in candidate_chunks(candidates, chunk_size):
+            for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
                 combos = chunk_combos(chunk)
                 included = materialize(combo_inclusions(tables, combos, drop_nulls))
-                level_inds.append(check_candidates(tables, chunk, included, combos).where("holds"))
-                level_stats.append(combo_stats(tables, combos, included, patterns))
+                results = check_candidates(tables, chunk, included, combos).where("holds")
+                holding = materialize(results.select("dep", "ref", "size"), ind_folder)
+                counted = materialize(combo_stats(tables, combos, included, patterns), stat_folder)
                 n_candidates += len(chunk)
-            if not level_inds:
+            if holding is None:
                 break
-            holding = union_all(level_inds).select("dep", "ref", "size")
             # A combo can be in several chunks, each of which counts it whole.
-            current = materialize(union_all(level_stats).distinct())
+            current = counted.distinct()
             judged = materialize(judge(holding, current, stats))
             rules = nary_rules(judged)
             last = materialize(judged.where(~F.exists("is_rule", lambda r: r)).select("dep", "ref", "size"))

@@ -1,8 +1,9 @@
-"""Session helpers: the checkpoint folder and small driver-made tables."""
+"""Session helpers: the shared folder, tables written to it and small driver-made tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; the written blocks outlive executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{checkpoint_folder(spark)}/subsumo-{kind}-{uuid.uuid4()}"
+
+
+def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Computes once and cuts the lineage: a Parquet table in the shared folder.
+
+    Unlike cached blocks it outlives executors, and unlike a checkpoint it has a known
+    size, so that joins with small results broadcast. With a given folder, rows are added
+    to those that are there and all of them are returned."""
+    folder = folder or new_folder(df.sparkSession, "table")
+    df.write.mode("append").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:

@@ -7,7 +7,6 @@ on column-id order, so ids follow the order in which the tables are given.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from subsumo.functions.text import group_key, value_text
 from subsumo.functions.words import int_array
 from subsumo.operators.sampling import round_robin_sample
-from subsumo.session import checkpoint_folder, materialize, small_table
+from subsumo.session import materialize, small_table
 
 
 @dataclass
@@ -123,19 +122,16 @@ class TableSet:
         return cls.from_dataframes(spark, {n: spark.table(prefix + _quoted(n)) for n in names}, **options)
 
     def stored(self) -> "TableSet":
-        """The same set over Parquet copies in the shared folder.
+        """The same set over Parquet copies in the shared folder, with long values as digests.
 
         Worth it before an n-ary run over joins, views or delimited files: every level reads
         the tables again, and a copy is neither joined nor parsed again and lets a level
         scan only the columns it needs."""
-        folder = f"{checkpoint_folder(self.spark)}/tables-{uuid.uuid4()}"
         tables = []
         for t in self.tables:
-            path = f"{folder}/{t.number}"
-            t.text().write.parquet(path)
-            copy = self.spark.read.schema(", ".join(f"c{i} string" for i in range(t.width))).parquet(path)
-            tables.append(replace(t, df=copy, fields=[F.col(f"c{i}") for i in range(t.width)]))
-        return TableSet(self.spark, tables, self.column_bits, self.digest_long)
+            copy = materialize(self.keys(t))
+            tables.append(replace(t, df=copy, fields=[F.col(c) for c in copy.columns], types=[T.StringType()] * t.width))
+        return TableSet(self.spark, tables, self.column_bits, digest_long=False)
 
     @property
     def mask(self) -> int:
