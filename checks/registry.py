@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.datasets import ALL_TABLES, GIVEN, NULLS, OUTCOMES, ROLES, STAR, column_ids, load, table_set
+from checks.datasets import ALL_TABLES, NULLS, OUTCOMES, ROLES, STAR, column_ids, load, table_set
 from checks.oracle import Script
 from subsumo import (
     Dialect,
@@ -23,13 +23,13 @@ from subsumo import (
     unary_overlaps,
     void_unary_inds,
 )
-from subsumo.operators import algebra, naming, nary, unary
+from subsumo.operators import algebra, naming, unary
 from subsumo.operators.candidates import apriori_candidates, binder_candidates, combos, with_chunk, without_void
 from subsumo.operators.cells import cell_values, tuples
 from subsumo.operators.groups import inclusion_lists
 from subsumo.operators.sampling import complete_tuples, key_sample
 from subsumo.plans import stats
-from subsumo.plans.discovery import as_ind_table
+from subsumo.plans.discovery import as_ind_table, validated
 from subsumo.session import checkpoint_folder
 from subsumo.sources.csv import apply_width_policy, parse_lines, width_violations
 from subsumo.sources.tables import TableSet
@@ -331,9 +331,7 @@ def _validated_sql() -> str:
 def _(spark, sf):
     tables = star(spark, sf)
     level = as_ind_table(unary_inds(tables))
-    candidates = [(tuple(r.dep), tuple(r.ref)) for r in apriori_candidates(level, None, 2).collect()]
-    sides = nary.chunk_combos(candidates)
-    checked = nary.check_candidates(tables, candidates, nary.combo_inclusions(tables, sides), sides)
+    checked, _ = validated(tables, apriori_candidates(level, None, 2))
     return checked.select(ids("dep").alias("dep"), ids("ref").alias("ref"), "size", "holds")
 
 
@@ -539,12 +537,11 @@ def _failed_sql(s: Script) -> str:
 def _(spark, sf):
     tables = star(spark, sf)
     level = as_ind_table(unary_inds(tables))
-    failed = []
-    for arity, candidates in ((2, apriori_candidates(level, None, 2)), (3, apriori_candidates(apriori_candidates(level, None, 2), None, 3))):
-        listed = [(tuple(r.dep), tuple(r.ref)) for r in candidates.collect()]
-        sides = nary.chunk_combos(listed)
-        checked = nary.check_candidates(tables, listed, nary.combo_inclusions(tables, sides), sides)
-        failed.append(checked.where(~F.col("holds")).select("dep", "ref"))
+    two = apriori_candidates(level, None, 2)
+    failed = [
+        validated(tables, candidates)[0].where(~F.col("holds")).select("dep", "ref")
+        for candidates in (two, apriori_candidates(two, None, 3))
+    ]
     return flat(algebra.negative_border(failed[0].unionByName(failed[1])))
 
 

@@ -14,10 +14,24 @@ from subsumo.operators.algebra import Restrictions, coprojections, is_trivial, r
 Generator = Callable[[DataFrame, DataFrame, int, Restrictions, int], DataFrame]
 
 
+#: Parts that the left side of a pairing is dealt to, as one subspace may hold most dependencies.
+_SALTS = 16
+
+
 def _last(side: str) -> Column:
     return F.element_at(side, -1)
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Every row in one part."""
+    return df.withColumn("part", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """Every row in all parts."""
+    return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<bigint>")))
+
+
 def apriori_candidates(
     last: DataFrame, unary: DataFrame | None, arity: int, restrictions: str | Restrictions = "NO_REPETITIONS",
     column_bits: int = 16,
@@ -31,15 +45,15 @@ def apriori_candidates(
         "dep_table", "ref_table", prefix("dep").alias("pd"), prefix("ref").alias("pr"),
         _last("dep").alias("d"), _last("ref").alias("r"),
     )
-    left = keyed.withColumnsRenamed({"d": "d1", "r": "r1"})
-    right = keyed.withColumnsRenamed({"d": "d2", "r": "r2"})
+    left = _dealt(keyed.withColumnsRenamed({"d": "d1", "r": "r1"}))
+    right = _repeated(keyed.withColumnsRenamed({"d": "d2", "r": "r2"}))
     if rules.intra:
         ordered = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("r1") < F.col("r2")))
     else:
         ordered = (F.col("d1") < F.col("d2")) & (F.col("r1") != F.col("r2"))
     fine = ordered if rules.inter else ordered & (F.col("d1") != F.col("r2")) & (F.col("d2") != F.col("r1"))
     merged = (
-        left.join(right, ["dep_table", "ref_table", "pd", "pr"])
+        left.join(right, ["dep_table", "ref_table", "pd", "pr", "part"])
         .where(fine)
         .select(F.concat("pd", F.array("d1", "d2")).alias("dep"), F.concat("pr", F.array("r1", "r2")).alias("ref"))
     )
@@ -71,12 +85,12 @@ def binder_candidates(
     rules = restrictions_of(restrictions)
     if rules.inter or rules.intra or rules.trivial:
         raise ValueError("the binder generator supports NO_REPETITIONS only")
-    left = with_subspace(last.select("dep", "ref"), column_bits)
+    left = _dealt(with_subspace(last.select("dep", "ref"), column_bits))
     right = with_subspace(unary.select("dep", "ref"), column_bits).select(
         "dep_table", "ref_table", F.element_at("dep", 1).alias("d"), F.element_at("ref", 1).alias("r")
     )
     return (
-        left.join(right, ["dep_table", "ref_table"])
+        left.join(_repeated(right), ["dep_table", "ref_table", "part"])
         .where(F.col("d") > _last("dep"))
         .where(~F.array_contains("ref", F.col("r")))
         .where(~F.array_contains("dep", F.col("r")) & ~F.array_contains("ref", F.col("d")))

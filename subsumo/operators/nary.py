@@ -98,9 +98,10 @@ def null_patterns(tables: TableSet) -> DataFrame:
     of any combos, and table heights, follow from it."""
     parts = []
     for table in tables.tables:
-        nulls = F.array_compact(
-            F.array(*[F.when(F.col(f"c{i}").isNull(), F.lit((table.number << tables.column_bits) + i)) for i in range(table.width)])
-        )
+        if not table.width:
+            continue
+        first = table.number << tables.column_bits
+        nulls = F.array_compact(F.array(*[F.when(F.col(f"c{i}").isNull(), F.lit(first + i)) for i in range(table.width)]))
         parts.append(table.text().select(F.lit(table.number).alias("table"), nulls.alias("nulls")))
     return union_all(parts).groupBy("table", "nulls").agg(F.count(F.lit(1)).alias("n"))
 

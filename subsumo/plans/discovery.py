@@ -114,14 +114,10 @@ def discover(
             arity += 1
             started = time.perf_counter()
             candidates = generate(last, generating, arity, rules, tables.column_bits)
-            folder, last, n_candidates = new_folder(tables.spark, f"level-{arity}"), None, 0
-            for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
-                combos = chunk_combos(chunk)
-                results = check_candidates(tables, chunk, combo_inclusions(tables, combos, drop_nulls), combos)
-                last = materialize(results.where("holds").select("dep", "ref", "size"), folder)
-                n_candidates += len(chunk)
-            if last is None:
+            checked, n_candidates = validated(tables, candidates, chunk_size, drop_nulls, only_valid=True)
+            if checked is None:
                 break
+            last = checked.select("dep", "ref", "size")
             finish_level(found, last, arity, n_candidates, started, on_ind, on_level)
     except Exception as error:
         raise DiscoveryError(f"discovery failed at arity {arity}: {error}", found) from error
@@ -132,6 +128,21 @@ def as_ind_table(unary: DataFrame) -> DataFrame:
     return unary.select(F.array("dep").alias("dep"), F.array("ref").alias("ref"), *unary.columns[2:])
 
 
+def validated(
+    tables: TableSet, candidates: DataFrame, chunk_size: int = -1, drop_nulls: bool = True, only_valid: bool = False
+) -> tuple[DataFrame | None, int]:
+    """((dep, ref, size, holds), number of candidates); no table if there is no candidate.
+
+    All candidates must have the same arity."""
+    folder, checked, n_candidates = new_folder(tables.spark, "checked"), None, 0
+    for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
+        combos = chunk_combos(chunk)
+        results = check_candidates(tables, chunk, combo_inclusions(tables, combos, drop_nulls), combos)
+        checked = materialize(results.where("holds") if only_valid else results, folder)
+        n_candidates += len(chunk)
+    return checked, n_candidates
+
+
 def candidate_chunks(candidates: DataFrame, chunk_size: int = -1, column_bits: int = 16) -> Iterator[Chunk]:
     """Candidates in bounded pieces. Every piece is one validation job.
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from subsumo.operators.cells import union_all
 from subsumo.operators.sampling import round_robin_sample
 from subsumo.session import materialize
-from subsumo.sources.lines import scan_lines
+from subsumo.sources.lines import first_file, scan_lines
 from subsumo.sources.tables import Table, TableSet
 
 POLICIES = ("fail", "drop", "fail_overlong", "warn")
@@ -190,19 +190,25 @@ def csv_tables(
         raise ValueError(f"unknown width policy {policy!r}; choose from {POLICIES}")
     mask = (1 << column_bits) - 1
     numbered = {name: (number << column_bits) | mask for number, name in enumerate(paths)}
-    parsed = {}
-    for name, path in paths.items():
+
+    def lines_of(name: str, head_of: str | None = None) -> DataFrame:
         charset = encoding if isinstance(encoding, str) else encoding.get(name, "UTF-8")
-        lines = scan_lines(spark, path, numbered[name], charset, strip_bom, recursive)
-        parsed[name] = parse_lines(lines, dialect, null_string)
+        lines = scan_lines(spark, paths[name], numbered[name], charset, strip_bom, recursive, head_of=head_of)
+        return parse_lines(lines, dialect, null_string)
+
+    parsed = {name: lines_of(name) for name in paths}
     expected = dict(widths or {})
     unknown = [n for n in paths if n not in expected]
-    if unknown:
-        # One number per table comes back, whatever the tables hold.
-        found = union_all([parsed[n] for n in unknown])
-        found = table_widths(found) if policy in ("warn", "fail_overlong") else first_line_widths(found)
-        by_id = {r["table_id"]: r["width"] for r in found.collect()}
+    if policy in ("warn", "fail_overlong") and unknown:
+        # One number per table comes back. This reads all lines, so declare widths of big inputs.
+        rows = table_widths(union_all([parsed[n] for n in unknown])).collect()
+        by_id = {r["table_id"]: r["width"] for r in rows}
         expected.update({n: by_id.get(numbered[n], 0) for n in unknown})
+    for name in (n for n in unknown if n not in expected):
+        # The scan stops at the first line of the first file.
+        head = lines_of(name, head_of=first_file(spark, paths[name], recursive))
+        row = head.where(F.col("f").isNotNull()).select(F.size("f").alias("width")).limit(1).first()
+        expected[name] = row["width"] if row else 0
     tables = []
     for number, name in enumerate(paths):
         df = apply_width_policy(parsed[name], {numbered[name]: expected[name]}, policy).select("f")

@@ -20,15 +20,20 @@ def scan_lines(
     strip_bom: bool = True,
     recursive: bool = False,
     name_regex: str | None = None,
+    head_of: str | None = None,
 ) -> DataFrame:
     """(table_id, path, block_start, row_in_block, value), one row per line.
 
     ``table_id`` is a given number, or :func:`path_id` if left out. Compressed files are
-    read by their suffix; they cannot be split, so use one file per wanted task."""
+    read by their suffix; they cannot be split, so use one file per wanted task.
+    ``head_of`` names a file (as in ``path``) of which only the first block is wanted."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     lines = reader.text(paths)
     if name_regex is not None:
         lines = lines.where(F.col("_metadata.file_name").rlike(f"^(?:{name_regex})$"))
+    if head_of is not None:
+        # On the source itself, so that other files are not even opened.
+        lines = lines.where((F.col("_metadata.file_path") == head_of) & (F.col("_metadata.file_block_start") == 0))
     tag = path_id(F.col("_metadata.file_path")) if table_id is None else table_id
     value = _decoded(F.col("value"), encoding)
     if strip_bom:
@@ -42,6 +47,12 @@ def scan_lines(
     )
 
 
+def first_file(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> str | None:
+    """The first of the given files, by path. Only folders are listed."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return reader.load(paths).select(F.col("_metadata.file_path").alias("path")).agg(F.min("path")).first()[0]
+
+
 def path_id(path: Column) -> Column:
     """A file id that depends on the path alone."""
     return F.xxhash64(path)

@@ -129,6 +129,9 @@ class TableSet:
         scan only the columns it needs."""
         tables = []
         for t in self.tables:
+            if not t.width:
+                tables.append(t)
+                continue
             copy = materialize(self.keys(t))
             tables.append(replace(t, df=copy, fields=[F.col(c) for c in copy.columns], types=[T.StringType()] * t.width))
         return TableSet(self.spark, tables, self.column_bits, digest_long=False)

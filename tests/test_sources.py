@@ -220,3 +220,21 @@ def test_sampled_tables_stay_the_same(spark):
 def test_complete_tuples(spark):
     df = spark.sql("SELECT explode(array(array('a','b'), array('a',''), array('a',null))) AS f")
     assert [r.f for r in complete_tuples(df).collect()] == [["a", "b"]]
+
+
+def test_width_comes_from_the_first_file(spark, tmp_path):
+    folder = tmp_path / "a table"
+    folder.mkdir()
+    (folder / "part 2.csv").write_text("1;2;3\n" * 50)
+    (folder / "part 1.csv").write_text("1;2\n3;4\n")
+    (folder / "part 3.csv").write_text("5;6\n")
+    tables = csv_tables(spark, {"x": str(folder)}, policy="drop")
+    assert sorted(tuple(r) for r in tables.tables[0].text().collect()) == [("1", "2"), ("3", "4"), ("5", "6")]
+
+
+def test_empty_file(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("")
+    (tmp_path / "y.csv").write_text("1\n")
+    tables = csv_tables(spark, {"x": str(tmp_path / "x.csv"), "y": str(tmp_path / "y.csv")})
+    assert [t.width for t in tables.tables] == [0, 1]
+    assert unary_inds(tables).count() == 0
