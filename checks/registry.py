@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ from subsumo.operators.groups import inclusion_lists
 from subsumo.operators.sampling import complete_tuples, key_sample
 from subsumo.plans import stats
 from subsumo.plans.discovery import as_ind_table, validated
-from subsumo.session import checkpoint_folder
+from subsumo.session import new_folder
 from subsumo.sources.csv import apply_width_policy, parse_lines, width_violations
 from subsumo.sources.tables import TableSet
 
@@ -671,6 +670,20 @@ def _(spark, sf):
     return naming.rendered_named(two, tables).select("text")
 
 
+@query(
+    "named_columns",
+    lambda: _names_sql("col").select(
+        "SELECT a.tab || '.' || a.t || ' ' || b.tab || '.' || b.t AS dep, c.tab || '.' || c.t || ' ' || d.tab || '.' || d.t AS ref "
+        "FROM ind2 JOIN named a ON a.cid = d1 JOIN named b ON b.cid = d2 JOIN named c ON c.cid = r1 JOIN named d ON d.cid = r2"
+    ),
+)
+def _(spark, sf):
+    tables = star(spark, sf)
+    two = algebra.of_arity(discover(tables, max_arity=2).inds(), 2)
+    text = lambda names: F.array_join(F.transform(names, lambda x: F.concat(x.table, F.lit("."), x.column)), " ")
+    return naming.named(two, tables).select(text("dep_names").alias("dep"), text("ref_names").alias("ref"))
+
+
 @query(
     "rendered_inds",
     lambda: _names_sql("(cid % 65536)").select(
@@ -778,12 +791,32 @@ def _(spark, sf):
 _WRITTEN = {"region": ALL_TABLES["region"], "nation": ALL_TABLES["nation"], "orders": STAR["orders"], "labels": ALL_TABLES["labels"]}
 
 
-@query("csv_files_unary_inds", lambda: Script(_WRITTEN).unary().select("SELECT dep, ref, n AS size FROM unary_inds"))
-def _(spark, sf):
-    """Tables written as delimited files to the shared folder and scanned from there."""
-    folder = f"{checkpoint_folder(spark)}/lines-{uuid.uuid4()}"
+def _written(spark, sf, relations, **options) -> dict[str, str]:
+    """Tables written as delimited files to the shared folder."""
+    folder = new_folder(spark, "lines")
     paths = {}
-    for name, df in load(spark, sf, _WRITTEN).items():
+    for name, df in load(spark, sf, relations).items():
         paths[name] = f"{folder}/{name}"
-        df.select(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("value")).write.text(paths[name])
-    return unary_inds(csv_tables(spark, paths, Dialect(separator="|")))
+        line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
+        df.select(line.alias("value")).write.options(**options).text(paths[name])
+    return paths
+
+
+@query("csv_files_unary_inds", lambda: Script(_WRITTEN).unary().select("SELECT dep, ref, n AS size FROM unary_inds"))
+def _(spark, sf):
+    return unary_inds(csv_tables(spark, _written(spark, sf, _WRITTEN), Dialect(separator="|")))
+
+
+@query("csv_gzip_partial_inds", lambda: _partial_sql(Script(_WRITTEN), 0.5))
+def _(spark, sf):
+    """Compressed files come as one task each, so their rows are dealt out after the read."""
+    paths = _written(spark, sf, _WRITTEN, compression="gzip")
+    n = spark.sparkContext.defaultParallelism
+    return partial_unary_inds(csv_tables(spark, paths, Dialect(separator="|"), spread=n), 0.5)
+
+
+@query("csv_files_nary_inds", lambda: Script(OUTCOMES).levels(3).select(Script(OUTCOMES).all_inds(3)))
+def _(spark, sf):
+    paths = _written(spark, sf, OUTCOMES)
+    tables = csv_tables(spark, paths, Dialect(separator="|"), null_string="\\N", policy="drop")
+    return flat(discover(tables.stored(), max_arity=3).inds())

@@ -94,15 +94,13 @@ def check_candidates(
 def null_patterns(tables: TableSet) -> DataFrame:
     """(table, nulls, n): how many rows of a table have exactly these null columns.
 
-    One pass that pre-aggregates to the few patterns of a table; null counts of columns and
-    of any combos, and table heights, follow from it."""
+    One pass that pre-aggregates to the patterns of a table; null counts of columns and of
+    any combos follow from it."""
     parts = []
     for table in tables.tables:
-        if not table.width:
-            continue
         first = table.number << tables.column_bits
-        nulls = F.array_compact(F.array(*[F.when(F.col(f"c{i}").isNull(), F.lit(first + i)) for i in range(table.width)]))
-        parts.append(table.text().select(F.lit(table.number).alias("table"), nulls.alias("nulls")))
+        nulls = F.array_compact(F.array(*[F.when(null, F.lit(first + i)) for i, null in enumerate(table.nulls)]))
+        parts.append(table.df.select(F.lit(table.number).alias("table"), nulls.cast("array<int>").alias("nulls")))
     return union_all(parts).groupBy("table", "nulls").agg(F.count(F.lit(1)).alias("n"))
 
 

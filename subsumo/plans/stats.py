@@ -1,23 +1,37 @@
-"""What a table set holds, counted in one pass over the rows and one over the values."""
+"""What a table set holds: rows, columns, nulls and distinct values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subsumo.operators.nary import column_null_counts, null_patterns
+from subsumo.operators.cells import union_all
 from subsumo.operators.unary import column_sizes
 from subsumo.sources.tables import TableSet
 
 
 def table_stats(tables: TableSet) -> DataFrame:
-    """(table_name, width, height) per table."""
-    heights = null_patterns(tables).groupBy("table").agg(F.sum("n").alias("height"))
-    registry = tables.registry()
-    widths = registry.groupBy("table_id", "table_name").agg(F.count(F.lit(1)).alias("width"))
-    return widths.join(heights, tables.table_number_of(F.col("table_id")) == F.col("table"), "left").select(
-        "table_name", "width", F.coalesce("height", F.lit(0).cast("bigint")).alias("height")
-    )
+    """(table_name, width, height) per table. Only row counts are read."""
+    rows = [
+        t.df.agg(F.count(F.lit(1)).alias("height")).select(
+            F.lit(t.name).alias("table_name"), F.lit(t.width).cast("bigint").alias("width"), "height"
+        )
+        for t in tables.tables
+    ]
+    return union_all(rows)
+
+
+def null_counts(tables: TableSet) -> DataFrame:
+    """(column_id, nulls) of every column: each task sends one row."""
+    parts = []
+    for t in tables.tables:
+        if not t.width:
+            continue
+        first = t.number << tables.column_bits
+        counts = t.df.agg(*[F.count_if(null).alias(f"n{i}") for i, null in enumerate(t.nulls)])
+        entries = [F.struct(F.lit(first + i).alias("column_id"), F.col(f"n{i}").alias("nulls")) for i in range(t.width)]
+        parts.append(counts.select(F.inline(F.array(*entries))))
+    return union_all(parts)
 
 
 def dataset_stats(tables: TableSet) -> DataFrame:
@@ -32,7 +46,7 @@ def column_stats(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     stats = tables.registry().join(column_sizes(tables, drop_nulls), "column_id", "left")
     if drop_nulls:
-        stats = stats.join(column_null_counts(null_patterns(tables)), "column_id", "left")
+        stats = stats.join(null_counts(tables), "column_id", "left")
     else:
         stats = stats.withColumn("nulls", zero)
     return stats.select(

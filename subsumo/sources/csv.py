@@ -78,7 +78,9 @@ def _tokenizer(dialect: Dialect):
         inner = f"[^{q}{e}]|{q}{q}" + (f"|{e}." if e else "")
         options.append(("quoted", f"{q}(?:{inner})*+{q}"))
         options.append(("open", q))
-    pattern = re.compile("|".join(f"(?P<{name}>{text})" for name, text in options) + "|(?P<plain>.)", re.DOTALL)
+    special = "|".join(re.escape(x) for x in (separator, quote, escape) if x)
+    options += [("plain", f"(?:(?!{special}).)++"), ("other", ".")]
+    pattern = re.compile("|".join(f"(?P<{name}>{text})" for name, text in options), re.DOTALL)
 
     def unquoted(token: str) -> str:
         body = token[1:-1].replace(quote + quote, quote)
@@ -105,10 +107,10 @@ def _tokenizer(dialect: Dialect):
                 started = True
             elif not strict:
                 text = token[1] if kind == "escaped" else token
-                if trim and not started and text.isspace():
-                    continue
+                if trim and not started:
+                    text = text.lstrip()
                 current.append(text)
-                started = True
+                started = started or bool(text)
         fields.append("".join(current))
         return fields
 
@@ -218,10 +220,7 @@ def csv_tables(
             df = df.repartition(spread)
         width = expected[name] if max_columns < 0 else min(expected[name], max_columns)
         names = (column_names or {}).get(name) or [f"column{i + 1}" for i in range(width)]
-        tables.append(
-            Table(
-                name, number, df, list(names[:width]),
-                [F.get("f", F.lit(i)) for i in range(width)], [T.StringType()] * width,
-            )
-        )
+        fields = [F.get("f", F.lit(i)) for i in range(width)]
+        nulls = [field.isNull() for field in fields]
+        tables.append(Table(name, number, df, list(names[:width]), fields, nulls, [T.StringType()] * width))
     return TableSet(spark, tables, column_bits, digest_long)

@@ -23,13 +23,15 @@ from subsumo.session import materialize, small_table
 
 @dataclass
 class Table:
-    """One input table. ``fields`` are the text expressions of its columns over ``df``."""
+    """One input table. ``fields`` and ``nulls`` are, over ``df``, the texts of its columns
+    and whether they are null, which is cheaper to ask for than the text."""
 
     name: str
     number: int
     df: DataFrame
     column_names: list[str]
     fields: list[Column]
+    nulls: list[Column]
     types: list[T.DataType]
 
     @property
@@ -97,14 +99,17 @@ class TableSet:
                 df = materialize(round_robin_sample(df, sample_percent))
             if spread:
                 df = df.repartition(spread)
-            fields, types = [], []
+            fields, nulls, types = [], [], []
             for f in df.schema.fields:
-                text = value_text(F.col(_quoted(f.name)), f.dataType)
+                value = F.col(_quoted(f.name))
+                text, null = value_text(value, f.dataType), value.isNull()
                 if null_string is not None:
                     text = F.when(text != F.lit(null_string), text)
+                    null = text.isNull()
                 fields.append(text)
+                nulls.append(null)
                 types.append(f.dataType)
-            tables.append(Table(name, number, df, list(df.columns), fields, types))
+            tables.append(Table(name, number, df, list(df.columns), fields, nulls, types))
         return cls(spark, tables, column_bits, digest_long)
 
     @classmethod
@@ -133,7 +138,9 @@ class TableSet:
                 tables.append(t)
                 continue
             copy = materialize(self.keys(t))
-            tables.append(replace(t, df=copy, fields=[F.col(c) for c in copy.columns], types=[T.StringType()] * t.width))
+            columns = [F.col(c) for c in copy.columns]
+            nulls = [c.isNull() for c in columns]
+            tables.append(replace(t, df=copy, fields=columns, nulls=nulls, types=[T.StringType()] * t.width))
         return TableSet(self.spark, tables, self.column_bits, digest_long=False)
 
     @property

@@ -21,7 +21,7 @@ from subsumo.operators import groups as kernel
 from subsumo.operators.naming import column_name, rendered, rendered_named, rendered_partial, table_name
 from subsumo.operators.nary import column_null_counts, null_patterns
 from subsumo.operators.unary import attribute_group_lists, column_groups
-from subsumo.plans.stats import column_stats, dataset_stats, table_stats
+from subsumo.plans.stats import column_stats, dataset_stats, null_counts, table_stats
 
 
 def random_rows(seed, n_rows, n_columns, n_values, null_rate=0.2):
@@ -172,6 +172,9 @@ def test_statistics(spark):
     assert {r.column_id: (r.size, r.nulls) for r in rows} == {c: (len(sets[c]), nulls[c]) for c in sets}
     counted = {r.column_id: r.nulls for r in column_null_counts(null_patterns(tables)).collect()}
     assert counted == {c: n for c, n in nulls.items() if n}
+    stored = tables.stored()
+    assert {r.column_id: r.nulls for r in null_counts(stored).collect()} == nulls
+    assert {r.column_id: r.nulls for r in null_counts(tables).collect()} == nulls
 
 
 def test_names(spark):
