@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Longest value, in bytes, that is grouped by its text itself. A longer one is grouped
-#: by the SHA-256 digest of its whole text plus its length, which is always longer than
-#: this and can therefore never equal a short value.
-LONGEST_PLAIN_KEY = 64
+#: by the SHA-256 digest of its whole text in base64 (44 characters) followed by its length,
+#: which is always longer than this and can therefore never equal a short value.
+LONGEST_PLAIN_KEY = 44
 
 _ATOMIC = (
     T.StringType, T.CharType, T.VarcharType, T.BooleanType, T.NumericType,
@@ -37,4 +37,5 @@ def group_key(text: Column, data_type: T.DataType, digest_long: bool = True) ->
     if not digest_long or not isinstance(data_type, (T.StringType, T.BinaryType)):
         return text
     size = F.octet_length(text)
-    return F.when(size > LONGEST_PLAIN_KEY, F.concat(F.sha2(text, 256), F.lit(":"), size)).otherwise(text)
+    digest = F.base64(F.unhex(F.sha2(text, 256)))
+    return F.when(size > LONGEST_PLAIN_KEY, F.concat(digest, F.lit(":"), size)).otherwise(text)

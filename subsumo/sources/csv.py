@@ -44,8 +44,6 @@ def parse_lines(lines: DataFrame, dialect: Dialect = Dialect(), null_string: str
     """Adds ``f array<string>``; null where the line cannot be parsed."""
     if dialect.is_plain:
         fields = F.split("value", _java_quoted(dialect.separator), -1)
-        if dialect.ignore_leading_whitespace:
-            fields = F.transform(fields, lambda x: F.regexp_replace(x, r"^\s+", ""))
     else:
         fields = _tokenizer(dialect)(F.col("value"))
     return lines.withColumn("f", map_nulls(fields, null_string))
@@ -61,57 +59,60 @@ def _java_quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+#: Quotes before this position of a line are never kept as text (fixed value).
+_FIRST_KEPT_QUOTE = 3
+
+
 def _tokenizer(dialect: Dialect):
     """A vectorized function line -> fields.
 
-    Text between quotes is taken as it is, separators included; a doubled quote stands for
-    one. Quotes inside a field that did not start with one are kept. With strict quotes,
-    text outside quotes is ignored. A line that ends inside quotes cannot be parsed."""
+    Quotes protect separators, wherever in a field they stand, and a doubled quote inside
+    them is one quote. A quote next to a field's border is syntax; one amid a field's text
+    is kept as text too. Escapes only mean something inside quotes and vanish elsewhere.
+    With strict quotes, text outside quotes is ignored. White space is only ignored in
+    front of a quote. A line that ends inside quotes cannot be parsed."""
     separator, quote, escape = dialect.separator, dialect.quote, dialect.escape
     strict, trim = dialect.strict_quotes, dialect.ignore_leading_whitespace
-    options = [("separator", re.escape(separator))]
-    if escape:
-        escapable = re.escape(escape) + (re.escape(quote) if quote else "")
-        options.append(("escaped", f"{re.escape(escape)}[{escapable}]"))
+    escape = escape if escape != quote else None
+    kinds = [("separator", re.escape(separator))]
     if quote:
-        q, e = re.escape(quote), re.escape(escape) if escape and escape != quote else ""
-        inner = f"[^{q}{e}]|{q}{q}" + (f"|{e}." if e else "")
-        options.append(("quoted", f"{q}(?:{inner})*+{q}"))
-        options.append(("open", q))
-    special = "|".join(re.escape(x) for x in (separator, quote, escape) if x)
-    options += [("plain", f"(?:(?!{special}).)++"), ("other", ".")]
-    pattern = re.compile("|".join(f"(?P<{name}>{text})" for name, text in options), re.DOTALL)
-
-    def unquoted(token: str) -> str:
-        body = token[1:-1].replace(quote + quote, quote)
-        if escape and escape != quote:
-            body = re.sub(re.escape(escape) + f"([{re.escape(escape)}{re.escape(quote)}])", r"\1", body)
-        return body
+        q, e = re.escape(quote), re.escape(escape) if escape else ""
+        inside = f"(?:{q}{q}|{e}.)" if e else f"{q}{q}"
+        kinds += [("quoted", f"{q}[^{q}{e}]*(?:{inside}[^{q}{e}]*)*{q}"), ("open", q)]
+    special = "".join(re.escape(x) for x in (separator, quote, escape) if x)
+    kinds += [("plain", f"[^{special}]+"), ("escape", ".")]
+    pattern = re.compile("|".join(f"(?P<{kind}>{text})" for kind, text in kinds), re.DOTALL)
+    quoting = [re.escape(quote) * 2] if quote else []
+    quoting += [f"{re.escape(escape)}."] if escape else []
+    pair = re.compile("|".join(quoting), re.DOTALL)
+
+    def is_text(line: str, at: int) -> bool:
+        """The quote at this position stands amid text."""
+        inner = _FIRST_KEPT_QUOTE <= at < len(line) - 1
+        return inner and line[at - 1] != separator and line[at + 1] != separator
 
     def fields_of(line: str) -> list[str] | None:
-        fields, current, started = [], [], False
+        fields, field = [], ""
         for match in pattern.finditer(line):
             kind, token = match.lastgroup, match.group()
             if kind == "separator":
-                fields.append("".join(current))
-                current, started = [], False
+                fields.append(field)
+                field = ""
             elif kind == "open":
                 return None
             elif kind == "quoted":
-                at_start = not started or (trim and not "".join(current).strip())
-                at_end = match.end() == len(line) or line.startswith(separator, match.end())
-                if at_start and trim:
-                    current = []
-                keep = not strict and not at_start and not at_end
-                current.append(quote + unquoted(token) + quote if keep else unquoted(token))
-                started = True
-            elif not strict:
-                text = token[1] if kind == "escaped" else token
-                if trim and not started:
-                    text = text.lstrip()
-                current.append(text)
-                started = started or bool(text)
-        fields.append("".join(current))
+                body = pair.sub(lambda m: m.group()[1], token[1:-1])
+                if strict:
+                    field += body
+                    continue
+                if is_text(line, match.start()):
+                    field = "" if trim and field.isspace() else field + quote
+                field += body
+                if is_text(line, match.end() - 1):
+                    field += quote
+            elif kind == "plain" and not strict:
+                field += token
+        fields.append(field)
         return fields
 
     @F.pandas_udf(T.ArrayType(T.StringType()))

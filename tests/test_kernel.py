@@ -16,6 +16,7 @@ from subsumo import (
     unary_overlaps,
     void_unary_inds,
 )
+from subsumo.functions.text import LONGEST_PLAIN_KEY, group_key
 from subsumo.functions.words import members, slot
 from subsumo.operators import groups as kernel
 from subsumo.operators.naming import column_name, rendered, rendered_named, rendered_partial, table_name
@@ -194,3 +195,15 @@ def test_count_only(spark):
     found = discover(as_table_set(spark, *DATA), count_only=True)
     assert found.num_discovered == count_unary_inds(found.tables).first().n
     assert len(found.levels) == 1
+
+
+def test_digest_keys_cannot_meet_short_values(spark):
+    """Around the longest plain key, and a value that is another one's digest key."""
+    limit = LONGEST_PLAIN_KEY
+    texts = ["x" * n for n in range(limit - 2, limit + 3)] + ["ä" * (limit // 2), "ä" * (limit // 2 + 1)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    keyed = df.select("t", group_key(F.col("t"), df.schema["t"].dataType).alias("k")).collect()
+    for row in keyed:
+        assert (row.k == row.t) == (len(row.t.encode()) <= limit)
+        assert row.k == row.t or len(row.k) > limit
+    assert len({r.k for r in keyed}) == len(texts)

@@ -107,17 +107,22 @@ ESCAPED = Dialect(separator=",", quote='"', escape="\\")
         (Dialect(), "", [""]),
         (Dialect(), '"a;b"', ['"a', 'b"']),
         (Dialect(separator="|"), "a|b", ["a", "b"]),
-        (Dialect(separator=".", ignore_leading_whitespace=True), "  a. b ", ["a", "b "]),
+        (Dialect(separator=".", ignore_leading_whitespace=True), "a. b ", ["a", " b "]),
         (QUOTED, '"a,b",c', ["a,b", "c"]),
         (QUOTED, '"say ""hi""",', ['say "hi"', ""]),
         (QUOTED, '"",x', ["", "x"]),
-        (QUOTED, ',,', ["", "", ""]),
-        (QUOTED, 'ab"c,d"ef,g', ['ab"c,d"ef', "g"]),
+        (QUOTED, ",,", ["", "", ""]),
+        (QUOTED, 'x,ab"c,d"ef,g', ["x", 'ab"c,d"ef', "g"]),
+        (QUOTED, 'x,"ab"cd,e"f"', ["x", 'ab"cd', 'e"f']),
+        (QUOTED, 'a"b"c', ['ab"c']),
         (QUOTED, '"open', None),
-        (ESCAPED, 'a\\"b,c\\\\d', ['a"b', "c\\d"]),
-        (ESCAPED, '"a\\",b",c', ['a",b', "c"]),
+        (QUOTED, 'a,"b""', None),
+        (ESCAPED, '"a\\",b",c\\d', ['a",b', "cd"]),
+        (ESCAPED, '"a\\\\b\\c"', ["a\\bc"]),
         (Dialect(separator=",", quote='"', strict_quotes=True), 'x"a"y, "b" ,c', ["a", "b", ""]),
-        (Dialect(separator=",", quote='"', ignore_leading_whitespace=True), '  "a", b', ["a", "b"]),
+        (Dialect(separator=",", quote='"', ignore_leading_whitespace=True), 'a,  "b", c', ["a", "b", " c"]),
+        (Dialect(separator=",", quote='"'), 'a,  "b"', ["a", '  "b']),
+        (Dialect(separator=",", quote="'"), "'a\"','b", None),
         (Dialect(separator=",", quote="'"), "'a\"',\"b", ['a"', '"b']),
     ],
 )
