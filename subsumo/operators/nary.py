@@ -24,12 +24,14 @@ Combo = tuple[int, ...]
 MAX_CHUNK = MAX_DENSE_WORDS * BITS // 2
 
 
-def combo_values(tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True) -> DataFrame:
+def combo_values(
+    tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True, one_in: int | None = None
+) -> DataFrame:
     """(word, bit, k0, k1, …): per row and requested combo the values of its columns.
 
     Only tables and columns that occur in a combo are scanned. Values stay separate key
     columns, so no separator can be confused with data. With ``drop_nulls`` a combo with
-    any null is left out."""
+    any null is left out. ``one_in`` keeps the values of one in so many hash classes."""
     n = len(combos[0])
     per_table = defaultdict(list)
     for member, combo in enumerate(combos):
@@ -54,13 +56,17 @@ def combo_values(tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = T
             )
             .select("word", "bit", *[F.get("f", F.col(f"i{i}")).alias(f"k{i}") for i in range(n)])
         )
+        if one_in:
+            part = part.where(F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0)
         parts.append(part.dropna(how="any", subset=keys) if drop_nulls else part)
     return union_all(parts)
 
 
-def combo_inclusions(tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True) -> DataFrame:
+def combo_inclusions(
+    tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True, one_in: int | None = None
+) -> DataFrame:
     """(m, size, refs): as for columns, with m the position of the combo in the given list."""
-    keyed = combo_values(tables, combos, drop_nulls)
+    keyed = combo_values(tables, combos, drop_nulls, one_in)
     return inclusions(attribute_groups(keyed, [f"k{i}" for i in range(len(combos[0]))], len(combos)))
 
 
@@ -88,6 +94,19 @@ def check_candidates(
     )
 
 
+def not_refuted(
+    tables: TableSet, candidates: Sequence[tuple[Combo, Combo]], drop_nulls: bool, one_in: int
+) -> list[tuple[Combo, Combo]]:
+    """The candidates that hold among the values of one hash class.
+
+    The class has the same values on both sides, so a value that is missing there is missing
+    altogether: whatever fails here fails, and the rest is still to be checked in full."""
+    combos = chunk_combos(candidates)
+    included = combo_inclusions(tables, combos, drop_nulls, one_in)
+    rows = check_candidates(tables, candidates, included, combos).where("holds").select("dep", "ref").collect()
+    return [(tuple(r["dep"]), tuple(r["ref"])) for r in rows]
+
+
 # --- nulls --------------------------------------------------------------------------
 
 

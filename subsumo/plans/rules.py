@@ -23,10 +23,11 @@ from subsumo.operators.nary import (
     column_null_counts,
     combo_inclusions,
     combo_null_counts,
+    not_refuted,
     null_patterns,
 )
 from subsumo.operators.unary import column_inclusions, unary_inds
-from subsumo.plans.discovery import Discovery, DiscoveryError, as_ind_table, candidate_chunks, finish_level
+from subsumo.plans.discovery import Discovery, DiscoveryError, LevelStats, as_ind_table, candidate_chunks, finish_level
 from subsumo.session import materialize, new_folder, small_table
 from subsumo.sources.tables import TableSet
 
@@ -49,6 +50,7 @@ def discover_with_rules(
     restrictions: str = "NO_REPETITIONS",
     chunk_size: int = -1,
     drop_nulls: bool = True,
+    prescreen: int | None = None,
     on_ind: Callable[[Row], None] | None = None,
     on_level: Callable[[DataFrame, int], None] | None = None,
 ) -> RuleDiscovery:
@@ -74,13 +76,19 @@ def discover_with_rules(
             ind_folder, stat_folder = (new_folder(tables.spark, f"{kind}-{arity}") for kind in ("holding", "counted"))
             candidates = generate(last, unary_kept, arity, allowed, tables.column_bits)
             for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
-                combos = chunk_combos(chunk)
+                n_candidates += len(chunk)
+                # Rules are read off valid dependencies, so counts of refuted ones are not needed.
+                left = not_refuted(tables, chunk, drop_nulls, prescreen) if prescreen else chunk
+                if not left:
+                    continue
+                combos = chunk_combos(left)
                 included = materialize(combo_inclusions(tables, combos, drop_nulls))
-                results = check_candidates(tables, chunk, included, combos).where("holds")
+                results = check_candidates(tables, left, included, combos).where("holds")
                 holding = materialize(results.select("dep", "ref", "size"), ind_folder)
                 counted = materialize(combo_stats(tables, combos, included, patterns), stat_folder)
-                n_candidates += len(chunk)
             if holding is None:
+                if n_candidates:
+                    found.level_stats.append(LevelStats(arity, n_candidates, 0, 0, time.perf_counter() - started))
                 break
             # A combo can be in several chunks, each of which counts it whole.
             current = counted.distinct()
