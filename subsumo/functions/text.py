@@ -18,7 +18,7 @@ LONGEST_PLAIN_KEY = 44
 
 _ATOMIC = (
     T.StringType, T.CharType, T.VarcharType, T.BooleanType, T.NumericType,
-    T.DateType, T.TimestampType, T.TimestampNTZType,
+    T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType,
 )
 
 

@@ -85,7 +85,7 @@ def check_candidates(
         [("dep", pa.list_(pa.int32())), ("ref", pa.list_(pa.int32())), ("m", pa.int32()), ("ref_m", pa.int32())]
     )
     rows = [(list(dep), list(ref), number[dep], number[ref]) for dep, ref in candidates]
-    asked = small_table(tables.spark, rows, schema)
+    asked = small_table(tables.spark, rows, schema).coalesce(1)  # one chunk, so one small file
     return asked.join(included, "m", "left").select(
         "dep",
         "ref",

@@ -171,7 +171,9 @@ def candidate_chunks(candidates: DataFrame, chunk_size: int = -1, column_bits: i
     if len(first) <= limit:
         yield _as_chunk(first)
         return
-    numbered = materialize(with_chunk(candidates, limit, column_bits))
+    # Sorted by chunk, so that reading a chunk skips the files of all others.
+    numbered = with_chunk(candidates, limit, column_bits)
+    numbered = materialize(numbered.repartitionByRange("chunk").sortWithinPartitions("chunk"))
     last_chunk = numbered.agg(F.max("chunk")).first()[0]
     for number in range(last_chunk + 1):
         yield _as_chunk(numbered.where(F.col("chunk") == number).collect())

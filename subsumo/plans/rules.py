@@ -148,7 +148,7 @@ def combo_stats(tables: TableSet, combos, included: DataFrame, patterns: DataFra
     """(cols, size, nulls) per combo of a chunk. The key is sorted: order does not change counts."""
     schema = pa.schema([("m", pa.int32()), ("table", pa.int32()), ("cols", pa.list_(pa.int32()))])
     rows = [(m, combo[0] >> tables.column_bits, sorted(combo)) for m, combo in enumerate(combos)]
-    listed = small_table(tables.spark, rows, schema)
+    listed = small_table(tables.spark, rows, schema).coalesce(1)
     zero = F.lit(0).cast("bigint")
     stats = listed.join(included.select("m", "size"), "m", "left")
     if patterns is None:

@@ -41,12 +41,16 @@ class Dialect:
 
 
 def parse_lines(lines: DataFrame, dialect: Dialect = Dialect(), null_string: str | None = None) -> DataFrame:
-    """Adds ``f array<string>``; null where the line cannot be parsed."""
+    """Adds ``f array<string>`` and its ``width``; both are null where the line cannot be parsed."""
     if dialect.is_plain:
         fields = F.split("value", _java_quoted(dialect.separator), -1)
-    else:
-        fields = _tokenizer(dialect)(F.col("value"))
-    return lines.withColumn("f", map_nulls(fields, null_string))
+        # From the line itself, so that a filter on the width does not split the line again.
+        separator = F.lit(dialect.separator)
+        rest = F.octet_length(F.replace(F.col("value"), separator, F.lit("")))
+        width = ((F.octet_length("value") - rest) / F.octet_length(separator)).cast("int") + 1
+        return lines.withColumns({"f": map_nulls(fields, null_string), "width": width})
+    tokens = lines.withColumn("f", _tokenizer(dialect)(F.col("value")))
+    return tokens.select(*lines.columns, map_nulls(F.col("f"), null_string).alias("f"), F.size("f").alias("width"))
 
 
 def map_nulls(fields: Column, null_string: str | None) -> Column:
@@ -119,7 +123,8 @@ def _tokenizer(dialect: Dialect):
     def tokenize(lines: pd.Series) -> pd.Series:
         return lines.map(lambda line: None if line is None else fields_of(line))
 
-    return tokenize
+    # Called once per line: a deterministic function would be run again by every filter on it.
+    return tokenize.asNondeterministic()
 
 
 # --- widths -------------------------------------------------------------------------
@@ -130,12 +135,12 @@ def first_line_widths(parsed: DataFrame) -> DataFrame:
 
     Only the first block of a file can hold its first line."""
     position = F.struct("path", "block_start", "row_in_block")
-    return parsed.where(F.col("f").isNotNull()).groupBy("table_id").agg(F.min_by(F.size("f"), position).alias("width"))
+    return parsed.where(F.col("width").isNotNull()).groupBy("table_id").agg(F.min_by("width", position).alias("width"))
 
 
 def table_widths(parsed: DataFrame) -> DataFrame:
     """(table_id, width): the most fields any line has."""
-    return parsed.groupBy("table_id").agg(F.max(F.size("f")).alias("width"))
+    return parsed.groupBy("table_id").agg(F.max("width").alias("width"))
 
 
 def apply_width_policy(parsed: DataFrame, widths: Mapping[int, int], policy: str = "fail") -> DataFrame:
@@ -147,17 +152,17 @@ def apply_width_policy(parsed: DataFrame, widths: Mapping[int, int], policy: str
         raise ValueError(f"unknown width policy {policy!r}; choose from {POLICIES}")
     expected = _expected(widths)
     if policy == "drop":
-        return parsed.where(F.col("f").isNotNull() & (F.size("f") == expected))
+        return parsed.where(F.col("width") == expected)
     if policy == "warn":
-        return parsed.where(F.col("f").isNotNull())
-    bad = F.size("f") > expected if policy == "fail_overlong" else F.size("f") != expected
+        return parsed.where(F.col("width").isNotNull())
+    bad = F.col("width") > expected if policy == "fail_overlong" else F.col("width") != expected
     message = F.concat(F.lit("wrong number of fields in "), F.col("path"), F.lit(": "), F.col("value"))
-    return parsed.withColumn("f", F.when(F.col("f").isNull() | bad, F.raise_error(message)).otherwise(F.col("f")))
+    return parsed.withColumn("f", F.when(F.col("width").isNull() | bad, F.raise_error(message)).otherwise(F.col("f")))
 
 
 def width_violations(parsed: DataFrame, widths: Mapping[int, int]) -> DataFrame:
     """(table_id, lines): how many lines of each table have another width than expected."""
-    wrong = F.col("f").isNull() | (F.size("f") != _expected(widths))
+    wrong = F.col("width").isNull() | (F.col("width") != _expected(widths))
     return parsed.where(wrong).groupBy("table_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -210,7 +215,7 @@ def csv_tables(
     for name in (n for n in unknown if n not in expected):
         # The scan stops at the first line of the first file.
         head = lines_of(name, head_of=first_file(spark, paths[name], recursive))
-        row = head.where(F.col("f").isNotNull()).select(F.size("f").alias("width")).limit(1).first()
+        row = head.where(F.col("width").isNotNull()).select("width").limit(1).first()
         expected[name] = row["width"] if row else 0
     tables = []
     for number, name in enumerate(paths):

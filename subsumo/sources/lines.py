@@ -37,7 +37,7 @@ def scan_lines(
     tag = path_id(F.col("_metadata.file_path")) if table_id is None else table_id
     value = _decoded(F.col("value"), encoding)
     if strip_bom:
-        value = F.regexp_replace(value, "^\\x{FEFF}", "")
+        value = F.when(value.startswith("\ufeff"), F.substring(value, 2, 2**31 - 1)).otherwise(value)
     return lines.select(
         (F.lit(tag) if isinstance(tag, int) else tag).alias("table_id"),
         F.col("_metadata.file_path").alias("path"),

@@ -152,6 +152,12 @@ def test_values_are_text(spark):
     assert found == {(0, 2), (2, 0), (3, 4), (4, 3), (5, 6), (6, 5)}
 
 
+def test_untyped_null_columns_are_void(spark):
+    tables = TableSet.from_dataframes(spark, {"t": spark.sql("SELECT 1 AS a, NULL AS b")})
+    assert {(r.dep, r.ref, r.size) for r in unary_inds(tables).collect()} == {(1, 0, 0)}
+    assert {(r.dep, r.ref) for r in unary_inds(tables.stored()).collect()} == {(1, 0)}
+
+
 def test_null_string_of_typed_tables(spark):
     df = spark.sql("SELECT * FROM VALUES ('a', 'a'), ('-', 'b') AS t(x, y)")
     tables = TableSet.from_dataframes(spark, {"t": df}, null_string="-")
