@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subsumo.functions.words import contains, slot
+from subsumo.functions.words import BITS, contains, slot
 from subsumo.operators.cells import union_all
 from subsumo.operators.groups import MAX_DENSE_WORDS, attribute_groups, inclusions
-from subsumo.functions.words import BITS
 from subsumo.session import small_table
-from subsumo.sources.tables import TableSet
+from subsumo.sources.tables import Table, TableSet
 
 Combo = tuple[int, ...]
 
@@ -33,27 +33,16 @@ def combo_values(
     columns, so no separator can be confused with data. With ``drop_nulls`` a combo with
     any null is left out. ``one_in`` keeps the values of one in so many hash classes."""
     n = len(combos[0])
-    per_table = defaultdict(list)
-    for member, combo in enumerate(combos):
-        per_table[combo[0] >> tables.column_bits].append((member, [c & tables.mask for c in combo]))
     keys = [f"k{i}" for i in range(n)]
-    shape = "array<struct<word:int,bit:bigint," + ",".join(f"i{i}:int" for i in range(n)) + ">>"
     parts = []
-    for table in tables.tables:
-        if table.number not in per_table:
-            continue
-        needed = sorted({i for _, indices in per_table[table.number] for i in indices})
-        at = {index: place for place, index in enumerate(needed)}
-        plan = []
-        for member, indices in per_table[table.number]:
+    for table, needed, places in _per_table(tables, combos):
+        entries = []
+        for member, at in places:
             word, bit = slot(member)
-            plan.append({"word": word, "bit": bit, **{f"i{j}": at[i] for j, i in enumerate(indices)}})
+            entries.append({"word": word, "bit": bit, **at})
         part = (
             tables.keys(table, needed)
-            .select(
-                F.array(*[f"c{i}" for i in needed]).alias("f"),
-                F.inline(F.from_json(F.lit(json.dumps(plan)), shape)),
-            )
+            .select(F.array(*[f"c{i}" for i in needed]).alias("f"), _literal(entries, "word int, bit bigint", n))
             .select("word", "bit", *[F.get("f", F.col(f"i{i}")).alias(f"k{i}") for i in range(n)])
         )
         if one_in:
@@ -62,6 +51,25 @@ def combo_values(
     return union_all(parts)
 
 
+def _per_table(tables: TableSet, combos: Sequence[Combo]) -> Iterator[tuple[Table, list[int], list[tuple[int, dict]]]]:
+    """(table, needed column indices, [(member, places of its columns among the needed ones)])"""
+    grouped = defaultdict(list)
+    for member, combo in enumerate(combos):
+        grouped[combo[0] >> tables.column_bits].append((member, [c & tables.mask for c in combo]))
+    for table in tables.tables:
+        if table.number in grouped:
+            needed = sorted({i for _, indices in grouped[table.number] for i in indices})
+            place = {index: at for at, index in enumerate(needed)}
+            yield table, needed, [(m, {f"i{j}": place[i] for j, i in enumerate(ix)}) for m, ix in grouped[table.number]]
+
+
+def _literal(entries: list[dict], fields: str, n: int) -> Column:
+    """Repeats every row for each entry, whose fields and places i0, i1, … become columns."""
+    places = ", ".join(f"i{i} int" for i in range(n))
+    struct = ", ".join(f"{x.split()[0]}:{x.split()[1]}" for x in f"{fields}, {places}".split(", "))
+    return F.inline(F.from_json(F.lit(json.dumps(entries)), f"array<struct<{struct}>>"))
+
+
 def combo_inclusions(
     tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True, one_in: int | None = None
 ) -> DataFrame:
@@ -110,30 +118,26 @@ def not_refuted(
 # --- nulls --------------------------------------------------------------------------
 
 
-def null_patterns(tables: TableSet) -> DataFrame:
-    """(table, nulls, n): how many rows of a table have exactly these null columns.
-
-    One pass that pre-aggregates to the patterns of a table; null counts of columns and of
-    any combos follow from it."""
+def null_counts(tables: TableSet) -> DataFrame:
+    """(column_id, nulls) of every column: each task sends one row."""
     parts = []
-    for table in tables.tables:
-        first = table.number << tables.column_bits
-        nulls = F.array_compact(F.array(*[F.when(null, F.lit(first + i)) for i, null in enumerate(table.nulls)]))
-        parts.append(table.df.select(F.lit(table.number).alias("table"), nulls.cast("array<int>").alias("nulls")))
-    return union_all(parts).groupBy("table", "nulls").agg(F.count(F.lit(1)).alias("n"))
-
-
-def column_null_counts(patterns: DataFrame) -> DataFrame:
-    return patterns.select(F.explode("nulls").alias("column_id"), "n").groupBy("column_id").agg(F.sum("n").alias("nulls"))
+    for t in tables.tables:
+        if not t.width:
+            continue
+        first = t.number << tables.column_bits
+        counts = t.df.agg(*[F.count_if(null).alias(f"n{i}") for i, null in enumerate(t.nulls)])
+        entries = [F.struct(F.lit(first + i).alias("column_id"), F.col(f"n{i}").alias("nulls")) for i in range(t.width)]
+        parts.append(counts.select(F.inline(F.array(*entries))))
+    return union_all(parts)
 
 
-def combo_null_counts(patterns: DataFrame, combos: DataFrame) -> DataFrame:
-    """(cols, nulls) for combos whose rows have a null in any column. ``combos`` has (table, cols)."""
-    return (
-        patterns.where(F.size("nulls") > 0)
-        .withColumnRenamed("nulls", "at")
-        .join(combos, "table")
-        .where(F.arrays_overlap("at", "cols"))
-        .groupBy("cols")
-        .agg(F.sum("n").alias("nulls"))
-    )
+def combo_null_counts(tables: TableSet, combos: Sequence[Combo]) -> DataFrame:
+    """(m, nulls): rows with a null in any column of the combo. Each task sends one row per combo."""
+    n = len(combos[0])
+    parts = []
+    for table, needed, places in _per_table(tables, combos):
+        entries = [{"m": member, **at} for member, at in places]
+        flags = table.df.select(F.array(*[table.nulls[i] for i in needed]).alias("null"), _literal(entries, "m int", n))
+        any_null = reduce(lambda a, b: a | b, [F.get("null", F.col(f"i{i}")) for i in range(n)])
+        parts.append(flags.where(any_null).groupBy("m").agg(F.count(F.lit(1)).alias("nulls")))
+    return union_all(parts)

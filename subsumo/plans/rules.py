@@ -20,11 +20,10 @@ from subsumo.operators.cells import union_all
 from subsumo.operators.nary import (
     check_candidates,
     chunk_combos,
-    column_null_counts,
     combo_inclusions,
     combo_null_counts,
     not_refuted,
-    null_patterns,
+    null_counts,
 )
 from subsumo.operators.unary import column_inclusions, unary_inds
 from subsumo.plans.discovery import Discovery, DiscoveryError, LevelStats, as_ind_table, candidate_chunks, finish_level
@@ -61,9 +60,8 @@ def discover_with_rules(
     arity = 1
     try:
         started = time.perf_counter()
-        patterns = materialize(null_patterns(tables)) if drop_nulls else None
         columns = materialize(column_inclusions(tables, drop_nulls))
-        stats = unary_combo_stats(columns, patterns)
+        stats = materialize(unary_combo_stats(columns, null_counts(tables) if drop_nulls else None))
         unary = unary_with_ref_sizes(tables, columns)
         zero_ary = zero_ary_rules(unary)
         kept = materialize(as_ind_table(unary.where(~is_zero_ary()).select("dep", "ref", "size")))
@@ -85,7 +83,8 @@ def discover_with_rules(
                 included = materialize(combo_inclusions(tables, combos, drop_nulls))
                 results = check_candidates(tables, left, included, combos).where("holds")
                 holding = materialize(results.select("dep", "ref", "size"), ind_folder)
-                counted = materialize(combo_stats(tables, combos, included, patterns), stat_folder)
+                nulls = combo_null_counts(tables, combos) if drop_nulls else None
+                counted = materialize(combo_stats(tables, combos, included, nulls), stat_folder)
             if holding is None:
                 if n_candidates:
                     found.level_stats.append(LevelStats(arity, n_candidates, 0, 0, time.perf_counter() - started))
@@ -135,28 +134,22 @@ def zero_ary_rules(unary: DataFrame) -> DataFrame:
 # --- higher arities -----------------------------------------------------------------
 
 
-def unary_combo_stats(columns: DataFrame, patterns: DataFrame | None) -> DataFrame:
+def unary_combo_stats(columns: DataFrame, nulls: DataFrame | None) -> DataFrame:
     """(cols, size, nulls) per single column that has a value."""
-    stats = columns.select(F.array("dep").alias("cols"), "size")
-    if patterns is None:
-        return stats.withColumn("nulls", F.lit(0).cast("bigint"))
-    nulls = column_null_counts(patterns).select(F.array("column_id").alias("cols"), "nulls")
-    return stats.join(nulls, "cols", "left").select("cols", "size", F.coalesce("nulls", F.lit(0).cast("bigint")).alias("nulls"))
+    if nulls is None:
+        return columns.select(F.array("dep").alias("cols"), "size", F.lit(0).cast("bigint").alias("nulls"))
+    joined = columns.join(nulls, F.col("dep") == F.col("column_id"))
+    return joined.select(F.array("dep").alias("cols"), "size", "nulls")
 
 
-def combo_stats(tables: TableSet, combos, included: DataFrame, patterns: DataFrame | None) -> DataFrame:
+def combo_stats(tables: TableSet, combos, included: DataFrame, nulls: DataFrame | None) -> DataFrame:
     """(cols, size, nulls) per combo of a chunk. The key is sorted: order does not change counts."""
-    schema = pa.schema([("m", pa.int32()), ("table", pa.int32()), ("cols", pa.list_(pa.int32()))])
-    rows = [(m, combo[0] >> tables.column_bits, sorted(combo)) for m, combo in enumerate(combos)]
-    listed = small_table(tables.spark, rows, schema).coalesce(1)
-    zero = F.lit(0).cast("bigint")
+    schema = pa.schema([("m", pa.int32()), ("cols", pa.list_(pa.int32()))])
+    listed = small_table(tables.spark, [(m, sorted(combo)) for m, combo in enumerate(combos)], schema).coalesce(1)
     stats = listed.join(included.select("m", "size"), "m", "left")
-    if patterns is None:
-        return stats.select("cols", F.coalesce("size", zero).alias("size"), zero.alias("nulls"))
-    nulls = combo_null_counts(patterns, listed.select("table", "cols").distinct())
-    return stats.join(nulls, "cols", "left").select(
-        "cols", F.coalesce("size", zero).alias("size"), F.coalesce("nulls", zero).alias("nulls")
-    )
+    zero = F.lit(0).cast("bigint")
+    stats = stats.join(nulls, "m", "left") if nulls is not None else stats.withColumn("nulls", zero)
+    return stats.select("cols", F.coalesce("size", zero).alias("size"), F.coalesce("nulls", zero).alias("nulls"))
 
 
 def judge(inds: DataFrame, current: DataFrame, previous: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsumo.operators.cells import union_all
+from subsumo.operators.nary import null_counts
 from subsumo.operators.unary import column_sizes
 from subsumo.sources.tables import TableSet
 
@@ -21,19 +22,6 @@ def table_stats(tables: TableSet) -> DataFrame:
     return union_all(rows)
 
 
-def null_counts(tables: TableSet) -> DataFrame:
-    """(column_id, nulls) of every column: each task sends one row."""
-    parts = []
-    for t in tables.tables:
-        if not t.width:
-            continue
-        first = t.number << tables.column_bits
-        counts = t.df.agg(*[F.count_if(null).alias(f"n{i}") for i, null in enumerate(t.nulls)])
-        entries = [F.struct(F.lit(first + i).alias("column_id"), F.col(f"n{i}").alias("nulls")) for i in range(t.width)]
-        parts.append(counts.select(F.inline(F.array(*entries))))
-    return union_all(parts)
-
-
 def dataset_stats(tables: TableSet) -> DataFrame:
     """(columns, tuples) of the whole set."""
     return table_stats(tables).agg(F.sum("width").alias("columns"), F.sum("height").alias("tuples"))

@@ -20,9 +20,9 @@ from subsumo.functions.text import LONGEST_PLAIN_KEY, group_key
 from subsumo.functions.words import members, slot
 from subsumo.operators import groups as kernel
 from subsumo.operators.naming import column_name, rendered, rendered_named, rendered_partial, table_name
-from subsumo.operators.nary import column_null_counts, null_patterns
+from subsumo.operators.nary import combo_null_counts, null_counts
 from subsumo.operators.unary import attribute_group_lists, column_groups
-from subsumo.plans.stats import column_stats, dataset_stats, null_counts, table_stats
+from subsumo.plans.stats import column_stats, dataset_stats, table_stats
 
 
 def random_rows(seed, n_rows, n_columns, n_values, null_rate=0.2):
@@ -177,8 +177,10 @@ def test_statistics(spark):
     nulls = {(n << 16) + j: sum(r[j] is None for r in rows) for n, rows in enumerate(DATA) for j in range(len(rows[0]))}
     rows = column_stats(tables).collect()
     assert {r.column_id: (r.size, r.nulls) for r in rows} == {c: (len(sets[c]), nulls[c]) for c in sets}
-    counted = {r.column_id: r.nulls for r in column_null_counts(null_patterns(tables)).collect()}
-    assert counted == {c: n for c, n in nulls.items() if n}
+    combos = [(0, 1), (1, 0), (65536, 65538), (4, 2)]
+    counted = {r.m: r.nulls for r in combo_null_counts(tables, combos).collect()}
+    any_null = lambda combo: sum(any(r[c & 65535] is None for c in combo) for r in DATA[combo[0] >> 16])
+    assert counted == {m: any_null(combo) for m, combo in enumerate(combos)}
     stored = tables.stored()
     assert {r.column_id: r.nulls for r in null_counts(stored).collect()} == nulls
     assert {r.column_id: r.nulls for r in null_counts(tables).collect()} == nulls
