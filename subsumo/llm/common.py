@@ -57,7 +57,7 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in _LOWER)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def ascii_lower(text: bytes) -> bytes:
