@@ -157,11 +157,12 @@ weighed AS (
   SELECT *, {weights}[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS BIGINT)] AS w, {MULTIPLE} * source_size AS most
   FROM sums),
 filling AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / CAST(sum(w) OVER rest AS DOUBLE) AS level
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / CAST(sum(w) OVER rest AS DOUBLE) AS level,
+    row_number() OVER rest AS place
   FROM weighed WINDOW before AS (ORDER BY source_size / CAST(w AS DOUBLE), source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
     rest AS (ORDER BY source_size / CAST(w AS DOUBLE), source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 goal AS (
-  SELECT source, source_size, least(w * (SELECT min(level) FROM filling WHERE w * level <= most), CAST(most AS DOUBLE)) AS target, most FROM filling),
+  SELECT source, source_size, least(w * (SELECT level FROM filling WHERE w * level <= most ORDER BY place LIMIT 1), CAST(most AS DOUBLE)) AS target, most FROM filling),
 budgets AS (SELECT *, CAST(least(floor(target + 0.5), most) AS BIGINT) AS budget, greatest(source_size, 1) AS some FROM goal),
 placed AS (
   SELECT k.doc_id, k.size, b.source_size, b.target, b.budget // b.some AS epochs, b.budget % b.some AS rest,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subsumo.llm import bpe, mixing, secrets, toxicity
+from subsumo.llm import bpe, mixing, outliers, secrets, sharding, toxicity
 from subsumo.llm.common import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (mixing, toxicity, bpe, secrets):
+for _module in (sharding, mixing, outliers, toxicity, bpe, secrets):
     QUERIES.update(_module.QUERIES)

@@ -4,10 +4,9 @@ A text is the set of its hashed words, pairs of neighbours and pairs with one or
 between them. Every coordinate has its own learning rate; the L1 term leaves most weights
 at exactly zero, so what is sent to the executors is a short list of coordinates.
 
-Training reads a bounded sample of labelled rows (`training_rows`, those with the smallest
-hash of their id), dealt into shards by that hash. Each shard runs FTRL from the weights so
-far; the shards' weights are averaged after each round (parameter mixing). Scoring reads
-whole texts, all of them. Inputs are texts only.
+Training reads a bounded sample of labelled rows: `training_rows`, those with the smallest hash
+of their id, in that order. FTRL goes over rows one after another, so this bounded sample is
+one task's work. Scoring reads whole texts, all of them. Inputs are texts only.
 
 Nulls are empty texts, which get the score of the intercept. Rows that repeat are scored
 each; a document with several labels is toxic if one of them says so. Without labelled
@@ -17,20 +16,22 @@ rows the score is that of a prior below one half. Held out: crc32 of the id as t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subsumo.llm.common import Query, mixed, table, text_bytes, word_hashes
 
-#: Bits of a coordinate; labelled rows that training reads at most; shards, rounds.
-BITS, TRAINING_ROWS, SHARDS, ROUNDS = 20, 20_000, 4, 2
+#: Bits of a coordinate; labelled rows that training reads at most; passes over them.
+BITS, TRAINING_ROWS, PASSES = 22, 20_000, 2
 #: Rate, its start, L1 and L2 of FTRL-proximal.
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 2.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
 FOLDS = 5
 
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 or b == 39 else 32 for b in range(256))
@@ -57,7 +58,7 @@ class Weights:
 
     @cached_property
     def dense(self) -> np.ndarray:
-        out = np.zeros(1 << self.bits)
+        out = np.zeros(1 << self.bits, np.float32)
         out[self.at] = self.value
         return out
 
@@ -73,27 +74,28 @@ class Weights:
         return float(1 / (1 + np.exp(-np.clip(self.margin(text), -30, 30))))
 
 
-def ftrl(texts, labels, start: Weights, alpha=ALPHA, beta=BETA, l1=L1, l2=L2) -> Weights:
-    """One pass over the rows in the given order, from the start weights."""
-    squares = np.zeros(1 << start.bits)
-    # The z that gives the start weights when nothing has been seen.
-    z = np.zeros(1 << start.bits)
-    z[start.at] = -start.value * (beta / alpha + l2) - np.sign(start.value) * l1
-    bias, bias_squares = start.intercept, 0.0
-    for text, label in zip(texts, labels):
-        at = np.unique(coordinates(text, start.bits))
-        zs, ns = z[at], squares[at]
-        root = np.sqrt(ns)
-        w = np.where(np.abs(zs) <= l1, 0.0, (np.sign(zs) * l1 - zs) / ((beta + root) / alpha + l2))
-        gradient = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -30, 30))) - label
-        new = ns + gradient * gradient
-        z[at] = zs + gradient - (np.sqrt(new) - root) / alpha * w
-        squares[at] = new
-        bias_squares += gradient * gradient
-        bias -= alpha / (beta + np.sqrt(bias_squares)) * gradient
-    w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(squares)) / alpha + l2))
-    at = np.flatnonzero(w)
-    return Weights(at, w[at], bias, start.bits)
+def ftrl(
+    rows: list[tuple[np.ndarray, float]], intercept: float, bits: int = BITS, passes: int = PASSES,
+    alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2,
+) -> Weights:
+    """Weights after some passes over rows of (distinct coordinates, label) in the given order."""
+    z, squares = np.zeros(1 << bits), np.zeros(1 << bits)
+    intercept_squares = 0.0
+
+    def weights(z, squares):
+        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(squares)) / alpha + l2))
+
+    for at, label in (row for _ in range(passes) for row in rows):
+        before, seen = z[at], squares[at]
+        w = weights(before, seen)
+        gradient = 1 / (1 + np.exp(-np.clip(intercept + w.sum(), -30, 30))) - label
+        now = seen + gradient * gradient
+        z[at] = before + gradient - (np.sqrt(now) - np.sqrt(seen)) / alpha * w
+        squares[at] = now
+        intercept_squares += gradient * gradient
+        intercept -= alpha / (beta + np.sqrt(intercept_squares)) * gradient
+    at = np.flatnonzero(np.abs(z) > l1)
+    return Weights(at, weights(z[at], squares[at]), intercept, bits)
 
 
 def fold_of(id_column: str | Column) -> Column:
@@ -103,7 +105,7 @@ def fold_of(id_column: str | Column) -> Column:
 
 def train(
     documents: DataFrame, labels: DataFrame, *, label_column: str = "toxic", training_rows: int = TRAINING_ROWS,
-    shards: int = SHARDS, rounds: int = ROUNDS, bits: int = BITS,
+    passes: int = PASSES, bits: int = BITS,
 ) -> Weights:
     """Weights from labelled rows outside the held-out fold."""
     order = F.xxhash64(F.col("doc_id").cast("string"))
@@ -114,32 +116,24 @@ def train(
         .orderBy(order, "doc_id")
         .limit(training_rows)
     )
-    # At most training_rows pairs of an id and a label.
+    # At most training_rows pairs of an id and a label; of repeated rows each is one.
     rows = documents.select("doc_id", text_bytes().alias("text")).join(F.broadcast(known), "doc_id")
-    rows = rows.select(F.pmod(order, F.lit(shards)).alias("shard"), order.alias("place"), "doc_id", "text", "label")
-    counts = known.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    toxic, n = counts["toxic"] or 0.0, counts["n"]
-    weights = Weights(np.zeros(0, np.int64), np.zeros(0), float(np.log((toxic + 1) / (n - toxic + 2))), bits)
-    for _ in range(rounds if n else 0):
-        weights = _mixed_round(rows, weights)
-    return weights
-
-
-def _mixed_round(rows: DataFrame, start: Weights) -> Weights:
-    def shard(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "doc_id"], kind="stable")
-        found = ftrl(group["text"], group["label"], start)
-        return pd.DataFrame({"at": [found.at], "value": [found.value], "intercept": [found.intercept]})
-
-    # A row of non-zero weights for each shard.
-    found = rows.groupBy("shard").applyInPandas(shard, "at array<bigint>, value array<double>, intercept double").collect()
-    if not found:
-        return start
-    total = np.zeros(1 << start.bits)
-    for row in found:
-        total[np.asarray(row["at"], np.int64)] += np.asarray(row["value"]) / len(found)
-    at = np.flatnonzero(total)
-    return Weights(at, total[at], float(np.mean([row["intercept"] for row in found])), start.bits)
+    in_order = rows.repartition(1).sortWithinPartitions(order, "doc_id", "text").select("text", "label")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = []
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1)):
+                seen.append((np.unique(coordinates(text.as_py(), bits)).astype(np.int32), label.as_py()))
+        toxic = sum(label for _, label in seen)
+        found = ftrl(seen, float(np.log((toxic + 1) / (len(seen) - toxic + 2))), bits, passes)
+        yield pa.RecordBatch.from_pydict({"at": [found.at], "value": [found.value], "intercept": [found.intercept]})
+
+    # One row: the non-zero weights, of at most 2 ** bits coordinates.
+    row = in_order.mapInArrow(learn, "at array<bigint>, value array<double>, intercept double").first()
+    if row is None:
+        return Weights(np.zeros(0, np.int64), np.zeros(0), float(np.log(0.5)), bits)
+    return Weights(np.asarray(row["at"], np.int64), np.asarray(row["value"]), row["intercept"], bits)
 
 
 def score_of(text: Column, weights: Weights) -> Column:
