@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subsumo.llm import bpe, licenses, mixing, outliers, secrets, sharding, toxicity
+from subsumo.llm import bpe, jaccard, licenses, mixing, outliers, secrets, sharding, toxicity
 from subsumo.llm.common import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (sharding, licenses, mixing, outliers, toxicity, bpe, secrets):
+for _module in (jaccard, sharding, licenses, mixing, outliers, toxicity, bpe, secrets):
     QUERIES.update(_module.QUERIES)
