@@ -28,9 +28,9 @@ from subsumo.llm.common import Query, table
 from subsumo.session import materialize
 
 #: Neighbours of a node; hyperplane orders, their bits, rows of a block; iterations.
-NEIGHBOURS, ORDERS, PLANES, BLOCK, ITERATIONS = 16, 3, 12, 256, 3
+NEIGHBOURS, ORDERS, PLANES, BLOCK, ITERATIONS = 32, 8, 16, 2048, 2
 #: Nodes that a query keeps, those it visits in a step, steps.
-BEAM, VISITS, STEPS = 40, 10, 4
+BEAM, VISITS, STEPS = 120, 30, 4
 SEED = 5
 
 
@@ -117,7 +117,7 @@ def first_edges(nodes: DataFrame, count: int) -> DataFrame:
         best = np.argpartition(-like, k - 1, axis=1)[:, :k]
         return _edge_batch(np.repeat(node, k), node[best].ravel(), np.take_along_axis(like, best, 1).ravel())
 
-    parts = max(1, -(-count * ORDERS // 8192))
+    parts = max(1, count * ORDERS // (8 * BLOCK))
     placed = nodes.select("node", "unit").mapInArrow(codes, "node bigint, unit binary, place bigint")
     ordered = placed.repartitionByRange(parts, "place", "node").sortWithinPartitions("place", "node")
     return ordered.mapInArrow(blocks, _EDGES).where("u <> v")
