@@ -17,6 +17,7 @@ ordered by id and size. An empty table gives no rows.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,12 +123,16 @@ def mixed_documents(documents: DataFrame, *, seed: int = SEED, weights=WEIGHTS,
             F.first("epochs").alias("_epochs"), F.max(F.when(F.col("more") > 0, F.struct("key", "doc_id", "size"))).alias("_last")
         )
     )
-    count_words = F.pandas_udf(lambda texts: texts.map(lambda t: len(t.split())), "bigint")
-    count_chars = F.pandas_udf(lambda texts: texts.map(lambda t: sum(map(len, t.split()))), "bigint")
-    text = text_bytes()
-    size = count_words(text)
-    chars = F.coalesce(F.length("text"), F.lit(0)) - F.length(text) + count_chars(text)
-    own = documents.withColumns({"_part": part_of(F.col("source")), "_size": size, "_chars": chars})
+
+    @F.pandas_udf("struct<size bigint, chars bigint>")
+    def counted(texts: pd.Series, lengths: pd.Series) -> pd.DataFrame:
+        words = texts.map(bytes.split)
+        inside = words.map(lambda w: sum(map(len, w)))
+        return pd.DataFrame({"size": words.map(len), "chars": lengths - texts.map(len) + inside})
+
+    counts = counted(text_bytes(), F.coalesce(F.length("text"), F.lit(0)))
+    own = documents.withColumns({"_part": part_of(F.col("source")), "_counts": counts})
+    own = own.withColumns({"_size": F.col("_counts.size"), "_chars": F.col("_counts.chars")})
     own = own.withColumn("_key", key_of(F.col("doc_id"), quality_of(F.col("_size"), F.col("_chars")), seed))
     met = own.join(ends, F.col("_part") == F.col("part"))
     place = F.struct(F.col("_key").alias("key"), F.col("doc_id"), F.col("_size").alias("size"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subsumo.llm import bpe, jaccard, licenses, mixing, neighbors, outliers, secrets, sharding, toxicity
+from subsumo.llm import bpe, jaccard, licenses, mixing, neighbors, outliers, packing, secrets, sharding, toxicity
 from subsumo.llm.common import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (jaccard, sharding, licenses, mixing, outliers, toxicity, neighbors, bpe, secrets):
+for _module in (jaccard, sharding, licenses, mixing, outliers, toxicity, neighbors, packing, bpe, secrets):
     QUERIES.update(_module.QUERIES)
