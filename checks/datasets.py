@@ -22,7 +22,7 @@ GIVEN = {
     ],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
     "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-    "embeddings": ["vec_id", "label"],  # the vector is no atomic value
+    "embeddings": ["vec_id", "embedding", "label"],
     "pages": ["page_id", "url", "html"],
     "benchmark": ["item_id", "text"],
     "labels": ["doc_id", "quality", "toxic"],
@@ -101,6 +101,15 @@ OUTCOMES = {
 }
 
 
+_FLAGS = "doc_id, quality, toxic, quality AS quality2, toxic AS toxic2, 1 - quality AS poor, 1 - toxic AS mild"
+
+#: Many columns with the same few values, so that one level has well over a thousand candidates.
+FLAGS = {
+    "flags": relation(_FLAGS, "FROM labels"),
+    "good_flags": relation(_FLAGS, "FROM labels WHERE quality = 1 OR toxic = 1"),
+}
+
+
 def load(spark: SparkSession, sf_dir: str, relations: dict[str, Relation]) -> dict[str, DataFrame]:
     """The relations as DataFrames. Views are only registered under names used here."""
     for name in GIVEN:

@@ -4,12 +4,31 @@ from __future__ import annotations
 
 from itertools import permutations, product
 
+from typing import NamedTuple
+
 from checks.datasets import Relation, column_ids
-from subsumo.operators.algebra import RESTRICTIONS
 
 Relations = dict[str, Relation]
 
 
+class Allowed(NamedTuple):
+    """Whether a column may be on both sides, twice on one side, and paired with itself."""
+
+    inter: bool
+    intra: bool
+    trivial: bool
+
+
+RESTRICTIONS = {
+    "NO_REPETITIONS": Allowed(False, False, False),
+    "NO_INTRA_REPETITIONS_NO_TRIVIAL": Allowed(True, False, False),
+    "NO_INTRA_REPETITIONS": Allowed(True, False, True),
+    "NO_TRIVIAL": Allowed(True, True, False),
+    "NO_INTER_REPETITIONS": Allowed(False, True, False),
+    "ANY_REPETITION": Allowed(True, True, True),
+}
+
+
 def _indexed(prefix: str, n: int, alias: str = "") -> list[str]:
     dot = f"{alias}." if alias else ""
     return [f"{dot}{prefix}{i}" for i in range(1, n + 1)]

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from checks.datasets import ALL_TABLES, NULLS, OUTCOMES, ROLES, STAR, column_ids, load, table_set
+from checks.datasets import ALL_TABLES, FLAGS, NULLS, OUTCOMES, ROLES, STAR, column_ids, load, table_set
 from checks.oracle import Script
 from subsumo import (
     Dialect,
+    DiscoveryError,
     count_unary_inds,
     csv_tables,
     discover,
@@ -23,14 +25,16 @@ from subsumo import (
     void_unary_inds,
 )
 from subsumo.operators import algebra, naming, unary
-from subsumo.operators.candidates import apriori_candidates, binder_candidates, combos, with_chunk, without_void
+from subsumo.operators.candidates import apriori_candidates, binder_candidates, combos, restrict_combos, with_chunk, without_void
 from subsumo.operators.cells import cell_values, tuples
 from subsumo.operators.groups import inclusion_lists
 from subsumo.operators.sampling import complete_tuples, key_sample
 from subsumo.plans import stats
 from subsumo.plans.discovery import as_ind_table, validated
-from subsumo.session import new_folder
-from subsumo.sources.csv import apply_width_policy, parse_lines, width_violations
+from subsumo.session import materialize, new_folder
+from subsumo.sinks import save
+from subsumo.sources.csv import apply_width_policy, file_tables, parse_lines, width_violations
+from subsumo.sources.lines import scan_lines
 from subsumo.sources.tables import TableSet
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -447,6 +451,84 @@ def _(spark, sf):
     return with_chunk(apriori_candidates(level, None, 2), 10).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "restricted_combos",
+    lambda: _candidates_only("NO_REPETITIONS")
+    .step("few", "SELECT * FROM cand2 WHERE d1 >> 16 = 1")
+    .step("sides", "SELECT DISTINCT d1 AS a, d2 AS b FROM few UNION SELECT DISTINCT r1 AS a, r2 AS b FROM few")
+    .select("SELECT a >> 16 AS tab, concat_ws(',', a, b) AS cols FROM sides"),
+)
+def _(spark, sf):
+    """Of all combos those that the candidates of one table need."""
+    candidates = materialize(apriori_candidates(as_ind_table(unary_inds(star(spark, sf))), None, 2))
+    few = candidates.where(F.shiftright(F.element_at("dep", 1), 16) == 1)
+    return restrict_combos(combos(candidates), few).select(F.col("table").alias("tab"), ids("cols").alias("cols"))
+
+
+@query(
+    "combo_numbers",
+    lambda: _candidates_only("NO_REPETITIONS")
+    .step("sides", "SELECT DISTINCT d1 AS a, d2 AS b FROM cand2 UNION SELECT DISTINCT r1 AS a, r2 AS b FROM cand2")
+    .select("SELECT row_number() OVER () - 1 AS combo_id FROM sides"),
+)
+def _(spark, sf):
+    """Ids are dense."""
+    level = as_ind_table(unary_inds(star(spark, sf)))
+    return combos(apriori_candidates(level, None, 2)).select(F.col("combo_id").cast("bigint").alias("combo_id"))
+
+
+@query(
+    "validated_flags",
+    lambda: Script(FLAGS).levels(2).select(
+        "SELECT concat_ws(',', d1, d2) AS dep, concat_ws(',', r1, r2) AS ref, n AS size, o = n AS holds FROM ind2_checked"
+    ),
+)
+def _(spark, sf):
+    """Well over a thousand candidates of one level, in one scan."""
+    tables = table_set(spark, sf, FLAGS)
+    checked, _ = validated(tables, apriori_candidates(as_ind_table(unary_inds(tables)), None, 2))
+    return checked.select(ids("dep").alias("dep"), ids("ref").alias("ref"), "size", "holds")
+
+
+@query(
+    "flags_run_stats",
+    lambda: Script(FLAGS).levels(2).select(
+        f"SELECT 1 AS arity, CAST({len(column_ids(FLAGS)) * (len(column_ids(FLAGS)) - 1)} AS BIGINT) AS candidates, "
+        "(SELECT count(*) FROM ind1) AS inds, 0 AS scans UNION ALL "
+        "SELECT 2 AS arity, (SELECT count(*) FROM cand2) AS candidates, (SELECT count(*) FROM ind2) AS inds, 1 AS scans"
+    ),
+)
+def _(spark, sf):
+    return discover(table_set(spark, sf, FLAGS), max_arity=2).run_stats().select("arity", "candidates", "inds", "scans")
+
+
+@query("partial_levels", lambda: Script(OUTCOMES).levels(2).select(Script(OUTCOMES).all_inds(2)))
+def _(spark, sf):
+    """What a run had found before a level failed."""
+
+    def failing(last, unary, arity, restrictions, column_bits):
+        if arity == 3:
+            raise RuntimeError("no third level")
+        return apriori_candidates(last, unary, arity, restrictions, column_bits)
+
+    try:
+        discover(table_set(spark, sf, OUTCOMES), generator=failing)
+    except DiscoveryError as error:
+        return flat(error.partial.inds())
+    raise AssertionError("the run did not fail")
+
+
+@query(
+    "saved_inds",
+    lambda: Script(NULLS).unary().select("SELECT dep, ref, n AS size, 'unary' AS algorithm, 'nulls' AS dataset FROM unary_inds"),
+)
+def _(spark, sf):
+    """Results read back from where they were saved."""
+    folder = new_folder(spark, "saved")
+    run = save(unary_inds(table_set(spark, sf, NULLS)), path=folder, algorithm="unary", dataset="nulls")
+    return spark.read.parquet(folder).where(F.col("run_id") == run).select("dep", "ref", "size", "algorithm", "dataset")
+
+
 # --- algebra ------------------------------------------------------------------------
 
 
@@ -648,6 +730,32 @@ def _(spark, sf):
     return grouped.select(ids("dep").alias("dep"), F.array_join(F.transform("refs", ids), " ").alias("refs"))
 
 
+def _order_sql(order: str) -> str:
+    script = Script(STAR).levels(4)
+    lists = lambda side, n: "[" + ", ".join(f"{side}{i}" for i in range(1, n + 1)) + "]"
+    script.step("listed", " UNION ALL ".join(f"SELECT {n} AS arity, {lists('d', n)} AS d, {lists('r', n)} AS r FROM ind{n}" for n in (1, 2, 3, 4)))
+    return script.select(
+        f"SELECT row_number() OVER (ORDER BY {order}) AS position, array_to_string(d, ',') AS dep, array_to_string(r, ',') AS ref FROM listed"
+    )
+
+
+def _positions(ordered: DataFrame) -> DataFrame:
+    """Rows with their place in the order they come in; sorted parts follow one another."""
+    placed = ordered.withColumn("at", F.monotonically_increasing_id())
+    position = F.row_number().over(Window.orderBy("at")).cast("bigint")
+    return placed.select(position.alias("position"), ids("dep").alias("dep"), ids("ref").alias("ref"))
+
+
+@query("inds_by_arity", lambda: _order_sql("arity, d, r"))
+def _(spark, sf):
+    return _positions(algebra.by_arity(_star_inds(spark, sf)))
+
+
+@query("inds_lexicographic", lambda: _order_sql("d, r"))
+def _(spark, sf):
+    return _positions(algebra.lexicographic(_star_inds(spark, sf)))
+
+
 # --- names --------------------------------------------------------------------------
 
 
@@ -697,6 +805,21 @@ def _(spark, sf):
     return two.select(naming.rendered(tables).alias("text"))
 
 
+@query(
+    "named_rules",
+    lambda: Script(NULLS)
+    .rules(1)
+    .step("named", "SELECT cid, tab || '.' || col AS t FROM cols")
+    .select(
+        "SELECT '〈[] ⊆ []〉 ⇉ 〈[' || a.t || '] ⊆ [' || b.t || ']〉' AS text FROM rule1 "
+        "JOIN named a ON a.cid = rhs_dep JOIN named b ON b.cid = rhs_ref"
+    ),
+)
+def _(spark, sf):
+    tables = table_set(spark, sf, NULLS)
+    return naming.rendered_named_rules(discover_with_rules(tables, max_arity=1).rules(), tables).select("text")
+
+
 # --- projections, samples, delimited lines -------------------------------------------
 
 
@@ -722,7 +845,7 @@ def _(spark, sf):
     return complete_tuples(rows).select(F.get("f", F.lit(0)).alias("doc_id"))
 
 
-_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
 def _lines(df: DataFrame, value: Column) -> DataFrame:
@@ -743,14 +866,47 @@ def _(spark, sf):
     return parsed.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(_CUSTOMER)])
 
 
-@query("csv_quoted_lines", lambda: "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang FROM documents")
+@query(
+    "csv_quoted_lines",
+    lambda: "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang, source, CAST(n_chars AS VARCHAR) AS n_chars "
+    "FROM documents",
+)
 def _(spark, sf):
     df = load(spark, sf, ALL_TABLES)["documents"]
     quoted = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
-    parsed = parse_lines(_lines(df, F.concat_ws(",", "doc_id", quoted, "lang")), Dialect(separator=",", quote='"'))
+    line = F.concat_ws(",", "doc_id", quoted, "lang", "source", "n_chars")
+    parsed = parse_lines(_lines(df, line), Dialect(separator=",", quote='"'))
     return parsed.select(
-        F.get("f", F.lit(0)).alias("doc_id"), F.md5(F.get("f", F.lit(1))).alias("text_md5"), F.get("f", F.lit(2)).alias("lang")
-    )
+        F.get("f", F.lit(0)).alias("doc_id"), F.md5(F.get("f", F.lit(1))).alias("text_md5"),
+        *[F.get("f", F.lit(i)).alias(c) for i, c in ((2, "lang"), (3, "source"), (4, "n_chars"))],
+    )
+
+
+@query(
+    "csv_inner_quotes",
+    lambda: "SELECT 'a\"' || doc_id || '\"b' AS first_field, 'x' || source AS middle_field, 'a\"' || lang || ',\"b' AS last_field FROM documents",
+)
+def _(spark, sf):
+    """Quotes amid the text of a first and a later field are kept, wherever they stand."""
+    df = load(spark, sf, ALL_TABLES)["documents"]
+    amid = lambda c: F.concat(F.lit('a"'), F.col(c).cast("string"), F.lit('"b'))
+    last = F.concat(F.lit('a"'), F.col("lang"), F.lit(',"b'))
+    quoted = F.concat(F.lit('"x'), F.col("source"), F.lit('"'))
+    parsed = parse_lines(_lines(df, F.concat_ws(",", amid("doc_id"), quoted, last)), Dialect(separator=",", quote='"'))
+    return parsed.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("first_field", "middle_field", "last_field"))])
+
+
+_STORED = {"documents": ALL_TABLES["documents"], "labels": ALL_TABLES["labels"]}
+
+
+@query(
+    "stored_cell_values",
+    lambda: Script(_STORED).unary().select("SELECT cid AS column_id, md5(v) AS value_md5, length(v) AS n FROM all_cells WHERE v IS NOT NULL"),
+)
+def _(spark, sf):
+    """Stored tables give back whole texts, not the digests they are grouped by."""
+    cells = cell_values(table_set(spark, sf, _STORED).stored())
+    return cells.select("column_id", F.md5("v").alias("value_md5"), F.length("v").cast("bigint").alias("n"))
 
 
 @query(
@@ -788,7 +944,97 @@ def _(spark, sf):
     return width_violations(_ragged(spark, sf), {65535: 4})
 
 
-_WRITTEN = {"region": ALL_TABLES["region"], "nation": ALL_TABLES["nation"], "orders": STAR["orders"], "labels": ALL_TABLES["labels"]}
+_WRITTEN = {"region": ALL_TABLES["region"], "nation": ALL_TABLES["nation"], "orders": ALL_TABLES["orders"], "labels": ALL_TABLES["labels"]}
+
+
+@query(
+    "ragged_fail_overlong",
+    lambda: Script(NULLS).select("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(toxic AS VARCHAR) AS toxic FROM t_document_labels"),
+)
+def _(spark, sf):
+    """Shorter lines than declared are kept, with nulls at their end."""
+    kept = apply_width_policy(_ragged(spark, sf), {65535: 4}, "fail_overlong")
+    return kept.select(F.get("f", F.lit(0)).alias("doc_id"), F.get("f", F.lit(3)).alias("toxic"))
+
+
+def _lines_folder(spark, lines: dict[str, DataFrame], kind: str = "text", **options) -> str:
+    """Subfolders with one file each."""
+    folder = new_folder(spark, "lines")
+    for name, df in lines.items():
+        df.coalesce(1).write.options(**options).format(kind).save(f"{folder}/{name}")
+    return folder
+
+
+def _line(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(F.concat_ws(";", *(columns or df.columns)).alias("value"))
+
+
+@query(
+    "csv_carriage_returns",
+    lambda: "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'a' || chr(13) || coalesce(CAST(toxic AS VARCHAR), '') AS marked FROM labels",
+)
+def _(spark, sf):
+    """Lines end with a newline, with or without a carriage return; one amid a line is data."""
+    df = load(spark, sf, ALL_TABLES)["labels"].withColumn("marked", F.concat(F.lit("a\r"), F.coalesce(F.col("toxic").cast("string"), F.lit(""))))
+    folder = _lines_folder(spark, {"labels": _line(df, "doc_id", "marked")}, lineSep="\r\n")
+    parsed = parse_lines(scan_lines(spark, f"{folder}/labels", 65535))
+    return parsed.select(F.get("f", F.lit(0)).alias("doc_id"), F.get("f", F.lit(1)).alias("marked"))
+
+
+@query("file_name_lines", lambda: "SELECT n_nationkey || ';' || n_name || ';' || n_regionkey AS value FROM nation")
+def _(spark, sf):
+    """Files are chosen by a pattern of their names and by a glob."""
+    given_tables = load(spark, sf, ALL_TABLES)
+    folder = new_folder(spark, "lines")
+    _line(given_tables["nation"]).coalesce(1).write.text(f"{folder}/a")
+    _line(given_tables["region"]).coalesce(1).write.csv(f"{folder}/b")
+    return scan_lines(spark, folder, 1, recursive=True, name_regex=r"part-.*\.txt", glob="part-*").select("value")
+
+
+@query("file_depth_lines", lambda: "SELECT r_regionkey || ';' || r_name AS value FROM region")
+def _(spark, sf):
+    given_tables = load(spark, sf, ALL_TABLES)
+    folder = _lines_folder(spark, {"near": _line(given_tables["region"]), "far/away": _line(given_tables["nation"])})
+    return scan_lines(spark, folder, 1, max_depth=2).select("value")
+
+
+@query(
+    "file_ids",
+    lambda: " UNION ALL ".join(
+        f"SELECT {len(ALL_TABLES[t].columns)} AS width, count(*) AS lines, CAST(1 AS BIGINT) AS ids FROM {t}" for t in ("region", "nation", "labels")
+    ),
+)
+def _(spark, sf):
+    """Each file has an id of its own, which a second scan gives again."""
+    given_tables = load(spark, sf, ALL_TABLES)
+    text = lambda df: df.select(F.concat_ws(";", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
+    folder = _lines_folder(spark, {t: text(given_tables[t]) for t in ("region", "nation", "labels")})
+    first = file_tables(spark, folder, recursive=True)
+    again = file_tables(spark, f"{folder}/*").select("path", F.col("table_id").alias("id_again"))
+    return first.join(again, "path").groupBy("path").agg(
+        F.max("width").alias("width"), F.max("lines").alias("lines"),
+        F.count_distinct(F.when(F.col("table_id") == F.col("id_again"), F.col("table_id"))).alias("ids"),
+    ).drop("path")
+
+
+@query("charset_lines", lambda: "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'ä' || lang || 'ß' AS marked FROM documents")
+def _(spark, sf):
+    """The bytes of another charset, read by the engine."""
+    df = load(spark, sf, ALL_TABLES)["documents"]
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(";ä"), F.col("lang"), F.lit("ß"))
+    encoded = df.select(F.encode(line, "ISO-8859-1").cast("string").alias("value"))
+    folder = _lines_folder(spark, {"documents": encoded})
+    parsed = parse_lines(scan_lines(spark, f"{folder}/documents", 65535, encoding="ISO-8859-1"))
+    return parsed.select(F.get("f", F.lit(0)).alias("doc_id"), F.get("f", F.lit(1)).alias("marked"))
+
+
+@query("marked_lines", lambda: "SELECT doc_id || ';' || quality || ';' || toxic AS value FROM labels")
+def _(spark, sf):
+    """A byte order mark in front is no data; the encoding may announce it."""
+    df = load(spark, sf, ALL_TABLES)["labels"]
+    marked = df.select(F.concat(F.lit("\ufeff"), F.concat(F.col("doc_id"), F.lit(";"), F.col("quality"), F.lit(";"), F.col("toxic"))).alias("value"))
+    folder = _lines_folder(spark, {"labels": marked})
+    return scan_lines(spark, f"{folder}/labels", 1, encoding="UTF_8:UTF-8", strip_bom=False).select("value")
 
 
 def _written(spark, sf, relations, **options) -> dict[str, str]:

@@ -29,12 +29,28 @@ def value_text(column: Column, data_type: T.DataType) -> Column:
         return F.hex(column)
     if isinstance(data_type, _ATOMIC):
         return column.cast("string")
-    raise ValueError(f"{data_type.simpleString()} columns have no value text; select atomic columns only")
+    if isinstance(data_type, (T.ArrayType, T.StructType)) and not _has_map(data_type):
+        # JSON keeps elements apart, whatever their texts hold.
+        return F.when(column.isNotNull(), F.to_json(column, {"ignoreNullFields": "false"}))
+    raise ValueError(f"{data_type.simpleString()} columns have no value text, as equal maps may be written differently")
+
+
+def _has_map(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.ArrayType):
+        return _has_map(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return any(_has_map(f.dataType) for f in data_type.fields)
+    return not isinstance(data_type, (*_ATOMIC, T.BinaryType))
+
+
+def has_digest(data_type: T.DataType) -> bool:
+    """Whether texts of this type can be long."""
+    return isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.StructType))
 
 
 def group_key(text: Column, data_type: T.DataType, digest_long: bool = True) -> Column:
-    """The text to group by. Only strings and binaries can be long."""
-    if not digest_long or not isinstance(data_type, (T.StringType, T.BinaryType)):
+    """The text to group by, a function of the value alone."""
+    if not digest_long or not has_digest(data_type):
         return text
     size = F.octet_length(text)
     digest = F.base64(F.unhex(F.sha2(text, 256)))

@@ -150,13 +150,21 @@ def consolidate(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(covered, ["dep", "ref"], "left_anti")
 
 
+def with_rarest_pair(df: DataFrame) -> DataFrame:
+    """Adds ``_p``: of a dependency's pairs the one that fewest dependencies have."""
+    spread = df.select("dep", "ref", F.explode(pairs()).alias("_p"))
+    counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = spread.join(counts, "_p").groupBy("dep", "ref").agg(F.min(F.struct("_n", "_p"))["_p"].alias("_p"))
+    return df.join(rarest, ["dep", "ref"])
+
+
 def positive_border(df: DataFrame) -> DataFrame:
     """The maximal dependencies: none is a proper projection of another.
 
-    A bigger dependency holds all pairs of a smaller one, in particular its first pair, so
+    A bigger dependency holds all pairs of a smaller one, in particular its rarest pair, so
     candidates meet in an equi-join on that pair and not on the whole subspace.
     """
-    small = df.withColumn("_p", F.element_at(pairs(), 1))
+    small = with_rarest_pair(df)
     big = df.select(F.col("dep").alias("_d"), F.col("ref").alias("_r"), F.explode(pairs()).alias("_p"))
     inside = is_specializing(F.col("_d"), F.col("_r"), F.col("dep"), F.col("ref"))
     return small.join(big, (small["_p"] == big["_p"]) & inside, "left_anti").drop("_p")
@@ -164,7 +172,7 @@ def positive_border(df: DataFrame) -> DataFrame:
 
 def negative_border(df: DataFrame) -> DataFrame:
     """The minimal ones among dependencies that do not hold."""
-    small = df.select(F.col("dep").alias("_d"), F.col("ref").alias("_r"), F.element_at(pairs(), 1).alias("_p"))
+    small = with_rarest_pair(df).select(F.col("dep").alias("_d"), F.col("ref").alias("_r"), "_p")
     big = df.withColumn("_id", F.struct("dep", "ref")).withColumn("_p", F.explode(pairs()))
     inside = is_specializing(F.col("dep"), F.col("ref"), F.col("_d"), F.col("_r"))
     reducible = big.join(small, (big["_p"] == small["_p"]) & inside, "left_semi").select("_id").distinct()

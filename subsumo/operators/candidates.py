@@ -115,7 +115,8 @@ GENERATORS: dict[str, tuple[Generator, bool, bool]] = {
 
 def generator_of(name: str | Generator) -> tuple[Generator, bool, bool]:
     if callable(name):
-        return name, False, True
+        # A generator of one's own says by its attributes how it wants to be run.
+        return name, getattr(name, "excludes_void", False), getattr(name, "consolidates", True)
     if name not in GENERATORS:
         raise ValueError(f"unknown candidate generator {name!r}; choose from {sorted(GENERATORS)}")
     return GENERATORS[name]

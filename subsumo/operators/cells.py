@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subsumo.functions.words import slot
@@ -13,7 +13,8 @@ from subsumo.sources.tables import TableSet
 
 def cells(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
     """(word, bit, k0) for every cell, with the column given by its bit slot."""
-    return union_all([_table_cells(tables, t, drop_nulls) for t in tables.tables if t.width])
+    parts = [_table_cells(tables, t, drop_nulls) for t in tables.tables if t.width]
+    return union_all(parts, tables.spark, "word int, bit bigint, k0 string")
 
 
 def _table_cells(tables: TableSet, table, drop_nulls: bool) -> DataFrame:
@@ -31,7 +32,7 @@ def _table_cells(tables: TableSet, table, drop_nulls: bool) -> DataFrame:
 def cell_values(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
     """(column_id, v): the cells with plain values, for inspection and export."""
     parts = []
-    for table in tables.tables:
+    for table in (t for t in tables.tables if t.width):
         entries = [
             F.struct(F.lit(c.column_id).alias("column_id"), F.col(f"c{c.index}").alias("v"))
             for c in tables.columns
@@ -39,15 +40,17 @@ def cell_values(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
         ]
         part = table.text().select(F.inline(F.array(*entries)))
         parts.append(part.where(F.col("v").isNotNull()) if drop_nulls else part)
-    return union_all(parts)
+    return union_all(parts, tables.spark, "column_id int, v string")
 
 
 def tuples(tables: TableSet) -> DataFrame:
     """(table_id, f): the rows of all tables as arrays of text."""
-    return union_all(
-        [t.tuples().select(F.lit(tables.table_id(t.number)).alias("table_id"), "f") for t in tables.tables]
-    )
+    parts = [t.tuples().select(F.lit(tables.table_id(t.number)).alias("table_id"), "f") for t in tables.tables if t.width]
+    return union_all(parts, tables.spark, "table_id int, f array<string>")
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
+def union_all(parts: list[DataFrame], spark: SparkSession | None = None, schema: str | None = None) -> DataFrame:
+    """All rows; without parts an empty table of the given schema."""
+    if not parts and schema:
+        return (spark or SparkSession.getActiveSession()).createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)

@@ -68,11 +68,21 @@ def rendered_rule(tables: TableSet) -> Column:
     return F.format_string(RULE_FORMAT, rendered(tables, "lhs_dep", "lhs_ref"), rendered(tables, "rhs_dep", "rhs_ref"))
 
 
-def rendered_named(inds: DataFrame, tables: TableSet) -> DataFrame:
-    """Adds ``text``: ``[t.a, t.b] ⊆ [u.c, u.d]``, with names instead of positions."""
+def _named_ind(tables: TableSet, dep: str, ref: str) -> Column:
     join = lambda side: F.concat(
         F.lit("["),
         F.array_join(F.transform(side, lambda c: F.concat(table_name(tables, c), F.lit("."), column_name(tables, c))), ", "),
         F.lit("]"),
     )
-    return inds.withColumn("text", F.concat(join("dep"), F.lit(INCLUDED_IN), join("ref")))
+    return F.concat(join(dep), F.lit(INCLUDED_IN), join(ref))
+
+
+def rendered_named(inds: DataFrame, tables: TableSet) -> DataFrame:
+    """Adds ``text``: ``[t.a, t.b] ⊆ [u.c, u.d]``, with names instead of positions."""
+    return inds.withColumn("text", _named_ind(tables, "dep", "ref"))
+
+
+def rendered_named_rules(rules: DataFrame, tables: TableSet) -> DataFrame:
+    """Adds ``text``: a rule with names instead of positions."""
+    sides = _named_ind(tables, "lhs_dep", "lhs_ref"), _named_ind(tables, "rhs_dep", "rhs_ref")
+    return rules.withColumn("text", F.format_string(RULE_FORMAT, *sides))

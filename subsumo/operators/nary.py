@@ -13,16 +13,12 @@ from pyspark.sql import functions as F
 
 from subsumo.functions.words import BITS, contains, slot
 from subsumo.operators.cells import union_all
-from subsumo.operators.groups import MAX_DENSE_WORDS, attribute_groups, inclusions
+from subsumo.operators.groups import attribute_groups, inclusions
 from subsumo.session import small_table
 from subsumo.sources.tables import Table, TableSet
 
 Combo = tuple[int, ...]
 
-#: A chunk of this many candidates has at most twice as many combos, which fit the dense
-#: words, and is small enough to be a literal of the plan.
-MAX_CHUNK = MAX_DENSE_WORDS * BITS // 2
-
 
 def combo_values(
     tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True, one_in: int | None = None
@@ -42,7 +38,8 @@ def combo_values(
             entries.append({"word": word, "bit": bit, **at})
         part = (
             tables.keys(table, needed)
-            .select(F.array(*[f"c{i}" for i in needed]).alias("f"), _literal(entries, "word int, bit bigint", n))
+            .select(F.array(*[f"c{i}" for i in needed]).alias("f"))
+            .select("f", _literal(entries, "word int, bit bigint", n))
             .select("word", "bit", *[F.get("f", F.col(f"i{i}")).alias(f"k{i}") for i in range(n)])
         )
         if one_in:
@@ -132,12 +129,24 @@ def null_counts(tables: TableSet) -> DataFrame:
 
 
 def combo_null_counts(tables: TableSet, combos: Sequence[Combo]) -> DataFrame:
-    """(m, nulls): rows with a null in any column of the combo. Each task sends one row per combo."""
+    """(m, nulls): rows with a null in any column of the combo.
+
+    Rows are first counted by which of their columns are null, which each task does before
+    anything is sent. Only these patterns, not rows, meet the combos."""
     n = len(combos[0])
     parts = []
     for table, needed, places in _per_table(tables, combos):
         entries = [{"m": member, **at} for member, at in places]
-        flags = table.df.select(F.array(*[table.nulls[i] for i in needed]).alias("null"), _literal(entries, "m int", n))
+        words = [needed[start : start + BITS] for start in range(0, len(needed), BITS)]
+        bits = [
+            reduce(lambda a, b: a.bitwiseOR(b), [F.when(table.nulls[i], F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, i in enumerate(word)])
+            for word in words
+        ]
+        some = reduce(lambda a, b: a | b, [F.col(f"w{k}") != 0 for k in range(len(words))])
+        patterns = table.df.select(*[b.alias(f"w{k}") for k, b in enumerate(bits)]).where(some)
+        patterns = patterns.groupBy(*[f"w{k}" for k in range(len(words))]).agg(F.count(F.lit(1)).alias("n"))
+        flags = F.array(*[F.col(f"w{at // BITS}").bitwiseAND(F.lit(1 << at % BITS)) != 0 for at in range(len(needed))])
+        met = patterns.select(flags.alias("null"), "n").select("null", "n", _literal(entries, "m int", n))
         any_null = reduce(lambda a, b: a | b, [F.get("null", F.col(f"i{i}")) for i in range(n)])
-        parts.append(flags.where(any_null).groupBy("m").agg(F.count(F.lit(1)).alias("nulls")))
+        parts.append(met.where(any_null).groupBy("m").agg(F.sum("n").alias("nulls")))
     return union_all(parts)

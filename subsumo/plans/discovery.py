@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from subsumo.operators.algebra import consolidate, restrictions_of
 from subsumo.operators.candidates import Generator, generator_of, with_chunk, without_void
 from subsumo.operators.cells import union_all
-from subsumo.operators.nary import MAX_CHUNK, Combo, check_candidates, chunk_combos, combo_inclusions, not_refuted
+from subsumo.operators.nary import Combo, check_candidates, chunk_combos, combo_inclusions, not_refuted
 from subsumo.operators.unary import unary_inds
 from subsumo.session import materialize, new_folder, small_table
 from subsumo.sources.tables import TableSet
@@ -26,13 +26,33 @@ from subsumo.sources.tables import TableSet
 Chunk = list[tuple[Combo, Combo]]
 
 
+_IND = "dep array<int>, ref array<int>"
+
+#: Candidates that one validation job takes unless a chunk size is given.
+DEFAULT_CHUNK = 8192
+
+
 @dataclass
 class LevelStats:
+    """What a level did. The phases are generation with the count, and validation."""
+
     arity: int
     candidates: int
     inds: int
     rules: int = 0
     seconds: float = 0.0
+    generation_seconds: float = 0.0
+    validation_seconds: float = 0.0
+    scans: int = 0
+
+
+@dataclass
+class Phases:
+    """Seconds of generation and validation, and scans of the tables."""
+
+    generation: float = 0.0
+    validation: float = 0.0
+    scans: int = 0
 
 
 @dataclass
@@ -46,7 +66,7 @@ class Discovery:
 
     def inds(self) -> DataFrame:
         """(dep, ref): everything that was found, of all arities."""
-        return union_all([level.select("dep", "ref") for level in self.levels])
+        return union_all([level.select("dep", "ref") for level in self.levels], self.tables.spark, _IND)
 
     def maximal(self, consolidated: bool | None = None) -> DataFrame:
         """(dep, ref): found dependencies without the direct projections of found larger ones.
@@ -54,6 +74,8 @@ class Discovery:
         A generator that does not consolidate (binder) keeps all, unless asked to here."""
         if not (self.consolidates if consolidated is None else consolidated):
             return self.inds()
+        if not self.levels:
+            return self.inds()
         kept = [
             consolidate(level.select("dep", "ref"), above) for level, above in zip(self.levels, self.levels[1:])
         ]
@@ -66,9 +88,13 @@ class Discovery:
     def run_stats(self) -> DataFrame:
         schema = pa.schema(
             [("arity", pa.int32()), ("candidates", pa.int64()), ("inds", pa.int64()), ("rules", pa.int64()),
-             ("seconds", pa.float64())]
+             ("seconds", pa.float64()), ("generation_seconds", pa.float64()), ("validation_seconds", pa.float64()),
+             ("scans", pa.int32())]
         )
-        rows = [(s.arity, s.candidates, s.inds, s.rules, s.seconds) for s in self.level_stats]
+        rows = [
+            (s.arity, s.candidates, s.inds, s.rules, s.seconds, s.generation_seconds, s.validation_seconds, s.scans)
+            for s in self.level_stats
+        ]
         return small_table(self.tables.spark, rows, schema)
 
 
@@ -118,14 +144,15 @@ def discover(
         while found.level_stats[-1].inds and (max_arity == -1 or arity < max_arity):
             arity += 1
             started = time.perf_counter()
-            candidates = generate(last, generating, arity, rules, tables.column_bits)
-            checked, n_candidates = validated(tables, candidates, chunk_size, drop_nulls, True, prescreen)
+            candidates = materialize(generate(last, generating, arity, rules, tables.column_bits).select("dep", "ref"))
+            phases = Phases(time.perf_counter() - started)
+            checked, n_candidates = validated(tables, candidates, chunk_size, drop_nulls, True, prescreen, phases)
             if not n_candidates:
                 break
             if checked is None:
                 checked = last.withColumn("holds", F.lit(True)).limit(0)
             last = checked.select("dep", "ref", "size")
-            finish_level(found, last, arity, n_candidates, started, on_ind, on_level)
+            finish_level(found, last, arity, n_candidates, started, on_ind, on_level, phases=phases)
     except Exception as error:
         raise DiscoveryError(f"discovery failed at arity {arity}: {error}", found) from error
     return found
@@ -142,29 +169,39 @@ def validated(
     drop_nulls: bool = True,
     only_valid: bool = False,
     prescreen: int | None = None,
+    phases: Phases | None = None,
 ) -> tuple[DataFrame | None, int]:
     """((dep, ref, size, holds), number of candidates); no table if no candidate is left.
 
     All candidates must have the same arity. A prescreen needs ``only_valid``, as it does
-    not find out sizes."""
+    not find out sizes. ``phases`` means that the candidates are a written table, and gets
+    the seconds and scans."""
     if prescreen and not only_valid:
         raise ValueError("a prescreen leaves out candidates that do not hold")
     folder, checked, n_candidates = new_folder(tables.spark, "checked"), None, 0
-    for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
+    started, phases_of = time.perf_counter(), phases or Phases()
+    for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits, written=phases is not None):
         n_candidates += len(chunk)
+        phases_of.scans += bool(prescreen)
         left = not_refuted(tables, chunk, drop_nulls, prescreen) if prescreen else chunk
         if left:
             combos = chunk_combos(left)
             results = check_candidates(tables, left, combo_inclusions(tables, combos, drop_nulls), combos)
             checked = materialize(results.where("holds") if only_valid else results, folder)
+            phases_of.scans += 1
+    phases_of.validation = time.perf_counter() - started
     return checked, n_candidates
 
 
-def candidate_chunks(candidates: DataFrame, chunk_size: int = -1, column_bits: int = 16) -> Iterator[Chunk]:
+def candidate_chunks(
+    candidates: DataFrame, chunk_size: int = -1, column_bits: int = 16, written: bool = False
+) -> Iterator[Chunk]:
     """Candidates in bounded pieces. Every piece is one validation job.
 
-    Without a chunk size the bound is what one job can take as a literal of its plan."""
-    limit = min(chunk_size, MAX_CHUNK) if chunk_size > 0 else MAX_CHUNK
+    A given size is kept to. Candidates are computed once: unless ``written`` says that they
+    are a table already, they become one before they are counted."""
+    limit = chunk_size if chunk_size > 0 else DEFAULT_CHUNK
+    candidates = candidates if written else materialize(candidates.select("dep", "ref"))
     first = candidates.limit(limit + 1).collect()
     if not first:
         return
@@ -183,11 +220,16 @@ def _as_chunk(rows: list[Row]) -> Chunk:
     return [(tuple(r["dep"]), tuple(r["ref"])) for r in rows]
 
 
-def finish_level(found, level, arity, n_candidates, started, on_ind, on_level, n_rules=0) -> None:
+def finish_level(found, level, arity, n_candidates, started, on_ind, on_level, n_rules=0, phases=None) -> None:
     """Records a computed level, then hands it to the callbacks."""
     n = level.count()
     found.levels.append(level)
-    found.level_stats.append(LevelStats(arity, n_candidates, n, n_rules, time.perf_counter() - started))
+    phases = phases or Phases()
+    found.level_stats.append(
+        LevelStats(
+            arity, n_candidates, n, n_rules, time.perf_counter() - started, phases.generation, phases.validation, phases.scans
+        )
+    )
     if on_level:
         on_level(level, arity)
     if on_ind:

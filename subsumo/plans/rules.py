@@ -26,7 +26,15 @@ from subsumo.operators.nary import (
     null_counts,
 )
 from subsumo.operators.unary import column_inclusions, unary_inds
-from subsumo.plans.discovery import Discovery, DiscoveryError, LevelStats, as_ind_table, candidate_chunks, finish_level
+from subsumo.plans.discovery import (
+    Discovery,
+    DiscoveryError,
+    LevelStats,
+    Phases,
+    as_ind_table,
+    candidate_chunks,
+    finish_level,
+)
 from subsumo.session import materialize, new_folder, small_table
 from subsumo.sources.tables import TableSet
 
@@ -39,7 +47,8 @@ class RuleDiscovery(Discovery):
 
     def rules(self) -> DataFrame:
         """(lhs_dep, lhs_ref, rhs_dep, rhs_ref); lhs sides are empty in 0-ary rules."""
-        return union_all(self.rule_levels)
+        schema = ", ".join(f"{c} array<int>" for c in ("lhs_dep", "lhs_ref", "rhs_dep", "rhs_ref"))
+        return union_all(self.rule_levels, self.tables.spark, schema)
 
 
 def discover_with_rules(
@@ -72,9 +81,11 @@ def discover_with_rules(
             started = time.perf_counter()
             holding, counted, n_candidates = None, None, 0
             ind_folder, stat_folder = (new_folder(tables.spark, f"{kind}-{arity}") for kind in ("holding", "counted"))
-            candidates = generate(last, unary_kept, arity, allowed, tables.column_bits)
-            for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
+            candidates = materialize(generate(last, unary_kept, arity, allowed, tables.column_bits).select("dep", "ref"))
+            phases = Phases(time.perf_counter() - started)
+            for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits, written=True):
                 n_candidates += len(chunk)
+                phases.scans += bool(prescreen)
                 # Rules are read off valid dependencies, so counts of refuted ones are not needed.
                 left = not_refuted(tables, chunk, drop_nulls, prescreen) if prescreen else chunk
                 if not left:
@@ -85,6 +96,8 @@ def discover_with_rules(
                 holding = materialize(results.select("dep", "ref", "size"), ind_folder)
                 nulls = combo_null_counts(tables, combos) if drop_nulls else None
                 counted = materialize(combo_stats(tables, combos, included, nulls), stat_folder)
+                phases.scans += 1 + drop_nulls
+            phases.validation = time.perf_counter() - started - phases.generation
             if holding is None:
                 if n_candidates:
                     found.level_stats.append(LevelStats(arity, n_candidates, 0, 0, time.perf_counter() - started))
@@ -95,16 +108,16 @@ def discover_with_rules(
             rules = nary_rules(judged)
             last = materialize(judged.where(~F.exists("is_rule", lambda r: r)).select("dep", "ref", "size"))
             stats = current
-            _finish(found, last, rules, arity, n_candidates, started, on_ind, on_level)
+            _finish(found, last, rules, arity, n_candidates, started, on_ind, on_level, phases)
     except Exception as error:
         raise DiscoveryError(f"discovery failed at arity {arity}: {error}", found) from error
     return found
 
 
-def _finish(found, level, rules, arity, n_candidates, started, on_ind, on_level) -> None:
+def _finish(found, level, rules, arity, n_candidates, started, on_ind, on_level, phases=None) -> None:
     rules = materialize(rules)
     found.rule_levels.append(rules)
-    finish_level(found, level, arity, n_candidates, started, on_ind, on_level, n_rules=rules.count())
+    finish_level(found, level, arity, n_candidates, started, on_ind, on_level, n_rules=rules.count(), phases=phases)
 
 
 # --- arity 0 ------------------------------------------------------------------------

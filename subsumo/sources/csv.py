@@ -1,8 +1,7 @@
 """Delimited files: one line is one record, all values are text, widths are discovered.
 
-Lines of dialects without quoting are split in the JVM. Quoting and escapes need a small
-tokenizer that runs on Arrow batches: Spark's CSV reader would turn an unquoted empty
-field into null, while an empty text is a value here.
+Lines are cut by regular expressions on columns: Spark's CSV reader would turn an unquoted
+empty field into null, while an empty text is a value here.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +17,7 @@ from pyspark.sql import types as T
 from subsumo.operators.cells import union_all
 from subsumo.operators.sampling import round_robin_sample
 from subsumo.session import materialize
-from subsumo.sources.lines import first_file, scan_lines
+from subsumo.sources.lines import scan_lines
 from subsumo.sources.tables import Table, TableSet
 
 POLICIES = ("fail", "drop", "fail_overlong", "warn")
@@ -49,8 +47,8 @@ def parse_lines(lines: DataFrame, dialect: Dialect = Dialect(), null_string: str
         rest = F.octet_length(F.replace(F.col("value"), separator, F.lit("")))
         width = ((F.octet_length("value") - rest) / F.octet_length(separator)).cast("int") + 1
         return lines.withColumns({"f": map_nulls(fields, null_string), "width": width})
-    tokens = lines.withColumn("f", _tokenizer(dialect)(F.col("value")))
-    return tokens.select(*lines.columns, map_nulls(F.col("f"), null_string).alias("f"), F.size("f").alias("width"))
+    fields = _quoted_fields(F.col("value"), dialect)
+    return lines.withColumns({"f": map_nulls(fields, null_string), "width": F.when(fields.isNotNull(), F.size(fields))})
 
 
 def map_nulls(fields: Column, null_string: str | None) -> Column:
@@ -63,68 +61,40 @@ def _java_quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-#: Quotes before this position of a line are never kept as text (fixed value).
-_FIRST_KEPT_QUOTE = 3
+def _quoted_fields(line: Column, dialect: Dialect) -> Column:
+    """The fields of a line, or null if it ends inside quotes.
 
-
-def _tokenizer(dialect: Dialect):
-    """A vectorized function line -> fields.
-
-    Quotes protect separators, wherever in a field they stand, and a doubled quote inside
-    them is one quote. A quote next to a field's border is syntax; one amid a field's text
-    is kept as text too. Escapes only mean something inside quotes and vanish elsewhere.
-    With strict quotes, text outside quotes is ignored. White space is only ignored in
-    front of a quote. A line that ends inside quotes cannot be parsed."""
-    separator, quote, escape = dialect.separator, dialect.quote, dialect.escape
-    strict, trim = dialect.strict_quotes, dialect.ignore_leading_whitespace
-    escape = escape if escape != quote else None
-    kinds = [("separator", re.escape(separator))]
+    Quotes protect separators, wherever in a field they stand. A quote at a field's border
+    is syntax, one amid its text is text; doubled it is one quote. Escapes protect the
+    next character inside quotes and vanish elsewhere. With strict quotes, text outside
+    quotes is ignored. White space is only ignored in front of a quote."""
+    separator, quote = (re.escape(dialect.separator), re.escape(dialect.quote) if dialect.quote else None)
+    escape = re.escape(dialect.escape) if dialect.escape and dialect.escape != dialect.quote else None
     if quote:
-        q, e = re.escape(quote), re.escape(escape) if escape else ""
-        inside = f"(?:{q}{q}|{e}.)" if e else f"{q}{q}"
-        kinds += [("quoted", f"{q}[^{q}{e}]*(?:{inside}[^{q}{e}]*)*{q}"), ("open", q)]
-    special = "".join(re.escape(x) for x in (separator, quote, escape) if x)
-    kinds += [("plain", f"[^{special}]+"), ("escape", ".")]
-    pattern = re.compile("|".join(f"(?P<{kind}>{text})" for kind, text in kinds), re.DOTALL)
-    quoting = [re.escape(quote) * 2] if quote else []
-    quoting += [f"{re.escape(escape)}."] if escape else []
-    pair = re.compile("|".join(quoting), re.DOTALL)
-
-    def is_text(line: str, at: int) -> bool:
-        """The quote at this position stands amid text."""
-        inner = _FIRST_KEPT_QUOTE <= at < len(line) - 1
-        return inner and line[at - 1] != separator and line[at + 1] != separator
-
-    def fields_of(line: str) -> list[str] | None:
-        fields, field = [], ""
-        for match in pattern.finditer(line):
-            kind, token = match.lastgroup, match.group()
-            if kind == "separator":
-                fields.append(field)
-                field = ""
-            elif kind == "open":
-                return None
-            elif kind == "quoted":
-                body = pair.sub(lambda m: m.group()[1], token[1:-1])
-                if strict:
-                    field += body
-                    continue
-                if is_text(line, match.start()):
-                    field = "" if trim and field.isspace() else field + quote
-                field += body
-                if is_text(line, match.end() - 1):
-                    field += quote
-            elif kind == "plain" and not strict:
-                field += token
-        fields.append(field)
-        return fields
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def tokenize(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda line: None if line is None else fields_of(line))
-
-    # Called once per line: a deterministic function would be run again by every filter on it.
-    return tokenize.asNondeterministic()
+        # Possessive throughout: a long text is matched in a loop and never tried again.
+        body = f"[^{quote}{escape or ''}]*+(?:(?:{quote}{quote}{f'|{escape}.' if escape else ''})[^{quote}{escape or ''}]*+)*+"
+        field = f"(?:{quote}{body}{quote}|(?!{separator})[^{quote}])*+"
+    else:
+        field = f"(?:(?!{separator}).)*+"
+    # With a separator in front every field is a match of its own, empty ones too.
+    whole = F.concat(F.lit(dialect.separator), line)
+    raw = F.regexp_extract_all(whole, F.lit(f"(?s){separator}({field})"), F.lit(1))
+    units = "|".join([f"{quote}({quote})"] * bool(quote) + [f"{escape}(.?)"] * bool(escape))
+    kept = "".join(f"${i + 1}" for i in range(units.count("(")))
+
+    def plain(text: Column) -> Column:
+        return F.regexp_replace(text, f"(?s){units}", kept)
+
+    def clean(text: Column) -> Column:
+        if quote and dialect.strict_quotes:
+            inside = F.regexp_extract_all(text, F.lit(f"(?s){quote}({body}){quote}"), F.lit(1))
+            return F.array_join(F.transform(inside, plain), "")
+        if quote:
+            blank = r"\s*" if dialect.ignore_leading_whitespace else ""
+            text = F.regexp_replace(text, f"(?s)^{blank}{quote}|{quote}$", "")
+        return plain(text)
+
+    return F.when(whole.rlike(f"(?s)^(?:{separator}{field})*+$"), F.transform(raw, clean))
 
 
 # --- widths -------------------------------------------------------------------------
@@ -190,38 +160,46 @@ def csv_tables(
     recursive: bool = False,
     digest_long: bool = True,
     spread: int | None = None,
+    name_regex: str | None = None,
+    glob: str | None = None,
+    max_depth: int | None = None,
 ) -> TableSet:
     """Named delimited files as a table set. Columns are called column1, column2, … unless named.
 
-    Compressed files come as one task each; ``spread`` deals their rows to that many."""
+    Widths that are not declared are those of the first parsable line of a table's first
+    file by path (``warn``: of its widest line). Lines with another width are counted by
+    ``TableSet.width_violations`` whatever the policy is. Compressed files come as one task
+    each; ``spread`` deals their rows to that many. Files are chosen as in ``scan_lines``."""
     if policy not in POLICIES:
         raise ValueError(f"unknown width policy {policy!r}; choose from {POLICIES}")
     mask = (1 << column_bits) - 1
     numbered = {name: (number << column_bits) | mask for number, name in enumerate(paths)}
 
-    def lines_of(name: str, head_of: str | None = None) -> DataFrame:
+    def scanned(name: str, heads_only: bool = False) -> DataFrame:
         charset = encoding if isinstance(encoding, str) else encoding.get(name, "UTF-8")
-        lines = scan_lines(spark, paths[name], numbered[name], charset, strip_bom, recursive, head_of=head_of)
-        return parse_lines(lines, dialect, null_string)
-
-    parsed = {name: lines_of(name) for name in paths}
+        return scan_lines(
+            spark, paths[name], numbered[name], charset, strip_bom, recursive, name_regex, glob, max_depth, heads_only
+        )
+
+    lines = {name: scanned(name) for name in paths}
+    if sample_percent != -1:
+        # Drawn from lines, before any is parsed, and once, so that every level sees the same.
+        lines = {name: materialize(round_robin_sample(df, sample_percent)) for name, df in lines.items()}
+    parsed = {name: parse_lines(df, dialect, null_string) for name, df in lines.items()}
     expected = dict(widths or {})
     unknown = [n for n in paths if n not in expected]
-    if policy in ("warn", "fail_overlong") and unknown:
-        # One number per table comes back. This reads all lines, so declare widths of big inputs.
-        rows = table_widths(union_all([parsed[n] for n in unknown])).collect()
-        by_id = {r["table_id"]: r["width"] for r in rows}
+    if unknown:
+        # One job for all tables, and one number for each comes back.
+        if policy == "warn":
+            found = table_widths(union_all([parsed[n] for n in unknown]))
+        else:
+            heads = [parse_lines(scanned(n, heads_only=True), dialect, null_string) for n in unknown]
+            found = first_line_widths(union_all(heads))
+        by_id = {r["table_id"]: r["width"] for r in found.collect()}
         expected.update({n: by_id.get(numbered[n], 0) for n in unknown})
-    for name in (n for n in unknown if n not in expected):
-        # The scan stops at the first line of the first file.
-        head = lines_of(name, head_of=first_file(spark, paths[name], recursive))
-        row = head.where(F.col("width").isNotNull()).select("width").limit(1).first()
-        expected[name] = row["width"] if row else 0
     tables = []
     for number, name in enumerate(paths):
         df = apply_width_policy(parsed[name], {numbered[name]: expected[name]}, policy).select("f")
-        if sample_percent != -1:
-            df = materialize(round_robin_sample(df, sample_percent))
         if spread:
             df = df.repartition(spread)
         width = expected[name] if max_columns < 0 else min(expected[name], max_columns)
@@ -229,4 +207,14 @@ def csv_tables(
         fields = [F.get("f", F.lit(i)) for i in range(width)]
         nulls = [field.isNull() for field in fields]
         tables.append(Table(name, number, df, list(names[:width]), fields, nulls, [T.StringType()] * width))
-    return TableSet(spark, tables, column_bits, digest_long)
+    out = TableSet(spark, tables, column_bits, digest_long)
+    if tables:
+        by_id = {numbered[name]: width for name, width in expected.items()}
+        out.width_violations = width_violations(union_all(list(parsed.values())), by_id)
+    return out
+
+
+def file_tables(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect(), **options) -> DataFrame:
+    """(table_id, path, width, lines): what each file holds, under an id that depends on its path alone."""
+    parsed = parse_lines(scan_lines(spark, paths, **options), dialect)
+    return parsed.groupBy("table_id", "path").agg(F.max("width").alias("width"), F.count(F.lit(1)).alias("lines"))

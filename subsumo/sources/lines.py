@@ -4,14 +4,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Charsets that Spark decodes itself (fixed list).
-_JVM_CHARSETS = {"US-ASCII", "ISO-8859-1"}
-
-
 def scan_lines(
     spark: SparkSession,
     paths: str | list[str],
@@ -20,23 +15,46 @@ def scan_lines(
     strip_bom: bool = True,
     recursive: bool = False,
     name_regex: str | None = None,
-    head_of: str | None = None,
+    glob: str | None = None,
+    max_depth: int | None = None,
+    heads_only: bool = False,
 ) -> DataFrame:
     """(table_id, path, block_start, row_in_block, value), one row per line.
 
     ``table_id`` is a given number, or :func:`path_id` if left out. Compressed files are
     read by their suffix; they cannot be split, so use one file per wanted task.
-    ``head_of`` names a file (as in ``path``) of which only the first block is wanted."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    lines = reader.text(paths)
+    ``name_regex``, ``glob`` and ``max_depth`` choose files as in :func:`list_files`. Lines end
+    with a newline; a carriage return in front of it is no part of the line. ``encoding`` may
+    be ``<bom>:<charset>``. ``heads_only`` reads the first block of every file."""
+    marked, charset = parse_encoding(encoding)
+    if re.match(r"UTF-?(16|32)", charset.upper()):
+        raise ValueError(f"{charset} lines do not end with a single newline byte; convert such files first")
+    reader = spark.read.option("recursiveFileLookup", str(recursive or max_depth is not None).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    table = _single_bytes(charset)
+    if charset.upper() in ("UTF-8", "UTF8", "UTF_8"):
+        lines, value = reader.option("lineSep", "\n").text(paths), F.col("value")
+    else:
+        # A reader of one column that knows charsets; no line has its separator, quote or comment.
+        plain = {"sep": "\x01", "quote": "", "escape": "", "comment": "", "emptyValue": "", "lineSep": "\n"}
+        named = "ISO-8859-1" if table else charset
+        lines = reader.options(encoding=named, maxCharsPerColumn=-1, **plain).schema("value string").csv(paths)
+        value = F.coalesce(F.col("value"), F.lit(""))
+        if table and table != _LATIN:
+            # Bytes were read as characters of the same number; each stands for one of this charset.
+            value = F.translate(value, _LATIN, table)
+    path = F.col("_metadata.file_path")
     if name_regex is not None:
         lines = lines.where(F.col("_metadata.file_name").rlike(f"^(?:{name_regex})$"))
-    if head_of is not None:
-        # On the source itself, so that other files are not even opened.
-        lines = lines.where((F.col("_metadata.file_path") == head_of) & (F.col("_metadata.file_block_start") == 0))
+    if max_depth is not None:
+        lines = lines.where(_depth(path, paths) <= max_depth)
+    if heads_only:
+        # On the source itself, so that other blocks are not even opened.
+        lines = lines.where(F.col("_metadata.file_block_start") == 0)
     tag = path_id(F.col("_metadata.file_path")) if table_id is None else table_id
-    value = _decoded(F.col("value"), encoding)
-    if strip_bom:
+    value = F.regexp_replace(value, "\r$", "")
+    if strip_bom or marked:
         value = F.when(value.startswith("\ufeff"), F.substring(value, 2, 2**31 - 1)).otherwise(value)
     return lines.select(
         (F.lit(tag) if isinstance(tag, int) else tag).alias("table_id"),
@@ -47,10 +65,17 @@ def scan_lines(
     )
 
 
-def first_file(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> str | None:
-    """The first of the given files, by path. Only folders are listed."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(paths).select(F.col("_metadata.file_path").alias("path")).agg(F.min("path")).first()[0]
+_LATIN = "".join(map(chr, range(128, 256)))
+
+
+def _single_bytes(charset: str) -> str | None:
+    """What the upper 128 bytes stand for in a charset that extends ASCII by one byte a character."""
+    try:
+        table = [bytes([i]).decode(charset, "replace") for i in range(256)]
+    except LookupError:
+        return None
+    own = all(len(c) == 1 for c in table) and table[:128] == list(map(chr, range(128)))
+    return "".join(table[128:]) if own and table[128:].count("\ufffd") < 64 else None
 
 
 def path_id(path: Column) -> Column:
@@ -58,24 +83,6 @@ def path_id(path: Column) -> Column:
     return F.xxhash64(path)
 
 
-def _decoded(value: Column, encoding: str) -> Column:
-    charset = encoding.upper()
-    if charset in ("UTF-8", "UTF8"):
-        return value
-    if re.match(r"UTF-?(16|32)", charset):
-        raise ValueError(f"{encoding} lines do not end with a single newline byte; convert such files first")
-    # Spark's text source passes the bytes of a line on as they are.
-    raw = value.cast("binary")
-    if charset in _JVM_CHARSETS:
-        return F.decode(raw, charset)
-
-    @F.pandas_udf("string")
-    def decode(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda b: None if b is None else bytes(b).decode(encoding))
-
-    return decode(raw)
-
-
 def parse_encoding(text: str | None) -> tuple[bool, str]:
     """(has a byte order mark, charset) from ``<bom>:<charset>`` or a bare charset."""
     if not text:
@@ -97,9 +104,18 @@ def list_files(
     if name_regex is not None:
         files = files.where(F.element_at(F.split("path", "/"), -1).rlike(f"^(?:{name_regex})$"))
     if max_depth is not None:
-        plain_root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).strip("/")
-        depth_of_root = len([p for p in re.split("/+", plain_root) if p])
-        plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-        depth = F.size(F.filter(F.split(plain, "/+"), lambda p: p != "")) - depth_of_root
-        files = files.where(depth <= max_depth)
+        files = files.where(_depth(F.col("path"), root) <= max_depth)
     return files
+
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _depth(path: Column, roots: str | list[str]) -> Column:
+    """Folders between a file and the root it lies below, itself included."""
+    own = F.size(F.filter(F.split(F.regexp_replace(path, _SCHEME, ""), "/+"), lambda p: p != ""))
+    depth = F.lit(None)
+    for root in [roots] if isinstance(roots, str) else roots:
+        plain = "/" + "/".join(p for p in re.split("/+", re.sub(_SCHEME, "", root)) if p)
+        depth = F.coalesce(depth, F.when(F.regexp_replace(path, _SCHEME, "").startswith(plain), own - len(plain.split("/")) + 1))
+    return depth

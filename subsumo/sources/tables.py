@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from subsumo.functions.text import group_key, value_text
+from subsumo.functions.text import group_key, has_digest, value_text
 from subsumo.functions.words import int_array
 from subsumo.operators.sampling import round_robin_sample
 from subsumo.session import materialize, small_table
@@ -33,6 +33,8 @@ class Table:
     fields: list[Column]
     nulls: list[Column]
     types: list[T.DataType]
+    #: What values are grouped by, where that is already at hand.
+    key_columns: list[Column] | None = None
 
     @property
     def width(self) -> int:
@@ -63,10 +65,14 @@ class TableSet:
     column_bits: int = 16
     digest_long: bool = True
     columns: list[ColumnInfo] = field(init=False)
+    #: Of delimited files: (table_id, lines), the lines that have another width than expected.
+    width_violations: DataFrame | None = field(init=False, default=None)
 
     def __post_init__(self):
         self.columns = []
         for table in self.tables:
+            if self.table_id(table.number) >= 1 << 31:
+                raise ValueError(f"{table.name} needs an id beyond 31 bits; use fewer column bits or fewer tables")
             if table.width > self.mask:
                 raise ValueError(f"{table.name} has {table.width} columns, more than {self.column_bits} bits can number")
             for index, name in enumerate(table.column_names):
@@ -100,6 +106,10 @@ class TableSet:
             if spread:
                 df = df.repartition(spread)
             fields, nulls, types = [], [], []
+            names = list(df.columns)
+            if len(set(map(str.lower, names))) < len(names):
+                # Names may repeat, so columns are told apart by their position.
+                df = df.toDF(*[f"_{i}" for i in range(len(names))])
             for f in df.schema.fields:
                 value = F.col(_quoted(f.name))
                 text, null = value_text(value, f.dataType), value.isNull()
@@ -109,7 +119,7 @@ class TableSet:
                 fields.append(text)
                 nulls.append(null)
                 types.append(f.dataType)
-            tables.append(Table(name, number, df, list(df.columns), fields, nulls, types))
+            tables.append(Table(name, number, df, names, fields, nulls, types))
         return cls(spark, tables, column_bits, digest_long)
 
     @classmethod
@@ -127,7 +137,7 @@ class TableSet:
         return cls.from_dataframes(spark, {n: spark.table(prefix + _quoted(n)) for n in names}, **options)
 
     def stored(self) -> "TableSet":
-        """The same set over Parquet copies in the shared folder, with long values as digests.
+        """The same set over Parquet copies in the shared folder, texts with their grouping keys.
 
         Worth it before an n-ary run over joins, views or delimited files: every level reads
         the tables again, and a copy is neither joined nor parsed again and lets a level
@@ -137,11 +147,23 @@ class TableSet:
             if not t.width:
                 tables.append(t)
                 continue
-            copy = materialize(self.keys(t))
-            columns = [F.col(c) for c in copy.columns]
+            # Only texts that can be long have a key of their own; the others are their key.
+            own = [i for i in range(t.width) if self.digest_long and has_digest(t.types[i])]
+            keys = [self._key(t, i).alias(f"k{i}") for i in own]
+            copy = materialize(t.df.select(*[t.fields[i].alias(f"c{i}") for i in range(t.width)], *keys))
+            columns = [F.col(f"c{i}") for i in range(t.width)]
+            grouped = [F.col(f"k{i}") if i in own else columns[i] for i in range(t.width)]
             nulls = [c.isNull() for c in columns]
-            tables.append(replace(t, df=copy, fields=columns, nulls=nulls, types=[T.StringType()] * t.width))
-        return TableSet(self.spark, tables, self.column_bits, digest_long=False)
+            types = [T.StringType()] * t.width
+            tables.append(replace(t, df=copy, fields=columns, nulls=nulls, types=types, key_columns=grouped))
+        out = TableSet(self.spark, tables, self.column_bits, self.digest_long)
+        out.width_violations = self.width_violations
+        return out
+
+    def _key(self, table: Table, index: int) -> Column:
+        if table.key_columns is not None:
+            return table.key_columns[index]
+        return group_key(table.fields[index], table.types[index], self.digest_long)
 
     @property
     def mask(self) -> int:
@@ -153,9 +175,7 @@ class TableSet:
     def keys(self, table: Table, indices: Sequence[int] | None = None) -> DataFrame:
         """Like :meth:`Table.text`, but long values are replaced by their digest key."""
         wanted = range(table.width) if indices is None else indices
-        return table.df.select(
-            *[group_key(table.fields[i], table.types[i], self.digest_long).alias(f"c{i}") for i in wanted]
-        )
+        return table.df.select(*[self._key(table, i).alias(f"c{i}") for i in wanted])
 
     def column_id_of(self, member: Column) -> Column:
         return F.get(int_array([c.column_id for c in self.columns]), member)

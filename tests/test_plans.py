@@ -125,8 +125,33 @@ def test_rules_restore_what_they_removed(spark):
 def test_bound_of_one_job(spark, monkeypatch):
     """More candidates than one job takes are checked in several, none is lost."""
     data, tables = related_tables(spark, 1)
-    monkeypatch.setattr(discovery, "MAX_CHUNK", 9)
-    assert ind_set(discover(tables, max_arity=3).inds()) == {i for i in brute_force(data) if len(i[0]) <= 3}
+    monkeypatch.setattr(discovery, "DEFAULT_CHUNK", 9)
+    found = discover(tables, max_arity=3)
+    assert ind_set(found.inds()) == {i for i in brute_force(data) if len(i[0]) <= 3}
+    assert found.level_stats[1].scans == -(-found.level_stats[1].candidates // 9)
+
+
+def test_chunks_have_the_asked_size(spark):
+    rows = spark.range(2500).selectExpr("array(cast(id as int), 65536) AS dep", "array(131072, cast(id as int)) AS ref")
+    assert [len(c) for c in discovery.candidate_chunks(rows, 2000)] == [2000, 500]
+    assert [len(c) for c in discovery.candidate_chunks(rows)] == [2500]
+
+
+def test_a_failed_first_level_leaves_empty_results(spark):
+    tables = TableSet.from_dataframes(spark, {"t": spark.sql("SELECT raise_error('no') AS a, 1 AS b")})
+    with pytest.raises(DiscoveryError, match="arity 1") as failure:
+        discover(tables)
+    assert failure.value.partial.inds().count() == failure.value.partial.maximal().count() == 0
+
+
+def test_generators_say_how_they_are_run(spark):
+    def own(last, unary, arity, restrictions, bits):
+        return apriori_candidates(last, unary, arity, restrictions, bits)
+
+    own.consolidates = False
+    _, tables = related_tables(spark, 1)
+    found = discover(tables, max_arity=2, generator=own)
+    assert ind_set(found.maximal()) == ind_set(found.inds())
 
 
 def test_max_arity_and_stats(spark):

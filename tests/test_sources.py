@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from subsumo import Dialect, TableSet, csv_tables, unary_inds
+from subsumo.operators.cells import cell_values, tuples
 from subsumo.operators.sampling import complete_tuples, key_sample, round_robin_sample
 from subsumo.sources.csv import apply_width_policy, first_line_widths, parse_lines, table_widths, width_violations
 from subsumo.sources.lines import list_files, parse_encoding, scan_lines
@@ -114,7 +115,7 @@ ESCAPED = Dialect(separator=",", quote='"', escape="\\")
         (QUOTED, ",,", ["", "", ""]),
         (QUOTED, 'x,ab"c,d"ef,g', ["x", 'ab"c,d"ef', "g"]),
         (QUOTED, 'x,"ab"cd,e"f"', ["x", 'ab"cd', 'e"f']),
-        (QUOTED, 'a"b"c', ['ab"c']),
+        (QUOTED, 'a"b"c', ['a"b"c']),
         (QUOTED, '"open', None),
         (QUOTED, 'a,"b""', None),
         (ESCAPED, '"a\\",b",c\\d', ['a",b', "cd"]),
@@ -200,8 +201,14 @@ def test_registry(spark, files):
 
 
 def test_complex_columns_are_refused(spark):
-    with pytest.raises(ValueError, match="atomic"):
-        TableSet.from_dataframes(spark, {"t": spark.sql("SELECT array(1) AS a")})
+    with pytest.raises(ValueError, match="maps"):
+        TableSet.from_dataframes(spark, {"t": spark.sql("SELECT map(1, 2) AS a")})
+
+
+def test_arrays_have_a_text(spark):
+    rows = "SELECT explode(array(array('a, b'), array('a', 'b'), array('a', null), null)) AS a"
+    tables = TableSet.from_dataframes(spark, {"t": spark.sql(rows)})
+    assert sorted(r.v for r in cell_values(tables).collect()) == ['["a","b"]', '["a",null]', '["a, b"]']
 
 
 def test_round_robin_sample(spark):
@@ -243,3 +250,72 @@ def test_empty_file(spark, tmp_path):
     tables = csv_tables(spark, {"x": str(tmp_path / "x.csv"), "y": str(tmp_path / "y.csv")})
     assert [t.width for t in tables.tables] == [0, 1]
     assert unary_inds(tables).count() == 0
+
+
+def test_carriage_returns(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes(b"a;b\rc;d\r\ne;f;g\n")
+    assert values(scan_lines(spark, str(tmp_path / "x.csv"), 1)) == ["a;b\rc;d", "e;f;g"]
+
+
+def test_overlong_lines_fail_against_the_first_line(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("1;2\n1\n1;2;3\n")
+    tables = csv_tables(spark, {"x": str(tmp_path / "x.csv")}, policy="fail_overlong")
+    assert tables.tables[0].width == 2
+    with pytest.raises(Exception, match="wrong number of fields"):
+        tables.tables[0].text().collect()
+
+
+def test_dropped_lines_are_counted(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("1;2;3\n1;2\n1;2;3\n1\n")
+    tables = csv_tables(spark, {"x": str(tmp_path / "x.csv")}, policy="drop")
+    assert tables.tables[0].text().count() == 2
+    assert [tuple(r) for r in tables.width_violations.collect()] == [(65535, 2)]
+
+
+def test_samples_are_drawn_from_lines(spark, tmp_path):
+    """Ragged lines take part in the draw, so the sample does not depend on the policy."""
+    (tmp_path / "x.csv").write_text("".join("1;2\n" if i % 2 else "1;2;3\n" for i in range(100)))
+    tables = csv_tables(spark, {"x": str(tmp_path / "x.csv")}, policy="drop", widths={"x": 3}, sample_percent=50)
+    assert tables.tables[0].text().count() == 50
+
+
+def test_no_columns_at_all(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("")
+    tables = csv_tables(spark, {"x": str(tmp_path / "x.csv")})
+    assert unary_inds(tables).count() == cell_values(tables).count() == tuples(tables).count() == 0
+    none = TableSet.from_dataframes(spark, {"t": spark.range(3)}, max_columns=0)
+    assert unary_inds(none).count() == 0
+
+
+def test_repeated_names(spark):
+    df = spark.sql("SELECT 1 AS a, 2 AS a UNION ALL SELECT 2, 2")
+    tables = TableSet.from_dataframes(spark, {"t": df})
+    assert [t.column_names for t in tables.tables] == [["a", "a"]]
+    assert [(r.dep, r.ref) for r in unary_inds(tables).collect()] == [(1, 0)]
+
+
+def test_ids_fit_their_type(spark):
+    frames = {name: spark.range(1) for name in "abcde"}
+    with pytest.raises(ValueError, match="31 bits"):
+        TableSet.from_dataframes(spark, frames, column_bits=30)
+
+
+def test_stored_tables_keep_their_texts(spark):
+    long = "x" * 100
+    tables = TableSet.from_dataframes(spark, {"t": spark.createDataFrame([(long,), ("y",)], "a string")}).stored()
+    assert sorted(r.v for r in cell_values(tables).collect()) == [long, "y"]
+    assert [r.f for r in tuples(tables.stored()).collect()].count([long]) == 1
+    both = {"t": spark.createDataFrame([(long,)], "a string"), "u": spark.createDataFrame([(long,), ("y",)], "a string")}
+    assert [(r.dep, r.ref) for r in unary_inds(TableSet.from_dataframes(spark, both).stored()).collect()] == [(0, 65536)]
+
+
+def test_tables_of_chosen_files(spark, tree):
+    tables = csv_tables(spark, {"t": tree}, max_depth=2, name_regex=r".*\.csv")
+    assert sorted(r.c0 for r in tables.tables[0].text().collect()) == ["a", "b"]
+    assert csv_tables(spark, {"t": tree}, recursive=True, glob="*.tsv").tables[0].text().first().c0 == "c"
+
+
+def test_long_quoted_fields(spark):
+    text = 'say ""hi"", ' * 20000
+    fields = parse_lines(rows_to_lines(spark, [f'x,"{text}",y']), QUOTED).first().f
+    assert fields == ["x", text.replace('""', '"'), "y"]
