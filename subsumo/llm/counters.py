@@ -25,7 +25,7 @@ def chunk_rows(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     for start in range(0, len(counts), CHUNK):
         part = counts[start : start + CHUNK]
         if part.any():
-            yield start // CHUNK, part.astype("<i8").tobytes()
+            yield start // CHUNK, part.astype("<i4").tobytes()
 
 
 def added(rows: DataFrame, width: int) -> np.ndarray:
@@ -35,7 +35,7 @@ def added(rows: DataFrame, width: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                piece = np.frombuffer(counts, "<i8")
+                piece = np.frombuffer(counts, "<i4").astype(np.int64)
                 sums[chunk] = sums[chunk] + piece if chunk in sums else piece
         if sums:
             yield pa.RecordBatch.from_arrays(

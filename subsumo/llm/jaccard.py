@@ -261,13 +261,27 @@ def open_lists(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
     return placed.join(several.select("key"), "key", "left_semi").select("key", "node", "n", "comp")
 
 
-def leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
+def _may_link(a: str, b: str) -> Column:
+    """What sizes and parities allow; columns n_, parity_ and half_ with the given endings."""
+    n_a, n_b, parity_a, parity_b = (F.col(f"{c}_{end}") for c in ("n", "parity") for end in (a, b))
+    # Sizes differ by a quarter at most, so the numbers of bits are equal or one is the double.
+    left = F.when(F.size(parity_a) > F.size(parity_b), F.col(f"half_{a}")).otherwise(parity_a)
+    right = F.when(F.size(parity_b) > F.size(parity_a), F.col(f"half_{b}")).otherwise(parity_b)
+    bits = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return _near_sizes(n_a, n_b) & F.coalesce(bits * (LEAST + OF) <= (n_a + n_b) * (OF - LEAST), F.lit(True))
+
+
+def leader_pairs(lists: DataFrame, signed: DataFrame, turn: int) -> DataFrame:
     """u, v: for each node the leader that most of its lists have, of another component."""
     leaders = lists.groupBy("key").agg(
         F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("comp").alias("comp_v"))).alias("leader")
     )
     met = lists.join(leaders, "key").select("node", "n", "comp", "leader.*")
     votes = met.where((F.col("comp") != F.col("comp_v")) & _near_sizes(F.col("n"), F.col("n_v"))).groupBy("node", "v").agg(F.count(F.lit(1)).alias("votes"))
+    for end, column in (("u", "node"), ("v", "v")):
+        own = signed.select(F.col("node").alias(column), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "parity", "half")))
+        votes = votes.join(own, column)
+    votes = votes.where(_may_link("u", "v")).select("node", "v", "votes")
     best = votes.groupBy("node").agg(F.max(F.struct("votes", "v")).alias("best"))
     return best.select(F.greatest("node", "best.v").alias("u"), F.least("node", "best.v").alias("v")).distinct()
 
@@ -277,13 +291,7 @@ def all_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
     full = lists.join(signed.select("node", "parity", "half"), "node")
     a = full.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "comp", "parity", "half")))
     b = full.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "comp", "parity", "half")))
-    # Sizes differ by a quarter at most, so the numbers of bits are equal or one is the double.
-    same = F.size("parity_a") == F.size("parity_b")
-    left = F.when(same | (F.size("parity_a") < F.size("parity_b")), F.col("parity_a")).otherwise(F.col("half_a"))
-    right = F.when(same | (F.size("parity_b") < F.size("parity_a")), F.col("parity_b")).otherwise(F.col("half_b"))
-    bits = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    may = (F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _near_sizes(F.col("n_a"), F.col("n_b"))
-    may = may & F.when(F.size(left) == F.size(right), bits * (LEAST + OF) <= (F.col("n_a") + F.col("n_b")) * (OF - LEAST)).otherwise(True)
+    may = (F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("a", "b")
     met = a.join(b, (a["key"] == b["key"]) & may)
     return met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
 
@@ -294,8 +302,8 @@ def all_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
 def similar_documents(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     documents = documents.select("doc_id", "text")
-    # As many counters as documents, within bounds (16 MB at most).
-    width = 1 << min(21, max(16, int(documents.count()).bit_length()))
+    # Some counters for each document, a million (8 MB) at most.
+    width = 1 << min(20, max(16, 2 + int(documents.count()).bit_length()))
     known = materialize(profiles(documents, width))
     counts = counters.added(known.where("chunk IS NOT NULL"), width)
     profiled = known.where("chunk IS NULL")
@@ -303,17 +311,15 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     signed = materialize(signatures(documents, counts))
     cold = 1000 + 4 * int(counts.mean())
     shared = materialize(shared_lists(postings(signed, boundary(signed), counts, cold)))
-    sets = materialize(involved_sets(documents, profiled, shared.select("node").distinct(), width))
-
     links, tried, comps = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
         # Lists that are one component stay so and drop out.
         shared = lists = materialize(open_lists(shared, comps)) if comps is not None else open_lists(shared, None)
         shared = shared.drop("comp")
-        pairs = leader_pairs(lists, turn) if turn < LEADER_ROUNDS else all_pairs(lists, signed)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        compared = materialize(linked(pairs, sets))
+        pairs = leader_pairs(lists, signed, turn) if turn < LEADER_ROUNDS else all_pairs(lists, signed)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        compared = materialize(linked(pairs, materialize(involved_sets(documents, profiled, nodes, width))))
         tried = compared.select("u", "v") if tried is None else tried.unionByName(compared.select("u", "v"))
         found = compared.where("links").select("u", "v")
         links = found if links is None else links.unionByName(found)
