@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from subsumo.session import materialize
@@ -29,11 +29,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialize(edges.select("u", "v").where("u <> v"))
     before = None
     for _ in range(rounds):
-        edges = materialize(_stars(_stars(edges, True), False))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        seen = Observation()
+        total = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("total")
+        stars = _stars(_stars(edges, True), False).observe(seen, F.count(F.lit(1)).alias("n"), total)
+        edges = materialize(stars)
+        state = (seen.get["n"], seen.get["total"])
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))

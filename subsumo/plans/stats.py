@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsumo.operators.cells import union_all
 from subsumo.operators.nary import null_counts
 from subsumo.operators.unary import column_sizes
+from subsumo.session import small_table
 from subsumo.sources.tables import TableSet
 
 
 def table_stats(tables: TableSet) -> DataFrame:
-    """(table_name, width, height) per table. Only row counts are read."""
-    rows = [
-        t.df.agg(F.count(F.lit(1)).alias("height")).select(
-            F.lit(t.name).alias("table_name"), F.lit(t.width).cast("bigint").alias("width"), "height"
-        )
-        for t in tables.tables
-    ]
-    return union_all(rows)
+    """(table_name, width, height) per table. Rows are only counted, those of all tables in one aggregation."""
+    schema = pa.schema([("number", pa.int32()), ("table_name", pa.string()), ("width", pa.int64())])
+    known = small_table(tables.spark, [(t.number, t.name, t.width) for t in tables.tables], schema)
+    rows = union_all([t.df.select(F.lit(t.number).alias("number")) for t in tables.tables], tables.spark, "number int")
+    counts = rows.groupBy("number").agg(F.count(F.lit(1)).alias("height"))
+    height = F.coalesce("height", F.lit(0).cast("bigint")).alias("height")
+    return known.join(counts, "number", "left").select("table_name", "width", height)
 
 
 def dataset_stats(tables: TableSet) -> DataFrame:
