@@ -40,7 +40,7 @@ from subsumo.session import materialize
 #: Words of a shingle; least similarity as a fraction; size of the subsets of light sets.
 WIDTH, LEAST, OF, SUBSET = 5, 4, 5, 2
 #: Rounds in which lists compare with a leader only.
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -112,7 +112,7 @@ def _parity_bits(n: int) -> int:
 
 
 def signatures(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """node, n, first (the first shingles in the order), listed (estimated rows to scan), parity and half (its fold)."""
+    """node, n, first (the first shingles in the order), listed (estimated rows to scan) and parity."""
     width, levels = len(counts), levels_of(counts)
     # What a counter holds of other shingles, on average, is not the shingle's.
     lengths = np.maximum(1, counts - int(counts.mean())).astype(np.float32)
@@ -133,15 +133,14 @@ def signatures(documents: DataFrame, counts: np.ndarray) -> DataFrame:
                 at = counters.buckets(found, width)
                 order = np.argsort(levels[at], kind="stable")[: n - _need(n) + SUBSET]
                 parity = _parity(found, _parity_bits(n))
-                half = parity[: len(parity) // 2] ^ parity[len(parity) // 2 :]
-                rows.append((class_of(found), n, found[order].view(np.int64), float(lengths[at[order[: n - _need(n) + 1]]].sum()), parity, half))
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                rows.append((class_of(found), n, found[order].view(np.int64), float(lengths[at[order[: n - _need(n) + 1]]].sum()), parity))
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "first", "listed", "parity", "half"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "first", "listed", "parity"]
             )
 
-    schema = "node bigint, n bigint, first array<bigint>, listed double, parity array<bigint>, half array<bigint>"
+    schema = "node bigint, n bigint, first array<bigint>, listed double, parity array<bigint>"
     found = documents.select(text_bytes().alias("text")).mapInArrow(run, schema)
     return found.dropDuplicates(["node"])
 
@@ -261,12 +260,18 @@ def open_lists(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
     return placed.join(several.select("key"), "key", "left_semi").select("key", "node", "n", "comp")
 
 
+def _folded(parity: Column) -> Column:
+    """The parity for half the bits."""
+    half = F.floor(F.size(parity) / 2).cast("int")
+    return F.zip_with(F.slice(parity, F.lit(1), half), F.slice(parity, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def _may_link(a: str, b: str) -> Column:
-    """What sizes and parities allow; columns n_, parity_ and half_ with the given endings."""
+    """What sizes and parities allow; columns n_ and parity_ with the given endings."""
     n_a, n_b, parity_a, parity_b = (F.col(f"{c}_{end}") for c in ("n", "parity") for end in (a, b))
     # Sizes differ by a quarter at most, so the numbers of bits are equal or one is the double.
-    left = F.when(F.size(parity_a) > F.size(parity_b), F.col(f"half_{a}")).otherwise(parity_a)
-    right = F.when(F.size(parity_b) > F.size(parity_a), F.col(f"half_{b}")).otherwise(parity_b)
+    left = F.when(F.size(parity_a) > F.size(parity_b), _folded(parity_a)).otherwise(parity_a)
+    right = F.when(F.size(parity_b) > F.size(parity_a), _folded(parity_b)).otherwise(parity_b)
     bits = F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return _near_sizes(n_a, n_b) & F.coalesce(bits * (LEAST + OF) <= (n_a + n_b) * (OF - LEAST), F.lit(True))
 
@@ -279,19 +284,36 @@ def leader_pairs(lists: DataFrame, signed: DataFrame, turn: int) -> DataFrame:
     met = lists.join(leaders, "key").select("node", "n", "comp", "leader.*")
     votes = met.where((F.col("comp") != F.col("comp_v")) & _near_sizes(F.col("n"), F.col("n_v"))).groupBy("node", "v").agg(F.count(F.lit(1)).alias("votes"))
     for end, column in (("u", "node"), ("v", "v")):
-        own = signed.select(F.col("node").alias(column), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "parity", "half")))
+        own = signed.select(F.col("node").alias(column), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "parity")))
         votes = votes.join(own, column)
     votes = votes.where(_may_link("u", "v")).select("node", "v", "votes")
     best = votes.groupBy("node").agg(F.max(F.struct("votes", "v")).alias("best"))
     return best.select(F.greatest("node", "best.v").alias("u"), F.least("node", "best.v").alias("v")).distinct()
 
 
+def token_lists(lists: DataFrame, signed: DataFrame) -> DataFrame:
+    """key, at, node, n, comp, parity: lists of single first shingles of what is in open lists.
+
+    Only lists with several components are kept; `at` is the shingle's place in the order."""
+    nodes = lists.groupBy("node").agg(F.first("comp").alias("comp"))
+    single = (F.col("n") - F.ceil(F.col("n") * LEAST / OF) + 1).cast("int")
+    rows = signed.join(nodes, "node").select("node", "n", "comp", F.posexplode(F.slice("first", F.lit(1), single)).alias("at", "key"))
+    several = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    rows = rows.join(several.select("key"), "key", "left_semi")
+    return rows.join(signed.select("node", "parity"), "node")
+
+
 def all_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
-    """u, v: all pairs of nodes of different components in a list that may link by size and parity."""
-    full = lists.join(signed.select("node", "parity", "half"), "node")
-    a = full.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "comp", "parity", "half")))
-    b = full.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "comp", "parity", "half")))
-    may = (F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("a", "b")
+    """u, v: all pairs of nodes of different components in a list that may link by size, place and parity.
+
+    The first shingle that two sets have in common leaves the rest of each for the others,
+    so in a list where a pair meets too late to reach its overlap it has met before or never."""
+    full = token_lists(lists, signed)
+    columns = ("node", "n", "at", "comp", "parity")
+    a, b = (full.select("key", *(F.col(c).alias(f"{c}_{end}") for c in columns)) for end in ("a", "b"))
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = rest * (LEAST + OF) >= LEAST * (F.col("n_a") + F.col("n_b"))
+    may = (F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & enough & _may_link("a", "b")
     met = a.join(b, (a["key"] == b["key"]) & may)
     return met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
 
