@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, Spark removes a statement's shuffle files when the statement is done.
+
+    For chains of written tables: what a step has shuffled is of no use once its table is there."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_bytes(column: str | Column = "text") -> Column:
     """The UTF-8 bytes of a text, none for null: tasks then need no decoding."""
     column = F.col(column) if isinstance(column, str) else column

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subsumo.llm import counters
-from subsumo.llm.common import Query, ascii_lower, mixed, pieces, table, text_bytes, window_hashes, word_hashes
+from subsumo.llm.common import Query, ascii_lower, mixed, pieces, shuffles_removed, table, text_bytes, window_hashes, word_hashes
 from subsumo.llm.components import components
 from subsumo.session import materialize
 
@@ -323,7 +323,12 @@ def all_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
 
 def similar_documents(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    documents = documents.select("doc_id", "text")
+    with shuffles_removed(documents.sparkSession):
+        return with_components(*_joined(documents.select("doc_id", "text")))
+
+
+def _joined(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is known of each document, and the components of classes, as written tables."""
     # Some counters for each document, a million (8 MB) at most.
     width = 1 << min(20, max(16, 2 + int(documents.count()).bit_length()))
     known = materialize(profiles(documents, width))
@@ -346,7 +351,7 @@ def similar_documents(documents: DataFrame) -> DataFrame:
         found = compared.where("links").select("u", "v")
         links = found if links is None else links.unionByName(found)
         comps = materialize(components(links))
-    return with_components(profiled, comps)
+    return profiled, comps
 
 
 def with_components(profiled: DataFrame, comps: DataFrame) -> DataFrame:
