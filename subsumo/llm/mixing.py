@@ -17,6 +17,7 @@ ordered by id and size. An empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -52,11 +53,12 @@ def measured(documents: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, part, size, key and slice of every document."""
 
     def each(rows: dict[str, list]) -> dict[str, list]:
-        words = [text.split() for text in rows["text"]]
-        return {
-            "doc_id": rows["doc_id"], "source": rows["source"], "size": [len(w) for w in words],
-            "word_chars": [n - len(t) + sum(map(len, w)) for n, t, w in zip(rows["length"], rows["text"], words)],
-        }
+        sizes, chars = [], []
+        for length, text in zip(rows["length"], rows["text"]):
+            words = text.split()
+            sizes.append(len(words))
+            chars.append(length - len(text) + sum(map(len, words)))
+        return {"doc_id": rows["doc_id"], "source": rows["source"], "size": sizes, "word_chars": chars}
 
     id_type, source_type = (documents.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
     columns = [F.col("doc_id"), F.col("source"), F.coalesce(F.length("text"), F.lit(0)).alias("length"), text_bytes().alias("text")]
@@ -126,9 +128,12 @@ def mixed_documents(documents: DataFrame, *, seed: int = SEED, weights=WEIGHTS,
 
     @F.pandas_udf("struct<size bigint, chars bigint>")
     def counted(texts: pd.Series, lengths: pd.Series) -> pd.DataFrame:
-        words = texts.map(bytes.split)
-        inside = words.map(lambda w: sum(map(len, w)))
-        return pd.DataFrame({"size": words.map(len), "chars": lengths - texts.map(len) + inside})
+        # One text's words at a time: those of a whole batch would take hundreds of megabytes.
+        sizes, inside = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            words = text.split()
+            sizes[i], inside[i] = len(words), sum(map(len, words))
+        return pd.DataFrame({"size": sizes, "chars": lengths.to_numpy() - texts.map(len).to_numpy(np.int64) + inside})
 
     counts = counted(text_bytes(), F.coalesce(F.length("text"), F.lit(0)))
     own = documents.withColumns({"_part": part_of(F.col("source")), "_counts": counts})
