@@ -3,10 +3,12 @@
 Equal vectors are one node. The graph starts with the nearest nodes in blocks of rows that
 lie on the same sides of random hyperplanes. An iteration joins neighbours of neighbours: the
 neighbours of a node (both ways) meet, and whoever is nearer than what the other has
-becomes its neighbour. Vectors travel in half precision for that. A query starts at its own node's
-neighbours and goes on to the neighbours of the nearest nodes it has not yet visited, for a
-few steps. What it ends with is scored by cosine in double precision on the original
-vectors. Every vector is in the graph; recall against brute force is a test.
+becomes its neighbour. Vectors travel in half precision for that. Iterations end when few
+edges are new. A query starts at its own node's neighbours and goes on to the neighbours of
+the nearest nodes it has not yet visited, until it has visited all that it keeps. What it
+ends with is scored by cosine in double precision on the original vectors. Neighbours and
+the nodes that a query keeps grow with the number of nodes (`sizes`). Every vector is in the
+graph; recall against brute force is a test.
 
 Vectors that are null, zero or hold null or non-finite components take no part, neither do
 those whose length is not the most frequent one. Equal vectors all come up as neighbours,
@@ -16,6 +18,7 @@ candidates a query has no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +30,19 @@ from pyspark.sql import functions as F
 from subsumo.llm.common import Query, table
 from subsumo.session import materialize
 
-#: Neighbours of a node; hyperplane orders, their bits, rows of a block; iterations.
-NEIGHBOURS, ORDERS, PLANES, BLOCK, ITERATIONS = 32, 8, 16, 2048, 2
-#: Nodes that a query keeps, those it visits in a step, steps.
-BEAM, VISITS, STEPS = 120, 30, 4
+#: Neighbours of a node and nodes that a query keeps, both for up to FEW nodes.
+NEIGHBOURS, BEAM, FEW = 32, 120, 20_000
+#: Hyperplane orders, their bits, rows of a block; share of new edges below which iterations end.
+ORDERS, PLANES, BLOCK, CHANGED = 8, 16, 2048, 0.005
 SEED = 5
 
 
+def sizes(count: int) -> tuple[int, int]:
+    """Neighbours of a node (4 more for each doubling) and nodes that a query keeps (with the square root)."""
+    times = max(1.0, count / FEW)
+    return NEIGHBOURS + math.ceil(4 * math.log2(times)), math.ceil(BEAM * math.sqrt(times))
+
+
 def usable(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id, vector (array<double>) and node: a hash of the vector."""
     vector = F.col(vector_column).cast("array<double>")
@@ -77,7 +86,7 @@ def _edge_batch(u, v, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float32())], names=["u", "v", "s"])
 
 
-def first_edges(nodes: DataFrame, count: int) -> DataFrame:
+def first_edges(nodes: DataFrame, count: int, most: int) -> DataFrame:
     """Edges inside blocks of rows in the orders of random hyperplanes."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +122,7 @@ def first_edges(nodes: DataFrame, count: int) -> DataFrame:
         unit = _units(block.column("unit").combine_chunks())
         like = unit @ unit.T
         np.fill_diagonal(like, -2)
-        k = min(NEIGHBOURS, len(node) - 1)
+        k = min(most, len(node) - 1)
         best = np.argpartition(-like, k - 1, axis=1)[:, :k]
         return _edge_batch(np.repeat(node, k), node[best].ravel(), np.take_along_axis(like, best, 1).ravel())
 
@@ -123,21 +132,21 @@ def first_edges(nodes: DataFrame, count: int) -> DataFrame:
     return ordered.mapInArrow(blocks, _EDGES).where("u <> v")
 
 
-def nearest_edges(edges: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
-    """The `most` nearest neighbours of each node."""
-    single = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
+def nearest_edges(edges: DataFrame, most: int) -> DataFrame:
+    """The `most` nearest neighbours of each node; of edges that come twice, one is new if both are."""
+    single = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
     place = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))
     return single.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
+def both_ways(edges: DataFrame, most: int) -> DataFrame:
     """Neighbours of each node and, of the nodes that have it as a neighbour, as many of the nearest."""
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
-    return edges.unionByName(nearest_edges(back)).groupBy("u", "v").agg(F.max("s").alias("s"))
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "new")
+    return edges.unionByName(nearest_edges(back, most)).groupBy("u", "v").agg(F.max("s").alias("s"))
 
 
-def descend(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges after one iteration: neighbours of a node meet each other."""
+def descend(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """Edges after one iteration: neighbours of a node meet each other. Those that were not there before are new."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,23 +167,28 @@ def descend(edges: DataFrame, nodes: DataFrame) -> DataFrame:
                 found.append((node[start + a], node[start + b], like[a, b]))
             yield _edge_batch(*(np.concatenate(x) for x in zip(*found)))
 
-    worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= NEIGHBOURS, F.min("s")).otherwise(-2.0).cast("float").alias("least"))
+    worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= most, F.min("s")).otherwise(-2.0).cast("float").alias("least"))
     known = nodes.join(worst.withColumnRenamed("u", "node"), "node", "left").withColumn("least", F.coalesce("least", F.lit(-2.0).cast("float")))
-    around = both_ways(edges).select("u", "v").join(known.withColumnRenamed("node", "v"), "v")
-    # At most twice NEIGHBOURS members each.
+    around = both_ways(edges, most).select("u", "v").join(known.withColumnRenamed("node", "v"), "v")
+    # At most twice `most` members each.
     groups = around.groupBy("u").agg(F.collect_list(F.struct("v", "unit", "least")).alias("members"))
     better = groups.select("members").mapInArrow(meet, _EDGES).where("u <> v")
-    return nearest_edges(edges.unionByName(better))
-
-
-def graph(nodes: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
-    edges = materialize(nearest_edges(first_edges(nodes, nodes.count())))
-    for _ in range(iterations):
-        edges = materialize(descend(edges, nodes))
+    was = edges.withColumn("new", F.lit(False))
+    return nearest_edges(was.unionByName(better.withColumn("new", F.lit(True))), most)
+
+
+def graph(nodes: DataFrame, count: int, changed: float = CHANGED) -> DataFrame:
+    """Edges of the nodes, iterated until the share of new ones is at most `changed`."""
+    most, _ = sizes(count)
+    edges = materialize(nearest_edges(first_edges(nodes, count, most).withColumn("new", F.lit(True)), most))
+    new = total = edges.count()
+    while new > changed * total:
+        edges = materialize(descend(edges, nodes, most))
+        new, total = edges.agg(F.count_if("new"), F.count(F.lit(1))).first()
     return edges
 
 
-def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     """query (a node) and node: the nodes that a greedy search from the query's own node ends with."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,20 +201,22 @@ def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         met = pairs.join(nodes, "node").join(nodes.select(F.col("node").alias("query"), F.col("unit").alias("own")), "query")
         return met.select("query", "node", "unit", "own").mapInArrow(score, "query bigint, node bigint, s float")
 
-    around = materialize(both_ways(edges).select("u", "v"))
+    most, keep = sizes(count)
+    around = materialize(both_ways(edges, most).select("u", "v"))
     own = queries.select("query", F.col("query").alias("node"))
     start = own.join(around.withColumnRenamed("u", "node"), "node").select("query", F.col("v").alias("node")).unionByName(own).distinct()
     beam = materialize(scored(start).withColumn("visited", F.col("query") == F.col("node")))
     by_nearness = W.partitionBy("query").orderBy(F.desc("s"), "node")
-    for _ in range(STEPS):
-        to_visit = beam.where("NOT visited").withColumn("turn", F.row_number().over(by_nearness)).where(F.col("turn") <= VISITS)
+    # A step visits a quarter of what a query keeps; each node once, so that there is an end.
+    while not beam.where("NOT visited").isEmpty():
+        to_visit = beam.where("NOT visited").withColumn("turn", F.row_number().over(by_nearness)).where(F.col("turn") <= keep // 4)
         visits = to_visit.select("query", "node")
         fresh = visits.join(around.withColumnRenamed("u", "node"), "node").select("query", F.col("v").alias("node")).distinct()
         fresh = fresh.join(beam.select("query", "node"), ["query", "node"], "left_anti")
         done = visits.withColumn("now", F.lit(True))
         seen = beam.join(done, ["query", "node"], "left").select("query", "node", "s", (F.col("visited") | F.coalesce("now", F.lit(False))).alias("visited"))
         both = seen.unionByName(scored(fresh).withColumn("visited", F.lit(False)))
-        beam = materialize(both.withColumn("place", F.row_number().over(by_nearness)).where(F.col("place") <= BEAM).drop("place"))
+        beam = materialize(both.withColumn("place", F.row_number().over(by_nearness)).where(F.col("place") <= keep).drop("place"))
     return beam.select("query", "node")
 
 
@@ -217,7 +233,8 @@ def nearest_neighbours(rows: DataFrame, *, is_query: Column, most: int = 5, id_c
     vectors = materialize(usable(rows, id_column, vector_column))
     nodes = materialize(nodes_of(vectors))
     asked = vectors.where(is_query)
-    found = search(asked.select(F.col("node").alias("query")).distinct(), graph(nodes), nodes)
+    count = nodes.count()
+    found = search(asked.select(F.col("node").alias("query")).distinct(), graph(nodes, count), nodes, count)
     # Of equal vectors only the smallest ids can be among the nearest, besides the query's own.
     by_id = W.partitionBy("node").orderBy("vec_id")
     members = vectors.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= most + 1).drop("place")

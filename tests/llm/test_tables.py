@@ -204,6 +204,28 @@ def test_neighbours(spark):
     assert set(found) == set(range(0, 1500, 50))
 
 
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    """Few first neighbours, so that what iterations find is what counts."""
+    monkeypatch.setattr(neighbors, "BLOCK", 8)
+    for n in (1000, 4000):
+        vectors = np.random.default_rng(n).standard_normal((n, 48)).astype(np.float32)
+        df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<float>").repartition(4)
+        found = defaultdict(set)
+        for r in neighbors.nearest_neighbours(df, is_query=F.col("vec_id") % 20 == 0).collect():
+            found[r.query_id].add(r.vec_id)
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        like = unit[::20] @ unit.T
+        like[np.arange(n // 20), np.arange(0, n, 20)] = -2
+        best = np.argsort(-like, axis=1)[:, :5]
+        assert sum(len(found[20 * i] & set(row.tolist())) for i, row in enumerate(best)) >= 0.9 * best.size
+    # The graph itself holds nearly all of the nearest, long before a query searches it.
+    nodes = neighbors.nodes_of(neighbors.usable(df))
+    ids = {r.node: r.vec_id for r in neighbors.usable(df).select("node", "vec_id").collect()}
+    edges = {(ids[r.u], ids[r.v]) for r in neighbors.graph(nodes, n).collect()}
+    assert sum((20 * i, int(v)) in edges for i, row in enumerate(best) for v in row) >= 0.9 * best.size
+    assert neighbors.sizes(1000) == (32, 120) and neighbors.sizes(80_000) == (40, 240) and neighbors.sizes(2_000_000) == (59, 1200)
+
+
 def test_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])], schema)
