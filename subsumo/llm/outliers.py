@@ -5,7 +5,8 @@ source) the minimum-covariance-determinant estimate of location and scatter is f
 concentration steps: the share `SHARE` of the rows nearest to the last estimate gives the next
 one. A step is a distributed aggregation: distances are arithmetic on columns, their
 quantile and the moments of the nearest rows are sums by cell, so no cell is ever gathered
-in one task. A cell with few rows takes the estimate of its language, or of the whole table.
+in one task. A cell with few rows takes the estimate of its language, or of the whole table,
+which rest on all rows of the language or table, those of large cells too.
 Rows whose squared Mahalanobis distance is above a chi-square quantile are rejected.
 
 Nulls are texts without words. Texts without words fail the stated rules and take no part
@@ -119,14 +120,18 @@ def distance() -> Column:
 
 
 def with_cells(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """The cell of each row: its language and source, its language, or everything."""
+    """The cell that each row is judged by (its language and source, its language, or everything) and
+    the cells whose estimates it feeds: its own one, and those of its language and of everything where others are judged by them."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source"))
     rows = rows.withColumns({"lang_key": lang, "source_key": source})
     counts = rows.groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("n"))
-    of_lang = counts.groupBy("lang_key").agg(F.sum("n").alias("n_lang"))
-    cell = F.when(F.col("n") >= least_rows, F.to_json(F.struct("lang_key", "source_key")))
-    cell = cell.when(F.col("n_lang") >= least_rows, F.to_json(F.struct("lang_key"))).otherwise(F.lit("all"))
-    cells = counts.join(of_lang, "lang_key").select("lang_key", "source_key", cell.alias("cell"))
+    of_lang = counts.groupBy("lang_key").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least_n"))
+    of_all = of_lang.agg(F.min("n_lang").alias("least_lang"))
+    large = F.when(F.col("n") >= least_rows, F.to_json(F.struct("lang_key", "source_key")))
+    large_lang = F.when(F.col("n_lang") >= least_rows, F.to_json(F.struct("lang_key")))
+    feeds = F.array_compact(F.array(large, F.when(F.col("least_n") < least_rows, large_lang), F.when(F.col("least_lang") < least_rows, F.lit("all"))))
+    cells = counts.join(of_lang, "lang_key").crossJoin(of_all)
+    cells = cells.select("lang_key", "source_key", F.coalesce(large, large_lang, F.lit("all")).alias("cell"), feeds.alias("feeds"))
     return rows.join(cells, ["lang_key", "source_key"]).drop("lang_key", "source_key")
 
 
@@ -142,7 +147,7 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
     found = materialize(start.select("cell", "centre", inverse.alias("inverse")))
     for _ in range(steps):
         placed = rows.join(found, "cell").select("cell", *_X, distance().alias("d"))
-        limits = placed.groupBy("cell").agg(F.percentile_approx("d", share, 1000).alias("most"))
+        limits = materialize(placed.groupBy("cell").agg(F.percentile_approx("d", share, 1000).alias("most")))
         near = placed.join(limits, "cell").where(F.col("d") <= F.col("most"))
         moments = near.groupBy("cell").agg(
             F.array(*(F.avg(x) for x in _X)).alias("centre"),
@@ -170,7 +175,7 @@ def judged(documents: DataFrame, *, rejected: float = REJECTED, least_rows: int
     rows = materialize(with_statistics(documents))
     rows = rows.withColumns(dict(zip(_X, transformed())))
     rows = materialize(with_cells(rows, least_rows))
-    found = estimates(rows.where("n_words > 0"))
+    found = estimates(rows.where("n_words > 0").withColumn("cell", F.explode("feeds")))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     most = chi_square_quantile(1 - rejected, DIMENSIONS)
     placed = rows.join(found, "cell", "left").withColumns({"base_failed": base, "distance": distance()})

@@ -246,6 +246,23 @@ def plain_distances(rows):
     return d
 
 
+def test_small_cells_are_judged_by_all_rows(spark):
+    draw = random.Random(1)
+    make = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 8))) for _ in range(n))
+    garbage = lambda: " ".join("#*$%&|" + word for word in make(90).split())
+    rows = [(i, make(draw.randint(50, 200)), "en", "s0" if i % 3 else "s1", 1) for i in range(600)]
+    rows += [(1000 + i, garbage(), "en", "small", 1) for i in range(5)] + [(1005, make(90), "en", "small", 1)]
+    rows += [(2000, garbage(), "xx", "s0", 1), (2001, make(90), "yy", "s0", 1)]
+    found = {r.doc_id: r for r in outliers.judged(spark.createDataFrame(rows, DOCUMENTS), least_rows=100).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert {i for i, r in found.items() if not r.kept} == {*range(1000, 1005), 2000}
+    of_lang = [found[r[0]] for r in rows if r[2] == "en"]
+    for of, at in ((of_lang, range(1000, 1006)), ([found[r[0]] for r in rows], (2000, 2001))):
+        plain = dict(zip((r.doc_id for r in of), plain_distances(of)))
+        for i in at:
+            assert abs(found[i].distance - plain[i]) <= 0.1 * plain[i] + 0.05
+
+
 def test_odd_outliers(odd, empty):
     rows = outliers.judged(odd).collect()
     assert len(rows) == odd.count()
