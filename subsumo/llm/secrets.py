@@ -4,7 +4,9 @@ A vocabulary learned from prose and code spells words with few tokens: four or m
 characters each. Keys drawn at random need a token for every two characters or less. The
 scan takes runs of letters, digits and the marks of base64 texts, puts aside what is known to
 look random without being secret (digests in hexadecimal, UUIDs, names made of words) and
-reports runs with few characters a token. Such a span never hides one of a stated kind.
+reports runs with few characters a token. Of other runs it looks at the parts between marks:
+names and paths joined to a key make a run readable, so they are taken off and what is left
+is tested. Such a span never hides one of a stated kind.
 
 Spans are counted in code points, ends exclusive. Nulls are empty texts, which have no spans.
 Rows that repeat are scanned each; ties at one start keep the order of the kinds.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 
 import public_tokenizers
@@ -41,6 +44,10 @@ DIGEST = re.compile(r"(?:md5|sha1|sha256|sha384|sha512)?[-_=]?(?:[0-9a-fA-F]{32}
 #: Words joined by marks or by capitals, with a number at the end of a word at most; also paths.
 _WORD = r"(?>[A-Z]?[a-z]{2,}+[0-9]{0,4}+|[A-Z]{2,}+[0-9]{0,4}+|[0-9]{1,8}+)"
 IDENTIFIER = re.compile(rf"[-_/+=]*+(?:{_WORD}[-_/+=]*+)++")
+PART = re.compile(r"[A-Za-z0-9]+")
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Za-z0-9])")
+#: Parts of so many characters with at least so many characters a token are read as words.
+WORD_LENGTH, WORD_RATIO = 5, 3.0
 
 
 @functools.cache
@@ -72,10 +79,47 @@ def is_random(run: str, ratio: float = RATIO, vocabulary: str = VOCABULARY) -> b
     return len(run) <= ratio * len(_encoding(vocabulary).encode_ordinary(run))
 
 
+def random_parts(run: str, ratio: float = RATIO, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
+    """Random spans of a run that is readable as a whole, between known digests and UUIDs."""
+    found, start = [], 0
+    for known in [*KNOWN.finditer(run), None]:
+        end = known.start() if known else len(run)
+        parts = [(m.start(), m.end(), _readable(m.group(), vocabulary)) for m in PART.finditer(run, start, end)]
+        found += _random_parts(run, end, parts, ratio, vocabulary)
+        start = known.end() if known else end
+    return found
+
+
+def _readable(part: str, vocabulary: str) -> bool:
+    if IDENTIFIER.fullmatch(part):
+        return True
+    return len(part) >= WORD_LENGTH and len(part) >= WORD_RATIO * len(_encoding(vocabulary).encode_ordinary(part))
+
+
+def _random_parts(run: str, end: int, parts: list[tuple[int, int, bool]], ratio: float, vocabulary: str) -> list[tuple[int, int]]:
+    """All from the first to the last part that is no word, else stretches without words, else single parts."""
+
+    def random(stretch: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
+        a, b = stretch[0][0], stretch[-1][1]
+        if not run[b:end].strip("="):
+            b = end
+        return [(a, b)] if SHORTEST <= b - a < len(run) and is_random(run[a:b], ratio, vocabulary) else []
+
+    stretches = [list(group) for word, group in itertools.groupby(parts, lambda part: part[2]) if not word]
+    if not stretches:
+        return []
+    whole = parts[parts.index(stretches[0][0]) : parts.index(stretches[-1][-1]) + 1]
+    return random(whole) or [span for s in stretches for span in random(s) or [x for part in s for x in random([part])]]
+
+
 def secret_spans(text: str, ratio: float = RATIO, vocabulary: str = VOCABULARY) -> list[tuple[int, int, int]]:
     """All spans as (start, kind number, end), sorted."""
     spans = signature_spans(text)
-    spans += [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m.group(), ratio, vocabulary)]
+    for m in RUN.finditer(text):
+        if is_random(m.group(), ratio, vocabulary):
+            spans.append((m.start(), 3, m.end()))
+        else:
+            spans += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(m.group(), ratio, vocabulary)]
     return sorted(spans)
 
 

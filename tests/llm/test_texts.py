@@ -96,6 +96,26 @@ def test_random_strings():
     assert not secrets.is_random("a" * 5000) and not secrets.is_random("thequickbrownfoxjumpsoverthelazydog")
 
 
+def test_random_strings_joined_to_names():
+    draw, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    names = ["production_database_credentials=", "client_credentials_production_key=", "/services/internal/production/configuration/"]
+    for size in (20, 24, 32, 40):
+        keys = ["".join(draw.choice(letters) for _ in range(size)) for _ in range(200)]
+        alone = [key for key in keys if secrets.secret_spans(key)]
+        assert len(alone) >= 198
+        for name in names:
+            for end in ("", "/production/settings"):
+                for key in alone:
+                    text = f"see {name}{key}{end} there"
+                    start = text.index(key)
+                    assert any(a <= start and start + size <= b for a, _, b in secrets.secret_spans(text)), text
+    marked = "production_database_credentials=" + "Zq7/xV2kP9+tR4w/B8nLs3Yd=="
+    assert secrets.redacted(marked, secrets.secret_spans(marked)) in ("[secret]", "production_database_credentials=[secret]")
+    for known in ("3f2a9c1d-8b4e-4c7a-9a3f-123456789012", hashlib.md5(b"x").hexdigest().upper()):
+        assert not secrets.secret_spans(f"/services/internal/production/configuration/request/{known}/production/settings")
+    assert not secrets.secret_spans("/services/internal/production_configuration/releases-2024/request_handlers/")
+
+
 def test_secret_columns(spark, odd):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
     for row in secrets.scan_secrets(df).collect():
