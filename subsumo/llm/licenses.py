@@ -116,8 +116,9 @@ def signature_rules() -> list[dict]:
     return rules
 
 
-#: Every rule and every stated phrase needs one of these.
-GATES = ("licen", "gpl", "creative commons", "public domain", "cc0")
+#: Every rule and every stated phrase needs one of these letters, or of these words with separators between.
+GATES = ("licen", "gpl", "cc0")
+WORD_GATES = ("creative commons", "public domain", "cc by")
 _RULE = "array<struct<keyword:string,pattern:string,level:int,label:string,rule:int>>"
 _FOUND = "array<struct<start:int,end:int,level:int,rule:int,label:string>>"
 
@@ -197,7 +198,7 @@ def scan_licenses(documents: DataFrame, *, id_column: str = "doc_id", text_colum
     gate = F.lit(False)
     for letters in GATES:
         gate = gate | F.contains(low, F.lit(letters))
-    gate = gate | low.rlike(f"cc[{SEPARATORS}]+by")
+    gate = gate | low.rlike("|".join(words.replace(" ", f"[{SEPARATORS}]+") for words in WORD_GATES))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, f"[{SEPARATORS}]+", " ")), F.lit(" "))
     scanned = F.when(gate, _let(words, _scanned))
     rows = documents.select(

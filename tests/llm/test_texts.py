@@ -175,6 +175,18 @@ def test_license_scan(spark, odd):
             assert odd_found[doc_id].n_words == plain_base(text or "")[0]
 
 
+def test_wrapped_phrases(spark):
+    texts = {
+        "under Creative\nCommons Attribution 4.0": "cc-by-4", "Creative  Commons Attribution": "cc-by", "creative-commons attribution": "cc-by",
+        "it is in the public\ndomain now": "public-domain", "in the public-domain": "public-domain", "into the public  domain": "public-domain",
+        "a CC -\nBY 4.0 work": "cc-by-4", "the\nGPL\n3": "gpl-3", "under\nCC0\n": "cc0", "MIT\nLicense": "mit",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.labelled(df).collect()}
+    for i, label in enumerate(texts.values()):
+        assert label in found[i].labels.split(",") and found[i].score > 0, (i, label)
+
+
 def test_suppression(spark):
     """A notice hides the title inside it, and no detection lies inside a kept one of its priority or a higher one."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(LICENSED)], "doc_id long, text string")
