@@ -4,7 +4,7 @@ import random
 from itertools import combinations, permutations
 
 import pytest
-from conftest import ind_set
+from ind_samples import ind_set
 from pyspark.sql import functions as F
 
 from subsumo.operators import algebra

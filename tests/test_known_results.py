@@ -1,7 +1,7 @@
 """Small data sets with results that are known in full."""
 
 import pytest
-from conftest import expected_inds, ids, ind_set
+from ind_samples import expected_inds, ids, ind_set
 
 from subsumo import Dialect, csv_tables, discover, discover_with_rules, partial_unary_inds
 from subsumo.operators.naming import named

@@ -4,7 +4,7 @@ import random
 from itertools import combinations, permutations
 
 import pytest
-from conftest import ind_set
+from ind_samples import ind_set
 
 from subsumo import DiscoveryError, TableSet, discover, discover_with_rules
 from subsumo.operators.candidates import apriori_candidates
