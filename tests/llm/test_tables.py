@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import DOCUMENTS, LABELS, PROSE, odd_rows
+from llm_samples import DOCUMENTS, LABELS, PROSE, odd_rows
 from pyspark.sql import functions as F
 
 from subsumo.llm import jaccard, mixing, neighbors, sharding

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import DOCUMENTS, LABELS, PROSE, odd_rows
+from llm_samples import DOCUMENTS, LABELS, PROSE, odd_rows
 
 from subsumo.llm import bpe, licenses, outliers, packing, secrets, toxicity
 
