@@ -26,6 +26,8 @@ from subsumo.session import materialize
 SHARDS, SEED = 8, 11
 #: Bytes of text in a bucket, on average.
 BUCKET_BYTES = 16 << 20
+#: Most buckets whose offsets are broadcast (of 32 bytes). More of them meet the records in a join that shuffles.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def size_of(text: Column) -> Column:
@@ -39,22 +41,27 @@ def shuffled(records: DataFrame, *, text_column: str = "text", bucket_bytes: int
     mark = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     record = F.struct(*(F.col(c) for c in records.columns))
     scattered = records.select(F.pmod(mark, F.lit(buckets)).cast("int").alias("bucket"), mark.alias("mark"), record.alias("record"))
-    gathered = scattered.groupBy("bucket").agg(F.collect_list(F.struct("mark", "record")).alias("rows"))
-    # Sorted first, since rows arrive in any order; then permuted (Spark's shuffle is a Fisher-Yates draw).
-    ordered = gathered.sortWithinPartitions("bucket").select("bucket", F.sort_array("rows").alias("rows"))
-    permuted = ordered.select("bucket", F.shuffle(F.col("rows"), seed).alias("rows"))
-    return materialize(permuted.select("bucket", F.posexplode("rows").alias("place", "row")).select("bucket", "place", "row.record"))
+    gathered = scattered.groupBy("bucket").agg(F.collect_list("mark").alias("marks"), F.collect_list("record").alias("rows"))
+    # Sorted by mark first, since rows arrive in any order; then permuted (Spark's shuffle is a Fisher-Yates draw).
+    # Both lists have one order. Records are not compared, so they may hold maps.
+    numbers = F.transform("marks", lambda mark, i: F.struct(mark.alias("mark"), i.alias("i")))
+    ordered = gathered.sortWithinPartitions("bucket").select("bucket", "rows", F.sort_array(numbers).alias("drawn"))
+    permuted = ordered.select("bucket", "rows", F.shuffle(F.col("drawn"), seed).alias("drawn"))
+    records_ = F.transform("drawn", lambda x: F.get("rows", x["i"]))
+    return materialize(permuted.select("bucket", F.posexplode(records_).alias("place", "record")))
 
 
 def with_shards(written: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds shard and slot to the rows of a written random order."""
-    counts = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
     in_order = W.orderBy("bucket")
     offsets = counts.select(
         "bucket",
         (F.sum("n").over(in_order) - F.col("n")).alias("offset"),
         F.sum("n").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"),
     )
+    if counts.count() <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
     placed = written.join(offsets, "bucket").withColumn("at", F.col("offset") + F.col("place"))
     placed = placed.withColumn("shard", F.expr(f"CAST(at * {shards} DIV total AS INT)"))
     first = F.expr(f"(shard * total + {shards - 1}) DIV {shards}")

@@ -1,9 +1,11 @@
 """Operators over whole tables, against brute force."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from llm_samples import DOCUMENTS, LABELS, PROSE, odd_rows
 from pyspark.sql import functions as F
 
@@ -115,6 +117,27 @@ def test_shards(spark, odd, empty):
     assert sharding.shard_records(empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_records_are_kept_whole(spark, monkeypatch, broadcast):
+    """Columns that cannot be compared and names used inside; offsets by broadcast or by a join give the same."""
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", broadcast)
+    rows = [(i, f"té{i}" * (i % 7) if i % 5 else None, {f"k{i}": i}, i, "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket map<string,int>, mark long, record string").repartition(4)
+    placed = sharding.shard_records(df, bucket_bytes=256, shards=7)
+    found = [(tuple(r.record), r.shard, r.slot) for r in placed.collect()]
+    assert sorted((x for x, _, _ in found), key=lambda x: x[0]) == rows
+    assert sorted((s, k) for _, s, k in found) == [(s, k) for s in range(7) for k in range((300 * (s + 1) + 6) // 7 - (300 * s + 6) // 7)]
+
+
+def test_shard_query_columns(spark, tmp_path):
+    rows = [(1, "añb", "en", "s", 3), (2, None, None, None, None), (3, "", "en", "s", 0), (3, "", "en", "s", 0)]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    out = sharding.QUERIES["op2_external_shuffle"].run(spark, str(tmp_path)).collect()
+    want = sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in out) == want
+    assert {(r.law, r.grown_shard) for r in out} == {("rows", None)}
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     sharding.write_shards(df, str(tmp_path / "shards"), shards=4)
