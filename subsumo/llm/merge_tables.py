@@ -5,8 +5,9 @@ as a table: every pair of tokens that spell a third together. A text is cut by t
 pattern; pieces that are tokens are done, the others become one row for each byte (word, address,
 token). A recursive query joins rows that stand side by side with the merges and contracts each
 word's leftmost pair of minimum rank, until no word has a pair left. A word's rows carry the
-length of what they spell, so the row behind is found at address plus length. Texts are put
-together from their pieces by ordered aggregation, and ids are decoded the same way.
+length of what they spell, so the row behind is found at address plus length. A task keeps the
+tokens of words, so that each is contracted once. Ids join the vocabulary and are decoded by
+ordered aggregation.
 
 What is in a query at once is bounded: words by the rows that their recursion can make, pieces
 by their number, spelled words by a limit after which they are forgotten. In words of over
@@ -41,7 +42,7 @@ VOCABULARY = "byte_bpe_multi_50k"
 #: Longest word, in bytes, whose steps are kept; rows of all steps of the words of one query.
 LONG_WORD, STEP_ROWS = 64, 1 << 22
 #: Pieces and tokens of one query; spelled words that a task keeps.
-QUERY_ROWS, HELD_WORDS = 1 << 20, 1 << 18
+QUERY_ROWS, HELD_WORDS = 1 << 20, 1 << 20
 #: Texts of more characters are not cut all at once.
 LONG_TEXT = 1 << 20
 
@@ -182,17 +183,20 @@ class Codec:
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.con.execute("CREATE OR REPLACE TABLE spelled (word INTEGER, place INTEGER, token INTEGER)")
+        #: Tokens of all words one after another, and by word the first one's place and their number.
+        self.spelled = np.zeros(0, np.int32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _contract(self, words: list[tuple[int, bytes]], query: str) -> None:
-        """Adds the tokens of words to `spelled`."""
+    def _contract(self, words: list[tuple[int, bytes]], query: str) -> tuple[np.ndarray, np.ndarray]:
+        """(word, token) of words, a word's tokens in order."""
         lengths = np.fromiter((len(w) for _, w in words), np.int64, len(words))
         numbers = np.repeat(np.fromiter((n for n, _ in words), np.int32, len(words)), lengths)
         gaps = np.repeat(np.arange(len(words)), lengths)  # words do not touch
         tokens = self.byte_tokens[np.frombuffer(b"".join(w for _, w in words), np.uint8)]
         self.con.register("bytes", pa.table({"word": numbers, "address": (np.arange(len(tokens)) + gaps).astype(np.int32), "token": tokens}))
-        self.con.execute(f"INSERT INTO spelled SELECT word, address, token FROM ({query})")
+        found = self.con.execute(f"SELECT word, token FROM ({query}) ORDER BY address").fetchnumpy()
         self.con.unregister("bytes")
+        return found["word"], found["token"]
 
     def _learn(self, new: list[tuple[int, str]]) -> None:
         known, short, long = [], [], []
@@ -203,38 +207,38 @@ class Codec:
                 known.append((number, token))
             else:
                 (long if len(word) > self.long_word else short).append((number, word))
-        if known:
-            numbers, tokens = (np.array(x, np.int32) for x in zip(*known))
-            self.con.register("given", pa.table({"word": numbers, "token": tokens}))
-            self.con.execute("INSERT INTO spelled SELECT word, 0, token FROM given")
-            self.con.unregister("given")
+        numbers, tokens = (np.array(x, np.int32) for x in zip(*known)) if known else (np.zeros(0, np.int32),) * 2
+        found = [(numbers, tokens)]
         for words, cost, query in ((short, lambda n: n * n // 2, _SHORT), (long, lambda n: 4 * n, None)):
             part, rows = [], 0
             for word in words:
                 part.append(word)
                 rows += cost(len(word[1]))
                 if rows >= self.step_rows:
-                    self._contract(part, query or _long(self.at_once))
+                    found.append(self._contract(part, query or _long(self.at_once)))
                     part, rows = [], 0
             if part:
-                self._contract(part, query or _long(self.at_once))
-
-    def _aggregate(self, owners: list[int], sizes: list[int], numbers: list[int], out: list[list[np.ndarray]]) -> None:
+                found.append(self._contract(part, query or _long(self.at_once)))
+        self._keep(np.concatenate([w for w, _ in found]), np.concatenate([t for _, t in found]))
+
+    def _keep(self, words: np.ndarray, tokens: np.ndarray) -> None:
+        """Words are new; a word's tokens stand together."""
+        starts = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+        more = len(self.words) - len(self.size)
+        self.first, self.size = np.append(self.first, np.zeros(more, np.int64)), np.append(self.size, np.zeros(more, np.int64))
+        self.first[words[starts]] = starts + len(self.spelled)
+        self.size[words[starts]] = np.diff(np.append(starts, len(words)))
+        self.spelled = np.append(self.spelled, tokens)
+
+    def _gather(self, owners: list[int], sizes: list[int], numbers: list[int], out: list[list[np.ndarray]]) -> None:
         """Appends to each text the ids of its next pieces."""
-        pieces_ = pa.table({
-            "part": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes),
-            "nth": np.arange(len(numbers), dtype=np.int32), "word": np.array(numbers, np.int32),
-        })
-        self.con.register("pieces", pieces_)
-        found = self.con.sql(
-            "SELECT part, list(token ORDER BY nth, place) AS ids FROM pieces JOIN spelled USING (word) GROUP BY part ORDER BY part"
-        ).to_arrow_table().combine_chunks()
-        self.con.unregister("pieces")
-        if found.num_rows:
-            lists = found.column("ids").chunk(0)
-            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-            for part, ids in zip(found.column("part").to_pylist(), np.split(flat, ends[:-1])):
-                out[owners[part]].append(ids)
+        pieces_ = np.array(numbers, np.int64)
+        size = self.size[pieces_]
+        ends = np.cumsum(size)
+        ids = self.spelled[np.repeat(self.first[pieces_] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        part_ends = np.append(0, ends)[np.cumsum(sizes, dtype=np.int64)]
+        for owner, part in zip(owners, np.split(ids, part_ends[:-1])):
+            out[owner].append(part)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]
@@ -245,7 +249,7 @@ class Codec:
 
         def flush() -> None:
             self._learn(new)
-            self._aggregate(owners, sizes, numbers, out)
+            self._gather(owners, sizes, numbers, out)
             for held in (owners, sizes, numbers, new):
                 held.clear()
             if len(self.words) > self.held_words:
