@@ -34,7 +34,7 @@ from subsumo.plans.discovery import as_ind_table, validated
 from subsumo.session import materialize, new_folder
 from subsumo.sinks import save
 from subsumo.sources.csv import apply_width_policy, file_tables, parse_lines, width_violations
-from subsumo.sources.lines import scan_lines
+from subsumo.sources.lines import any_charset, scan_lines
 from subsumo.sources.tables import TableSet
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -1028,6 +1028,38 @@ def _(spark, sf):
     return parsed.select(F.get("f", F.lit(0)).alias("doc_id"), F.get("f", F.lit(1)).alias("marked"))
 
 
+_ENCODED = (
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5('漢字' || replace(text, chr(10), '¶')) AS text_md5, lang, source, "
+    "CAST(n_chars AS VARCHAR) AS n_chars FROM documents"
+)
+
+
+def _encoded_documents(spark, sf, charset: str, **options) -> DataFrame:
+    """Documents, whole, written in another charset and read back."""
+    df = load(spark, sf, ALL_TABLES)["documents"]
+    text = F.concat(F.lit("漢字"), F.replace(F.col("text"), F.lit("\n"), F.lit("¶")))
+    with any_charset(spark):
+        line = F.encode(F.concat_ws("\x1f", "doc_id", text, "lang", "source", "n_chars"), charset)
+        encoded = df.select(line.cast("string").alias("value"))
+    folder = _lines_folder(spark, {"documents": encoded}, **options)
+    parsed = parse_lines(scan_lines(spark, f"{folder}/documents", 65535, encoding=charset), Dialect(separator="\x1f"))
+    return parsed.select(
+        F.get("f", F.lit(0)).alias("doc_id"), F.md5(F.get("f", F.lit(1))).alias("text_md5"),
+        *[F.get("f", F.lit(i)).alias(c) for i, c in ((2, "lang"), (3, "source"), (4, "n_chars"))],
+    )
+
+
+@query("charset_multibyte_lines", lambda: _ENCODED)
+def _(spark, sf):
+    return _encoded_documents(spark, sf, "GB18030")
+
+
+@query("charset_utf16_lines", lambda: _ENCODED)
+def _(spark, sf):
+    """Lines end with a newline of two bytes."""
+    return _encoded_documents(spark, sf, "UTF-16LE", lineSep="\n", encoding="UTF-16LE")
+
+
 @query("marked_lines", lambda: "SELECT doc_id || ';' || quality || ';' || toxic AS value FROM labels")
 def _(spark, sf):
     """A byte order mark in front is no data; the encoding may announce it."""

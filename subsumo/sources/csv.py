@@ -163,6 +163,7 @@ def csv_tables(
     name_regex: str | None = None,
     glob: str | None = None,
     max_depth: int | None = None,
+    whole_files: bool = False,
 ) -> TableSet:
     """Named delimited files as a table set. Columns are called column1, column2, … unless named.
 
@@ -178,7 +179,7 @@ def csv_tables(
     def scanned(name: str, heads_only: bool = False) -> DataFrame:
         charset = encoding if isinstance(encoding, str) else encoding.get(name, "UTF-8")
         return scan_lines(
-            spark, paths[name], numbered[name], charset, strip_bom, recursive, name_regex, glob, max_depth, heads_only
+            spark, paths[name], numbered[name], charset, strip_bom, recursive, name_regex, glob, max_depth, heads_only, whole_files
         )
 
     lines = {name: scanned(name) for name in paths}

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a unit of charsets whose newline is not a single byte; both orders of bytes.
+_WIDE = {"UTF-16LE": 2, "UTF-16BE": 2, "UTF-32LE": 4, "UTF-32BE": 4}
+
+
 def scan_lines(
     spark: SparkSession,
     paths: str | list[str],
@@ -18,6 +23,7 @@ def scan_lines(
     glob: str | None = None,
     max_depth: int | None = None,
     heads_only: bool = False,
+    whole_files: bool = False,
 ) -> DataFrame:
     """(table_id, path, block_start, row_in_block, value), one row per line.
 
@@ -25,57 +31,75 @@ def scan_lines(
     read by their suffix; they cannot be split, so use one file per wanted task.
     ``name_regex``, ``glob`` and ``max_depth`` choose files as in :func:`list_files`. Lines end
     with a newline; a carriage return in front of it is no part of the line. ``encoding`` may
-    be ``<bom>:<charset>``. ``heads_only`` reads the first block of every file."""
+    be ``<bom>:<charset>``, with any charset of the JVM. ``heads_only`` reads the first block of every file.
+
+    Lines are split as bytes and then decoded; bytes that the charset lacks become U+FFFD. In UTF-16
+    and UTF-32 the separator has the charset's width. Two characters side by side may hold its bytes
+    across their border (U+0A00 to U+0AFF next to U+xx00): such a file fails, and is read right
+    with ``whole_files``, which takes each file in one piece of at most 2 GB. That is also the way
+    for UTF-16 and UTF-32 files whose order of bytes only their mark tells."""
     marked, charset = parse_encoding(encoding)
-    if re.match(r"UTF-?(16|32)", charset.upper()):
-        raise ValueError(f"{charset} lines do not end with a single newline byte; convert such files first")
+    plain = charset.upper() in ("UTF-8", "UTF8", "UTF_8")
+    unit = _WIDE.get(_canonical(charset), 1)
+    if _canonical(charset) in ("UTF-16", "UTF-32") and not whole_files:
+        raise ValueError(f"{charset} does not say the order of bytes: name {charset}LE or {charset}BE, or read whole files")
     reader = spark.read.option("recursiveFileLookup", str(recursive or max_depth is not None).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    table = _single_bytes(charset)
-    if charset.upper() in ("UTF-8", "UTF8", "UTF_8"):
-        lines, value = reader.option("lineSep", "\n").text(paths), F.col("value")
+    if whole_files:
+        lines = reader.format("binaryFile").load(paths)
     else:
-        # A reader of one column that knows charsets; no line has its separator, quote or comment.
-        plain = {"sep": "\x01", "quote": "", "escape": "", "comment": "", "emptyValue": "", "lineSep": "\n"}
-        named = "ISO-8859-1" if table else charset
-        lines = reader.options(encoding=named, maxCharsPerColumn=-1, **plain).schema("value string").csv(paths)
-        value = F.coalesce(F.col("value"), F.lit(""))
-        if table and table != _LATIN:
-            # Bytes were read as characters of the same number; each stands for one of this charset.
-            value = F.translate(value, _LATIN, table)
+        separator = {"lineSep": "\n"} if unit == 1 else {"lineSep": "\n", "encoding": _canonical(charset)}
+        lines = reader.options(**separator).text(paths)
     path = F.col("_metadata.file_path")
     if name_regex is not None:
         lines = lines.where(F.col("_metadata.file_name").rlike(f"^(?:{name_regex})$"))
     if max_depth is not None:
         lines = lines.where(_depth(path, paths) <= max_depth)
-    if heads_only:
+    if heads_only and not whole_files:
         # On the source itself, so that other blocks are not even opened.
         lines = lines.where(F.col("_metadata.file_block_start") == 0)
     tag = path_id(F.col("_metadata.file_path")) if table_id is None else table_id
-    value = F.regexp_replace(value, "\r$", "")
-    if strip_bom or marked:
-        value = F.when(value.startswith("\ufeff"), F.substring(value, 2, 2**31 - 1)).otherwise(value)
-    return lines.select(
+    bytes_ = F.col("content") if whole_files else F.col("value").cast("binary")
+    if unit > 1 and not whole_files:
+        message = F.concat(F.lit("a line of another width than the charset's: read whole files, "), F.col("_metadata.file_path"))
+        bytes_ = F.when(F.octet_length(bytes_) % unit == 0, bytes_).otherwise(F.raise_error(message).cast("binary"))
+    at = [
         (F.lit(tag) if isinstance(tag, int) else tag).alias("table_id"),
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row_in_block"),
-        value.alias("value"),
-    )
+        (F.lit(0).cast("bigint") if whole_files else F.col("_metadata.file_block_start")).alias("block_start"),
+    ]
+    with any_charset(spark):
+        value = F.col("value") if plain and not whole_files else F.decode(bytes_, _canonical(charset))
+        found = lines.select(*at, value.alias("value"))
+    if whole_files:
+        # A newline at the end ends the last line and does not begin another; an empty file has no line.
+        text = F.regexp_replace("value", "\n$", "")
+        found = found.where("value <> ''").withColumn("value", F.explode(F.split(text, "\n", -1)))
+    value = F.regexp_replace("value", "\r$", "")
+    if strip_bom or marked:
+        value = F.when(value.startswith("\ufeff"), F.substring(value, 2, 2**31 - 1)).otherwise(value)
+    return found.select("table_id", "path", "block_start", F.monotonically_increasing_id().alias("row_in_block"), value.alias("value"))
 
 
-_LATIN = "".join(map(chr, range(128, 256)))
+def _canonical(charset: str) -> str:
+    """UTF-16LE for utf_16le, UTF16-LE and the like; other names as they are."""
+    wide = re.fullmatch(r"UTF[-_]?(16|32)[-_]?(LE|BE)?", charset.upper())
+    return f"UTF-{wide[1]}{wide[2] or ''}" if wide else charset
 
 
-def _single_bytes(charset: str) -> str | None:
-    """What the upper 128 bytes stand for in a charset that extends ASCII by one byte a character."""
+@contextmanager
+def any_charset(spark: SparkSession):
+    """Columns that are made within it decode any charset of the JVM and replace what is malformed."""
+    names = ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, "true")
     try:
-        table = [bytes([i]).decode(charset, "replace") for i in range(256)]
-    except LookupError:
-        return None
-    own = all(len(c) == 1 for c in table) and table[:128] == list(map(chr, range(128)))
-    return "".join(table[128:]) if own and table[128:].count("\ufffd") < 64 else None
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def path_id(path: Column) -> Column:

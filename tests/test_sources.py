@@ -81,9 +81,44 @@ def test_byte_order_mark(spark, tmp_path):
     assert values(scan_lines(spark, str(tmp_path / "x.txt"), 1)) == ["a", "b"]
 
 
-def test_wide_charsets_are_refused(spark, files):
+@pytest.mark.parametrize("charset,name", [
+    ("gbk", "GBK"), ("shift_jis", "Shift_JIS"), ("euc_jp", "EUC-JP"), ("big5", "Big5"), ("gb18030", "GB18030"),
+    ("utf-16-le", "UTF-16LE"), ("utf-16-be", "utf_16be"), ("utf-32-le", "UTF-32LE"), ("utf-32-be", "UTF32-BE"),
+])
+@pytest.mark.parametrize("whole", [False, True])
+def test_charsets_of_more_bytes(spark, tmp_path, charset, name, whole):
+    lines = ["漢字;a", "", "日本;b", "x" * 70_000 + ";c"]
+    (tmp_path / "x.txt").write_bytes(("\r\n".join(lines) + "\n").encode(charset))
+    assert values(scan_lines(spark, str(tmp_path), 1, encoding=name, whole_files=whole)) == sorted(lines)
+    tables = csv_tables(spark, {"x": str(tmp_path)}, encoding=name, policy="drop", widths={"x": 2}, whole_files=whole)
+    assert sorted(r["c1"] for r in tables.tables[0].text().collect()) == ["a", "b", "c"]
+
+
+def test_marks_tell_the_order_of_bytes(spark, tmp_path):
+    for order in ("le", "be"):
+        (tmp_path / order).write_bytes(("\ufeff" + "ä;1\nß;2").encode(f"utf-16-{order}"))
+        assert values(scan_lines(spark, str(tmp_path / order), 1, encoding="UTF-16", whole_files=True)) == ["ß;2", "ä;1"]
+        assert values(scan_lines(spark, str(tmp_path / order), 1, encoding=f"UTF-16{order}")) == ["ß;2", "ä;1"]
     with pytest.raises(ValueError):
-        scan_lines(spark, files["letters.csv"], 1, encoding="UTF-16LE")
+        scan_lines(spark, str(tmp_path), 1, encoding="UTF-16")
+
+
+def test_newline_bytes_across_characters(spark, tmp_path):
+    """The bytes of a newline, half in one character and half in the next: refused, not misread."""
+    (tmp_path / "x").write_bytes("\u0a41\u3000x\ny".encode("utf-16-be") + "\u3000\u0a41\u0a00".encode("utf-16-be"))
+    (tmp_path / "y").write_bytes("\u0a41\u3000x\ny".encode("utf-16-le"))
+    with pytest.raises(Exception, match="whole files"):
+        scan_lines(spark, str(tmp_path / "y"), 1, encoding="UTF-16LE").collect()
+    with pytest.raises(Exception, match="whole files"):
+        scan_lines(spark, str(tmp_path / "x"), 1, encoding="UTF-16BE").collect()
+    assert values(scan_lines(spark, str(tmp_path / "y"), 1, encoding="UTF-16LE", whole_files=True)) == ["y", "\u0a41\u3000x"]
+
+
+def test_malformed_bytes_and_settings(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"a\x81\nb\n")
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    assert values(scan_lines(spark, str(tmp_path), 1, encoding="Shift_JIS")) == ["a\ufffd", "b"]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before
 
 
 def test_encoding_text():
