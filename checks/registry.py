@@ -495,7 +495,7 @@ def _(spark, sf):
     lambda: Script(FLAGS).levels(2).select(
         f"SELECT 1 AS arity, CAST({len(column_ids(FLAGS)) * (len(column_ids(FLAGS)) - 1)} AS BIGINT) AS candidates, "
         "(SELECT count(*) FROM ind1) AS inds, 0 AS scans UNION ALL "
-        "SELECT 2 AS arity, (SELECT count(*) FROM cand2) AS candidates, (SELECT count(*) FROM ind2) AS inds, 1 AS scans"
+        "SELECT 2 AS arity, (SELECT count(*) FROM cand2) AS candidates, (SELECT count(*) FROM ind2) AS inds, 2 AS scans"
     ),
 )
 def _(spark, sf):

@@ -11,22 +11,26 @@ from subsumo.functions.words import slot
 from subsumo.sources.tables import TableSet
 
 
-def cells(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
-    """(word, bit, k0) for every cell, with the column given by its bit slot."""
-    parts = [_table_cells(tables, t, drop_nulls) for t in tables.tables if t.width]
-    return union_all(parts, tables.spark, "word int, bit bigint, k0 string")
+def cells(tables: TableSet, drop_nulls: bool = True, count_nulls: bool = False) -> DataFrame:
+    """(word, bit, k0) for every cell, with the column given by its bit slot.
 
+    With ``count_nulls`` null cells are kept, without a bit and marked by their column in ``null_of``."""
+    parts = [_table_cells(tables, t, drop_nulls, count_nulls) for t in tables.tables if t.width]
+    return union_all(parts, tables.spark, "word int, bit bigint, k0 string" + ", null_of int" * count_nulls)
 
-def _table_cells(tables: TableSet, table, drop_nulls: bool) -> DataFrame:
+
+def _table_cells(tables: TableSet, table, drop_nulls: bool, count_nulls: bool) -> DataFrame:
     entries = []
     for column in tables.columns:
         if column.table_number == table.number:
             word, bit = slot(column.member)
-            entries.append(
-                F.struct(F.lit(word).alias("word"), F.lit(bit).cast("bigint").alias("bit"), F.col(f"c{column.index}").alias("k0"))
-            )
+            value = F.col(f"c{column.index}")
+            bits = F.lit(bit).cast("bigint")
+            entry = [F.lit(word).alias("word"), (F.when(value.isNotNull(), bits).otherwise(F.lit(0)) if count_nulls else bits).alias("bit")]
+            missing = [F.when(value.isNull(), F.lit(column.member)).alias("null_of")] * count_nulls
+            entries.append(F.struct(*entry, value.alias("k0"), *missing))
     long_form = tables.keys(table).select(F.inline(F.array(*entries)))
-    return long_form.where(F.col("k0").isNotNull()) if drop_nulls else long_form
+    return long_form.where(F.col("k0").isNotNull()) if drop_nulls and not count_nulls else long_form
 
 
 def cell_values(tables: TableSet, drop_nulls: bool = True) -> DataFrame:

@@ -25,8 +25,14 @@ def attribute_groups(keyed: DataFrame, keys: Sequence[str], n_members: int) -> D
 
     ``keyed`` has one row (word, bit, *keys) per occurrence of a value. A value that fills
     a third of all rows is one partial row per map task, since ``bit_or`` combines there.
-    """
+
+    If it also has ``null_of``, rows in which that is a member stand for occurrences without a
+    value; all their keys are null. They become rows without words, with ``null_of`` and their
+    number ``nulls``, one for each member and map task."""
     n_words = max(1, -(-n_members // BITS))
+    nulls = ["null_of"] if "null_of" in keyed.columns else []
+    rows = [F.count("null_of").alias("nulls")] if nulls else []
+    summed = [F.sum("nulls").alias("nulls")] if nulls else []
     if n_words <= MAX_DENSE_WORDS:
         names = [f"w{k}" for k in range(n_words)]
         if n_words == 1:
@@ -36,15 +42,29 @@ def attribute_groups(keyed: DataFrame, keys: Sequence[str], n_members: int) -> D
                 F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bit"))), F.lit(0).cast("bigint")).alias(name)
                 for k, name in enumerate(names)
             ]
-        per_value = keyed.groupBy(*keys).agg(*merged)
-        counted = per_value.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+        per_value = keyed.groupBy(*keys, *nulls).agg(*merged, *rows)
+        counted = per_value.groupBy(*names, *nulls).agg(F.count(F.lit(1)).alias("n"), *summed)
         return counted.withColumn("words", _sparse(names))
     # Very wide schemas: one word per row first, so that no row carries all words.
-    per_word = keyed.groupBy(*keys, "word").agg(F.bit_or("bit").alias("bits"))
-    per_value = per_word.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("word").alias("k"), "bits"))).alias("words")
+    per_word = keyed.groupBy(*keys, *nulls, "word").agg(F.bit_or("bit").alias("bits"), *rows)
+    some = F.when(F.col("bits") != 0, F.struct(F.col("word").alias("k"), "bits"))
+    per_value = per_word.groupBy(*keys, *nulls).agg(F.sort_array(F.collect_list(some)).alias("words"), *summed)
+    return per_value.groupBy("words", *nulls).agg(F.count(F.lit(1)).alias("n"), *summed)
+
+
+def values_only(groups: DataFrame) -> DataFrame:
+    """The groups of values, without the rows that count nulls."""
+    return groups.where(F.col("null_of").isNull()).drop("null_of", "nulls") if "null_of" in groups.columns else groups
+
+
+def member_stats(groups: DataFrame) -> DataFrame:
+    """(m, size, nulls): distinct values and nulls per member, from one reading of groups with null counts."""
+    entry = lambda m, size, nulls: F.struct(m.alias("m"), size.alias("size"), nulls.alias("nulls"))
+    zero = F.lit(0).cast("bigint")
+    entries = F.when(F.col("null_of").isNotNull(), F.array(entry(F.col("null_of"), zero, F.col("nulls")))).otherwise(
+        F.transform(members("words"), lambda m: entry(m, F.col("n"), zero))
     )
-    return per_value.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+    return groups.select(F.inline(entries)).groupBy("m").agg(F.sum("size").alias("size"), F.sum("nulls").alias("nulls"))
 
 
 def _sparse(names: Sequence[str]) -> Column:
@@ -61,22 +81,25 @@ def member_sizes(groups: DataFrame) -> DataFrame:
 def inclusions(groups: DataFrame) -> DataFrame:
     """(m, size, refs): per member its distinct values and the members that hold all of them.
 
-    ``refs`` is a word array that contains the member itself."""
-    dense = [c for c in groups.columns if c not in ("words", "n")]
-    by_member = groups.withColumn("m", F.explode(members("words")))
-    if dense:
-        common = by_member.groupBy("m").agg(F.sum("n").alias("size"), *[F.bit_and(w).alias(w) for w in dense])
-        return common.select("m", "size", _sparse(dense).alias("refs"))
-    # A word is common to all values only if no value lacks it.
-    by_word = (
-        by_member.select("m", "n", F.explode("words").alias("w"))
-        .groupBy("m", F.col("w.k").alias("k"))
-        .agg(F.bit_and("w.bits").alias("bits"), F.sum("n").alias("s"))
+    ``refs`` is a word array that contains the member itself. Groups are first merged by pairs
+    of words: what the members of one word have in common with another word is the same for
+    all groups that agree in both. Only then are a word's at most 63 members expanded, each
+    with one other word, whatever the width of the schema is."""
+    pairs = (
+        groups.select(F.explode("words").alias("own"), "words", "n")
+        .select("own", F.explode("words").alias("other"), "n")
+        .groupBy("own", "other")
+        .agg(F.sum("n").alias("n"))
+    )
+    common = (
+        pairs.select(F.explode(members("array(own)")).alias("m"), "own", "other", "n")
+        .groupBy("m", F.col("own.k").alias("own"), F.col("other.k").alias("k"))
+        .agg(F.bit_and("other.bits").alias("bits"), F.sum("n").alias("s"))
     )
-    own_word = F.col("k") == F.floor(F.col("m") / BITS)
+    # A word is common to all values of a member only if no value lacks it.
     return (
-        by_word.groupBy("m")
-        .agg(F.max(F.when(own_word, F.col("s"))).alias("size"), F.sort_array(F.collect_list(F.struct("k", "bits", "s"))).alias("ws"))
+        common.groupBy("m")
+        .agg(F.max(F.when(F.col("k") == F.col("own"), F.col("s"))).alias("size"), F.sort_array(F.collect_list(F.struct("k", "bits", "s"))).alias("ws"))
         .select(
             "m",
             "size",

@@ -7,6 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +21,13 @@ from subsumo.sources.tables import Table, TableSet
 Combo = tuple[int, ...]
 
 
-def combo_values(
-    tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True, one_in: int | None = None
-) -> DataFrame:
+def combo_values(tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True, count_nulls: bool = False) -> DataFrame:
     """(word, bit, k0, k1, …): per row and requested combo the values of its columns.
 
     Only tables and columns that occur in a combo are scanned. Values stay separate key
     columns, so no separator can be confused with data. With ``drop_nulls`` a combo with
-    any null is left out. ``one_in`` keeps the values of one in so many hash classes."""
+    any null is left out; with ``count_nulls`` it is kept without bit and values, and marked
+    by its number in ``null_of``."""
     n = len(combos[0])
     keys = [f"k{i}" for i in range(n)]
     parts = []
@@ -35,16 +35,21 @@ def combo_values(
         entries = []
         for member, at in places:
             word, bit = slot(member)
-            entries.append({"word": word, "bit": bit, **at})
+            entries.append({"word": word, "bit": bit, "m": member, **at})
         part = (
             tables.keys(table, needed)
             .select(F.array(*[f"c{i}" for i in needed]).alias("f"))
-            .select("f", _literal(entries, "word int, bit bigint", n))
-            .select("word", "bit", *[F.get("f", F.col(f"i{i}")).alias(f"k{i}") for i in range(n)])
+            .select("f", _literal(entries, "word int, bit bigint, m int", n))
+            .select("word", "bit", "m", *[F.get("f", F.col(f"i{i}")).alias(f"k{i}") for i in range(n)])
         )
-        if one_in:
-            part = part.where(F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0)
-        parts.append(part.dropna(how="any", subset=keys) if drop_nulls else part)
+        if count_nulls:
+            missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+            part = part.withColumn("null_of", F.when(missing, F.col("m")))
+            seen = F.col("null_of").isNull()
+            part = part.withColumns({"bit": F.when(seen, F.col("bit")).otherwise(F.lit(0)), **{k: F.when(seen, F.col(k)) for k in keys}})
+        elif drop_nulls:
+            part = part.dropna(how="any", subset=keys)
+        parts.append(part.drop("m"))
     return union_all(parts)
 
 
@@ -67,12 +72,15 @@ def _literal(entries: list[dict], fields: str, n: int) -> Column:
     return F.inline(F.from_json(F.lit(json.dumps(entries)), f"array<struct<{struct}>>"))
 
 
-def combo_inclusions(
-    tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True, one_in: int | None = None
-) -> DataFrame:
+def combo_groups(tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True, count_nulls: bool = False) -> DataFrame:
+    """Attribute groups with the positions of combos in the given list as members."""
+    keyed = combo_values(tables, combos, drop_nulls, count_nulls)
+    return attribute_groups(keyed, [f"k{i}" for i in range(len(combos[0]))], len(combos))
+
+
+def combo_inclusions(tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True) -> DataFrame:
     """(m, size, refs): as for columns, with m the position of the combo in the given list."""
-    keyed = combo_values(tables, combos, drop_nulls, one_in)
-    return inclusions(attribute_groups(keyed, [f"k{i}" for i in range(len(combos[0]))], len(combos)))
+    return inclusions(combo_groups(tables, combos, drop_nulls))
 
 
 def chunk_combos(candidates: Sequence[tuple[Combo, Combo]]) -> list[Combo]:
@@ -84,69 +92,61 @@ def check_candidates(
 ) -> DataFrame:
     """(dep, ref, size, holds). Results start from the candidates, so inclusions between
     combos that were never asked for cannot appear. A dependent combo that is never seen
-    is void: size 0, and its candidates hold."""
+    is void: size 0, and its candidates hold. A referenced side that is not among the combos
+    means that the candidate is refuted already."""
     number = {combo: m for m, combo in enumerate(combos)}
     schema = pa.schema(
         [("dep", pa.list_(pa.int32())), ("ref", pa.list_(pa.int32())), ("m", pa.int32()), ("ref_m", pa.int32())]
     )
-    rows = [(list(dep), list(ref), number[dep], number[ref]) for dep, ref in candidates]
+    rows = [(list(dep), list(ref), number[dep], number.get(ref)) for dep, ref in candidates]
     asked = small_table(tables.spark, rows, schema).coalesce(1)  # one chunk, so one small file
     return asked.join(included, "m", "left").select(
         "dep",
         "ref",
         F.coalesce("size", F.lit(0).cast("bigint")).alias("size"),
-        (F.col("size").isNull() | contains("refs", "ref_m")).alias("holds"),
+        (F.col("size").isNull() | F.coalesce(contains("refs", "ref_m"), F.lit(False))).alias("holds"),
     )
 
 
-def not_refuted(
-    tables: TableSet, candidates: Sequence[tuple[Combo, Combo]], drop_nulls: bool, one_in: int
-) -> list[tuple[Combo, Combo]]:
-    """The candidates that hold among the values of one hash class.
+# --- sketches -----------------------------------------------------------------------
 
-    The class has the same values on both sides, so a value that is missing there is missing
-    altogether: whatever fails here fails, and the rest is still to be checked in full."""
-    combos = chunk_combos(candidates)
-    included = combo_inclusions(tables, combos, drop_nulls, one_in)
-    rows = check_candidates(tables, candidates, included, combos).where("holds").select("dep", "ref").collect()
-    return [(tuple(r["dep"]), tuple(r["ref"])) for r in rows]
+#: A value sets one of 512 bits of the level that its hash falls into; level l has one in 2^(l+1) of the values.
+_LEVELS, _LEVEL_BITS = 32, 9
 
 
-# --- nulls --------------------------------------------------------------------------
-
-
-def null_counts(tables: TableSet) -> DataFrame:
-    """(column_id, nulls) of every column: each task sends one row."""
-    parts = []
-    for t in tables.tables:
-        if not t.width:
-            continue
-        first = t.number << tables.column_bits
-        counts = t.df.agg(*[F.count_if(null).alias(f"n{i}") for i, null in enumerate(t.nulls)])
-        entries = [F.struct(F.lit(first + i).alias("column_id"), F.col(f"n{i}").alias("nulls")) for i in range(t.width)]
-        parts.append(counts.select(F.inline(F.array(*entries))))
-    return union_all(parts)
+def combo_sketches(tables: TableSet, combos: Sequence[Combo], drop_nulls: bool = True) -> np.ndarray:
+    """One row of 256 words (2 KB) per combo: a bitmap of its values, whatever their number is.
 
+    If X is included in Y, each bit of X's bitmap is set in Y's, on every level. However many values
+    there are, some level holds a few hundred of them, and there what is missing in Y shows as a bit.
+    Rows are turned into bits where they are read; what is shuffled are at most 256 words of a
+    combo for each task. All bitmaps of one chunk come to the driver: 32 MB for 16,384 combos."""
+    n = len(combos[0])
+    hashed = F.xxhash64(*[f"k{i}" for i in range(n)])
+    rest = F.shiftrightunsigned("h", _LEVEL_BITS)
+    # The number of zeros that the rest of the hash ends with.
+    level = F.least(F.bit_count(rest.bitwiseAND(-rest) - 1), F.lit(_LEVELS - 1))
+    words = 1 << (_LEVEL_BITS - 6)
+    within = F.shiftright("h", 6).bitwiseAND(F.lit(words - 1)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    slots = (
+        combo_values(tables, combos, drop_nulls)
+        .select("word", "bit", hashed.alias("h"))
+        .groupBy("word", "bit", (level * words + within).alias("slot"))
+        .agg(F.bit_or(bit).alias("bits"))
+    )
+    found = slots.select("word", F.bit_count(F.col("bit") - 1).alias("place"), "slot", "bits").toArrow()
+    word, place, at, bits = (found.column(c).to_numpy() for c in ("word", "place", "slot", "bits"))
+    sketches = np.zeros((len(combos), _LEVELS * words), np.int64)
+    sketches[word.astype(np.int64) * BITS + place, at] = bits
+    return sketches
 
-def combo_null_counts(tables: TableSet, combos: Sequence[Combo]) -> DataFrame:
-    """(m, nulls): rows with a null in any column of the combo.
 
-    Rows are first counted by which of their columns are null, which each task does before
-    anything is sent. Only these patterns, not rows, meet the combos."""
-    n = len(combos[0])
-    parts = []
-    for table, needed, places in _per_table(tables, combos):
-        entries = [{"m": member, **at} for member, at in places]
-        words = [needed[start : start + BITS] for start in range(0, len(needed), BITS)]
-        bits = [
-            reduce(lambda a, b: a.bitwiseOR(b), [F.when(table.nulls[i], F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, i in enumerate(word)])
-            for word in words
-        ]
-        some = reduce(lambda a, b: a | b, [F.col(f"w{k}") != 0 for k in range(len(words))])
-        patterns = table.df.select(*[b.alias(f"w{k}") for k, b in enumerate(bits)]).where(some)
-        patterns = patterns.groupBy(*[f"w{k}" for k in range(len(words))]).agg(F.count(F.lit(1)).alias("n"))
-        flags = F.array(*[F.col(f"w{at // BITS}").bitwiseAND(F.lit(1 << at % BITS)) != 0 for at in range(len(needed))])
-        met = patterns.select(flags.alias("null"), "n").select("null", "n", _literal(entries, "m int", n))
-        any_null = reduce(lambda a, b: a | b, [F.get("null", F.col(f"i{i}")) for i in range(n)])
-        parts.append(met.where(any_null).groupBy("m").agg(F.sum("n").alias("nulls")))
-    return union_all(parts)
+def not_refuted(tables: TableSet, candidates: Sequence[tuple[Combo, Combo]], drop_nulls: bool = True) -> list[tuple[Combo, Combo]]:
+    """The candidates that bitmaps do not refute. What holds is always among them; the rest is still to be checked."""
+    combos = chunk_combos(candidates)
+    number = {combo: m for m, combo in enumerate(combos)}
+    sketches = combo_sketches(tables, combos, drop_nulls)
+    dep, ref = (sketches[[number[c[side]] for c in candidates]] for side in (0, 1))
+    refuted = (dep & ~ref).any(axis=1)
+    return [c for c, out in zip(candidates, refuted.tolist()) if not out]

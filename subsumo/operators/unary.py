@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from subsumo.functions.words import int_array, members
 from subsumo.operators.cells import cells
-from subsumo.operators.groups import attribute_groups, inclusions, member_sizes, overlaps
+from subsumo.operators.groups import attribute_groups, inclusions, member_sizes, member_stats, overlaps, values_only
 from subsumo.sources.tables import TableSet
 
 #: Buckets of relative overlap (fixed values).
@@ -17,8 +17,8 @@ OVERLAP_BUCKETS = ["[0, 0]", "[0, 0.1)", "[0.1, 0.9)", "[0.9, 0.99)", "[0.99, 1)
 DEFAULT_MIN_OVERLAP = 0.9
 
 
-def column_groups(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
-    return attribute_groups(cells(tables, drop_nulls), ["k0"], len(tables.columns))
+def column_groups(tables: TableSet, drop_nulls: bool = True, count_nulls: bool = False) -> DataFrame:
+    return attribute_groups(cells(tables, drop_nulls, count_nulls), ["k0"], len(tables.columns))
 
 
 def attribute_group_lists(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
@@ -35,10 +35,18 @@ def column_sizes(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
     return sizes.select(tables.column_id_of(F.col("m")).alias("column_id"), "size")
 
 
-def column_inclusions(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
-    """(dep, size, refs): per column with a value, its size and the columns that include it."""
+def column_null_stats(tables: TableSet, groups: DataFrame | None = None) -> DataFrame:
+    """(column_id, size, nulls) of every column that has a row: values and nulls from one scan of each table."""
+    stats = member_stats(column_groups(tables, count_nulls=True) if groups is None else groups)
+    return stats.select(tables.column_id_of(F.col("m")).alias("column_id"), "size", "nulls")
+
+
+def column_inclusions(tables: TableSet, drop_nulls: bool = True, groups: DataFrame | None = None) -> DataFrame:
+    """(dep, size, refs): per column with a value, its size and the columns that include it.
+
+    ``groups`` takes :func:`column_groups` that are there already."""
     ids = int_array([c.column_id for c in tables.columns])
-    return inclusions(column_groups(tables, drop_nulls)).select(
+    return inclusions(column_groups(tables, drop_nulls) if groups is None else values_only(groups)).select(
         tables.column_id_of(F.col("m")).alias("dep"),
         "size",
         F.transform(F.array_remove(members("refs"), F.col("m")), lambda m: F.get(ids, m)).alias("refs"),

@@ -20,7 +20,7 @@ from subsumo.operators.candidates import Generator, generator_of, with_chunk, wi
 from subsumo.operators.cells import union_all
 from subsumo.operators.nary import Combo, check_candidates, chunk_combos, combo_inclusions, not_refuted
 from subsumo.operators.unary import unary_inds
-from subsumo.session import materialize, new_folder, small_table
+from subsumo.session import counted, materialize, new_folder, small_table
 from subsumo.sources.tables import TableSet
 
 Chunk = list[tuple[Combo, Combo]]
@@ -115,7 +115,7 @@ def discover(
     chunk_size: int = -1,
     drop_nulls: bool = True,
     count_only: bool = False,
-    prescreen: int | None = None,
+    refute: bool = True,
     on_ind: Callable[[Row], None] | None = None,
     on_level: Callable[[DataFrame, int], None] | None = None,
 ) -> Discovery:
@@ -124,9 +124,9 @@ def discover(
     ``on_ind`` gets every dependency and ``on_level`` every finished level as soon as they
     are there. ``exclude_void`` keeps columns without values out of generation.
 
-    ``prescreen`` = p first checks every candidate on one in p hash classes of its values.
-    Nearly all candidates that do not hold fail there, and only the others are checked on
-    all values: one more scan per chunk, but a far smaller shuffle. Results are the same."""
+    With ``refute`` bitmaps of fixed size are taken of all combos of a chunk first, and only
+    candidates that they do not refute are checked on all values: one more scan per chunk, but
+    a shuffle of nearly only what holds. Results are the same."""
     generate, generator_excludes, consolidates = generator_of(generator)
     rules = restrictions_of(restrictions)
     excludes = generator_excludes if exclude_void is None else exclude_void
@@ -136,23 +136,23 @@ def discover(
     arity = 1
     try:
         started = time.perf_counter()
-        unary = materialize(as_ind_table(unary_inds(tables, drop_nulls, include_void=not count_only)))
+        unary, n_inds = counted(as_ind_table(unary_inds(tables, drop_nulls, include_void=not count_only)))
         n_columns = len(tables.columns)
-        finish_level(found, unary, 1, n_columns * (n_columns - 1), started, on_ind, on_level)
+        finish_level(found, unary, 1, n_columns * (n_columns - 1), n_inds, started, on_ind, on_level)
         generating = without_void(unary) if excludes else unary
         last = generating
         while found.level_stats[-1].inds and (max_arity == -1 or arity < max_arity):
             arity += 1
             started = time.perf_counter()
-            candidates = materialize(generate(last, generating, arity, rules, tables.column_bits).select("dep", "ref"))
+            candidates = counted(generate(last, generating, arity, rules, tables.column_bits).select("dep", "ref"))
             phases = Phases(time.perf_counter() - started)
-            checked, n_candidates = validated(tables, candidates, chunk_size, drop_nulls, True, prescreen, phases)
-            if not n_candidates:
+            checked, n_inds = validated(tables, candidates, chunk_size, drop_nulls, True, refute, phases)
+            if not candidates[1]:
                 break
             if checked is None:
                 checked = last.withColumn("holds", F.lit(True)).limit(0)
             last = checked.select("dep", "ref", "size")
-            finish_level(found, last, arity, n_candidates, started, on_ind, on_level, phases=phases)
+            finish_level(found, last, arity, candidates[1], n_inds, started, on_ind, on_level, phases=phases)
     except Exception as error:
         raise DiscoveryError(f"discovery failed at arity {arity}: {error}", found) from error
     return found
@@ -164,55 +164,51 @@ def as_ind_table(unary: DataFrame) -> DataFrame:
 
 def validated(
     tables: TableSet,
-    candidates: DataFrame,
+    candidates: DataFrame | tuple[DataFrame, int],
     chunk_size: int = -1,
     drop_nulls: bool = True,
     only_valid: bool = False,
-    prescreen: int | None = None,
+    refute: bool = True,
     phases: Phases | None = None,
 ) -> tuple[DataFrame | None, int]:
-    """((dep, ref, size, holds), number of candidates); no table if no candidate is left.
-
-    All candidates must have the same arity. A prescreen needs ``only_valid``, as it does
-    not find out sizes. ``phases`` means that the candidates are a written table, and gets
-    the seconds and scans."""
-    if prescreen and not only_valid:
-        raise ValueError("a prescreen leaves out candidates that do not hold")
-    folder, checked, n_candidates = new_folder(tables.spark, "checked"), None, 0
+    """((dep, ref, size, holds), number of its rows); no table if no candidate is left.
+
+    All candidates must have the same arity. They come as a table, or as a written table
+    with its number of rows. ``phases`` gets the seconds and scans."""
+    folder, checked, n_rows = new_folder(tables.spark, "checked"), None, 0
     started, phases_of = time.perf_counter(), phases or Phases()
-    for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits, written=phases is not None):
-        n_candidates += len(chunk)
-        phases_of.scans += bool(prescreen)
-        left = not_refuted(tables, chunk, drop_nulls, prescreen) if prescreen else chunk
-        if left:
-            combos = chunk_combos(left)
-            results = check_candidates(tables, left, combo_inclusions(tables, combos, drop_nulls), combos)
-            checked = materialize(results.where("holds") if only_valid else results, folder)
+    for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
+        left = not_refuted(tables, chunk, drop_nulls) if refute else chunk
+        phases_of.scans += refute
+        if only_valid:
+            asked, combos = left, chunk_combos(left)
+        else:
+            # The size of every dependent side is wanted, but a refuted referenced side is not read.
+            asked, combos = chunk, sorted({dep for dep, _ in chunk} | {ref for _, ref in left})
+        if asked:
+            results = check_candidates(tables, asked, combo_inclusions(tables, combos, drop_nulls), combos)
+            checked, n = counted(results.where("holds") if only_valid else results, folder)
+            n_rows += n
             phases_of.scans += 1
     phases_of.validation = time.perf_counter() - started
-    return checked, n_candidates
+    return checked, n_rows
 
 
-def candidate_chunks(
-    candidates: DataFrame, chunk_size: int = -1, column_bits: int = 16, written: bool = False
-) -> Iterator[Chunk]:
+def candidate_chunks(candidates: DataFrame | tuple[DataFrame, int], chunk_size: int = -1, column_bits: int = 16) -> Iterator[Chunk]:
     """Candidates in bounded pieces. Every piece is one validation job.
 
-    A given size is kept to. Candidates are computed once: unless ``written`` says that they
-    are a table already, they become one before they are counted."""
+    A given size is kept to. Candidates are computed once: unless they come as a written
+    table with its number of rows, they become one here."""
     limit = chunk_size if chunk_size > 0 else DEFAULT_CHUNK
-    candidates = candidates if written else materialize(candidates.select("dep", "ref"))
-    first = candidates.limit(limit + 1).collect()
-    if not first:
-        return
-    if len(first) <= limit:
-        yield _as_chunk(first)
+    written, n = candidates if isinstance(candidates, tuple) else counted(candidates.select("dep", "ref"))
+    if n <= limit:
+        if n:
+            yield _as_chunk(written.collect())
         return
     # Sorted by chunk, so that reading a chunk skips the files of all others.
-    numbered = with_chunk(candidates, limit, column_bits)
+    numbered = with_chunk(written, limit, column_bits)
     numbered = materialize(numbered.repartitionByRange("chunk").sortWithinPartitions("chunk"))
-    last_chunk = numbered.agg(F.max("chunk")).first()[0]
-    for number in range(last_chunk + 1):
+    for number in range(-(-n // limit)):
         yield _as_chunk(numbered.where(F.col("chunk") == number).collect())
 
 
@@ -220,9 +216,8 @@ def _as_chunk(rows: list[Row]) -> Chunk:
     return [(tuple(r["dep"]), tuple(r["ref"])) for r in rows]
 
 
-def finish_level(found, level, arity, n_candidates, started, on_ind, on_level, n_rules=0, phases=None) -> None:
-    """Records a computed level, then hands it to the callbacks."""
-    n = level.count()
+def finish_level(found, level, arity, n_candidates, n, started, on_ind, on_level, n_rules=0, phases=None) -> None:
+    """Records a written level of n dependencies, then hands it to the callbacks."""
     found.levels.append(level)
     phases = phases or Phases()
     found.level_stats.append(

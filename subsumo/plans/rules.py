@@ -20,12 +20,11 @@ from subsumo.operators.cells import union_all
 from subsumo.operators.nary import (
     check_candidates,
     chunk_combos,
-    combo_inclusions,
-    combo_null_counts,
+    combo_groups,
     not_refuted,
-    null_counts,
 )
-from subsumo.operators.unary import column_inclusions, unary_inds
+from subsumo.operators.groups import inclusions, member_stats, values_only
+from subsumo.operators.unary import column_groups, column_inclusions, column_null_stats, unary_inds
 from subsumo.plans.discovery import (
     Discovery,
     DiscoveryError,
@@ -35,7 +34,7 @@ from subsumo.plans.discovery import (
     candidate_chunks,
     finish_level,
 )
-from subsumo.session import materialize, new_folder, small_table
+from subsumo.session import counted, materialize, new_folder, small_table
 from subsumo.sources.tables import TableSet
 
 
@@ -58,7 +57,7 @@ def discover_with_rules(
     restrictions: str = "NO_REPETITIONS",
     chunk_size: int = -1,
     drop_nulls: bool = True,
-    prescreen: int | None = None,
+    refute: bool = True,
     on_ind: Callable[[Row], None] | None = None,
     on_level: Callable[[DataFrame, int], None] | None = None,
 ) -> RuleDiscovery:
@@ -69,55 +68,55 @@ def discover_with_rules(
     arity = 1
     try:
         started = time.perf_counter()
-        columns = materialize(column_inclusions(tables, drop_nulls))
-        stats = materialize(unary_combo_stats(columns, null_counts(tables) if drop_nulls else None))
+        # Values and nulls of one scan; all that follows comes from the written groups.
+        groups = materialize(column_groups(tables, drop_nulls, count_nulls=drop_nulls))
+        columns = materialize(column_inclusions(tables, drop_nulls, groups))
+        stats = unary_combo_stats(columns, column_null_stats(tables, groups) if drop_nulls else None)
         unary = unary_with_ref_sizes(tables, columns)
         zero_ary = zero_ary_rules(unary)
-        kept = materialize(as_ind_table(unary.where(~is_zero_ary()).select("dep", "ref", "size")))
+        kept = counted(as_ind_table(unary.where(~is_zero_ary()).select("dep", "ref", "size")))
         _finish(found, kept, zero_ary, 1, len(tables.columns) * (len(tables.columns) - 1), started, on_ind, on_level)
-        last = unary_kept = kept
+        last = unary_kept = kept[0]
         while found.level_stats[-1].inds and (max_arity == -1 or arity < max_arity):
             arity += 1
             started = time.perf_counter()
-            holding, counted, n_candidates = None, None, 0
+            holding, current = None, None
             ind_folder, stat_folder = (new_folder(tables.spark, f"{kind}-{arity}") for kind in ("holding", "counted"))
-            candidates = materialize(generate(last, unary_kept, arity, allowed, tables.column_bits).select("dep", "ref"))
+            candidates = counted(generate(last, unary_kept, arity, allowed, tables.column_bits).select("dep", "ref"))
             phases = Phases(time.perf_counter() - started)
-            for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits, written=True):
-                n_candidates += len(chunk)
-                phases.scans += bool(prescreen)
+            for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
                 # Rules are read off valid dependencies, so counts of refuted ones are not needed.
-                left = not_refuted(tables, chunk, drop_nulls, prescreen) if prescreen else chunk
+                left = not_refuted(tables, chunk, drop_nulls) if refute else chunk
+                phases.scans += refute
                 if not left:
                     continue
                 combos = chunk_combos(left)
-                included = materialize(combo_inclusions(tables, combos, drop_nulls))
-                results = check_candidates(tables, left, included, combos).where("holds")
+                groups = materialize(combo_groups(tables, combos, drop_nulls, count_nulls=drop_nulls))
+                results = check_candidates(tables, left, inclusions(values_only(groups)), combos).where("holds")
                 holding = materialize(results.select("dep", "ref", "size"), ind_folder)
-                nulls = combo_null_counts(tables, combos) if drop_nulls else None
-                counted = materialize(combo_stats(tables, combos, included, nulls), stat_folder)
-                phases.scans += 1 + drop_nulls
+                current = materialize(combo_stats(tables, combos, groups), stat_folder)
+                phases.scans += 1
             phases.validation = time.perf_counter() - started - phases.generation
             if holding is None:
-                if n_candidates:
-                    found.level_stats.append(LevelStats(arity, n_candidates, 0, 0, time.perf_counter() - started))
+                if candidates[1]:
+                    found.level_stats.append(LevelStats(arity, candidates[1], 0, 0, time.perf_counter() - started))
                 break
             # A combo can be in several chunks, each of which counts it whole.
-            current = counted.distinct()
+            current = current.distinct()
             judged = materialize(judge(holding, current, stats))
-            rules = nary_rules(judged)
-            last = materialize(judged.where(~F.exists("is_rule", lambda r: r)).select("dep", "ref", "size"))
-            stats = current
-            _finish(found, last, rules, arity, n_candidates, started, on_ind, on_level, phases)
+            kept = counted(judged.where(~F.exists("is_rule", lambda r: r)).select("dep", "ref", "size"))
+            last, stats = kept[0], current
+            _finish(found, kept, nary_rules(judged), arity, candidates[1], started, on_ind, on_level, phases)
     except Exception as error:
         raise DiscoveryError(f"discovery failed at arity {arity}: {error}", found) from error
     return found
 
 
-def _finish(found, level, rules, arity, n_candidates, started, on_ind, on_level, phases=None) -> None:
-    rules = materialize(rules)
+def _finish(found, kept, rules, arity, n_candidates, started, on_ind, on_level, phases=None) -> None:
+    level, n = kept
+    rules, n_rules = counted(rules)
     found.rule_levels.append(rules)
-    finish_level(found, level, arity, n_candidates, started, on_ind, on_level, n_rules=rules.count(), phases=phases)
+    finish_level(found, level, arity, n_candidates, n, started, on_ind, on_level, n_rules=n_rules, phases=phases)
 
 
 # --- arity 0 ------------------------------------------------------------------------
@@ -147,21 +146,21 @@ def zero_ary_rules(unary: DataFrame) -> DataFrame:
 # --- higher arities -----------------------------------------------------------------
 
 
-def unary_combo_stats(columns: DataFrame, nulls: DataFrame | None) -> DataFrame:
+def unary_combo_stats(columns: DataFrame, stats: DataFrame | None) -> DataFrame:
     """(cols, size, nulls) per single column that has a value."""
-    if nulls is None:
+    if stats is None:
         return columns.select(F.array("dep").alias("cols"), "size", F.lit(0).cast("bigint").alias("nulls"))
-    joined = columns.join(nulls, F.col("dep") == F.col("column_id"))
-    return joined.select(F.array("dep").alias("cols"), "size", "nulls")
+    return stats.where(F.col("size") > 0).select(F.array("column_id").alias("cols"), "size", "nulls")
 
 
-def combo_stats(tables: TableSet, combos, included: DataFrame, nulls: DataFrame | None) -> DataFrame:
+def combo_stats(tables: TableSet, combos, groups: DataFrame) -> DataFrame:
     """(cols, size, nulls) per combo of a chunk. The key is sorted: order does not change counts."""
     schema = pa.schema([("m", pa.int32()), ("cols", pa.list_(pa.int32()))])
     listed = small_table(tables.spark, [(m, sorted(combo)) for m, combo in enumerate(combos)], schema).coalesce(1)
-    stats = listed.join(included.select("m", "size"), "m", "left")
     zero = F.lit(0).cast("bigint")
-    stats = stats.join(nulls, "m", "left") if nulls is not None else stats.withColumn("nulls", zero)
+    if "null_of" not in groups.columns:
+        groups = groups.withColumns({"null_of": F.lit(None).cast("int"), "nulls": zero})
+    stats = listed.join(member_stats(groups), "m", "left")
     return stats.select("cols", F.coalesce("size", zero).alias("size"), F.coalesce("nulls", zero).alias("nulls"))
 
 

@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from subsumo.operators.cells import union_all
-from subsumo.operators.nary import null_counts
-from subsumo.operators.unary import column_sizes
+from subsumo.operators.unary import column_null_stats, column_sizes
 from subsumo.session import small_table
 from subsumo.sources.tables import TableSet
 
@@ -33,11 +32,7 @@ def column_stats(tables: TableSet, drop_nulls: bool = True) -> DataFrame:
 
     When nulls are kept they are values, so they count as one in ``size`` and not as nulls."""
     zero = F.lit(0).cast("bigint")
-    stats = tables.registry().join(column_sizes(tables, drop_nulls), "column_id", "left")
-    if drop_nulls:
-        stats = stats.join(null_counts(tables), "column_id", "left")
-    else:
-        stats = stats.withColumn("nulls", zero)
-    return stats.select(
+    found = column_null_stats(tables) if drop_nulls else column_sizes(tables, False).withColumn("nulls", zero)
+    return tables.registry().join(found, "column_id", "left").select(
         "table_name", "name", "column_id", F.coalesce("size", zero).alias("size"), F.coalesce("nulls", zero).alias("nulls")
     )

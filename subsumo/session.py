@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -43,6 +44,13 @@ def materialize(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def counted(df: DataFrame, folder: str | None = None) -> tuple[DataFrame, int]:
+    """As :func:`materialize`, with the number of rows that this call wrote, taken while writing."""
+    seen = Observation()
+    written = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), folder)
+    return written, seen.get["n"]
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
     """A local relation from rows that are bounded by the caller (metadata, one chunk).
 

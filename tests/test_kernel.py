@@ -20,7 +20,7 @@ from subsumo.functions.text import LONGEST_PLAIN_KEY, group_key
 from subsumo.functions.words import members, slot
 from subsumo.operators import groups as kernel
 from subsumo.operators.naming import column_name, rendered, rendered_named, rendered_partial, table_name
-from subsumo.operators.nary import combo_null_counts, null_counts
+from subsumo.operators.nary import chunk_combos, combo_groups, combo_sketches, not_refuted
 from subsumo.operators.unary import attribute_group_lists, column_groups
 from subsumo.plans.stats import column_stats, dataset_stats, table_stats
 
@@ -169,7 +169,7 @@ def test_max_columns(spark):
     assert [t.width for t in tables.tables] == [2, 2]
 
 
-def test_statistics(spark):
+def test_statistics(spark, monkeypatch):
     tables = as_table_set(spark, *DATA)
     assert {r.table_name: (r.width, r.height) for r in table_stats(tables).collect()} == {"t0": (5, 30), "t1": (4, 20)}
     assert tuple(dataset_stats(tables).first()) == (9, 50)
@@ -178,12 +178,44 @@ def test_statistics(spark):
     rows = column_stats(tables).collect()
     assert {r.column_id: (r.size, r.nulls) for r in rows} == {c: (len(sets[c]), nulls[c]) for c in sets}
     combos = [(0, 1), (1, 0), (65536, 65538), (4, 2)]
-    counted = {r.m: r.nulls for r in combo_null_counts(tables, combos).collect()}
     any_null = lambda combo: sum(any(r[c & 65535] is None for c in combo) for r in DATA[combo[0] >> 16])
-    assert counted == {m: any_null(combo) for m, combo in enumerate(combos)}
-    stored = tables.stored()
-    assert {r.column_id: r.nulls for r in null_counts(stored).collect()} == nulls
-    assert {r.column_id: r.nulls for r in null_counts(tables).collect()} == nulls
+    complete = lambda combo: {
+        t for r in DATA[combo[0] >> 16] if None not in (t := tuple(r[c & 65535] for c in combo))
+    }
+    for dense_words in (32, 0):
+        monkeypatch.setattr(kernel, "MAX_DENSE_WORDS", dense_words)
+        found = kernel.member_stats(combo_groups(tables, combos, count_nulls=True)).collect()
+        assert {r.m: (r.size, r.nulls) for r in found} == {m: (len(complete(c)), any_null(c)) for m, c in enumerate(combos)}
+        rows = column_stats(tables.stored()).collect()
+        assert {r.column_id: (r.size, r.nulls) for r in rows} == {c: (len(sets[c]), nulls[c]) for c in sets}
+
+
+@pytest.mark.parametrize("drop_nulls", [True, False])
+def test_bitmaps_refute_only_what_fails(spark, drop_nulls):
+    """A part of a table is never refuted; of other parts next to all are, whatever the number of values is."""
+    rng = random.Random(6)
+    draw = lambda: None if rng.random() < 0.1 else rng.randrange(300)
+    rows = [(i % 4000, draw(), i % 3) for i in range(6000)]
+    whole = spark.createDataFrame(rows, "a int, b int, c int")
+    few = whole.where("a % 7 = 1")
+    tables = TableSet.from_dataframes(spark, {"whole": whole, "few": few, "other": whole.withColumn("a", F.expr("a + 60"))})
+    candidates = [((n << 16, (n << 16) + 1), (m << 16, (m << 16) + 1)) for n in range(3) for m in range(3) if n != m]
+    candidates += [((1 << 16, (1 << 16) + 2), (0, 2)), ((0, 2), ((1 << 16), (1 << 16) + 2)), ((0, 2), ((2 << 16), (2 << 16) + 2))]
+    data = [{tuple(r) for r in t.df.collect()} for t in tables.tables]
+
+    def values(combo):
+        found = {tuple(r[c & 65535] for c in combo) for r in data[combo[0] >> 16]}
+        return {t for t in found if None not in t} if drop_nulls else found
+
+    left = not_refuted(tables, candidates, drop_nulls)
+    assert left == [(d, r) for d, r in candidates if values(d) <= values(r)]
+    assert combo_sketches(tables, chunk_combos(candidates), drop_nulls).shape == (len(chunk_combos(candidates)), 256)
+
+
+def test_bitmaps_of_void_combos(spark):
+    tables = TableSet.from_dataframes(spark, {n: spark.sql("SELECT CAST(NULL AS INT) AS a, 1 AS b") for n in ("x", "y")})
+    candidates = [((0, 1), (65536, 65537)), ((1, 0), (65537, 65536))]
+    assert not_refuted(tables, candidates) == candidates
 
 
 def test_names(spark):
