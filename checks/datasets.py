@@ -110,6 +110,16 @@ FLAGS = {
 }
 
 
+#: More columns than 32 words of 63 bits hold. Four neighbours share values, the first of them the fewest.
+WIDE_COLUMNS = 2100
+WIDE = {
+    "wide": Relation(
+        tuple(f"c{i}" for i in range(WIDE_COLUMNS)),
+        "SELECT " + ", ".join(f"'{i // 4}:' || (doc_id % {i % 4 + 1}) AS c{i}" for i in range(WIDE_COLUMNS)) + " FROM labels",
+    )
+}
+
+
 def load(spark: SparkSession, sf_dir: str, relations: dict[str, Relation]) -> dict[str, DataFrame]:
     """The relations as DataFrames. Views are only registered under names used here."""
     for name in GIVEN:

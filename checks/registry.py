@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from checks.datasets import ALL_TABLES, FLAGS, NULLS, OUTCOMES, ROLES, STAR, column_ids, load, table_set
+from checks.datasets import ALL_TABLES, FLAGS, NULLS, OUTCOMES, ROLES, STAR, WIDE, WIDE_COLUMNS, column_ids, load, table_set
 from checks.oracle import Script
 from subsumo import (
     Dialect,
@@ -191,6 +191,20 @@ def _(spark, sf):
     )
 
 
+_WIDE_INDS = f"""
+WITH cells AS (
+  SELECT DISTINCT CAST(i AS INTEGER) AS cid, (i // 4) || ':' || (doc_id % (i % 4 + 1)) AS v FROM labels, range({WIDE_COLUMNS}) AS r(i)),
+sizes AS (SELECT cid, count(*) AS n FROM cells GROUP BY cid),
+shared AS (SELECT a.cid AS dep, b.cid AS ref, count(*) AS o FROM cells a JOIN cells b ON a.v = b.v AND a.cid <> b.cid GROUP BY ALL)
+SELECT dep, ref, n AS size FROM shared JOIN sizes ON dep = cid WHERE o = n"""
+
+
+@query("wide_unary_inds", lambda: _WIDE_INDS)
+def _(spark, sf):
+    """Over two thousand columns: more words than are kept as columns of one row."""
+    return unary_inds(table_set(spark, sf, WIDE), include_void=False)
+
+
 # --- statistics ---------------------------------------------------------------------
 
 
@@ -499,7 +513,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return discover(table_set(spark, sf, FLAGS), max_arity=2).run_stats().select("arity", "candidates", "inds", "scans")
+    return discover(table_set(spark, sf, FLAGS), max_arity=2, refute=True).run_stats().select("arity", "candidates", "inds", "scans")
 
 
 @query("partial_levels", lambda: Script(OUTCOMES).levels(2).select(Script(OUTCOMES).all_inds(2)))

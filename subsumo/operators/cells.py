@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from subsumo.functions.words import slot
+from subsumo.functions.text import group_key, has_digest
+from subsumo.functions.words import BITS
 from subsumo.sources.tables import TableSet
 
 
@@ -20,17 +22,21 @@ def cells(tables: TableSet, drop_nulls: bool = True, count_nulls: bool = False)
 
 
 def _table_cells(tables: TableSet, table, drop_nulls: bool, count_nulls: bool) -> DataFrame:
-    entries = []
-    for column in tables.columns:
-        if column.table_number == table.number:
-            word, bit = slot(column.member)
-            value = F.col(f"c{column.index}")
-            bits = F.lit(bit).cast("bigint")
-            entry = [F.lit(word).alias("word"), (F.when(value.isNotNull(), bits).otherwise(F.lit(0)) if count_nulls else bits).alias("bit")]
-            missing = [F.when(value.isNull(), F.lit(column.member)).alias("null_of")] * count_nulls
-            entries.append(F.struct(*entry, value.alias("k0"), *missing))
-    long_form = tables.keys(table).select(F.inline(F.array(*entries)))
-    return long_form.where(F.col("k0").isNotNull()) if drop_nulls and not count_nulls else long_form
+    """A table's columns have consecutive members, so a cell's slot follows from its place in the row."""
+    first = next(c.member for c in tables.columns if c.table_number == table.number)
+    kept = table.key_columns is not None
+    texts = (tables.keys(table) if kept else table.text()).select(F.array(*[f"c{i}" for i in range(table.width)]).alias("f"))
+    cell = texts.select(F.posexplode("f").alias("at", "k0"))
+    if drop_nulls and not count_nulls:
+        cell = cell.where(F.col("k0").isNotNull())
+    if not kept and any(map(has_digest, table.types)):
+        # Once for all columns: texts of other types are never long.
+        cell = cell.withColumn("k0", group_key(F.col("k0"), T.StringType(), tables.digest_long))
+    member = F.col("at") + first
+    bit = F.expr(f"shiftleft(1L, (at + {first}) % {BITS})")
+    seen = F.col("k0").isNotNull()
+    slots = [(member / BITS).cast("int").alias("word"), (F.when(seen, bit).otherwise(F.lit(0)) if count_nulls else bit).alias("bit")]
+    return cell.select(*slots, "k0", *[F.when(~seen, member).alias("null_of")] * count_nulls)
 
 
 def cell_values(tables: TableSet, drop_nulls: bool = True) -> DataFrame:

@@ -115,7 +115,7 @@ def discover(
     chunk_size: int = -1,
     drop_nulls: bool = True,
     count_only: bool = False,
-    refute: bool = True,
+    refute: bool | None = None,
     on_ind: Callable[[Row], None] | None = None,
     on_level: Callable[[DataFrame, int], None] | None = None,
 ) -> Discovery:
@@ -126,7 +126,8 @@ def discover(
 
     With ``refute`` bitmaps of fixed size are taken of all combos of a chunk first, and only
     candidates that they do not refute are checked on all values: one more scan per chunk, but
-    a shuffle of nearly only what holds. Results are the same."""
+    a shuffle of nearly only what holds. Unless told, a level does so if more than half of the
+    candidates of the level before failed. Results are the same."""
     generate, generator_excludes, consolidates = generator_of(generator)
     rules = restrictions_of(restrictions)
     excludes = generator_excludes if exclude_void is None else exclude_void
@@ -146,7 +147,7 @@ def discover(
             started = time.perf_counter()
             candidates = counted(generate(last, generating, arity, rules, tables.column_bits).select("dep", "ref"))
             phases = Phases(time.perf_counter() - started)
-            checked, n_inds = validated(tables, candidates, chunk_size, drop_nulls, True, refute, phases)
+            checked, n_inds = validated(tables, candidates, chunk_size, drop_nulls, True, expects_failures(found, refute), phases)
             if not candidates[1]:
                 break
             if checked is None:
@@ -158,6 +159,11 @@ def discover(
     return found
 
 
+def expects_failures(found: Discovery, refute: bool | None) -> bool:
+    last = found.level_stats[-1]
+    return 2 * (last.inds + last.rules) < last.candidates if refute is None else refute
+
+
 def as_ind_table(unary: DataFrame) -> DataFrame:
     return unary.select(F.array("dep").alias("dep"), F.array("ref").alias("ref"), *unary.columns[2:])
 

@@ -32,6 +32,7 @@ from subsumo.plans.discovery import (
     Phases,
     as_ind_table,
     candidate_chunks,
+    expects_failures,
     finish_level,
 )
 from subsumo.session import counted, materialize, new_folder, small_table
@@ -57,7 +58,7 @@ def discover_with_rules(
     restrictions: str = "NO_REPETITIONS",
     chunk_size: int = -1,
     drop_nulls: bool = True,
-    refute: bool = True,
+    refute: bool | None = None,
     on_ind: Callable[[Row], None] | None = None,
     on_level: Callable[[DataFrame, int], None] | None = None,
 ) -> RuleDiscovery:
@@ -86,8 +87,9 @@ def discover_with_rules(
             phases = Phases(time.perf_counter() - started)
             for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
                 # Rules are read off valid dependencies, so counts of refuted ones are not needed.
-                left = not_refuted(tables, chunk, drop_nulls) if refute else chunk
-                phases.scans += refute
+                refutes = expects_failures(found, refute)
+                left = not_refuted(tables, chunk, drop_nulls) if refutes else chunk
+                phases.scans += refutes
                 if not left:
                     continue
                 combos = chunk_combos(left)

@@ -57,7 +57,7 @@ def test_generators_and_chunks_agree(spark):
     assert max(len(d) for d, _ in expected) >= 2
     plain = discover(tables)
     assert ind_set(plain.inds()) == expected
-    for options in ({"chunk_size": 20}, {"refute": False}, {"generator": "apriori-no-void"}):
+    for options in ({"chunk_size": 20, "refute": True}, {"refute": False}, {"generator": "apriori-no-void"}):
         found = discover(tables, **options)
         assert ind_set(found.inds()) == expected
         assert ind_set(found.maximal()) == maximal(expected)
@@ -126,7 +126,7 @@ def test_bound_of_one_job(spark, monkeypatch):
     """More candidates than one job takes are checked in several, none is lost."""
     data, tables = related_tables(spark, 1)
     monkeypatch.setattr(discovery, "DEFAULT_CHUNK", 9)
-    found = discover(tables, max_arity=3)
+    found = discover(tables, max_arity=3, refute=True)
     assert ind_set(found.inds()) == {i for i in brute_force(data) if len(i[0]) <= 3}
     chunks = -(-found.level_stats[1].candidates // 9)
     assert chunks < found.level_stats[1].scans <= 2 * chunks  # bitmaps of each chunk, values of what is left
