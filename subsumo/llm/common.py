@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def record(df: DataFrame) -> Column:
+    """All columns as one struct, whose names cannot meet those that an operator uses inside."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("record")
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession):
     """Within it, Spark removes a statement's shuffle files when the statement is done.

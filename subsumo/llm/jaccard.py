@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subsumo.llm import counters
-from subsumo.llm.common import Query, ascii_lower, mixed, pieces, shuffles_removed, table, text_bytes, window_hashes, word_hashes
+from subsumo.llm.common import SPACES, Query, ascii_lower, mixed, pieces, record, shuffles_removed, table, text_bytes, window_hashes, word_hashes
 from subsumo.llm.components import components
 from subsumo.session import materialize
 
@@ -88,7 +88,7 @@ def profiles(documents: DataFrame, width: int) -> DataFrame:
         if id_arrow is not None:
             for chunk, piece in counters.chunk_rows(counts):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1).cast(id_arrow), *(pa.array([None], pa.int64()) for _ in range(3)), pa.array([chunk], pa.int32()), pa.array([piece], pa.binary())],
+                    [pa.nulls(1, id_arrow), *(pa.array([None], pa.int64()) for _ in range(3)), pa.array([chunk], pa.int32()), pa.array([piece], pa.binary())],
                     names=["doc_id", "n", "node", "text_key", "chunk", "counts"],
                 )
 
@@ -364,13 +364,17 @@ def with_components(profiled: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """All columns of one document of each component: the one with the smallest id.
+    """All columns of one row of each component: the one with the smallest id, null ids last.
 
-    Documents without a shingle are kept, rows with a null id too; of rows with one id one stays."""
-    found = similar_documents(documents)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
+    A row is known by its id and its text, so different texts of one id are rows of their own and
+    null ids are told apart. Of rows that repeat one stays; rows without a shingle all stay."""
+    known = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    with shuffles_removed(documents.sparkSession):
+        found = with_components(*_joined(documents.select(known.alias("doc_id"), "text")))
+    kept = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("key")).distinct()
+    some = F.coalesce("text", F.lit("")).rlike(f"[^{SPACES}]")
+    named = documents.where(some).select(known.alias("key"), record(documents)).join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return named.select("record.*").unionByName(documents.where(~some))
 
 
 def _sql() -> str:

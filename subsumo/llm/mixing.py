@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subsumo.llm.common import Query, scan, table, text_bytes
+from subsumo.llm.common import Query, record, scan, table, text_bytes
 from subsumo.session import materialize
 
 # Weights of the sources in order, repeating, and the largest multiple.
@@ -136,15 +136,15 @@ def mixed_documents(documents: DataFrame, *, seed: int = SEED, weights=WEIGHTS,
         return pd.DataFrame({"size": sizes, "chars": lengths.to_numpy() - texts.map(len).to_numpy(np.int64) + inside})
 
     counts = counted(text_bytes(), F.coalesce(F.length("text"), F.lit(0)))
-    own = documents.withColumns({"_part": part_of(F.col("source")), "_counts": counts})
-    own = own.withColumns({"_size": F.col("_counts.size"), "_chars": F.col("_counts.chars")})
-    own = own.withColumn("_key", key_of(F.col("doc_id"), quality_of(F.col("_size"), F.col("_chars")), seed))
-    met = own.join(ends, F.col("_part") == F.col("part"))
-    place = F.struct(F.col("_key").alias("key"), F.col("doc_id"), F.col("_size").alias("size"))
-    copies = F.col("_epochs") + F.when(F.col("_last").isNotNull() & (place <= F.col("_last")) & (F.col("_size") > 0), 1).otherwise(0)
-    copies = F.when(F.col("_size") > 0, copies).otherwise(F.lit(0)).cast("int")
-    repeated = met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return repeated.select(*documents.columns)
+    own = documents.select(record(documents), "doc_id", part_of(F.col("source")).alias("part"), counts.alias("counts"))
+    own = own.withColumn("size", F.col("counts.size"))
+    own = own.withColumn("key", key_of(F.col("doc_id"), quality_of(F.col("size"), F.col("counts.chars")), seed))
+    met = own.join(ends, "part")
+    place = F.struct("key", "doc_id", "size")
+    copies = F.col("_epochs") + F.when(F.col("_last").isNotNull() & (place <= F.col("_last")) & (F.col("size") > 0), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int")
+    repeated = met.select("record", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"))
+    return repeated.select("record.*")
 
 
 def _query(spark, sf):

@@ -81,8 +81,28 @@ def test_jaccard_of_odd_texts(spark, odd, empty):
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
-    # 5, 6 and 7 are one group, whose null ids stay as they are; 10 and 11 are near.
-    assert Counter(ids) == Counter([0, 1, 2, 3, 4, 5, 9, 10, 12, None, None])
+    # 5 to 8, the repeated rows and one with a null id are one group; 10 and 11 are near.
+    assert Counter(ids) == Counter([0, 1, 2, 3, 4, 5, 9, 10, 12, None])
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Different texts of one id, copies without an id, and columns with names used inside."""
+    other = "a wholly different text of some ten words that nobody else has"
+    rows = [(7, PROSE), (7, other), (7, other), (None, PROSE + " again"), (None, "only copies have no id in this group"), (None, "only copies have no id in this group")]
+    rows += [(3, PROSE), (None, None), (None, None), (4, "")]
+    names = ["part", "_size", "_key", "_copy", "text_key", "record", "key"]
+    data = [(*r, "s", *[f"{n}{i}" for n in names]) for i, r in enumerate(rows)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    df = spark.createDataFrame(data, schema).repartition(3)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    found = [tuple(r) for r in kept.collect()]
+    assert set(found) <= set(data)
+    want = [(7, other), (None, "only copies have no id in this group"), (3, PROSE), (None, None), (None, None), (4, "")]
+    assert Counter(r[:2] for r in found) == Counter(want)
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(data) and mixed.count() > 0
 
 
 def test_components(spark):
