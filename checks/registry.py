@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from checks.datasets import ALL_TABLES, FLAGS, NULLS, OUTCOMES, ROLES, STAR, WIDE, WIDE_COLUMNS, column_ids, load, table_set
+from checks.datasets import ALL_TABLES, FLAGS, NULLS, OUTCOMES, ROLES, STAR, WIDE, WIDE_COLUMNS, column_ids, given, load, table_set
 from checks.oracle import Script
 from subsumo import (
     Dialect,
@@ -32,7 +33,7 @@ from subsumo.operators.sampling import complete_tuples, key_sample
 from subsumo.plans import stats
 from subsumo.plans.discovery import as_ind_table, validated
 from subsumo.session import materialize, new_folder
-from subsumo.sinks import save
+from subsumo.sinks import read_collection, save, save_collection
 from subsumo.sources.csv import apply_width_policy, file_tables, parse_lines, width_violations
 from subsumo.sources.lines import any_charset, scan_lines
 from subsumo.sources.tables import TableSet
@@ -543,6 +544,29 @@ def _(spark, sf):
     return spark.read.parquet(folder).where(F.col("run_id") == run).select("dep", "ref", "size", "algorithm", "dataset")
 
 
+@query(
+    "saved_collections",
+    lambda: Script(NULLS).unary().select(
+        "SELECT d.tab || '.' || d.col AS dep, r.tab || '.' || r.col AS ref, n AS size, 'unary' AS algorithm, 'nulls' AS dataset "
+        "FROM unary_inds JOIN cols d ON d.cid = dep JOIN cols r ON r.cid = ref"
+    ),
+)
+def _(spark, sf):
+    """A collection that was saved twice has its last results, by the names saved with them."""
+    folder = new_folder(spark, "collections")
+    first, last = (table_set(spark, sf, relations) for relations in (OUTCOMES, NULLS))
+    save_collection(unary_inds(first), folder, "inds", first, "unary", "outcomes")
+    save_collection(unary_inds(first), folder, "other", first, "unary", "outcomes")
+    save_collection(unary_inds(last), folder, "inds", last, "unary", "nulls")
+    inds, columns, run = read_collection(spark, folder, "inds")
+    named = columns.select("column_id", F.concat_ws(".", "table_name", "name").alias("name"))
+    dep, ref = (named.select(F.col("column_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")) for side in ("dep", "ref"))
+    joined = inds.join(dep, F.col("dep") == F.col("dep_id")).join(ref, F.col("ref") == F.col("ref_id"))
+    found = run.first()
+    stamps = [F.lit(found[c]).alias(c) for c in ("algorithm", "dataset")]
+    return joined.select(F.col("dep_name").alias("dep"), F.col("ref_name").alias("ref"), "size", *stamps)
+
+
 # --- algebra ------------------------------------------------------------------------
 
 
@@ -770,6 +794,28 @@ def _(spark, sf):
     return _positions(algebra.lexicographic(_star_inds(spark, sf)))
 
 
+# --- catalog ------------------------------------------------------------------------
+
+#: Tables of a database by name. Partition columns come last.
+_CATALOG = {
+    "conversations": given("conversations", ["conv_id", "turn", "text", "role"]),
+    "documents": given("documents"),
+    "labels": given("labels"),
+}
+
+
+@query("catalog_unary_inds", lambda: Script(_CATALOG).unary().select("SELECT dep, ref, n AS size FROM unary_inds"))
+def _(spark, sf):
+    """A database with a partitioned, a plain and a bucketed table."""
+    database = "subsumo_" + uuid.uuid4().hex
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{new_folder(spark, 'database')}'")
+    tables = load(spark, sf, _CATALOG)
+    tables["conversations"].write.partitionBy("role").saveAsTable(f"{database}.conversations")
+    tables["documents"].write.saveAsTable(f"{database}.documents")
+    tables["labels"].write.bucketBy(4, "doc_id").sortBy("doc_id").saveAsTable(f"{database}.labels")
+    return unary_inds(TableSet.from_catalog(spark, database))
+
+
 # --- names --------------------------------------------------------------------------
 
 
@@ -910,6 +956,41 @@ def _(spark, sf):
     return parsed.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("first_field", "middle_field", "last_field"))])
 
 
+_DOCUMENT_FIELDS = (
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text_md5, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents"
+)
+
+
+def _escaped(column: str) -> Column:
+    """Text in quotes, with a backslash in front of quotes and backslashes."""
+    text = F.replace(F.replace(F.col(column).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def _document_fields(parsed: DataFrame) -> DataFrame:
+    field = lambda i: F.get("f", F.lit(i))
+    names = ((0, "doc_id"), (2, "lang"), (3, "source"), (4, "n_chars"))
+    return parsed.select(*[field(i).alias(c) for i, c in names], F.md5(field(1)).alias("text_md5"))
+
+
+@query("csv_strict_quotes", lambda: _DOCUMENT_FIELDS)
+def _(spark, sf):
+    """Only what stands in quotes counts; escapes protect quotes and themselves."""
+    df = load(spark, sf, ALL_TABLES)["documents"]
+    fields = [F.concat(F.lit("out "), _escaped(c), F.lit(" out")) for c in df.columns]
+    dialect = Dialect(separator=",", quote='"', escape="\\", strict_quotes=True)
+    return _document_fields(parse_lines(_lines(df, F.concat_ws(",", *fields)), dialect))
+
+
+@query("csv_leading_blanks", lambda: _DOCUMENT_FIELDS)
+def _(spark, sf):
+    """White space in front of a quote is no data."""
+    df = load(spark, sf, ALL_TABLES)["documents"]
+    fields = [F.concat(F.lit(" \t " if i % 2 else ""), _escaped(c)) for i, c in enumerate(df.columns)]
+    dialect = Dialect(separator=",", quote='"', escape="\\", ignore_leading_whitespace=True)
+    return _document_fields(parse_lines(_lines(df, F.concat_ws(",", *fields)), dialect))
+
+
 _STORED = {"documents": ALL_TABLES["documents"], "labels": ALL_TABLES["labels"]}
 
 

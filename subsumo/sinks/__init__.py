@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from subsumo.session import small_table
+from subsumo.sources.tables import TableSet
+
 
 def _stamped(inds: DataFrame, algorithm: str, dataset: str, run_id: str) -> DataFrame:
     return inds.select(
@@ -32,6 +37,34 @@ def save(
     return run_id
 
 
+# --- collections --------------------------------------------------------------------
+
+#: The tables of a folder of collections, each partitioned by collection.
+_PARTS = ("constraints", "columns", "runs")
+
+
+def save_collection(
+    inds: DataFrame, folder: str, collection: str, tables: TableSet, algorithm: str = "discover", dataset: str = "",
+    settings: dict[str, str] | None = None,
+) -> None:
+    """Stores results under a name, with the columns they speak of and how they were found.
+
+    A collection that is there already is replaced, in its own partitions; all others stay.
+    The run is written last, so a collection without one was not finished."""
+    spark = tables.spark
+    schema = pa.schema([("algorithm", pa.string()), ("dataset", pa.string()), ("settings", pa.map_(pa.string(), pa.string())), ("created_at", pa.timestamp("us", "UTC"))])
+    run = small_table(spark, [(algorithm, dataset, list((settings or {}).items()), datetime.now(timezone.utc))], schema)
+    for part, df in zip(_PARTS, (inds, tables.registry(), run)):
+        stamped = df.withColumn("collection", F.lit(collection))
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(f"{folder}/{part}")
+
+
+def read_collection(spark: SparkSession, folder: str, collection: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, columns and run of a collection."""
+    own = (spark.read.option("mergeSchema", "true").parquet(f"{folder}/{part}").where(F.col("collection") == collection) for part in _PARTS)
+    return tuple(df.drop("collection") for df in own)
+
+
 def level_writer(path: str, algorithm: str = "discover", dataset: str = "", run_id: str | None = None):
     """An ``on_level`` callback that appends each finished level, so that a later failure loses none."""
     run_id = run_id or str(uuid.uuid4())

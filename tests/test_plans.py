@@ -9,7 +9,7 @@ from ind_samples import ind_set
 from subsumo import DiscoveryError, TableSet, discover, discover_with_rules
 from subsumo.operators.candidates import apriori_candidates
 from subsumo.plans import discovery
-from subsumo.sinks import for_each, level_writer, save
+from subsumo.sinks import for_each, level_writer, read_collection, save, save_collection
 
 
 def related_tables(spark, seed, null_rate=0.0, stored=False):
@@ -198,3 +198,18 @@ def test_saved_results(spark, tmp_path):
     seen = []
     for_each(df, seen.append)
     assert [r.dep for r in seen] == [[1]]
+
+
+def test_collections(spark, tmp_path):
+    """Saving again replaces a collection, with its columns and run, and leaves the others."""
+    folder = str(tmp_path / "collections")
+    _, tables = related_tables(spark, 1)
+    found = discover(tables, max_arity=2)
+    for name, inds in (("a", found.inds()), ("b", found.levels[0].select("dep", "ref")), ("a", found.levels[1].select("dep", "ref"))):
+        save_collection(inds, folder, name, tables, "discover", "related", {"max_arity": "2"})
+    for name, level in (("a", found.levels[1]), ("b", found.levels[0])):
+        inds, columns, run = read_collection(spark, folder, name)
+        assert ind_set(inds) == ind_set(level) and inds.count() == level.count()
+        assert sorted(map(tuple, columns.collect())) == sorted(map(tuple, tables.registry().collect()))
+        assert [(r.algorithm, r.dataset, r.settings) for r in run.collect()] == [("discover", "related", {"max_arity": "2"})]
+    assert read_collection(spark, folder, "c")[0].count() == 0
