@@ -1004,17 +1004,18 @@ def _(spark, sf):
     return cells.select("column_id", F.md5("v").alias("value_md5"), F.length("v").cast("bigint").alias("n"))
 
 
+_LABELLED = NULLS["document_labels"].columns
+
+
 @query(
     "csv_null_string",
-    lambda: Script(NULLS).select(
-        "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality AS VARCHAR) AS quality FROM t_document_labels"
-    ),
+    lambda: Script(NULLS).select("SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _LABELLED) + " FROM t_document_labels"),
 )
 def _(spark, sf):
     df = load(spark, sf, NULLS)["document_labels"]
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\\N"))
-    parsed = parse_lines(_lines(df, F.concat_ws("\t", "doc_id", text("quality"))), Dialect(separator="\t"), "\\N")
-    return parsed.select(F.get("f", F.lit(0)).alias("doc_id"), F.get("f", F.lit(1)).alias("quality"))
+    parsed = parse_lines(_lines(df, F.concat_ws("\t", *map(text, _LABELLED))), Dialect(separator="\t"), "\\N")
+    return parsed.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(_LABELLED)])
 
 
 def _ragged(spark, sf) -> DataFrame:
@@ -1076,20 +1077,24 @@ def _(spark, sf):
     return parsed.select(F.get("f", F.lit(0)).alias("doc_id"), F.get("f", F.lit(1)).alias("marked"))
 
 
-@query("file_name_lines", lambda: "SELECT n_nationkey || ';' || n_name || ';' || n_regionkey AS value FROM nation")
+def _joined_sql(table: str) -> str:
+    return f"SELECT concat_ws(';', {', '.join(f'CAST({c} AS VARCHAR)' for c in ALL_TABLES[table].columns)}) AS value FROM {table}"
+
+
+@query("file_name_lines", lambda: _joined_sql("customer"))
 def _(spark, sf):
     """Files are chosen by a pattern of their names and by a glob."""
     given_tables = load(spark, sf, ALL_TABLES)
     folder = new_folder(spark, "lines")
-    _line(given_tables["nation"]).coalesce(1).write.text(f"{folder}/a")
-    _line(given_tables["region"]).coalesce(1).write.csv(f"{folder}/b")
+    _line(given_tables["customer"]).write.text(f"{folder}/a")
+    _line(given_tables["labels"]).write.csv(f"{folder}/b")
     return scan_lines(spark, folder, 1, recursive=True, name_regex=r"part-.*\.txt", glob="part-*").select("value")
 
 
-@query("file_depth_lines", lambda: "SELECT r_regionkey || ';' || r_name AS value FROM region")
+@query("file_depth_lines", lambda: _joined_sql("customer"))
 def _(spark, sf):
     given_tables = load(spark, sf, ALL_TABLES)
-    folder = _lines_folder(spark, {"near": _line(given_tables["region"]), "far/away": _line(given_tables["nation"])})
+    folder = _lines_folder(spark, {"near": _line(given_tables["customer"]), "far/away": _line(given_tables["labels"])})
     return scan_lines(spark, folder, 1, max_depth=2).select("value")
 
 
