@@ -25,8 +25,9 @@ def _table_cells(tables: TableSet, table, drop_nulls: bool, count_nulls: bool) -
     """A table's columns have consecutive members, so a cell's slot follows from its place in the row."""
     first = next(c.member for c in tables.columns if c.table_number == table.number)
     kept = table.key_columns is not None
-    texts = (tables.keys(table) if kept else table.text()).select(F.array(*[f"c{i}" for i in range(table.width)]).alias("f"))
-    cell = texts.select(F.posexplode("f").alias("at", "k0"))
+    # The array stands in the generator itself: behind a name it would also be made for a filter on its size.
+    texts = F.array(*[f"c{i}" for i in range(table.width)])
+    cell = (tables.keys(table) if kept else table.text()).select(F.posexplode(texts).alias("at", "k0"))
     if drop_nulls and not count_nulls:
         cell = cell.where(F.col("k0").isNotNull())
     if not kept and any(map(has_digest, table.types)):
