@@ -1,19 +1,23 @@
 """Approximate nearest neighbours: NN-descent builds a graph, queries search it greedily.
 
-Equal vectors are one node. The graph starts with the nearest nodes in blocks of rows that
-lie on the same sides of random hyperplanes. An iteration joins neighbours of neighbours: the
-neighbours of a node (both ways) meet, and whoever is nearer than what the other has
-becomes its neighbour. Vectors travel in half precision for that. Iterations end when few
-edges are new. A query starts at its own node's neighbours and goes on to the neighbours of
-the nearest nodes it has not yet visited, until it has visited all that it keeps. What it
-ends with is scored by cosine in double precision on the original vectors. Neighbours and
-the nodes that a query keeps grow with the number of nodes (`sizes`). Every vector is in the
-graph; recall against brute force is a test.
-
-Vectors that are null, zero or hold null or non-finite components take no part, neither do
-those whose length is not the most frequent one. Equal vectors all come up as neighbours,
-smaller ids first. Rows that repeat an id are answered once for each row's vector. Without
-candidates a query has no rows.
+Equal vectors are one node. A node is one row: its unit vector in half precision and its nearest
+neighbours so far, each new or not. The graph starts with the nearest nodes in blocks of rows that
+lie on the same sides of random hyperplanes. An iteration joins neighbours of neighbours: a node
+and the nodes that have it as a neighbour meet where one of the two is new there, and whoever is
+nearer than what the other has becomes its neighbour. Iterations end when few edges are new. A
+query starts at its own node and goes on to the neighbours of the nearest nodes it has not yet
+visited, until it has visited all that it keeps. What it ends with is scored by cosine in double
+precision on the original vectors. Neighbours and the nodes that a query keeps grow with the number
+of nodes (`sizes`). Every vector is in the graph; recall against brute force is a test.
+
+Of the nodes that have one node as a neighbour (a hub), only as many of the nearest meet there as a
+node has neighbours; the others still meet elsewhere. This bounds all groups, and what it costs in
+recall is part of the measured recall.
+
+Vectors that are null, zero or hold null or non-finite components take no part. Vectors of different
+lengths have no cosine: each length is a graph of its own, and a query finds vectors of its length.
+Equal vectors all come up as neighbours, smaller ids first. Rows that repeat an id are answered once
+for each row's vector. Without candidates a query has no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,58 +53,63 @@ def usable(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "emb
     vector = F.col(vector_column).cast("array<double>")
     fine = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vector, lambda x: x != 0)
     rows = rows.select(F.col(id_column).cast("bigint").alias("vec_id"), F.transform(vector, lambda x: x + F.lit(0.0)).alias("vector"), fine.alias("fine"))
-    rows = rows.where("fine AND vec_id IS NOT NULL")
-    usual = rows.groupBy(F.size("vector").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).select("length")
-    length = usual.first()
-    rows = rows.where(F.size("vector") == (length[0] if length else 0))
-    return rows.select("vec_id", "vector", F.xxhash64("vector").alias("node"))
+    return rows.where("fine AND vec_id IS NOT NULL").select("vec_id", "vector", F.xxhash64("vector").alias("node"))
 
 
-def _halves(batch_column: pa.Array) -> np.ndarray:
-    """Unit vectors in half precision from arrays of doubles of one length."""
-    flat = batch_column.flatten().to_numpy(zero_copy_only=False).reshape(len(batch_column), -1)
-    largest = np.abs(flat).max(axis=1, keepdims=True)
-    flat = flat / largest
-    return (flat / np.linalg.norm(flat, axis=1, keepdims=True)).astype(np.float16)
+def _halves(vectors: pa.Array) -> Iterator[bytes]:
+    """Unit vectors in half precision from arrays of doubles."""
+    ends = np.cumsum(vectors.value_lengths().to_numpy())
+    for vector in np.split(vectors.flatten().to_numpy(zero_copy_only=False), ends[:-1]):
+        vector = vector / np.abs(vector).max()
+        yield (vector / np.linalg.norm(vector)).astype(np.float16).tobytes()
 
 
 def _units(binaries: pa.Array) -> np.ndarray:
+    """Unit vectors of one length."""
     return np.frombuffer(b"".join(binaries.to_pylist()), np.float16).reshape(len(binaries), -1).astype(np.float32)
 
 
+def _lengths(binaries: pa.Array) -> Iterator[np.ndarray]:
+    """Places of the vectors of each length."""
+    lengths = pc.binary_length(binaries).to_numpy()
+    for length in np.unique(lengths):
+        yield np.flatnonzero(lengths == length)
+
+
 def nodes_of(vectors: DataFrame) -> DataFrame:
     """node and its unit vector in half precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                unit = [row.tobytes() for row in _halves(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, pa.binary())], names=["node", "unit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_halves(batch.column(1)), pa.binary())], names=["node", "unit"])
 
     return vectors.select("node", "vector").mapInArrow(run, "node bigint, unit binary").groupBy("node").agg(F.min("unit").alias("unit"))
 
 
-_EDGES = "u bigint, v bigint, s float"
+#: A neighbour: how far it is (its cosine, negated, so that arrays sort by nearness), which node, and whether it has met the others.
+_NEIGHBOUR = "struct<far: float, v: bigint, new: boolean>"
+_FOUND = "node bigint, far float, v bigint"
 
 
-def _edge_batch(u, v, s) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float32())], names=["u", "v", "s"])
+def _found(node, like, v) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(-like, pa.float32()), pa.array(v, pa.int64())], names=["node", "far", "v"])
 
 
-def first_edges(nodes: DataFrame, count: int, most: int) -> DataFrame:
-    """Edges inside blocks of rows in the orders of random hyperplanes."""
+def first_neighbours(nodes: DataFrame, count: int, most: int) -> DataFrame:
+    """node and neighbours (an array) from each block of rows in the orders of random hyperplanes."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = _units(batch.column(1))
-            for turn in range(ORDERS):
-                planes = np.random.default_rng([SEED, turn]).standard_normal((unit.shape[1], PLANES)).astype(np.float32)
-                code = ((unit @ planes > 0) * (1 << np.arange(PLANES))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(code + (turn << PLANES), pa.int64())], names=["node", "unit", "place"]
-                )
+            for places in _lengths(batch.column(1)):
+                one = batch.take(pa.array(places))
+                unit = _units(one.column(1))
+                for turn in range(ORDERS):
+                    planes = np.random.default_rng([SEED, turn]).standard_normal((unit.shape[1], PLANES)).astype(np.float32)
+                    code = ((unit @ planes > 0) * (1 << np.arange(PLANES))).sum(axis=1)
+                    place = pa.array(code + (turn << PLANES), pa.int64())
+                    length = pa.array(np.full(len(places), unit.shape[1]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), length, place], names=["node", "unit", "length", "place"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -111,42 +121,64 @@ def first_edges(nodes: DataFrame, count: int, most: int) -> DataFrame:
                 whole = pa.Table.from_batches(waiting).combine_chunks()
                 full = rows - rows % BLOCK
                 for start in range(0, full, BLOCK):
-                    yield near(whole.slice(start, BLOCK))
+                    yield from near(whole.slice(start, BLOCK))
                 waiting = whole.slice(full).to_batches()
                 rows -= full
         if rows > 1:
-            yield near(pa.Table.from_batches(waiting).combine_chunks())
+            yield from near(pa.Table.from_batches(waiting).combine_chunks())
 
-    def near(block: pa.Table) -> pa.RecordBatch:
-        node = block.column("node").combine_chunks().to_numpy()
-        unit = _units(block.column("unit").combine_chunks())
-        like = unit @ unit.T
-        np.fill_diagonal(like, -2)
-        k = min(most, len(node) - 1)
-        best = np.argpartition(-like, k - 1, axis=1)[:, :k]
-        return _edge_batch(np.repeat(node, k), node[best].ravel(), np.take_along_axis(like, best, 1).ravel())
+    def near(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        units = block.column("unit").combine_chunks()
+        for places in _lengths(units):
+            if len(places) < 2:
+                continue
+            node = block.column("node").to_numpy()[places]
+            unit = _units(units.take(pa.array(places)))
+            like = unit @ unit.T
+            np.fill_diagonal(like, -2)
+            k = min(most, len(node) - 1)
+            best = np.argpartition(-like, k - 1, axis=1)[:, :k]
+            far = -np.take_along_axis(like, best, 1).ravel()
+            # A node stands in a block once for each of its orders: a neighbour that is the node itself goes later.
+            entries = pa.StructArray.from_arrays(
+                [pa.array(far, pa.float32()), pa.array(node[best].ravel(), pa.int64()), pa.array(np.ones(far.size, bool))], names=["far", "v", "new"]
+            )
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, far.size + 1, k), pa.int32()), entries)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists], names=["node", "neighbours"])
 
     parts = max(1, count * ORDERS // (8 * BLOCK))
-    placed = nodes.select("node", "unit").mapInArrow(codes, "node bigint, unit binary, place bigint")
-    ordered = placed.repartitionByRange(parts, "place", "node").sortWithinPartitions("place", "node")
-    return ordered.mapInArrow(blocks, _EDGES).where("u <> v")
+    placed = nodes.select("node", "unit").mapInArrow(codes, "node bigint, unit binary, length int, place bigint")
+    ordered = placed.repartitionByRange(parts, "length", "place", "node").sortWithinPartitions("length", "place", "node")
+    return ordered.select("node", "unit").mapInArrow(blocks, f"node bigint, neighbours array<{_NEIGHBOUR}>")
+
 
+def nearest(neighbours: Column, node: Column, most: int) -> Column:
+    """The `most` nearest of an array in which a neighbour may stand several times; it is new if it is so everywhere."""
+    by_id = F.array_sort(F.transform(neighbours, lambda x: F.struct(x.v.alias("v"), x.new.alias("new"), x.far.alias("far"))))
+    # The array of one array gives it a name, so that it is sorted once and not for each of its elements.
+    once = F.transform(F.array(by_id), lambda a: F.filter(a, lambda x, i: (x.v != node) & ((i == 0) | (F.get(a, i - 1).v != x.v))))[0]
+    return F.slice(F.array_sort(F.transform(once, lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.new.alias("new")))), 1, most)
 
-def nearest_edges(edges: DataFrame, most: int) -> DataFrame:
-    """The `most` nearest neighbours of each node; of edges that come twice, one is new if both are."""
-    single = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
-    place = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))
-    return single.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+def first_graph(nodes: DataFrame, count: int, most: int) -> DataFrame:
+    """node, unit, neighbours of all nodes."""
+    lists = first_neighbours(nodes, count, most).groupBy("node").agg(F.flatten(F.collect_list("neighbours")).alias("all"))
+    lists = lists.select("node", nearest(F.col("all"), F.col("node"), most).alias("neighbours"))
+    return nodes.join(lists, "node", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(f"array<{_NEIGHBOUR}>")))
 
 
 def both_ways(edges: DataFrame, most: int) -> DataFrame:
-    """Neighbours of each node and, of the nodes that have it as a neighbour, as many of the nearest."""
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "new")
-    return edges.unionByName(nearest_edges(back, most)).groupBy("u", "v").agg(F.max("s").alias("s"))
+    """The graph with `around`: neighbours of a node and, of the nodes that have it as a neighbour, as many of the nearest."""
+    each = edges.select(F.col("node").alias("u"), F.explode("neighbours").alias("x"))
+    back = each.select(F.col("x.v").alias("node"), F.struct("x.far", F.col("u").alias("v"), "x.new").alias("x"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("x"))
+    back = back.withColumn("place", place).where(F.col("place") <= most).groupBy("node").agg(F.collect_list("x").alias("back"))
+    all_of_them = F.concat("neighbours", F.coalesce("back", F.array().cast(f"array<{_NEIGHBOUR}>")))
+    return edges.join(back, "node", "left").select("node", "unit", "neighbours", nearest(all_of_them, F.col("node"), 2 * most).alias("around"))
 
 
-def descend(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """Edges after one iteration: neighbours of a node meet each other. Those that were not there before are new."""
+def descend(edges: DataFrame, most: int) -> DataFrame:
+    """The graph after one iteration: where one of two neighbours of a node is new there, they meet. What they gain is new."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,70 +186,90 @@ def descend(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
                 continue
             lists = batch.column(0)
             members = lists.flatten()
-            node = members.field("v").to_numpy()
-            unit = _units(members.field("unit"))
-            least = members.field("least").to_numpy(zero_copy_only=False)
+            node = members.field("node").to_numpy()
+            units = members.field("unit")
+            least = members.field("least").to_numpy()
+            new = members.field("new").to_numpy(zero_copy_only=False)
             ends = np.cumsum(lists.value_lengths().to_numpy())
             found: list[tuple] = []
             for start, end in zip(np.concatenate([[0], ends[:-1]]), ends):
-                like = unit[start:end] @ unit[start:end].T
-                np.fill_diagonal(like, -2)
-                # Worth a row where it beats the worst neighbour that u has.
-                a, b = np.nonzero(like > least[start:end, None])
-                found.append((node[start + a], node[start + b], like[a, b]))
-            yield _edge_batch(*(np.concatenate(x) for x in zip(*found)))
-
-    worst = edges.groupBy("u").agg(F.when(F.count(F.lit(1)) >= most, F.min("s")).otherwise(-2.0).cast("float").alias("least"))
-    known = nodes.join(worst.withColumnRenamed("u", "node"), "node", "left").withColumn("least", F.coalesce("least", F.lit(-2.0).cast("float")))
-    around = both_ways(edges, most).select("u", "v").join(known.withColumnRenamed("node", "v"), "v")
-    # At most twice `most` members each.
-    groups = around.groupBy("u").agg(F.collect_list(F.struct("v", "unit", "least")).alias("members"))
-    better = groups.select("members").mapInArrow(meet, _EDGES).where("u <> v")
-    was = edges.withColumn("new", F.lit(False))
-    return nearest_edges(was.unionByName(better.withColumn("new", F.lit(True))), most)
+                unit = _units(units.slice(start, end - start))
+                like = unit @ unit.T
+                fresh = new[start:end]
+                # Worth a row where it beats the worst neighbour that a has.
+                a, b = np.nonzero((like > least[start:end, None]) & (fresh[:, None] | fresh))
+                found.append((node[start + a], like[a, b], node[start + b]))
+            a, like, b = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((b, a))
+            a, like, b = a[order], like[order], b[order]
+            first = a != b
+            first[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield _found(a[first], like[first], b[first])
+
+    least = F.when(F.size("neighbours") >= most, -F.element_at("neighbours", -1).far).otherwise(F.lit(-2.0)).cast("float")
+    sent = both_ways(edges, most).select("node", "unit", least.alias("least"), F.explode("around").alias("x"))
+    sent = sent.select(F.col("x.v").alias("at"), "x.far", "x.new", "node", "unit", "least")
+    place = F.row_number().over(W.partitionBy("at").orderBy("far", "node"))
+    sent = sent.withColumn("place", place).where(F.col("place") <= 2 * most)
+    groups = sent.groupBy("at").agg(F.collect_list(F.struct("node", "unit", "least", "new")).alias("members"), F.max("new").alias("some"))
+    gains = groups.where("some").select("members").mapInArrow(meet, _FOUND)
+    gained = gains.groupBy("node").agg(F.collect_list(F.struct("far", "v", F.lit(True).alias("new"))).alias("gained"))
+    were = F.transform("neighbours", lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), F.lit(False).alias("new")))
+    both = F.concat(were, F.coalesce("gained", F.array().cast(f"array<{_NEIGHBOUR}>")))
+    return edges.join(gained, "node", "left").select("node", "unit", nearest(both, F.col("node"), most).alias("neighbours"))
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, int, int]:
+    """The graph as a table, its edges and its new ones, counted while it is written."""
+    seen = Observation()
+    edges = materialize(edges.observe(seen, F.sum(F.size("neighbours")).alias("all"), F.sum(F.size(F.filter("neighbours", lambda x: x.new))).alias("new")))
+    return edges, seen.get["all"] or 0, seen.get["new"] or 0
 
 
 def graph(nodes: DataFrame, count: int, changed: float = CHANGED) -> DataFrame:
-    """Edges of the nodes, iterated until the share of new ones is at most `changed`."""
+    """node, unit and neighbours, iterated until the share of new ones is at most `changed`."""
     most, _ = sizes(count)
-    edges = materialize(nearest_edges(first_edges(nodes, count, most).withColumn("new", F.lit(True)), most))
-    new = total = edges.count()
+    edges, total, new = _written(first_graph(nodes, count, most))
     while new > changed * total:
-        edges = materialize(descend(edges, nodes, most))
-        new, total = edges.agg(F.count_if("new"), F.count(F.lit(1))).first()
+        edges, total, new = _written(descend(edges, most))
     return edges
 
 
-def search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+def search(queries: DataFrame, edges: DataFrame, count: int) -> DataFrame:
     """query (a node) and node: the nodes that a greedy search from the query's own node ends with."""
+    most, keep = sizes(count)
+    kept_type = "array<struct<far: float, node: bigint, visited: boolean>>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                like = np.einsum("ij,ij->i", _units(batch.column(2)), _units(batch.column(3)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like, pa.float32())], names=["query", "node", "s"])
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(nodes, "node").join(nodes.select(F.col("node").alias("query"), F.col("unit").alias("own")), "query")
-        return met.select("query", "node", "unit", "own").mapInArrow(score, "query bigint, node bigint, s float")
-
-    most, keep = sizes(count)
-    around = materialize(both_ways(edges, most).select("u", "v"))
-    own = queries.select("query", F.col("query").alias("node"))
-    start = own.join(around.withColumnRenamed("u", "node"), "node").select("query", F.col("v").alias("node")).unionByName(own).distinct()
-    beam = materialize(scored(start).withColumn("visited", F.col("query") == F.col("node")))
-    by_nearness = W.partitionBy("query").orderBy(F.desc("s"), "node")
-    # A step visits a quarter of what a query keeps; each node once, so that there is an end.
-    while not beam.where("NOT visited").isEmpty():
-        to_visit = beam.where("NOT visited").withColumn("turn", F.row_number().over(by_nearness)).where(F.col("turn") <= keep // 4)
-        visits = to_visit.select("query", "node")
-        fresh = visits.join(around.withColumnRenamed("u", "node"), "node").select("query", F.col("v").alias("node")).distinct()
-        fresh = fresh.join(beam.select("query", "node"), ["query", "node"], "left_anti")
-        done = visits.withColumn("now", F.lit(True))
-        seen = beam.join(done, ["query", "node"], "left").select("query", "node", "s", (F.col("visited") | F.coalesce("now", F.lit(False))).alias("visited"))
-        both = seen.unionByName(scored(fresh).withColumn("visited", F.lit(False)))
-        beam = materialize(both.withColumn("place", F.row_number().over(by_nearness)).where(F.col("place") <= keep).drop("place"))
-    return beam.select("query", "node")
+            for places in _lengths(batch.column(2)):
+                one = batch.take(pa.array(places))
+                like = np.einsum("ij,ij->i", _units(one.column(2)), _units(one.column(3)))
+                far = pa.array(-like, pa.float32())
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), far], names=["query", "node", "far"])
+
+    def write(state: DataFrame) -> tuple[DataFrame, int]:
+        seen = Observation()
+        state = materialize(state.observe(seen, F.sum(F.size(F.filter("kept", lambda x: ~x.visited))).alias("open")))
+        return state, seen.get["open"] or 0
+
+    around = materialize(both_ways(edges, most).select("node", "unit", F.col("around.v").alias("around")))
+    units = around.select("node", "unit")
+    own = F.array(F.struct(F.lit(-1.0).cast("float").alias("far"), F.col("node").alias("node"), F.lit(False).alias("visited")))
+    start = queries.select(F.col("query").alias("node")).join(units, "node")
+    state, left = write(start.select(F.col("node").alias("query"), F.col("unit").alias("own"), own.cast(kept_type).alias("kept")))
+    # A step visits all that a query keeps and has not visited; each node once, as what is dropped never comes back: so there is an end.
+    visited = F.transform("kept", lambda x: F.struct(x.far.alias("far"), x.node.alias("node"), F.lit(True).alias("visited")))
+    while left:
+        visits = state.select("query", F.explode(F.filter("kept", lambda x: ~x.visited).getField("node")).alias("node"))
+        met = visits.join(around.select("node", "around"), "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("met"))
+        fresh = F.array_except("met", F.col("kept.node"))
+        asked = met.join(state, "query").select("query", "own", F.explode(fresh).alias("node")).join(units, "node")
+        scored = asked.select("query", "node", "unit", "own").mapInArrow(score, "query bigint, node bigint, far float")
+        more = scored.groupBy("query").agg(F.collect_list(F.struct("far", "node", F.lit(False).alias("visited"))).alias("more"))
+        both = F.concat(visited, F.coalesce("more", F.array().cast(kept_type)))
+        state, left = write(state.join(more, "query", "left").select("query", "own", F.slice(F.array_sort(both), 1, keep).alias("kept")))
+    return state.select("query", F.explode("kept.node").alias("node"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -234,7 +286,7 @@ def nearest_neighbours(rows: DataFrame, *, is_query: Column, most: int = 5, id_c
     nodes = materialize(nodes_of(vectors))
     asked = vectors.where(is_query)
     count = nodes.count()
-    found = search(asked.select(F.col("node").alias("query")).distinct(), graph(nodes, count), nodes, count)
+    found = search(asked.select(F.col("node").alias("query")).distinct(), graph(nodes, count), count)
     # Of equal vectors only the smallest ids can be among the nearest, besides the query's own.
     by_id = W.partitionBy("node").orderBy("vec_id")
     members = vectors.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= most + 1).drop("place")

@@ -264,11 +264,30 @@ def test_neighbours_over_many_blocks(spark, monkeypatch):
     # The graph itself holds nearly all of the nearest, long before a query searches it.
     nodes = neighbors.nodes_of(neighbors.usable(df))
     ids = {r.node: r.vec_id for r in neighbors.usable(df).select("node", "vec_id").collect()}
-    edges = {(ids[r.u], ids[r.v]) for r in neighbors.graph(nodes, n).collect()}
+    edges = {(ids[r.node], ids[x.v]) for r in neighbors.graph(nodes, n).collect() for x in r.neighbours}
     assert sum((20 * i, int(v)) in edges for i, row in enumerate(best) for v in row) >= 0.9 * best.size
     assert neighbors.sizes(1000) == (32, 120) and neighbors.sizes(80_000) == (40, 240) and neighbors.sizes(2_000_000) == (59, 1200)
 
 
+def test_vectors_of_several_lengths(spark):
+    """Each length is searched by itself, also one that is rare; without others of its length a query has no rows."""
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.standard_normal(8 if i % 4 else 5).tolist()) for i in range(600)] + [(1000, [1.0, 2.0, 3.0]), (1050, [1.0]), (1051, [-2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = defaultdict(list)
+    for r in neighbors.nearest_neighbours(df, is_query=F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    hits = 0
+    for q in range(0, 600, 50):
+        others = [i for i in unit if i != q and len(unit[i]) == len(unit[q])]
+        best = sorted(others, key=lambda i: -float(unit[i] @ unit[q]))[:5]
+        assert set(found[q]) <= set(others)
+        hits += len(set(best) & set(found[q]))
+    assert hits >= 0.95 * 60
+    assert found[1050] == [1051] and 1000 not in found
+
+
 def test_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])], schema)
