@@ -152,29 +152,54 @@ def first_neighbours(nodes: DataFrame, count: int, most: int) -> DataFrame:
     return ordered.select("node", "unit").mapInArrow(blocks, f"node bigint, neighbours array<{_NEIGHBOUR}>")
 
 
-def nearest(neighbours: Column, node: Column, most: int) -> Column:
-    """The `most` nearest of an array in which a neighbour may stand several times; it is new if it is so everywhere."""
-    by_id = F.array_sort(F.transform(neighbours, lambda x: F.struct(x.v.alias("v"), x.new.alias("new"), x.far.alias("far"))))
-    # The array of one array gives it a name, so that it is sorted once and not for each of its elements.
-    once = F.transform(F.array(by_id), lambda a: F.filter(a, lambda x, i: (x.v != node) & ((i == 0) | (F.get(a, i - 1).v != x.v))))[0]
-    return F.slice(F.array_sort(F.transform(once, lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.new.alias("new")))), 1, most)
+def nearest(rows: DataFrame, most: int) -> DataFrame:
+    """Cuts `neighbours`, the last column of rows with `node`, to the `most` nearest: each once, as not new if it is so anywhere."""
+    own = rows.columns.index("node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(batch.num_columns - 1)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            flat = lists.flatten()
+            far, v = flat.field("far").to_numpy(), flat.field("v").to_numpy()
+            new = flat.field("new").to_numpy(zero_copy_only=False)
+            order = np.lexsort((far, new, v, row))
+            row, far, v, new = row[order], far[order], v[order], new[order]
+            once = v != batch.column(own).to_numpy()[row]
+            once[1:] &= (row[1:] != row[:-1]) | (v[1:] != v[:-1])
+            row, far, v, new = row[once], far[once], v[once], new[once]
+            order = np.lexsort((v, far, row))
+            row, far, v, new = row[order], far[order], v[order], new[order]
+            counts = np.bincount(row, minlength=len(lists))
+            kept = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) < most
+            entries = pa.StructArray.from_arrays([pa.array(far[kept]), pa.array(v[kept]), pa.array(new[kept])], names=["far", "v", "new"])
+            ends = np.concatenate([[0], np.cumsum(np.minimum(counts, most))])
+            cut = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cut], names=batch.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def first_graph(nodes: DataFrame, count: int, most: int) -> DataFrame:
     """node, unit, neighbours of all nodes."""
     lists = first_neighbours(nodes, count, most).groupBy("node").agg(F.flatten(F.collect_list("neighbours")).alias("all"))
-    lists = lists.select("node", nearest(F.col("all"), F.col("node"), most).alias("neighbours"))
-    return nodes.join(lists, "node", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast(f"array<{_NEIGHBOUR}>")))
+    joined = nodes.join(lists, "node", "left")
+    return nearest(joined.select("node", "unit", F.coalesce("all", F.array().cast(f"array<{_NEIGHBOUR}>")).alias("neighbours")), most)
 
 
 def both_ways(edges: DataFrame, most: int) -> DataFrame:
-    """The graph with `around`: neighbours of a node and, of the nodes that have it as a neighbour, as many of the nearest."""
+    """node, unit, `least` (the cosine that a neighbour must beat) and `around`: neighbours of a node and, of the
+    nodes that have it as a neighbour, as many of the nearest."""
     each = edges.select(F.col("node").alias("u"), F.explode("neighbours").alias("x"))
     back = each.select(F.col("x.v").alias("node"), F.struct("x.far", F.col("u").alias("v"), "x.new").alias("x"))
     place = F.row_number().over(W.partitionBy("node").orderBy("x"))
     back = back.withColumn("place", place).where(F.col("place") <= most).groupBy("node").agg(F.collect_list("x").alias("back"))
     all_of_them = F.concat("neighbours", F.coalesce("back", F.array().cast(f"array<{_NEIGHBOUR}>")))
-    return edges.join(back, "node", "left").select("node", "unit", "neighbours", nearest(all_of_them, F.col("node"), 2 * most).alias("around"))
+    least = F.when(F.size("neighbours") >= most, -F.element_at("neighbours", -1).far).otherwise(F.lit(-2.0)).cast("float")
+    joined = edges.join(back, "node", "left").select("node", "unit", least.alias("least"), all_of_them.alias("neighbours"))
+    return nearest(joined, 2 * most).withColumnRenamed("neighbours", "around")
 
 
 def descend(edges: DataFrame, most: int) -> DataFrame:
@@ -206,8 +231,7 @@ def descend(edges: DataFrame, most: int) -> DataFrame:
             first[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             yield _found(a[first], like[first], b[first])
 
-    least = F.when(F.size("neighbours") >= most, -F.element_at("neighbours", -1).far).otherwise(F.lit(-2.0)).cast("float")
-    sent = both_ways(edges, most).select("node", "unit", least.alias("least"), F.explode("around").alias("x"))
+    sent = both_ways(edges, most).select("node", "unit", "least", F.explode("around").alias("x"))
     sent = sent.select(F.col("x.v").alias("at"), "x.far", "x.new", "node", "unit", "least")
     place = F.row_number().over(W.partitionBy("at").orderBy("far", "node"))
     sent = sent.withColumn("place", place).where(F.col("place") <= 2 * most)
@@ -216,7 +240,7 @@ def descend(edges: DataFrame, most: int) -> DataFrame:
     gained = gains.groupBy("node").agg(F.collect_list(F.struct("far", "v", F.lit(True).alias("new"))).alias("gained"))
     were = F.transform("neighbours", lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), F.lit(False).alias("new")))
     both = F.concat(were, F.coalesce("gained", F.array().cast(f"array<{_NEIGHBOUR}>")))
-    return edges.join(gained, "node", "left").select("node", "unit", nearest(both, F.col("node"), most).alias("neighbours"))
+    return nearest(edges.join(gained, "node", "left").select("node", "unit", both.alias("neighbours")), most)
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, int, int]:
