@@ -31,9 +31,10 @@ from subsumo.operators.cells import cell_values, tuples
 from subsumo.operators.groups import inclusion_lists
 from subsumo.operators.sampling import complete_tuples, key_sample
 from subsumo.plans import stats
+from subsumo.plans.borders import Border
 from subsumo.plans.discovery import as_ind_table, validated
 from subsumo.session import materialize, new_folder
-from subsumo.sinks import read_collection, save, save_collection
+from subsumo.sinks import read_collection, read_measurements, save, save_collection, save_measurements
 from subsumo.sources.csv import apply_width_policy, file_tables, parse_lines, width_violations
 from subsumo.sources.lines import any_charset, scan_lines
 from subsumo.sources.tables import TableSet
@@ -544,6 +545,28 @@ def _(spark, sf):
     return spark.read.parquet(folder).where(F.col("run_id") == run).select("dep", "ref", "size", "algorithm", "dataset")
 
 
+@query(
+    "saved_measurements",
+    lambda: Script(OUTCOMES)
+    .levels(3)
+    .select(
+        f"SELECT 0 AS arity, 'run' AS phase, 'columns' AS measure, CAST({len(column_ids(OUTCOMES))} AS DOUBLE) AS value UNION ALL "
+        f"SELECT 1, 'generation', 'candidates', {len(column_ids(OUTCOMES)) * (len(column_ids(OUTCOMES)) - 1)} UNION ALL "
+        + " UNION ALL ".join(f"SELECT {n}, 'generation', 'candidates', count(*) FROM cand{n}" for n in (2, 3))
+        + "".join(f" UNION ALL SELECT {n}, 'level', 'inds', count(*) FROM ind{n}" for n in (1, 2, 3))
+    ),
+)
+def _(spark, sf):
+    """Figures of one of two kept runs, saved twice and read back."""
+    folder = new_folder(spark, "measurements")
+    other, own = (discover(table_set(spark, sf, OUTCOMES), max_arity=n) for n in (1, 3))
+    save_measurements(other.measurements(), folder, dataset="outcomes")
+    run = save_measurements(other.measurements(), folder, dataset="outcomes")
+    save_measurements(own.measurements(), folder, run, dataset="outcomes")
+    kept = F.concat_ws(" ", "phase", "measure").isin("run columns", "generation candidates", "level inds")
+    return read_measurements(spark, folder, run).where(kept).select("arity", "phase", "measure", "value")
+
+
 @query(
     "saved_collections",
     lambda: Script(NULLS).unary().select(
@@ -636,6 +659,14 @@ def _(spark, sf):
     return flat(algebra.positive_border(_star_inds(spark, sf)))
 
 
+@query("kept_positive_border", _star(lambda s: s.select(s.maximal(4))))
+def _(spark, sf):
+    """A border that every finished level is taken into."""
+    border = Border(spark)
+    discover(star(spark, sf), on_level=border.on_level)
+    return flat(border.df)
+
+
 def _failed_sql(s: Script) -> str:
     """Failing candidates of arity 2, and of arity 3 as if all of arity 2 had held, minimal ones."""
     s.candidates(3, "cand2", "NO_REPETITIONS", "more3")
@@ -652,16 +683,27 @@ def _failed_sql(s: Script) -> str:
     )
 
 
-@query("negative_border", _star(_failed_sql))
-def _(spark, sf):
+def _failed(spark, sf) -> list[DataFrame]:
     tables = star(spark, sf)
     level = as_ind_table(unary_inds(tables))
     two = apriori_candidates(level, None, 2)
-    failed = [
+    return [
         validated(tables, candidates)[0].where(~F.col("holds")).select("dep", "ref")
         for candidates in (two, apriori_candidates(two, None, 3))
     ]
-    return flat(algebra.negative_border(failed[0].unionByName(failed[1])))
+
+
+@query("negative_border", _star(_failed_sql))
+def _(spark, sf):
+    two, three = _failed(spark, sf)
+    return flat(algebra.negative_border(two.unionByName(three)))
+
+
+@query("kept_negative_border", _star(_failed_sql))
+def _(spark, sf):
+    """The bigger ones come first, so that most of them leave the border again."""
+    two, three = _failed(spark, sf)
+    return flat(Border(spark, "negative").add(three).add(two).df)
 
 
 @query(
@@ -1185,6 +1227,26 @@ def _(spark, sf):
     return unary_inds(csv_tables(spark, _written(spark, sf, _WRITTEN), Dialect(separator="|")))
 
 
+@query(
+    "csv_header_inds",
+    lambda: Script(_WRITTEN).unary().select(
+        "SELECT d.tab || '.' || d.col AS dep, r.tab || '.' || r.col AS ref, n AS size "
+        "FROM unary_inds JOIN cols d ON d.cid = dep JOIN cols r ON r.cid = ref"
+    ),
+)
+def _(spark, sf):
+    """Names come from the first line of the files, which is no data in any of them."""
+    folder, paths = new_folder(spark, "lines"), {}
+    for name, df in load(spark, sf, _WRITTEN).items():
+        paths[name] = f"{folder}/{name}"
+        text = df.select(*[F.col(c).cast("string") for c in df.columns])
+        text.repartition(3).write.csv(paths[name], sep="|", header=True)
+    tables = csv_tables(spark, paths, Dialect(separator="|"), header=True)
+    text = lambda names: F.array_join(F.transform(names, lambda x: F.concat(x.table, F.lit("."), x.column)), " ")
+    named = naming.named(as_ind_table(unary_inds(tables)), tables)
+    return named.select(text("dep_names").alias("dep"), text("ref_names").alias("ref"), "size")
+
+
 @query("csv_gzip_partial_inds", lambda: _partial_sql(Script(_WRITTEN), 0.5))
 def _(spark, sf):
     """Compressed files come as one task each, so their rows are dealt out after the read."""

@@ -179,6 +179,45 @@ def negative_border(df: DataFrame) -> DataFrame:
     return df.join(reducible, F.struct("dep", "ref") == F.col("_id"), "left_anti")
 
 
+def _covered(df: DataFrame, by: DataFrame) -> DataFrame:
+    """(dep, ref): those of ``df`` whose pairs are all in, and not all of, one of ``by``."""
+    small = with_rarest_pair(df)
+    big = by.select(F.col("dep").alias("_d"), F.col("ref").alias("_r"), F.explode(pairs()).alias("_p"))
+    inside = is_specializing(F.col("_d"), F.col("_r"), F.col("dep"), F.col("ref"))
+    return small.join(big, (small["_p"] == big["_p"]) & inside, "left_semi").select("dep", "ref")
+
+
+def extended_positive_border(border: DataFrame, new: DataFrame) -> DataFrame:
+    """The maximal dependencies of a border and of what is new, without looking at what the border stands for.
+
+    Equal to :func:`positive_border` of all that ever came: what left the border is covered
+    by something that is still in it. What comes again changes nothing."""
+    fresh = _without(new.select("dep", "ref").distinct(), border)
+    top = positive_border(fresh)
+    added = _without(top, _covered(top, border))
+    return _without(border.select("dep", "ref"), _covered(border, top)).unionByName(added)
+
+
+def extended_negative_border(border: DataFrame, new: DataFrame) -> DataFrame:
+    """The minimal ones of a border and of what is new among dependencies that do not hold."""
+    fresh = _without(new.select("dep", "ref").distinct(), border)
+    bottom = negative_border(fresh).select("dep", "ref")
+    added = _without(bottom, _covering(bottom, border))
+    return _without(border.select("dep", "ref"), _covering(border, bottom)).unionByName(added)
+
+
+def _covering(df: DataFrame, of: DataFrame) -> DataFrame:
+    """(dep, ref): those of ``df`` that hold all pairs of one of ``of``, and more."""
+    small = with_rarest_pair(of).select(F.col("dep").alias("_d"), F.col("ref").alias("_r"), "_p")
+    big = df.select("dep", "ref").withColumn("_p", F.explode(pairs()))
+    inside = is_specializing(F.col("dep"), F.col("ref"), F.col("_d"), F.col("_r"))
+    return big.join(small, (big["_p"] == small["_p"]) & inside, "left_semi").select("dep", "ref").distinct()
+
+
+def _without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    return df.join(gone.select("dep", "ref").distinct(), ["dep", "ref"], "left_anti")
+
+
 def of_arity(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.size("dep") == k)
 

@@ -98,6 +98,34 @@ class Discovery:
         return small_table(self.tables.spark, rows, schema)
 
 
+    def measurements(self) -> DataFrame:
+        """(arity, phase, measure, value): what was counted and timed, a row for each figure.
+
+        The phase ``run`` has arity 0 and speaks of the whole run; a level has the phases
+        ``generation``, ``validation`` and, for its dependencies and whole time, ``level``."""
+        rows = [
+            (0, "run", "tables", len(self.tables.tables)),
+            (0, "run", "columns", len(self.tables.columns)),
+            (0, "run", "levels", len(self.level_stats)),
+            (0, "run", "inds", self.num_discovered),
+            (0, "run", "seconds", sum(s.seconds for s in self.level_stats)),
+        ]
+        for s in self.level_stats:
+            rows += [
+                (s.arity, "generation", "candidates", s.candidates),
+                (s.arity, "generation", "seconds", s.generation_seconds),
+                (s.arity, "validation", "scans", s.scans),
+                (s.arity, "validation", "seconds", s.validation_seconds),
+                (s.arity, "level", "inds", s.inds),
+                (s.arity, "level", "rules", s.rules),
+                (s.arity, "level", "seconds", s.seconds),
+            ]
+        schema = pa.schema(
+            [("arity", pa.int32()), ("phase", pa.string()), ("measure", pa.string()), ("value", pa.float64())]
+        )
+        return small_table(self.tables.spark, [(a, p, m, float(v)) for a, p, m, v in rows], schema)
+
+
 class DiscoveryError(RuntimeError):
     """A level failed; ``partial`` has all levels that were finished before."""
 

@@ -65,6 +65,27 @@ def read_collection(spark: SparkSession, folder: str, collection: str) -> tuple[
     return tuple(df.drop("collection") for df in own)
 
 
+# --- measurements -------------------------------------------------------------------
+
+
+def save_measurements(
+    measurements: DataFrame, folder: str, run_id: str | None = None, algorithm: str = "discover", dataset: str = ""
+) -> str:
+    """Keeps the figures of a run under its id, beside those of other runs. Saved again, a run replaces itself."""
+    run_id = run_id or str(uuid.uuid4())
+    stamped = _stamped(measurements, algorithm, dataset, run_id)
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(folder)
+    return run_id
+
+
+def read_measurements(spark: SparkSession, folder: str, run_id: str | None = None) -> DataFrame:
+    """(run_id, algorithm, dataset, created_at, arity, phase, measure, value) of one run or of all."""
+    # Ids are texts, also where they look like numbers; a partition's type would be guessed.
+    figures = "algorithm string, dataset string, created_at timestamp, arity int, phase string, measure string, value double, run_id string"
+    found = spark.read.schema(figures).parquet(folder).select("run_id", "algorithm", "dataset", "created_at", "arity", "phase", "measure", "value")
+    return found if run_id is None else found.where(F.col("run_id") == run_id)
+
+
 def level_writer(path: str, algorithm: str = "discover", dataset: str = "", run_id: str | None = None):
     """An ``on_level`` callback that appends each finished level, so that a later failure loses none."""
     run_id = run_id or str(uuid.uuid4())

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from subsumo.operators.cells import union_all
 from subsumo.operators.sampling import round_robin_sample
 from subsumo.session import materialize
-from subsumo.sources.lines import scan_lines
+from subsumo.sources.lines import scan_lines, without_first_lines
 from subsumo.sources.tables import Table, TableSet
 
 POLICIES = ("fail", "drop", "fail_overlong", "warn")
@@ -108,6 +108,13 @@ def first_line_widths(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("width").isNotNull()).groupBy("table_id").agg(F.min_by("width", position).alias("width"))
 
 
+def header_names(parsed: DataFrame) -> DataFrame:
+    """(table_id, path, names): the fields of the first line of a table's first file; null if it cannot be parsed."""
+    position = F.struct("path", "block_start", "row_in_block")
+    first = F.min_by(F.struct("path", F.col("f").alias("names")), position)
+    return parsed.groupBy("table_id").agg(first.alias("first")).select("table_id", "first.*")
+
+
 def table_widths(parsed: DataFrame) -> DataFrame:
     """(table_id, width): the most fields any line has."""
     return parsed.groupBy("table_id").agg(F.max("width").alias("width"))
@@ -164,13 +171,19 @@ def csv_tables(
     glob: str | None = None,
     max_depth: int | None = None,
     whole_files: bool = False,
+    header: bool = False,
 ) -> TableSet:
     """Named delimited files as a table set. Columns are called column1, column2, … unless named.
 
     Widths that are not declared are those of the first parsable line of a table's first
     file by path (``warn``: of its widest line). Lines with another width are counted by
     ``TableSet.width_violations`` whatever the policy is. Compressed files come as one task
-    each; ``spread`` deals their rows to that many. Files are chosen as in ``scan_lines``."""
+    each; ``spread`` deals their rows to that many. Files are chosen as in ``scan_lines``.
+
+    With ``header`` the first line of every file is no data: that of a table's first file by path
+    names its columns, unless ``column_names`` does, and declares its width, unless ``widths`` does.
+    Columns beyond the names are called as without one; an empty name stays empty. Files of
+    a table may have headers of their own order; fields go by place. A table without a line has no column."""
     if policy not in POLICIES:
         raise ValueError(f"unknown width policy {policy!r}; choose from {POLICIES}")
     mask = (1 << column_bits) - 1
@@ -182,12 +195,23 @@ def csv_tables(
             spark, paths[name], numbered[name], charset, strip_bom, recursive, name_regex, glob, max_depth, heads_only, whole_files
         )
 
-    lines = {name: scanned(name) for name in paths}
+    names_of = dict(column_names or {})
+    headed = {}
+    if header and paths:
+        # One job for all tables, and one line of each comes back.
+        heads = header_names(union_all([parse_lines(scanned(n, heads_only=True), dialect) for n in paths]))
+        by_id = {r["table_id"]: r for r in heads.collect()}
+        unreadable = [r["path"] for r in by_id.values() if r["names"] is None]
+        if unreadable:
+            raise ValueError(f"the first line cannot be parsed: {', '.join(sorted(unreadable))}")
+        headed = {n: list(by_id[numbered[n]]["names"]) if numbered[n] in by_id else [] for n in paths}
+        names_of = {**headed, **names_of}
+    lines = {name: without_first_lines(scanned(name)) if header else scanned(name) for name in paths}
     if sample_percent != -1:
         # Drawn from lines, before any is parsed, and once, so that every level sees the same.
         lines = {name: materialize(round_robin_sample(df, sample_percent)) for name, df in lines.items()}
     parsed = {name: parse_lines(df, dialect, null_string) for name, df in lines.items()}
-    expected = dict(widths or {})
+    expected = {n: len(names) for n, names in headed.items() if policy != "warn"} | dict(widths or {})
     unknown = [n for n in paths if n not in expected]
     if unknown:
         # One job for all tables, and one number for each comes back.
@@ -197,14 +221,16 @@ def csv_tables(
             heads = [parse_lines(scanned(n, heads_only=True), dialect, null_string) for n in unknown]
             found = first_line_widths(union_all(heads))
         by_id = {r["table_id"]: r["width"] for r in found.collect()}
-        expected.update({n: by_id.get(numbered[n], 0) for n in unknown})
+        expected.update({n: max(by_id.get(numbered[n], 0), len(headed.get(n, ()))) for n in unknown})
     tables = []
     for number, name in enumerate(paths):
         df = apply_width_policy(parsed[name], {numbered[name]: expected[name]}, policy).select("f")
         if spread:
             df = df.repartition(spread)
         width = expected[name] if max_columns < 0 else min(expected[name], max_columns)
-        names = (column_names or {}).get(name) or [f"column{i + 1}" for i in range(width)]
+        names = names_of.get(name) or []
+        if header or not names:
+            names = names + [f"column{i + 1}" for i in range(len(names), width)]
         fields = [F.get("f", F.lit(i)) for i in range(width)]
         nulls = [field.isNull() for field in fields]
         tables.append(Table(name, number, df, list(names[:width]), fields, nulls, [T.StringType()] * width))

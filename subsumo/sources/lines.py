@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,28 @@ def scan_lines(
     return found.select("table_id", "path", "block_start", F.monotonically_increasing_id().alias("row_in_block"), value.alias("value"))
 
 
+def without_first_lines(lines: DataFrame) -> DataFrame:
+    """The lines of a scan without the first one of every file.
+
+    A task reads a file's block from its start to its end, so the first row that it meets
+    of a path's first block is the file's first line. Only the order of rows tells, which no built-in
+    function sees without a shuffle by file: batches pass through Arrow, whole and in their order."""
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, start = batch.column("path"), batch.column("block_start")
+            begins = pc.not_equal(path, pa.concat_arrays([path.slice(0, 1), path.slice(0, batch.num_rows - 1)]))
+            head = pa.array([path[0].as_py() != last])
+            begins = pa.concat_arrays([head, begins.slice(1)])
+            last = path[batch.num_rows - 1].as_py()
+            yield batch.filter(pc.invert(pc.and_(begins, pc.equal(start, 0))))
+
+    return lines.mapInArrow(rest, lines.schema)
+
+
 def _canonical(charset: str) -> str:
     """UTF-16LE for utf_16le, UTF16-LE and the like; other names as they are."""
     wide = re.fullmatch(r"UTF[-_]?(16|32)[-_]?(LE|BE)?", charset.upper())

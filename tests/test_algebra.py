@@ -17,6 +17,7 @@ from subsumo.operators.candidates import (
     with_chunk,
     without_void,
 )
+from subsumo.plans.borders import Border
 
 BASE = [0, 1 << 16]
 SCHEMA = "dep array<int>, ref array<int>"
@@ -61,6 +62,27 @@ def test_borders(inds):
     assert algebra.negative_border(inds).count() == len(minimal)
 
 
+@pytest.mark.parametrize("kind", ["positive", "negative"])
+def test_borders_are_kept_up(spark, kind):
+    """Levels in either order, mixed arities, repeated rows and nothing at all give what one batch does."""
+    levels = [{i for i in INDS if len(i[0]) == k} for k in (1, 2, 3)]
+    mixed = random_inds(12, 30)
+    whole = algebra.positive_border if kind == "positive" else algebra.negative_border
+    for order in (levels, levels[::-1], [levels[1], mixed, levels[0] | levels[2], levels[1]]):
+        border, seen = Border(spark, kind), set()
+        for level in [set(), *order]:
+            seen |= level
+            border.add(frame(spark, level).unionByName(frame(spark, sorted(level)[:3])))
+            expected = {
+                i for i in seen
+                if not any(pairs(i) < pairs(j) if kind == "positive" else pairs(j) < pairs(i) for j in seen)
+            }
+            assert ind_set(border.df) == expected and border.size == border.df.count() == len(expected)
+        assert ind_set(border.df) == ind_set(whole(frame(spark, seen)))
+    with pytest.raises(ValueError):
+        Border(spark, "other")
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_implied(inds, k):
     expected = set()

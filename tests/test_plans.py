@@ -9,7 +9,15 @@ from ind_samples import ind_set
 from subsumo import DiscoveryError, TableSet, discover, discover_with_rules
 from subsumo.operators.candidates import apriori_candidates
 from subsumo.plans import discovery
-from subsumo.sinks import for_each, level_writer, read_collection, save, save_collection
+from subsumo.sinks import (
+    for_each,
+    level_writer,
+    read_collection,
+    read_measurements,
+    save,
+    save_collection,
+    save_measurements,
+)
 
 
 def related_tables(spark, seed, null_rate=0.0, stored=False):
@@ -213,3 +221,23 @@ def test_collections(spark, tmp_path):
         assert sorted(map(tuple, columns.collect())) == sorted(map(tuple, tables.registry().collect()))
         assert [(r.algorithm, r.dataset, r.settings) for r in run.collect()] == [("discover", "related", {"max_arity": "2"})]
     assert read_collection(spark, folder, "c")[0].count() == 0
+
+
+def test_measurements(spark, tmp_path):
+    """Runs are kept side by side; a run saved again replaces its own figures."""
+    folder = str(tmp_path / "measurements")
+    _, tables = related_tables(spark, 1)
+    one, two = discover(tables, max_arity=1), discover(tables, max_arity=2)
+    save_measurements(one.measurements(), folder, "7", "discover", "first")
+    other = save_measurements(one.measurements(), folder)
+    save_measurements(two.measurements(), folder, "7", "discover", "second")
+    rows = read_measurements(spark, folder, "7").collect()
+    assert {(r.run_id, r.dataset) for r in rows} == {("7", "second")}
+    figures = {(r.arity, r.phase, r.measure): r.value for r in rows}
+    assert len(figures) == len(rows) == 5 + 7 * 2
+    assert figures[0, "run", "columns"] == 7 and figures[0, "run", "inds"] == two.num_discovered
+    for s in two.level_stats:
+        assert figures[s.arity, "generation", "candidates"] == s.candidates
+        assert (figures[s.arity, "level", "inds"], figures[s.arity, "validation", "scans"]) == (s.inds, s.scans)
+    assert {r.run_id for r in read_measurements(spark, folder).collect()} == {"7", other}
+    assert read_measurements(spark, folder, "8").count() == 0

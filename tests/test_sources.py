@@ -354,3 +354,68 @@ def test_long_quoted_fields(spark):
     text = 'say ""hi"", ' * 20000
     fields = parse_lines(rows_to_lines(spark, [f'x,"{text}",y']), QUOTED).first().f
     assert fields == ["x", text.replace('""', '"'), "y"]
+
+
+# --- headers ------------------------------------------------------------------------
+
+
+def named_rows(tables):
+    return {t.name: (t.column_names, sorted(map(tuple, t.df.select(*t.fields).collect()))) for t in tables.tables}
+
+
+def test_headers(spark, tmp_path):
+    """Only the first line of each file goes, also if data lines are equal to it; files may hold nothing else."""
+    one = tmp_path / "one"
+    one.mkdir()
+    (one / "a.csv").write_text("x;y\n1;2\nx;y\n3;4\n")
+    (one / "b.csv").write_text("x;y\n5;6\nx;y\n")
+    (one / "c.csv").write_text("x;y\n")
+    (one / "d.csv").write_text("")
+    (tmp_path / "two.csv").write_bytes("\ufeffÄ;Ä;\r\n1;2;3\r\n".encode())
+    (tmp_path / "none.csv").write_text("")
+    paths = {"one": str(one), "two": str(tmp_path / "two.csv"), "none": str(tmp_path / "none.csv")}
+    rows = [("1", "2"), ("3", "4"), ("5", "6"), ("x", "y"), ("x", "y")]
+    expected = {"one": (["x", "y"], rows), "two": (["Ä", "Ä", ""], [("1", "2", "3")]), "none": ([], [])}
+    for policy in ("fail", "warn"):
+        tables = csv_tables(spark, paths, header=True, policy=policy)
+        found = named_rows(tables)
+        assert {n: found[n] for n in ("one", "two")} == {n: expected[n] for n in ("one", "two")}
+        assert found["none"][0] == []
+    assert [r.name for r in tables.registry().orderBy("column_id").collect()] == ["x", "y", "Ä", "Ä", ""]
+    renamed = csv_tables(spark, paths, header=True, column_names={"one": ["p", "q"]}, max_columns=1)
+    assert {n: names for n, (names, _) in named_rows(renamed).items()} == {"one": ["p"], "two": ["Ä"], "none": []}
+
+
+def test_headers_of_many_blocks(spark, tmp_path):
+    """Blocks within a file have no header; tasks may read blocks of several files."""
+    folder = tmp_path / "blocks"
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"{i}.csv").write_text("n;text\n" + "".join(f"{j};{'t' * (j % 50)}\n" for j in range(i * 500, i * 500 + 500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("1000b", "30000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            (names, rows), = named_rows(csv_tables(spark, {"t": str(folder)}, header=True)).values()
+            assert names == ["n", "text"] and sorted(int(n) for n, _ in rows) == list(range(2000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_headers_in_quotes_and_samples(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('"a,b","c"\n' + "".join(f'"{i}","x,{i}"\n' for i in range(200)))
+    dialect = Dialect(separator=",", quote='"')
+    (names, rows), = named_rows(csv_tables(spark, {"t": str(path)}, dialect, header=True, sample_percent=50)).values()
+    assert names == ["a,b", "c"] and len(rows) == 100 and all(b == f"x,{a}" for a, b in rows)
+    (names, rows), = named_rows(csv_tables(spark, {"t": str(path)}, dialect, header=True, whole_files=True)).values()
+    assert names == ["a,b", "c"] and len(rows) == 200
+    path.write_text('"never closed\n1,2\n')
+    with pytest.raises(ValueError, match="quoted.csv"):
+        csv_tables(spark, {"t": str(path)}, dialect, header=True)
+    path.write_text("a,b\n1,2,3\n4\n")
+    kept = csv_tables(spark, {"t": str(path)}, dialect, header=True, policy="warn")
+    assert named_rows(kept)["t"] == (["a", "b", "column3"], [("1", "2", "3"), ("4", None, None)])
+    assert named_rows(csv_tables(spark, {"t": str(path)}, dialect, header=True, policy="drop"))["t"] == (["a", "b"], [])
