@@ -1,11 +1,12 @@
 """License scans: ordered signature rules behind a keyword gate, overlaps resolved by priority.
 
 A text is lower-cased and becomes its words with single blanks between. Rules are regular
-expressions over such words, made from families of licenses, their versions and the forms
+expressions over such words. Some are written one by one, from sentences of the licenses' own texts and from short
+names (``SIGNATURES``); the others are made from families of licenses, their versions and the forms
 in which a license is named: a machine-readable tag, a notice with a version, a notice, a
-title with a version, a title. The form is the priority. A text is first tested for a few
-letters that every rule needs, then for the keywords of rules; only rules with a keyword in
-the text run. A detection inside the interval of one with the same or a higher priority is
+title with a version, a title. The form is the priority; a sentence of a license ranks as a notice with a version. A text
+is first tested for a few words of which every rule needs one, then for the keywords of rules; only rules with a keyword in
+the text run. A plus behind a version is a separator, so ``GPLv2+`` counts as ``GPLv2``. A detection inside the interval of one with the same or a higher priority is
 suppressed. Everything is columns of one row: no shuffle, no Python.
 
 The four stated phrases are found for themselves, and no rule hides them. Nulls are empty texts
@@ -90,6 +91,63 @@ FAMILIES = [
     ("cc-by-nc-sa", "cc by", "cc by nc sa", ["1", "2", "2 5", "3", "4"]),
     ("cc-by-nc-nd", "cc by", "cc by nc nd", ["1", "2", "2 5", "3", "4"]),
 ]
+#: Families whose notices let a later version be chosen, with a label of its own for that.
+OR_LATER = ("gpl", "lgpl", "agpl", "gfdl")
+#: Label, keyword, level, pattern over words. Sentences of license texts, and short names that hold no "license".
+SIGNATURES = [
+    ("mit", "hereby", 1, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "substantial", 1, "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("bsl-1", "hereby", 1, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unicode", "hereby", 1, "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("isc", "hereby", 1, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "hereby", 1, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("postgresql", "hereby", 1, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "hereby", 1, "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose (?:and )?(?:without fee )?is hereby granted"),
+    ("mit-0", "hereby", 1, "to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("python", "hereby", 1, "psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e"),
+    ("bsd", "redistribution", 1, "redistribution and use in source and binary forms with or without modification are permitted(?: subject to the limitations in the disclaimer below)? provided that the following conditions are met"),
+    ("bsd-3-clause", "endorse", 1, "neither the names? of (?:\\S+ ){1,16}?nor the names of (?:\\S+ ){0,3}?contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", "endorse", 1, "the names? of (?:\\S+ ){1,8}?may not be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", 1, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "implied", 1, "this software is provided as is without any express or implied warranty in no event (?:will|shall) the authors? be held liable"),
+    ("zlib", "misrepresented", 1, "the origin of this software must not be misrepresented"),
+    ("apache-1.1", "apache", 1, "this product includes software developed by the apache (?:software foundation|group)"),
+    ("apache-2", "applicable", 1, "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("mpl-2", "mozilla", 1, "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("mpl-2", "mozilla", 1, "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "mozilla", 1, "the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("epl-1", "eclipse", 1, "made available under the terms of the eclipse public licen[cs]e (?:v |version )?1 0"),
+    ("epl-2", "eclipse", 1, "made available under the terms of the eclipse public licen[cs]e (?:v |version )?2 0"),
+    ("unlicense", "unencumbered", 1, "this is free and unencumbered software released into the public domain"),
+    ("cc0", "deed", 1, "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic-1", "intent", 1, "the intent of this document is to state the conditions under which a package may be copied"),
+    ("openssl", "openssl", 1, "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "php", 1, "this product includes php software freely available from"),
+    ("wtfpl", "do what the", 1, "you just do what the f\\S+ you want to"),
+    ("json", "evil", 1, "the software shall be used for good not evil"),
+    ("beerware", "whatever", 1, "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("ofl", "font", 1, "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    ("ncsa", "ncsa", 2, "university of illinois ncsa open source licen[cs]e"),
+    ("vim", "vim", 4, "vim licen[cs]e"),
+    ("apache-2", "apache", 3, "apache 2 0(?! [0-9])"),
+    ("apache-1.1", "apache", 3, "apache 1 1(?! [0-9])"),
+    ("apache-2", "asl", 3, "asl ?(?:v ?)?2 0(?! [0-9])"),
+    ("mpl-1.1", "mpl", 3, "mpl ?(?:v ?)?1 1"),
+    ("mpl-2", "mpl", 3, "mpl ?(?:v ?)?2 0"),
+    ("epl-1", "epl", 3, "epl ?(?:v ?)?1 0"),
+    ("epl-2", "epl", 3, "epl ?(?:v ?)?2 0"),
+    ("cddl-1", "cddl", 3, "cddl ?(?:v ?)?1 0"),
+    ("cddl-1.1", "cddl", 3, "cddl ?(?:v ?)?1 1"),
+    ("eupl-1.1", "eupl", 3, "eupl ?(?:v ?)?1 1"),
+    ("eupl-1.2", "eupl", 3, "eupl ?(?:v ?)?1 2"),
+    ("bsl-1", "bsl", 3, "bsl ?(?:v ?)?1 0"),
+    ("artistic-2", "artistic", 3, "artistic 2 0"),
+    ("ofl-1.1", "ofl", 3, "ofl ?(?:v ?)?1 1"),
+    ("0bsd", "0bsd", 3, "0bsd"),
+    ("bsd-2-clause", "bsd", 3, "bsd (?:2|two) clause|(?:simplified|freebsd) bsd"),
+    ("bsd-3-clause", "bsd", 3, "bsd (?:3|three) clause|(?:new|modified|revised) bsd"),
+    ("bsd-4-clause", "bsd", 3, "bsd (?:4|four) clause|(?:original|old) bsd licen[cs]e"),
+]
 UNDER = "(?:licensed|released|distributed|available|published|provided|covered|redistribut\\w+) (?:\\w+ ){0,2}?(?:under|by) (?:the |an? )?(?:terms (?:and conditions )?of )?(?:the )?"
 #: Score of a detection by its priority: tag, notice with version, notice, title with version, title.
 SCORES = [1.0, 0.95, 0.9, 0.8, 0.6]
@@ -97,18 +155,36 @@ SCORES = [1.0, 0.95, 0.9, 0.8, 0.6]
 
 def signature_rules() -> list[dict]:
     """All rules in order: keyword, pattern, level (0 is the highest priority) and label."""
-    rules = []
+    rules = [
+        {"keyword": keyword, "pattern": f"(?<= )(?:{pattern})(?= )", "level": level, "label": label, "rule": at}
+        for at, (label, keyword, level, pattern) in enumerate(SIGNATURES)
+    ]
     for label, keywords, name, versions in FAMILIES:
         forms = [(2, f"{UNDER}(?:{name})", label), (4, name, label)]
         spdx = label.replace("-", " ")
         forms.append((0, f"spdx {LICENSE} identifier {spdx}", label))
+        if label in OR_LATER:
+            forms.append((2, f"redistribute (?:\\S+ )?and or modify (?:\\S+ )?under the terms of (?:the |version [0-9] of the )?(?:{name})", label))
         for version in versions:
-            number = f"(?:{LICENSE} )?(?:,? ?version |v ?)?{version}(?: 0)?"
+            # The version stands apart, or is glued to a short name.
+            short = "" if LICENSE in name else "?"
+            number = f"(?: {LICENSE})? {short}(?:version |v ?)?{version}(?: 0)?(?! [0-9])"
             own = f"{label}-{version.replace(' ', '.')}"
+            later = " (?:or|and) (?:at your option )?(?:any )?(?:later|newer|above|higher)(?: versions?)?"
+            published = f"(?:{name}) as published by the free software foundation (?:either )?version {version}(?: 0)?(?: of the {LICENSE})?"
+            if label in OR_LATER:
+                forms += [
+                    (0, f"spdx {LICENSE} identifier {spdx} {version}(?: 0)? or later", f"{own}-or-later"),
+                    (1, f"{UNDER}(?:{name}){number}{later}", f"{own}-or-later"),
+                    (1, f"{published}{later}", f"{own}-or-later"),
+                    (3, f"(?:{name}){number}{later}", f"{own}-or-later"),
+                    (1, published, own),
+                ]
+                later = " only"
             forms += [
                 (0, f"spdx {LICENSE} identifier {spdx} {version}(?: 0)?(?: only| or later)?", own),
-                (1, f"{UNDER}(?:{name}) {number}(?: or (?:any )?later(?: version)?)?", own),
-                (3, f"(?:{name}) {number}(?: or (?:any )?later(?: version)?)?", own),
+                (1, f"{UNDER}(?:{name}){number}(?:{later})?", own),
+                (3, f"(?:{name}){number}(?:{later})?", own),
             ]
         for level, pattern, own in forms:
             for keyword in ["identifier"] if level == 0 else keywords.split("|"):
@@ -117,8 +193,8 @@ def signature_rules() -> list[dict]:
 
 
 #: Every rule and every stated phrase needs one of these letters, or of these words with separators between.
-GATES = ("licen", "gpl", "cc0")
-WORD_GATES = ("creative commons", "public domain", "cc by")
+GATES = ("licen", "gpl", "cc0", *sorted({keyword for _, keyword, _, pattern in SIGNATURES if "licen" not in pattern and " " not in keyword}))
+WORD_GATES = ("creative commons", "public domain", "cc by", "do what the")
 _RULE = "array<struct<keyword:string,pattern:string,level:int,label:string,rule:int>>"
 _FOUND = "array<struct<start:int,end:int,level:int,rule:int,label:string>>"
 

@@ -187,6 +187,69 @@ def test_wrapped_phrases(spark):
         assert label in found[i].labels.split(",") and found[i].score > 0, (i, label)
 
 
+NOTICES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")": "mit",
+    "Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above": "isc",
+    "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:": "bsd",
+    "Neither the name of the Example Project, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable": "zlib",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "the code is GPLv2": "gpl-2",
+    "GPLv2+ only in name": "gpl-2",
+    "Licensed under GPLv3 or later": "gpl-3-or-later",
+    "LGPLv2.1 or any later version": "lgpl-2.1-or-later",
+    "GPL-2.0-or-later": "gpl-2-or-later",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2-or-later",
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl-2",
+    "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2-or-later",
+    "license = Apache-2.0": "apache-2",
+    "BSD-3-Clause": "bsd-3-clause",
+    "MPL-2.0 code": "mpl-2",
+    "EPL 2.0 code": "epl-2",
+    "do\nwhat the fudge you want to public license": "wtfpl",
+    "you just DO WHAT THE FUDGE YOU WANT TO.": "wtfpl",
+}
+
+
+def test_notices(spark):
+    df = spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.labelled(df).collect()}
+    for i, (text, label) in enumerate(NOTICES.items()):
+        labels = found[i].labels.split(",")
+        assert label in labels and found[i].score > 0, (text, labels)
+        if label.endswith("-or-later"):
+            assert label.removesuffix("-or-later") not in labels, (text, labels)
+    clean = ["Apache 2.0.55 serves an example", "we hereby reply: simple words, implied and applicable", "php and openssl and unicode fonts"]
+    rows = licenses.labelled(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in rows] == [("", 0.0)] * 3
+
+
+def plain_detections(text):
+    """Every rule on every text, without gates, then the intervals that none of the same or a higher priority holds."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    line = f" {' '.join(words)} "
+    found = []
+    for rule in licenses.signature_rules():
+        for m in re.finditer(rule["pattern"], line):
+            start = line[: m.start()].count(" ") - 1
+            found.append((start, start + m.group().count(" ") + 1, rule["level"], rule["rule"], rule["label"]))
+    found.sort(key=lambda x: (x[0], -x[1], *x[2:]))
+    return [
+        x for i, x in enumerate(found)
+        if not any(y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] for y in found[:i])
+    ]
+
+
+def test_detections_by_brute_force(spark):
+    draw = random.Random(9)
+    parts = [*LICENSED, *NOTICES, "and", "or later", "2.0", "v3", "the", "License", "GNU", "CC-BY-SA 4.0", "Mozilla Public License 1.1"]
+    texts = [*parts, *(draw.choice([" ", "\n", ". "]).join(draw.choices(parts, k=draw.randint(2, 7))) for _ in range(150))]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        got = [(d.start, d.end, d.level, d.rule, d.label) for d in r.detections]
+        assert got == plain_detections(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_suppression(spark):
     """A notice hides the title inside it, and no detection lies inside a kept one of its priority or a higher one."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(LICENSED)], "doc_id long, text string")
