@@ -96,7 +96,7 @@ OR_LATER = ("gpl", "lgpl", "agpl", "gfdl")
 #: Label, keyword, level, pattern over words. Sentences of license texts, and short names that hold no "license".
 SIGNATURES = [
     ("mit", "hereby", 1, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "substantial", 1, "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("mit", "substantial portions", 1, "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
     ("bsl-1", "hereby", 1, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("unicode", "hereby", 1, "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
     ("isc", "hereby", 1, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
@@ -105,49 +105,48 @@ SIGNATURES = [
     ("hpnd", "hereby", 1, "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose (?:and )?(?:without fee )?is hereby granted"),
     ("mit-0", "hereby", 1, "to permit persons to whom the software is furnished to do so the software is provided as is"),
     ("python", "hereby", 1, "psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e"),
-    ("bsd", "redistribution", 1, "redistribution and use in source and binary forms with or without modification are permitted(?: subject to the limitations in the disclaimer below)? provided that the following conditions are met"),
+    ("bsd", "redistribution and", 1, "redistribution and use in source and binary forms with or without modification are permitted(?: subject to the limitations in the disclaimer below)? provided that the following conditions are met"),
     ("bsd-3-clause", "endorse", 1, "neither the names? of (?:\\S+ ){1,16}?nor the names of (?:\\S+ ){0,3}?contributors may be used to endorse or promote products derived from this software"),
     ("bsd-3-clause", "endorse", 1, "the names? of (?:\\S+ ){1,8}?may not be used to endorse or promote products derived from this software"),
-    ("bsd-4-clause", "advertising", 1, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
-    ("zlib", "implied", 1, "this software is provided as is without any express or implied warranty in no event (?:will|shall) the authors? be held liable"),
+    ("bsd-4-clause", "advertising materials", 1, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "implied warranty", 1, "this software is provided as is without any express or implied warranty in no event (?:will|shall) the authors? be held liable"),
     ("zlib", "misrepresented", 1, "the origin of this software must not be misrepresented"),
-    ("apache-1.1", "apache", 1, "this product includes software developed by the apache (?:software foundation|group)"),
-    ("apache-2", "applicable", 1, "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("apache-1.1", "the apache", 1, "this product includes software developed by the apache (?:software foundation|group)"),
+    ("apache-2", "applicable law", 1, "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
     ("mpl-2", "mozilla", 1, "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
     ("mpl-2", "mozilla", 1, "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("mpl-1.1", "mozilla", 1, "the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
     ("epl-1", "eclipse", 1, "made available under the terms of the eclipse public licen[cs]e (?:v |version )?1 0"),
     ("epl-2", "eclipse", 1, "made available under the terms of the eclipse public licen[cs]e (?:v |version )?2 0"),
     ("unlicense", "unencumbered", 1, "this is free and unencumbered software released into the public domain"),
-    ("cc0", "deed", 1, "the person who associated a work with this deed has dedicated the work to the public domain"),
-    ("artistic-1", "intent", 1, "the intent of this document is to state the conditions under which a package may be copied"),
-    ("openssl", "openssl", 1, "this product includes software developed by the openssl project for use in the openssl toolkit"),
-    ("php", "php", 1, "this product includes php software freely available from"),
+    ("cc0", "deed has", 1, "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic-1", "intent of", 1, "the intent of this document is to state the conditions under which a package may be copied"),
+    ("openssl", "openssl project", 1, "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "php software", 1, "this product includes php software freely available from"),
     ("wtfpl", "do what the", 1, "you just do what the f\\S+ you want to"),
-    ("json", "evil", 1, "the software shall be used for good not evil"),
-    ("beerware", "whatever", 1, "as long as you retain this notice you can do whatever you want with this stuff"),
-    ("ofl", "font", 1, "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    ("json", "good not evil", 1, "the software shall be used for good not evil"),
+    ("beerware", "whatever you", 1, "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("ofl", "font software", 1, "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
     ("ncsa", "ncsa", 2, "university of illinois ncsa open source licen[cs]e"),
     ("vim", "vim", 4, "vim licen[cs]e"),
-    ("apache-2", "apache", 3, "apache 2 0(?! [0-9])"),
-    ("apache-1.1", "apache", 3, "apache 1 1(?! [0-9])"),
-    ("apache-2", "asl", 3, "asl ?(?:v ?)?2 0(?! [0-9])"),
-    ("mpl-1.1", "mpl", 3, "mpl ?(?:v ?)?1 1"),
-    ("mpl-2", "mpl", 3, "mpl ?(?:v ?)?2 0"),
-    ("epl-1", "epl", 3, "epl ?(?:v ?)?1 0"),
-    ("epl-2", "epl", 3, "epl ?(?:v ?)?2 0"),
-    ("cddl-1", "cddl", 3, "cddl ?(?:v ?)?1 0"),
-    ("cddl-1.1", "cddl", 3, "cddl ?(?:v ?)?1 1"),
-    ("eupl-1.1", "eupl", 3, "eupl ?(?:v ?)?1 1"),
-    ("eupl-1.2", "eupl", 3, "eupl ?(?:v ?)?1 2"),
-    ("bsl-1", "bsl", 3, "bsl ?(?:v ?)?1 0"),
-    ("artistic-2", "artistic", 3, "artistic 2 0"),
-    ("ofl-1.1", "ofl", 3, "ofl ?(?:v ?)?1 1"),
+    ("apache-2", "apache 2", 3, "apache 2 0(?! [0-9])"),
+    ("apache-1.1", "apache 1", 3, "apache 1 1(?! [0-9])"),
+    ("artistic-2", "artistic 2", 3, "artistic 2 0"),
     ("0bsd", "0bsd", 3, "0bsd"),
     ("bsd-2-clause", "bsd", 3, "bsd (?:2|two) clause|(?:simplified|freebsd) bsd"),
     ("bsd-3-clause", "bsd", 3, "bsd (?:3|three) clause|(?:new|modified|revised) bsd"),
     ("bsd-4-clause", "bsd", 3, "bsd (?:4|four) clause|(?:original|old) bsd licen[cs]e"),
 ]
+#: Labels of short names with versions, which stand apart or glued.
+SHORT_NAMES = [
+    ("apache-2", "asl", "2 0"), ("mpl-1.1", "mpl", "1 1"), ("mpl-2", "mpl", "2 0"), ("epl-1", "epl", "1 0"), ("epl-2", "epl", "2 0"),
+    ("cddl-1", "cddl", "1 0"), ("cddl-1.1", "cddl", "1 1"), ("eupl-1.1", "eupl", "1 1"), ("eupl-1.2", "eupl", "1 2"),
+    ("bsl-1", "bsl", "1 0"), ("ofl-1.1", "ofl", "1 1"),
+]
+SIGNATURES += [
+    (label, f"{name}{between}{version[0]}", 3, f"{name}{between}{version}(?! [0-9])")
+    for label, name, version in SHORT_NAMES for between in (" ", "", " v", "v", " v ")
+]
 UNDER = "(?:licensed|released|distributed|available|published|provided|covered|redistribut\\w+) (?:\\w+ ){0,2}?(?:under|by) (?:the |an? )?(?:terms (?:and conditions )?of )?(?:the )?"
 #: Score of a detection by its priority: tag, notice with version, notice, title with version, title.
 SCORES = [1.0, 0.95, 0.9, 0.8, 0.6]
@@ -192,9 +191,9 @@ def signature_rules() -> list[dict]:
     return rules
 
 
-#: Every rule and every stated phrase needs one of these letters, or of these words with separators between.
-GATES = ("licen", "gpl", "cc0", *sorted({keyword for _, keyword, _, pattern in SIGNATURES if "licen" not in pattern and " " not in keyword}))
-WORD_GATES = ("creative commons", "public domain", "cc by", "do what the")
+#: Every rule and every stated phrase needs one of these letters, or of these words at the start of a word, with separators between.
+GATES = ("licen", "gpl", "cc0")
+WORD_GATES = ("creative commons", "public domain", "cc by", "do what the", *sorted({k for _, k, _, pattern in SIGNATURES if "licen" not in pattern}))
 _RULE = "array<struct<keyword:string,pattern:string,level:int,label:string,rule:int>>"
 _FOUND = "array<struct<start:int,end:int,level:int,rule:int,label:string>>"
 
@@ -274,7 +273,10 @@ def scan_licenses(documents: DataFrame, *, id_column: str = "doc_id", text_colum
     gate = F.lit(False)
     for letters in GATES:
         gate = gate | F.contains(low, F.lit(letters))
-    gate = gate | low.rlike("|".join(words.replace(" ", f"[{SEPARATORS}]+") for words in WORD_GATES))
+    # A look at the letter first, so that most words are left after one test.
+    starts = "".join(sorted({words[0] for words in WORD_GATES}))
+    some_words = "|".join(words.replace(" ", f"[{SEPARATORS}]+") for words in WORD_GATES)
+    gate = gate | low.rlike(f"(?:^|[{SEPARATORS}])(?=[{starts}])(?:{some_words})")
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, f"[{SEPARATORS}]+", " ")), F.lit(" "))
     scanned = F.when(gate, _let(words, _scanned))
     rows = documents.select(
