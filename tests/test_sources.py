@@ -419,3 +419,15 @@ def test_headers_in_quotes_and_samples(spark, tmp_path):
     kept = csv_tables(spark, {"t": str(path)}, dialect, header=True, policy="warn")
     assert named_rows(kept)["t"] == (["a", "b", "column3"], [("1", "2", "3"), ("4", None, None)])
     assert named_rows(csv_tables(spark, {"t": str(path)}, dialect, header=True, policy="drop"))["t"] == (["a", "b"], [])
+
+
+@pytest.mark.parametrize("name", ["charset_multibyte_lines", "charset_utf16_lines", "charset_lines"])
+def test_encoded_documents_are_written_by_all_tasks(spark, monkeypatch, name):
+    from checks import registry
+
+    rows = [(i, f"a text\n{i}", "en", "web", 8) for i in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    monkeypatch.setattr(registry, "load", lambda *_: {"documents": documents})
+    read = registry.QUERIES[name].run(spark, "")
+    assert len(read.inputFiles()) == 4
+    assert sorted(int(r["doc_id"]) for r in read.collect()) == list(range(40))
