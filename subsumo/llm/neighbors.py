@@ -2,13 +2,13 @@
 
 Equal vectors are one node. A node is one row: its unit vector in half precision and its nearest
 neighbours so far, each new or not. The graph starts with the nearest nodes in blocks of rows that
-lie on the same sides of random hyperplanes. An iteration joins neighbours of neighbours: a node
-and the nodes that have it as a neighbour meet where one of the two is new there, and whoever is
-nearer than what the other has becomes its neighbour. Iterations end when few edges are new. A
+lie on the same sides of random hyperplanes. An iteration joins neighbours of neighbours: a node's
+neighbours and the nodes that have it as a neighbour meet where one of the two is new there, and whoever is
+nearer than what the other has becomes its neighbour. A node around which nothing is new asks for no vector. Iterations end when few edges are new. A
 query starts at its own node and goes on to the neighbours of the nearest nodes it has not yet
 visited, until it has visited all that it keeps. What it ends with is scored by cosine in double
-precision on the original vectors. Neighbours and the nodes that a query keeps grow with the number
-of nodes (`sizes`). Every vector is in the graph; recall against brute force is a test.
+precision on the original vectors. Neighbours, the orders of the start and the nodes that a query keeps grow
+with the number of nodes (`sizes`, `orders`). Every vector is in the graph; recall against brute force is a test.
 
 Of the nodes that have one node as a neighbour (a hub), only as many of the nearest meet there as a
 node has neighbours; the others still meet elsewhere. This bounds all groups, and what it costs in
@@ -37,7 +37,7 @@ from subsumo.session import materialize
 
 #: Neighbours of a node and nodes that a query keeps, both for up to FEW nodes.
 NEIGHBOURS, BEAM, FEW = 32, 120, 20_000
-#: Hyperplane orders, their bits, rows of a block; share of new edges below which iterations end.
+#: Hyperplane orders for up to FEW nodes, their bits, rows of a block; share of new edges below which iterations end.
 ORDERS, PLANES, BLOCK, CHANGED = 8, 16, 2048, 0.005
 SEED = 5
 
@@ -48,6 +48,11 @@ def sizes(count: int) -> tuple[int, int]:
     return NEIGHBOURS + math.ceil(4 * math.log2(times)), math.ceil(BEAM * math.sqrt(times))
 
 
+def orders(count: int) -> int:
+    """Hyperplane orders: 4 more for each doubling, so that a larger graph does not start so far from its end."""
+    return ORDERS + math.ceil(4 * math.log2(max(1.0, count / FEW)))
+
+
 def usable(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id, vector (array<double>) and node: a hash of the vector."""
     vector = F.col(vector_column).cast("array<double>")
@@ -98,13 +103,14 @@ def _found(node, like, v) -> pa.RecordBatch:
 
 def first_neighbours(nodes: DataFrame, count: int, most: int) -> DataFrame:
     """node and neighbours (an array) from each block of rows in the orders of random hyperplanes."""
+    turns = orders(count)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for places in _lengths(batch.column(1)):
                 one = batch.take(pa.array(places))
                 unit = _units(one.column(1))
-                for turn in range(ORDERS):
+                for turn in range(turns):
                     planes = np.random.default_rng([SEED, turn]).standard_normal((unit.shape[1], PLANES)).astype(np.float32)
                     code = ((unit @ planes > 0) * (1 << np.arange(PLANES))).sum(axis=1)
                     place = pa.array(code + (turn << PLANES), pa.int64())
@@ -146,7 +152,7 @@ def first_neighbours(nodes: DataFrame, count: int, most: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, far.size + 1, k), pa.int32()), entries)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists], names=["node", "neighbours"])
 
-    parts = max(1, count * ORDERS // (8 * BLOCK))
+    parts = max(1, count * turns // (8 * BLOCK))
     placed = nodes.select("node", "unit").mapInArrow(codes, "node bigint, unit binary, length int, place bigint")
     ordered = placed.repartitionByRange(parts, "length", "place", "node").sortWithinPartitions("length", "place", "node")
     return ordered.select("node", "unit").mapInArrow(blocks, f"node bigint, neighbours array<{_NEIGHBOUR}>")
@@ -190,18 +196,22 @@ def first_graph(nodes: DataFrame, count: int, most: int) -> DataFrame:
 
 
 def both_ways(edges: DataFrame, most: int) -> DataFrame:
-    """node, unit, `least` (the cosine that a neighbour must beat) and `around`: neighbours of a node and, of the
-    nodes that have it as a neighbour, as many of the nearest."""
+    """node, unit and `around`: neighbours of a node and, of the nodes that have it as a neighbour, as many of the nearest."""
     each = edges.select(F.col("node").alias("u"), F.explode("neighbours").alias("x"))
     back = each.select(F.col("x.v").alias("node"), F.struct("x.far", F.col("u").alias("v"), "x.new").alias("x"))
     place = F.row_number().over(W.partitionBy("node").orderBy("x"))
     back = back.withColumn("place", place).where(F.col("place") <= most).groupBy("node").agg(F.collect_list("x").alias("back"))
     all_of_them = F.concat("neighbours", F.coalesce("back", F.array().cast(f"array<{_NEIGHBOUR}>")))
-    least = F.when(F.size("neighbours") >= most, -F.element_at("neighbours", -1).far).otherwise(F.lit(-2.0)).cast("float")
-    joined = edges.join(back, "node", "left").select("node", "unit", least.alias("least"), all_of_them.alias("neighbours"))
+    joined = edges.join(back, "node", "left").select("node", "unit", all_of_them.alias("neighbours"))
     return nearest(joined, 2 * most).withColumnRenamed("neighbours", "around")
 
 
+def asked(edges: DataFrame, most: int) -> DataFrame:
+    """at, node, new: whom nodes around which something is new let meet. Others ask for nobody, so iterations shrink."""
+    around = both_ways(edges, most).where(F.exists("around", lambda x: x.new))
+    return around.select(F.col("node").alias("at"), F.explode("around").alias("x")).select("at", F.col("x.v").alias("node"), "x.new")
+
+
 def descend(edges: DataFrame, most: int) -> DataFrame:
     """The graph after one iteration: where one of two neighbours of a node is new there, they meet. What they gain is new."""
 
@@ -231,12 +241,11 @@ def descend(edges: DataFrame, most: int) -> DataFrame:
             first[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             yield _found(a[first], like[first], b[first])
 
-    sent = both_ways(edges, most).select("node", "unit", "least", F.explode("around").alias("x"))
-    sent = sent.select(F.col("x.v").alias("at"), "x.far", "x.new", "node", "unit", "least")
-    place = F.row_number().over(W.partitionBy("at").orderBy("far", "node"))
-    sent = sent.withColumn("place", place).where(F.col("place") <= 2 * most)
-    groups = sent.groupBy("at").agg(F.collect_list(F.struct("node", "unit", "least", "new")).alias("members"), F.max("new").alias("some"))
-    gains = groups.where("some").select("members").mapInArrow(meet, _FOUND)
+    # The cosine that a neighbour must beat.
+    least = F.when(F.size("neighbours") >= most, -F.element_at("neighbours", -1).far).otherwise(F.lit(-2.0)).cast("float")
+    members = asked(edges, most).join(edges.select("node", "unit", least.alias("least")), "node")
+    groups = members.groupBy("at").agg(F.collect_list(F.struct("node", "unit", "least", "new")).alias("members"))
+    gains = groups.select("members").mapInArrow(meet, _FOUND)
     gained = gains.groupBy("node").agg(F.collect_list(F.struct("far", "v", F.lit(True).alias("new"))).alias("gained"))
     were = F.transform("neighbours", lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), F.lit(False).alias("new")))
     both = F.concat(were, F.coalesce("gained", F.array().cast(f"array<{_NEIGHBOUR}>")))

@@ -269,6 +269,14 @@ def test_neighbours_over_many_blocks(spark, monkeypatch):
     assert neighbors.sizes(1000) == (32, 120) and neighbors.sizes(80_000) == (40, 240) and neighbors.sizes(2_000_000) == (59, 1200)
 
 
+def test_only_nodes_with_something_new_around_them_ask_for_vectors(spark):
+    entry = lambda far, v, new: (far, v, new)
+    rows = [(1, b"", [entry(-0.9, 2, False), entry(-0.8, 3, False)]), (2, b"", [entry(-0.9, 1, False)]), (3, b"", [entry(-0.8, 1, False)]), (4, b"", [entry(-0.7, 5, True)]), (5, b"", [])]
+    edges = spark.createDataFrame(rows, "node bigint, unit binary, neighbours array<struct<far: float, v: bigint, new: boolean>>")
+    assert {tuple(r) for r in neighbors.asked(edges, 8).collect()} == {(4, 5, True), (5, 4, True)}
+    assert neighbors.orders(10_256) == 8 and neighbors.orders(51_282) == 14
+
+
 def test_vectors_of_several_lengths(spark):
     """Each length is searched by itself, also one that is rare; without others of its length a query has no rows."""
     draw = np.random.default_rng(8)
