@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subsumo.llm import counters
-from subsumo.llm.common import SPACES, Query, ascii_lower, mixed, pieces, record, shuffles_removed, table, text_bytes, window_hashes, word_hashes
+from subsumo.llm.common import SPACES, Query, ascii_lower, mixed, pieces, record, shuffles_removed, small_batches, table, text_bytes, window_hashes, word_hashes
 from subsumo.llm.components import components
 from subsumo.session import materialize
 
@@ -323,7 +323,7 @@ def all_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
 
 def similar_documents(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    with shuffles_removed(documents.sparkSession):
+    with shuffles_removed(documents.sparkSession), small_batches(documents.sparkSession):
         return with_components(*_joined(documents.select("doc_id", "text")))
 
 
@@ -369,7 +369,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     A row is known by its id and its text, so different texts of one id are rows of their own and
     null ids are told apart. Of rows that repeat one stays; rows without a shingle all stay."""
     known = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    with shuffles_removed(documents.sparkSession):
+    with shuffles_removed(documents.sparkSession), small_batches(documents.sparkSession):
         found = with_components(*_joined(documents.select(known.alias("doc_id"), "text")))
     kept = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("key")).distinct()
     some = F.coalesce("text", F.lit("")).rlike(f"[^{SPACES}]")

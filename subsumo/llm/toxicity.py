@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from subsumo.llm.common import Query, mixed, table, text_bytes, word_hashes
+from subsumo.llm.common import Query, mixed, small_batches, table, text_bytes, word_hashes
 
 #: Bits of a coordinate; labelled rows that training reads at most; passes over them.
 BITS, TRAINING_ROWS, PASSES = 22, 20_000, 2
@@ -123,14 +123,17 @@ def train(
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1)):
-                seen.append((np.unique(coordinates(text.as_py(), bits)).astype(np.int32), label.as_py()))
+            # One array for a batch: many small ones would stay with the worker, which later stages use again.
+            found = [np.unique(coordinates(text, bits)).astype(np.int32) for text in batch.column(0).to_pylist()]
+            rows = np.split(np.concatenate(found), np.cumsum([len(at) for at in found])[:-1]) if found else []
+            seen.extend(zip(rows, batch.column(1).to_pylist()))
         toxic = sum(label for _, label in seen)
         found = ftrl(seen, float(np.log((toxic + 1) / (len(seen) - toxic + 2))), bits, passes)
         yield pa.RecordBatch.from_pydict({"at": [found.at], "value": [found.value], "intercept": [found.intercept]})
 
     # One row: the non-zero weights, of at most 2 ** bits coordinates.
-    row = in_order.mapInArrow(learn, "at array<bigint>, value array<double>, intercept double").first()
+    with small_batches(documents.sparkSession):
+        row = in_order.mapInArrow(learn, "at array<bigint>, value array<double>, intercept double").first()
     if row is None:
         return Weights(np.zeros(0, np.int64), np.zeros(0), float(np.log(0.5)), bits)
     return Weights(np.asarray(row["at"], np.int64), np.asarray(row["value"]), row["intercept"], bits)

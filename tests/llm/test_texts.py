@@ -411,3 +411,23 @@ def test_packing_loses_nothing(odd, empty):
     assert sorted(whole.values(), key=key) == sorted(expected, key=key)
     assert len({r.pack_id for r in rows}) == len(rows)
     assert packing.pack_documents(empty).count() == 0
+
+
+def test_arrow_batches_of_long_texts_are_small(spark):
+    """Rows of 100 KB would come in batches of 64 MB; the setting is as before afterwards."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from subsumo.llm import common
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    with common.small_batches(spark):
+        found = [r.n for r in texts.mapInArrow(size, "n long").collect()]
+    assert sum(found) == 200 and max(found) <= 42
+    assert spark.conf.get(name) == before
