@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from subsumo.operators.algebra import coprojections, restrictions_of
 from subsumo.operators.candidates import Generator, generator_of
 from subsumo.operators.cells import union_all
+from subsumo.operators.lineup import lined_up
 from subsumo.operators.nary import (
     check_candidates,
     chunk_combos,
     combo_groups,
     not_refuted,
+    side_by_side,
 )
 from subsumo.operators.groups import inclusions, member_stats, values_only
 from subsumo.operators.unary import column_groups, column_inclusions, column_null_stats, unary_inds
@@ -34,6 +36,7 @@ from subsumo.plans.discovery import (
     candidate_chunks,
     expects_failures,
     finish_level,
+    lines_up,
 )
 from subsumo.session import counted, materialize, new_folder, small_table
 from subsumo.sources.tables import TableSet
@@ -61,6 +64,7 @@ def discover_with_rules(
     refute: bool | None = None,
     on_ind: Callable[[Row], None] | None = None,
     on_level: Callable[[DataFrame, int], None] | None = None,
+    line_up: bool | None = None,
 ) -> RuleDiscovery:
     """Like ``discover``, with rules. Void columns become rules, so they never generate."""
     generate, _, consolidates = generator_of(generator)
@@ -85,6 +89,8 @@ def discover_with_rules(
             ind_folder, stat_folder = (new_folder(tables.spark, f"{kind}-{arity}") for kind in ("holding", "counted"))
             candidates = counted(generate(last, unary_kept, arity, allowed, tables.column_bits).select("dep", "ref"))
             phases = Phases(time.perf_counter() - started)
+            if arity == 2 and candidates[1] and lines_up(tables, line_up):
+                tables = lined_up(tables, candidates[0])
             for chunk in candidate_chunks(candidates, chunk_size, tables.column_bits):
                 # Rules are read off valid dependencies, so counts of refuted ones are not needed.
                 refutes = expects_failures(found, refute)
@@ -92,8 +98,8 @@ def discover_with_rules(
                 phases.scans += refutes
                 if not left:
                     continue
-                combos = chunk_combos(left)
-                groups = materialize(combo_groups(tables, combos, drop_nulls, count_nulls=drop_nulls))
+                combos = side_by_side(tables, chunk_combos(left))
+                groups = materialize(combo_groups(tables, combos, drop_nulls, drop_nulls, left))
                 results = check_candidates(tables, left, inclusions(values_only(groups)), combos).where("holds")
                 holding = materialize(results.select("dep", "ref", "size"), ind_folder)
                 current = materialize(combo_stats(tables, combos, groups), stat_folder)

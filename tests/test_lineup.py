@@ -6,7 +6,7 @@ import pytest
 from ind_samples import ind_set
 from test_plans import level_wise
 
-from subsumo import TableSet, discover
+from subsumo import TableSet, discover, discover_with_rules
 from subsumo.operators.lineup import lined_up, matched
 from subsumo.operators.nary import _row_by_row, combo_groups, combo_values, side_by_side
 
@@ -46,6 +46,15 @@ def test_levels_are_those_of_the_tables(spark, null_rate):
         assert levels(discover(stored, max_arity=3, drop_nulls=False)) == levels(kept)
 
 
+@pytest.mark.parametrize("null_rate", [0.0, 0.2])
+def test_rules_are_those_of_the_tables(spark, null_rate):
+    _, tables = orders_and_lines(spark, null_rate)
+    plain = discover_with_rules(tables, line_up=False)
+    found = discover_with_rules(tables.stored(distinct=["lines"]))
+    assert levels(found) == levels(plain)
+    assert sorted(map(str, found.rules().collect())) == sorted(map(str, plain.rules().collect()))
+
+
 def test_shared_and_repeated_rows_are_read_once(spark):
     """260 rows of two tables are 60 in the lineup; combos with its key are not grouped by value."""
     _, tables = orders_and_lines(spark)
