@@ -9,6 +9,7 @@ from test_plans import level_wise
 from subsumo import TableSet, discover, discover_with_rules
 from subsumo.operators.lineup import lined_up, matched
 from subsumo.operators.nary import _row_by_row, combo_groups, combo_values, side_by_side
+from subsumo.plans.discovery import validated
 
 PEOPLE = "id int, home string, work string, kind string"
 
@@ -55,6 +56,18 @@ def test_rules_are_those_of_the_tables(spark, null_rate):
     assert sorted(map(str, found.rules().collect())) == sorted(map(str, plain.rules().collect()))
 
 
+def test_checked_candidates_are_those_of_the_tables(spark):
+    """With all sizes and with what fails; of three columns more fails than of two."""
+    _, tables = orders_and_lines(spark, 0.2)
+    candidates = [((65536, 65538), (1, 3)), ((1, 3), (65536, 65538)), ((65536, 65537), (1, 0)), ((0, 1), (65537, 65536)),
+                  ((131072, 131073), (1, 2)), ((1, 2), (2, 1))]
+    asked = spark.createDataFrame(candidates, "dep array<int>, ref array<int>")
+    lined = lined_up(tables, asked)
+    assert len(lined.lineups) == 1 and lined.lineups[0].has_nulls
+    rows = lambda found: sorted(map(str, found[0].collect()))
+    assert rows(validated(lined, asked)) == rows(validated(tables, asked)) == rows(validated(lined, asked, refute=False))
+
+
 def test_shared_and_repeated_rows_are_read_once(spark):
     """260 rows of two tables are 60 in the lineup; combos with its key are not grouped by value."""
     _, tables = orders_and_lines(spark)
