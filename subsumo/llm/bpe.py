@@ -61,6 +61,14 @@ def joined(left: list, right: list, encode: Callable[[str], list]) -> list:
         width *= 2
 
 
+@functools.cache
+def encoding(vocabulary: str = VOCABULARY) -> tiktoken.Encoding:
+    """Pieces of ordinary text; one for each Python worker, whatever reads the vocabulary there."""
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("given", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Codec:
     """Encodes as the tokenizers library does with one vocabulary, and decodes."""
 
@@ -69,9 +77,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as file:
-            ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
-        self.fast = tiktoken.Encoding("given", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = encoding(vocabulary)
         with open(path) as file:
             self.special = [token["content"] for token in json.load(file)["added_tokens"]]
         self.special_ids = {name: self.tokenizer.token_to_id(name) for name in self.special}
@@ -119,7 +125,8 @@ class Codec:
         return [(token.id, token.value) for token in self.tokenizer.model.tokenize(piece)]
 
     def decode(self, sequences: Iterable) -> list[str]:
-        return self.tokenizer.decode_batch(list(sequences), skip_special_tokens=False)
+        # One after another: the library's batches take a thread, with memory of its own, for each core of the machine.
+        return [self.tokenizer.decode(ids, skip_special_tokens=False) for ids in sequences]
 
 
 @functools.cache

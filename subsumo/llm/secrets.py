@@ -14,20 +14,16 @@ Rows that repeat are scanned each; ties at one start keep the order of the kinds
 
 from __future__ import annotations
 
-import base64
-import functools
 import hashlib
 import itertools
 import re
 
-import public_tokenizers
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from subsumo.llm.bpe import VOCABULARY, encoding
 from subsumo.llm.common import Query, scan, table, text_bytes
 
-VOCABULARY = "byte_bpe_50k"
 #: Runs of so many characters with at most so many characters a token are taken for random.
 SHORTEST, RATIO = 20, 2.0
 
@@ -50,13 +46,6 @@ KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|{DIGEST.pattern})(?![A-Z
 WORD_LENGTH, WORD_RATIO = 5, 3.0
 
 
-@functools.cache
-def _encoding(vocabulary: str) -> tiktoken.Encoding:
-    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as file:
-        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("given", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def signature_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans of the stated kinds as (start, kind number, end)."""
     low = text.lower() if text.isascii() else None
@@ -76,7 +65,7 @@ def is_random(run: str, ratio: float = RATIO, vocabulary: str = VOCABULARY) -> b
         return False
     if len({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "" for c in run} - {""}) < 2:
         return False
-    return len(run) <= ratio * len(_encoding(vocabulary).encode_ordinary(run))
+    return len(run) <= ratio * len(encoding(vocabulary).encode_ordinary(run))
 
 
 def random_parts(run: str, ratio: float = RATIO, vocabulary: str = VOCABULARY) -> list[tuple[int, int]]:
@@ -93,7 +82,7 @@ def random_parts(run: str, ratio: float = RATIO, vocabulary: str = VOCABULARY) -
 def _readable(part: str, vocabulary: str) -> bool:
     if IDENTIFIER.fullmatch(part):
         return True
-    return len(part) >= WORD_LENGTH and len(part) >= WORD_RATIO * len(_encoding(vocabulary).encode_ordinary(part))
+    return len(part) >= WORD_LENGTH and len(part) >= WORD_RATIO * len(encoding(vocabulary).encode_ordinary(part))
 
 
 def _random_parts(run: str, end: int, parts: list[tuple[int, int, bool]], ratio: float, vocabulary: str) -> list[tuple[int, int]]:

@@ -6,7 +6,8 @@ at exactly zero, so what is sent to the executors is a short list of coordinates
 
 Training reads a bounded sample of labelled rows: `training_rows`, those with the smallest hash
 of their id, in that order. FTRL goes over rows one after another, so this bounded sample is
-one task's work. Scoring reads whole texts, all of them. Inputs are texts only.
+one task's work, which keeps the rows' coordinates in a file of its own between the passes.
+Scoring reads whole texts, all of them. Inputs are texts only.
 
 Nulls are empty texts, which get the score of the intercept. Rows that repeat are scored
 each; a document with several labels is toxic if one of them says so. Without labelled
@@ -16,7 +17,8 @@ rows the score is that of a prior below one half. Held out: crc32 of the id as t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -75,7 +77,7 @@ class Weights:
 
 
 def ftrl(
-    rows: list[tuple[np.ndarray, float]], intercept: float, bits: int = BITS, passes: int = PASSES,
+    rows: Iterable[tuple[np.ndarray, float]], intercept: float, bits: int = BITS, passes: int = PASSES,
     alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2,
 ) -> Weights:
     """Weights after some passes over rows of (distinct coordinates, label) in the given order."""
@@ -94,10 +96,40 @@ def ftrl(
         squares[at] = now
         intercept_squares += gradient * gradient
         intercept -= alpha / (beta + np.sqrt(intercept_squares)) * gradient
-    at = np.flatnonzero(np.abs(z) > l1)
+    at = np.flatnonzero((z > l1) | (z < -l1))
     return Weights(at, weights(z[at], squares[at]), intercept, bits)
 
 
+class StoredRows:
+    """Rows of (distinct coordinates, label) in a file, read again in the order they came."""
+
+    def __init__(self, file):
+        self.file, self.lengths, self.labels = file, [], []
+
+    def add(self, at: np.ndarray, label: float) -> None:
+        self.file.write(at.astype(np.int32).tobytes())
+        self.lengths.append(len(at))
+        self.labels.append(label)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, float]]:
+        self.file.seek(0)
+        for n, label in zip(self.lengths, self.labels):
+            yield np.frombuffer(self.file.read(4 * n), np.int32), label
+
+
+def learned(batches: Iterable[pa.RecordBatch], bits: int = BITS, passes: int = PASSES) -> Weights:
+    """Weights from batches of texts and labels, in the order of training.
+
+    A Python worker stays for later stages with the memory that it once took, so the rows are kept in a file."""
+    with tempfile.TemporaryFile() as file:
+        seen = StoredRows(file)
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen.add(np.unique(coordinates(text, bits)), label)
+        toxic = sum(seen.labels)
+        return ftrl(seen, float(np.log((toxic + 1) / (len(seen.labels) - toxic + 2))), bits, passes)
+
+
 def fold_of(id_column: str | Column) -> Column:
     id_column = F.col(id_column) if isinstance(id_column, str) else id_column
     return F.crc32(id_column.cast("string").cast("binary")) % FOLDS
@@ -121,14 +153,7 @@ def train(
     in_order = rows.repartition(1).sortWithinPartitions(order, "doc_id", "text").select("text", "label")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = []
-        for batch in batches:
-            # One array for a batch: many small ones would stay with the worker, which later stages use again.
-            found = [np.unique(coordinates(text, bits)).astype(np.int32) for text in batch.column(0).to_pylist()]
-            rows = np.split(np.concatenate(found), np.cumsum([len(at) for at in found])[:-1]) if found else []
-            seen.extend(zip(rows, batch.column(1).to_pylist()))
-        toxic = sum(label for _, label in seen)
-        found = ftrl(seen, float(np.log((toxic + 1) / (len(seen) - toxic + 2))), bits, passes)
+        found = learned(batches, bits, passes)
         yield pa.RecordBatch.from_pydict({"at": [found.at], "value": [found.value], "intercept": [found.intercept]})
 
     # One row: the non-zero weights, of at most 2 ** bits coordinates.

@@ -328,3 +328,40 @@ def test_pipeline(spark, tmp_path):
     assert all(left[i] == texts[i] for i in left if "password" not in texts[i])
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == set(left)
+
+
+def test_pipeline_stages_send_small_batches(spark, tmp_path, monkeypatch):
+    """Rows of 50 KB, written after a stage has returned, would reach Python in one batch of 10 MB; run sets the session back."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from subsumo.llm import common, mixing, toxicity
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    documents = spark.range(0, 200, 1, 1).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 5000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars")
+    )
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+
+    @F.pandas_udf("bigint")
+    def rows_of_batch(texts):
+        return texts.map(lambda _: len(texts))
+
+    measured = lambda docs: docs.withColumn("n_chars", rows_of_batch("text"))
+    monkeypatch.setattr(toxicity, "without_toxic", lambda docs, weights: measured(docs))
+    monkeypatch.setattr(corpus_pipeline.jaccard, "one_of_each", measured)
+    monkeypatch.setattr(corpus_pipeline.secrets, "redact_secrets", lambda docs, **_: measured(docs))
+    monkeypatch.setattr(mixing, "mixed_documents", measured)
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode_documents", lambda docs, outputs: measured(docs))
+    try:
+        for step, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, before)
+            out = stage(spark, documents, str(tmp_path))
+            assert out.agg(F.max("n_chars")).first()[0] * 55_000 <= 2 * common.BATCH_BYTES, step
+        spark.conf.set(name, before)
+        corpus_pipeline.run(spark, str(tmp_path))
+        assert spark.conf.get(name) == before
+    finally:
+        spark.conf.set(name, before)

@@ -1,8 +1,11 @@
 """Operators that look at one text at a time, against plain versions."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -431,3 +434,45 @@ def test_arrow_batches_of_long_texts_are_small(spark):
         found = [r.n for r in texts.mapInArrow(size, "n long").collect()]
     assert sum(found) == 200 and max(found) <= 42
     assert spark.conf.get(name) == before
+
+
+def test_training_keeps_one_batch_of_rows():
+    """400 rows of 16,000 coordinates would be 26 MB as 32-bit integers; the weights are those of rows in memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(1)
+    texts = [b"", *(" ".join(map(str, draw.integers(0, 1 << 40, 4500))).encode() for _ in range(400))]
+    labels = [float(i % 5 == 0) for i in range(len(texts))]
+
+    def batches():
+        for i in range(0, len(texts), 10):
+            yield pa.RecordBatch.from_pydict({"text": texts[i : i + 10], "label": labels[i : i + 10]})
+
+    tracemalloc.start()
+    found = toxicity.learned(batches(), bits=16, passes=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10_000_000
+    rows = [(np.unique(toxicity.coordinates(text, 16)), label) for text, label in zip(texts, labels)]
+    plain = toxicity.ftrl(rows, float(np.log((sum(labels) + 1) / (len(rows) - sum(labels) + 2))), 16, 2)
+    assert np.array_equal(found.at, plain.at) and np.array_equal(found.value, plain.value) and found.intercept == plain.intercept
+
+
+def test_decoding_takes_no_threads_of_the_library():
+    """In a process of its own, as threads that once began stay; they keep memory of their own."""
+    code = """
+import os
+from subsumo.llm import bpe
+codec, texts = bpe.Codec(), [f"{i} some words" for i in range(100)]
+before = len(os.listdir("/proc/self/task"))
+assert list(codec.decode(map(codec.encode, texts))) == texts
+assert len(os.listdir("/proc/self/task")) == before
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"TOKENIZERS_PARALLELISM": "true"}, check=True)
+
+
+def test_a_vocabulary_is_loaded_once():
+    assert bpe.Codec().fast is secrets.encoding(secrets.VOCABULARY)
