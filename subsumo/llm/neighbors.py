@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subsumo.llm.common import Query, table
+from subsumo.llm.common import Query, shuffles_removed, small_batches, table
 from subsumo.session import materialize
 
 #: Neighbours of a node and nodes that a query keeps, both for up to FEW nodes.
@@ -191,7 +191,7 @@ def nearest(rows: DataFrame, most: int) -> DataFrame:
 def first_graph(nodes: DataFrame, count: int, most: int) -> DataFrame:
     """node, unit, neighbours of all nodes."""
     lists = first_neighbours(nodes, count, most).groupBy("node").agg(F.flatten(F.collect_list("neighbours")).alias("all"))
-    joined = nodes.join(lists, "node", "left")
+    joined = nodes.join(lists.hint("merge"), "node", "left")
     return nearest(joined.select("node", "unit", F.coalesce("all", F.array().cast(f"array<{_NEIGHBOUR}>")).alias("neighbours")), most)
 
 
@@ -202,7 +202,7 @@ def both_ways(edges: DataFrame, most: int) -> DataFrame:
     place = F.row_number().over(W.partitionBy("node").orderBy("x"))
     back = back.withColumn("place", place).where(F.col("place") <= most).groupBy("node").agg(F.collect_list("x").alias("back"))
     all_of_them = F.concat("neighbours", F.coalesce("back", F.array().cast(f"array<{_NEIGHBOUR}>")))
-    joined = edges.join(back, "node", "left").select("node", "unit", all_of_them.alias("neighbours"))
+    joined = edges.join(back.hint("merge"), "node", "left").select("node", "unit", all_of_them.alias("neighbours"))
     return nearest(joined, 2 * most).withColumnRenamed("neighbours", "around")
 
 
@@ -243,13 +243,13 @@ def descend(edges: DataFrame, most: int) -> DataFrame:
 
     # The cosine that a neighbour must beat.
     least = F.when(F.size("neighbours") >= most, -F.element_at("neighbours", -1).far).otherwise(F.lit(-2.0)).cast("float")
-    members = asked(edges, most).join(edges.select("node", "unit", least.alias("least")), "node")
+    members = asked(edges, most).join(edges.select("node", "unit", least.alias("least")).hint("merge"), "node")
     groups = members.groupBy("at").agg(F.collect_list(F.struct("node", "unit", "least", "new")).alias("members"))
     gains = groups.select("members").mapInArrow(meet, _FOUND)
     gained = gains.groupBy("node").agg(F.collect_list(F.struct("far", "v", F.lit(True).alias("new"))).alias("gained"))
     were = F.transform("neighbours", lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), F.lit(False).alias("new")))
     both = F.concat(were, F.coalesce("gained", F.array().cast(f"array<{_NEIGHBOUR}>")))
-    return nearest(edges.join(gained, "node", "left").select("node", "unit", both.alias("neighbours")), most)
+    return nearest(edges.join(gained.hint("merge"), "node", "left").select("node", "unit", both.alias("neighbours")), most)
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, int, int]:
@@ -268,41 +268,153 @@ def graph(nodes: DataFrame, count: int, changed: float = CHANGED) -> DataFrame:
     return edges
 
 
-def search(queries: DataFrame, edges: DataFrame, count: int) -> DataFrame:
-    """query (a node) and node: the nodes that a greedy search from the query's own node ends with."""
-    most, keep = sizes(count)
-    kept_type = "array<struct<far: float, node: bigint, visited: boolean>>"
+#: Nodes whose vectors a task of the search holds at a time; slots there are at least, if nodes are enough; visits that are sent to all tasks.
+HELD, SLOTS, SENT = 32_768, 24, 20_000
+#: More than half precision and sums in single precision can take from one cosine and add to another.
+MARGIN = 2.0**-8
+_KEPT = "array<struct<far: float, node: bigint, visited: boolean>>"
+
+
+def slots_of(count: int) -> int:
+    """Parts of the nodes whose vectors tasks of the search hold."""
+    return math.ceil(max(count / HELD, min(count / 2048, SLOTS), 1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fresh(met: DataFrame, slots: int, keep: int) -> DataFrame:
+    """slot, id, vector, worst, nodes: a query's `met` nodes that it does not keep, each once, by their slot, with what they must beat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for places in _lengths(batch.column(2)):
-                one = batch.take(pa.array(places))
-                like = np.einsum("ij,ij->i", _units(one.column(2)), _units(one.column(3)))
-                far = pa.array(-like, pa.float32())
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), far], names=["query", "node", "far"])
+            if not batch.num_rows:
+                continue
+            kept, lists = batch.column(2), batch.column(3)
+            far, own = kept.flatten().field("far").to_numpy(), kept.flatten().field("node").to_numpy()
+            kept_ends, ends = (np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for x in (kept, lists))
+            met = lists.flatten().to_numpy()
+            rows, slot, nodes, sizes_, worst = [], [], [], [], []
+            for row in range(batch.num_rows):
+                mine = slice(kept_ends[row], kept_ends[row + 1])
+                one = np.setdiff1d(met[ends[row] : ends[row + 1]], own[mine])
+                place = one % slots
+                order = np.argsort(place, kind="stable")
+                counts = np.bincount(place, minlength=slots)
+                at = np.flatnonzero(counts)
+                rows.append(np.full(len(at), row))
+                slot.append(at)
+                nodes.append(one[order])
+                sizes_.append(counts[at])
+                worst.append(far[mine][-1] if mine.stop - mine.start >= keep else np.float32(np.inf))
+            row = np.concatenate(rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes_))]), pa.int32()), pa.array(np.concatenate(nodes), pa.int64()))
+            columns = [pa.array(np.concatenate(slot), pa.int64()), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.array(worst, np.float32)[row]), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "id", "vector", "worst", "nodes"])
+
+    return met.select("query", "own", "kept", "met").mapInArrow(run, "slot bigint, id bigint, vector binary, worst float, nodes array<bigint>")
+
+
+def scored(asks: DataFrame, units: DataFrame, slots: int) -> DataFrame:
+    """query and `more`: the asked nodes that are nearer than the query's worst. A task reads a slot's vectors once, then what asks for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, held = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot, asking = batch.column(0).to_numpy(), batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero((slot[1:] != slot[:-1]) | (asking[1:] != asking[:-1])) + 1).tolist()
+            for start, end in zip([0, *cuts], [*cuts, len(slot)]):
+                part = batch.slice(start, end - start)
+                if slot[start] != at:
+                    at, waiting, held = slot[start], [], None
+                if asking[start]:
+                    held = held or hold(waiting)
+                    yield from answers(*held, part)
+                else:
+                    waiting.append(part)
+
+    def hold(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """Ids in order, the places of their vectors among those of the same length, and these."""
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        vectors = whole.column("vector").combine_chunks()
+        place, units = np.empty(len(vectors), np.int64), {}
+        for places in _lengths(vectors):
+            place[places] = np.arange(len(places))
+            units[len(vectors[int(places[0])].as_py())] = _units(vectors.take(pa.array(places)))
+        return whole.column("id").to_numpy(), place, units
+
+    def answers(ids: np.ndarray, place: np.ndarray, units: dict[int, np.ndarray], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for places in _lengths(part.column(2)):
+            one = part.take(pa.array(places))
+            own, lists = one.column(2), one.column(4)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            node = lists.flatten().to_numpy()
+            unit, mine = units[len(own[0].as_py())], _units(own)
+            there = place[np.searchsorted(ids, node)]
+            far = np.empty(len(node), np.float32)
+            for start in range(0, len(node), 8192):
+                some = slice(start, start + 8192)
+                far[some] = -np.einsum("ij,ij->i", mine[row[some]], unit[there[some]])
+            near = far < one.column(3).to_numpy()[row]
+            far, node, counts = far[near], node[near], np.bincount(row[near], minlength=len(lists))
+            entries = pa.StructArray.from_arrays([pa.array(far), pa.array(node), pa.array(np.zeros(len(node), bool))], names=["far", "node", "visited"])
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), entries)
+            some = pa.array(np.flatnonzero(counts))
+            yield pa.RecordBatch.from_arrays([one.column(1).take(some), more.take(some)], names=["query", "more"])
+
+    none = (F.lit(None).cast("float").alias("worst"), F.lit(None).cast("array<bigint>").alias("nodes"))
+    held = units.select(F.pmod("node", F.lit(slots)).alias("slot"), F.col("node").alias("id"), F.col("unit").alias("vector"), *none)
+    dealt = held.unionAll(asks).repartition(slots, "slot").sortWithinPartitions("slot", F.col("nodes").isNotNull(), "id")
+    return dealt.mapInArrow(run, f"query bigint, more {_KEPT}")
+
+
+def kept_nearest(state: DataFrame, keep: int) -> DataFrame:
+    """Cuts `kept`, the last column, to the `keep` nearest, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten()
+            far, node = flat.field("far").to_numpy(), flat.field("node").to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            orders_ = [start + np.lexsort((node[start:end], far[start:end]))[:keep] for start, end in zip(ends, ends[1:])]
+            cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in orders_])]), pa.int32()), flat.take(pa.array(np.concatenate(orders_))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cut], names=batch.schema.names)
+
+    return state.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema))
+
+
+def search(queries: DataFrame, edges: DataFrame, count: int) -> DataFrame:
+    """query (a node) and node: of the nodes that a greedy search from the query's own node ends with,
+    those that may be among its `wanted` nearest (a column of queries) in double precision.
+
+    Pairs of a query and a node that it meets travel as ids; vectors of nodes stay in slots. Joins are told
+    how to go: sizes after an explode are not known to Spark, and what it takes for small it sends through the driver."""
+    most, keep = sizes(count)
+    slots = slots_of(count)
 
     def write(state: DataFrame) -> tuple[DataFrame, int]:
         seen = Observation()
         state = materialize(state.observe(seen, F.sum(F.size(F.filter("kept", lambda x: ~x.visited))).alias("open")))
         return state, seen.get["open"] or 0
 
-    around = materialize(both_ways(edges, most).select("node", "unit", F.col("around.v").alias("around")))
-    units = around.select("node", "unit")
+    around = materialize(both_ways(edges, most).select("node", F.col("around.v").alias("around")))
+    units = edges.select("node", "unit")
     own = F.array(F.struct(F.lit(-1.0).cast("float").alias("far"), F.col("node").alias("node"), F.lit(False).alias("visited")))
-    start = queries.select(F.col("query").alias("node")).join(units, "node")
-    state, left = write(start.select(F.col("node").alias("query"), F.col("unit").alias("own"), own.cast(kept_type).alias("kept")))
+    start = queries.select(F.col("query").alias("node"), "wanted").join(units.hint("merge"), "node")
+    state, left = write(start.select(F.col("node").alias("query"), F.col("unit").alias("own"), "wanted", own.cast(_KEPT).alias("kept")))
     # A step visits all that a query keeps and has not visited; each node once, as what is dropped never comes back: so there is an end.
     visited = F.transform("kept", lambda x: F.struct(x.far.alias("far"), x.node.alias("node"), F.lit(True).alias("visited")))
     while left:
         visits = state.select("query", F.explode(F.filter("kept", lambda x: ~x.visited).getField("node")).alias("node"))
-        met = visits.join(around.select("node", "around"), "node").groupBy("query").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("met"))
-        fresh = F.array_except("met", F.col("kept.node"))
-        asked = met.join(state, "query").select("query", "own", F.explode(fresh).alias("node")).join(units, "node")
-        scored = asked.select("query", "node", "unit", "own").mapInArrow(score, "query bigint, node bigint, far float")
-        more = scored.groupBy("query").agg(F.collect_list(F.struct("far", "node", F.lit(False).alias("visited"))).alias("more"))
-        both = F.concat(visited, F.coalesce("more", F.array().cast(kept_type)))
-        state, left = write(state.join(more, "query", "left").select("query", "own", F.slice(F.array_sort(both), 1, keep).alias("kept")))
-    return state.select("query", F.explode("kept.node").alias("node"))
+        met = visits.hint("broadcast" if left <= SENT else "merge").join(around, "node").groupBy("query").agg(F.flatten(F.collect_list("around")).alias("met"))
+        asks = fresh(state.join(met.hint("merge"), "query"), slots, keep)
+        more = scored(asks, units, slots).groupBy("query").agg(F.flatten(F.collect_list("more")).alias("more"))
+        both = F.concat(visited, F.coalesce("more", F.array().cast(_KEPT)))
+        state, left = write(kept_nearest(state.join(more.hint("merge"), "query", "left").select("query", "own", "wanted", both.alias("kept")), keep))
+    last = F.element_at("kept", F.least(F.size("kept"), "wanted")).far
+    return state.select("query", F.explode(F.filter("kept", lambda x: x.far <= last + MARGIN).getField("node")).alias("node"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -319,12 +431,16 @@ def nearest_neighbours(rows: DataFrame, *, is_query: Column, most: int = 5, id_c
     nodes = materialize(nodes_of(vectors))
     asked = vectors.where(is_query)
     count = nodes.count()
-    found = search(asked.select(F.col("node").alias("query")).distinct(), graph(nodes, count), count)
+    # So many nodes hold at least `most` rows of other ids: an id with several vectors takes its own out of as many nodes.
+    several = asked.select("vec_id", "node").distinct().withColumn("several", F.count("*").over(W.partitionBy("vec_id")))
+    wanted = several.groupBy(F.col("node").alias("query")).agg((F.max("several") + most).cast("int").alias("wanted"))
+    with small_batches(rows.sparkSession), shuffles_removed(rows.sparkSession):
+        found = search(wanted, graph(nodes, count), count)
     # Of equal vectors only the smallest ids can be among the nearest, besides the query's own.
     by_id = W.partitionBy("node").orderBy("vec_id")
     members = vectors.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= most + 1).drop("place")
     queries = asked.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("own"))
-    met = queries.join(found, "query").join(members, "node").where("vec_id <> query_id")
+    met = queries.join(found.hint("merge"), "query").join(members.hint("merge"), "node").where("vec_id <> query_id")
     scored = met.select("query_id", "query", "vec_id", cosine(F.col("own"), F.col("vector")).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")

@@ -306,6 +306,48 @@ def test_few_vectors(spark):
         assert neighbors.nearest_neighbours(df, is_query=F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_search_broadcasts_nothing_of_unknown_size(spark, monkeypatch):
+    """Rows after an explode are many more than Spark takes them for: with no visits few enough, all joins go by shuffles."""
+    plans = []
+    materialize = neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df))
+    monkeypatch.setattr(neighbors, "SENT", 0, raising=False)
+    monkeypatch.setattr(neighbors, "HELD", 64, raising=False)
+    vectors = np.random.default_rng(4).standard_normal((500, 24)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<float>")
+    result = neighbors.nearest_neighbours(df, is_query=F.col("vec_id") % 50 == 0)
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not any("Broadcast" in plan for plan in plans)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    found = defaultdict(set)
+    for r in result.collect():
+        found[r.query_id].add(r.vec_id)
+    best = {q: set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) for q in range(0, 500, 50)}
+    assert sum(len(best[q] & found[q]) for q in best) >= 48
+
+
+def test_only_what_may_be_nearest_is_scored_again(spark):
+    """Few of the kept nodes are, yet enough where an id stands beside several vectors that are all nearer than any other id's."""
+    draw = np.random.default_rng(6)
+    vectors = draw.standard_normal((400, 24))
+    near = vectors[0] + 0.01 * draw.standard_normal((9, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(0, v.tolist()) for v in near]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in neighbors.nearest_neighbours(df, is_query=F.col("vec_id") % 200 == 0).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert len(found[0]) == 50 and 0 not in {v for v, _ in found[0]}
+    assert {v for v, _ in found[0]} >= set((1 + np.argsort(-(unit[1:] @ unit[0]))[:5]).tolist())
+    like = unit @ unit[200]
+    like[200] = -2
+    others = [(int(i), like[i]) for i in np.argsort(-like) if i][:5]
+    assert [v for v, _ in found[200] if v] == [v for v, _ in others][: sum(v > 0 for v, _ in found[200])]
+    nodes = neighbors.nodes_of(neighbors.usable(df))
+    queries = nodes.limit(5).select(F.col("node").alias("query"), F.lit(6).alias("wanted"))
+    assert neighbors.search(queries, neighbors.graph(nodes, 409), 409).count() < 5 * 40
+
+
 # --- the pipeline ---------------------------------------------------------------------------
 
 
