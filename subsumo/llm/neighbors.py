@@ -39,6 +39,8 @@ from subsumo.session import materialize
 NEIGHBOURS, BEAM, FEW = 32, 120, 20_000
 #: Hyperplane orders for up to FEW nodes, their bits, rows of a block; share of new edges below which iterations end.
 ORDERS, PLANES, BLOCK, CHANGED = 8, 16, 2048, 0.005
+#: Orders of a larger graph whose neighbours are merged first; blocks of the others then give only what is nearer.
+FIRST = 4
 SEED = 5
 
 
@@ -101,21 +103,21 @@ def _found(node, like, v) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(-like, pa.float32()), pa.array(v, pa.int64())], names=["node", "far", "v"])
 
 
-def first_neighbours(nodes: DataFrame, count: int, most: int) -> DataFrame:
-    """node and neighbours (an array) from each block of rows in the orders of random hyperplanes."""
-    turns = orders(count)
+def first_neighbours(nodes: DataFrame, count: int, most: int, turns: range) -> DataFrame:
+    """node and neighbours (an array) from each block of rows in the orders (`turns`) of random hyperplanes: those nearer than `least`, a cosine."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for places in _lengths(batch.column(1)):
                 one = batch.take(pa.array(places))
                 unit = _units(one.column(1))
-                for turn in range(turns):
+                for turn in turns:
                     planes = np.random.default_rng([SEED, turn]).standard_normal((unit.shape[1], PLANES)).astype(np.float32)
                     code = ((unit @ planes > 0) * (1 << np.arange(PLANES))).sum(axis=1)
                     place = pa.array(code + (turn << PLANES), pa.int64())
                     length = pa.array(np.full(len(places), unit.shape[1]), pa.int32())
-                    yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), length, place], names=["node", "unit", "length", "place"])
+                    names = ["node", "unit", "least", "length", "place"]
+                    yield pa.RecordBatch.from_arrays([*one.columns, length, place], names=names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -140,22 +142,62 @@ def first_neighbours(nodes: DataFrame, count: int, most: int) -> DataFrame:
                 continue
             node = block.column("node").to_numpy()[places]
             unit = _units(units.take(pa.array(places)))
+            least = block.column("least").to_numpy()[places]
             like = unit @ unit.T
-            np.fill_diagonal(like, -2)
-            k = min(most, len(node) - 1)
-            best = np.argpartition(-like, k - 1, axis=1)[:, :k]
-            far = -np.take_along_axis(like, best, 1).ravel()
+            np.fill_diagonal(like, -3)
+            nearer = like > least[:, None]
+            # Not more than the nearest of a block: where those are all, the cosine of the last of them is the bound.
+            crowded = np.flatnonzero(np.count_nonzero(nearer, axis=1) > most)
+            if len(crowded):
+                these = like[crowded]
+                nearer[crowded] = these >= np.partition(these, -most, axis=1)[:, -most, None]
             # A node stands in a block once for each of its orders: a neighbour that is the node itself goes later.
+            a, b = np.nonzero(nearer)
             entries = pa.StructArray.from_arrays(
-                [pa.array(far, pa.float32()), pa.array(node[best].ravel(), pa.int64()), pa.array(np.ones(far.size, bool))], names=["far", "v", "new"]
+                [pa.array(-like[a, b], pa.float32()), pa.array(node[b], pa.int64()), pa.array(np.ones(len(a), bool))], names=["far", "v", "new"]
             )
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, far.size + 1, k), pa.int32()), entries)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), lists], names=["node", "neighbours"])
+            counts = np.bincount(a, minlength=len(node))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), entries)
+            some = pa.array(np.flatnonzero(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()).take(some), lists.take(some)], names=["node", "neighbours"])
 
-    parts = max(1, count * turns // (8 * BLOCK))
-    placed = nodes.select("node", "unit").mapInArrow(codes, "node bigint, unit binary, length int, place bigint")
+    # The driver gets a sample of the rows for each of these parts.
+    parts = max(1, count * len(turns) // (8 * BLOCK))
+    parts = min(parts, max(2000, parts // 8))
+    placed = nodes.select("node", "unit", "least").mapInArrow(codes, "node bigint, unit binary, least float, length int, place bigint")
     ordered = placed.repartitionByRange(parts, "length", "place", "node").sortWithinPartitions("length", "place", "node")
-    return ordered.select("node", "unit").mapInArrow(blocks, f"node bigint, neighbours array<{_NEIGHBOUR}>")
+    return ordered.select("node", "unit", "least").mapInArrow(blocks, f"node bigint, neighbours array<{_NEIGHBOUR}>")
+
+
+def _far_key(row: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """One number by which rows and, in them, distances order."""
+    bits = (far + np.float32(0)).view(np.uint32)
+    bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
+    return (row.astype(np.uint64) << np.uint64(32)) | bits
+
+
+def _by_distance(row: np.ndarray, far: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The order by row, far and v, as lexsort has it, from one sort of numbers; v decides for the few that are equal."""
+    key = _far_key(row, far)
+    order = np.argsort(key)
+    key = key[order]
+    tie = np.zeros(len(key) + 1, bool)
+    tie[1:-1] = key[1:] == key[:-1]
+    tied = np.flatnonzero(tie[1:] | tie[:-1])
+    order[tied] = order[tied][np.lexsort((v[order[tied]], key[tied]))]
+    return order
+
+
+def _by_node(row: np.ndarray, v: np.ndarray, new: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """An order in which equal nodes of a row stand together, those that are not new first."""
+    if len(row) and row[-1] < 1 << 18:
+        low = v.astype(np.uint64) & np.uint64((1 << 44) - 1)
+        key = (row.astype(np.uint64) << np.uint64(45)) | (low << np.uint64(1)) | new
+        order = np.argsort(key)
+        key = key[order] >> np.uint64(1)
+        if not np.any((key[1:] == key[:-1]) & (v[order[1:]] != v[order[:-1]])):
+            return order
+    return np.lexsort((far, new, v, row))
 
 
 def nearest(rows: DataFrame, most: int) -> DataFrame:
@@ -171,12 +213,12 @@ def nearest(rows: DataFrame, most: int) -> DataFrame:
             flat = lists.flatten()
             far, v = flat.field("far").to_numpy(), flat.field("v").to_numpy()
             new = flat.field("new").to_numpy(zero_copy_only=False)
-            order = np.lexsort((far, new, v, row))
+            order = _by_node(row, v, new, far)
             row, far, v, new = row[order], far[order], v[order], new[order]
             once = v != batch.column(own).to_numpy()[row]
             once[1:] &= (row[1:] != row[:-1]) | (v[1:] != v[:-1])
             row, far, v, new = row[once], far[once], v[once], new[once]
-            order = np.lexsort((v, far, row))
+            order = _by_distance(row, far, v)
             row, far, v, new = row[order], far[order], v[order], new[order]
             counts = np.bincount(row, minlength=len(lists))
             kept = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) < most
@@ -188,11 +230,23 @@ def nearest(rows: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
+def least_of(most: int) -> Column:
+    """The cosine that a neighbour must beat."""
+    return F.when(F.size("neighbours") >= most, -F.element_at("neighbours", -1).far).otherwise(F.lit(-2.0)).cast("float").alias("least")
+
+
 def first_graph(nodes: DataFrame, count: int, most: int) -> DataFrame:
-    """node, unit, neighbours of all nodes."""
-    lists = first_neighbours(nodes, count, most).groupBy("node").agg(F.flatten(F.collect_list("neighbours")).alias("all"))
-    joined = nodes.join(lists.hint("merge"), "node", "left")
-    return nearest(joined.select("node", "unit", F.coalesce("all", F.array().cast(f"array<{_NEIGHBOUR}>")).alias("neighbours")), most)
+    """node, unit, neighbours of all nodes. In larger graphs blocks of later orders leave out what the first orders have nearer."""
+    turns = orders(count)
+    edges = nodes.select("node", "unit", F.array().cast(f"array<{_NEIGHBOUR}>").alias("neighbours"))
+    for some in (range(turns),) if turns <= ORDERS else (range(FIRST), range(FIRST, turns)):
+        if some.start:
+            edges = materialize(edges)
+        lists = first_neighbours(edges.select("node", "unit", least_of(most)), count, most, some)
+        lists = lists.groupBy("node").agg(F.flatten(F.collect_list("neighbours")).alias("all"))
+        both = F.concat("neighbours", F.coalesce("all", F.array().cast(f"array<{_NEIGHBOUR}>")))
+        edges = nearest(edges.join(lists.hint("merge"), "node", "left").select("node", "unit", both.alias("neighbours")), most)
+    return edges
 
 
 def both_ways(edges: DataFrame, most: int) -> DataFrame:
@@ -241,9 +295,7 @@ def descend(edges: DataFrame, most: int) -> DataFrame:
             first[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             yield _found(a[first], like[first], b[first])
 
-    # The cosine that a neighbour must beat.
-    least = F.when(F.size("neighbours") >= most, -F.element_at("neighbours", -1).far).otherwise(F.lit(-2.0)).cast("float")
-    members = asked(edges, most).join(edges.select("node", "unit", least.alias("least")).hint("merge"), "node")
+    members = asked(edges, most).join(edges.select("node", "unit", least_of(most)).hint("merge"), "node")
     groups = members.groupBy("at").agg(F.collect_list(F.struct("node", "unit", "least", "new")).alias("members"))
     gains = groups.select("members").mapInArrow(meet, _FOUND)
     gained = gains.groupBy("node").agg(F.collect_list(F.struct("far", "v", F.lit(True).alias("new"))).alias("gained"))

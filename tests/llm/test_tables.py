@@ -306,6 +306,47 @@ def test_few_vectors(spark):
         assert neighbors.nearest_neighbours(df, is_query=F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_later_orders_give_only_what_is_nearer(spark, monkeypatch):
+    """The start of a larger graph is what all orders at once give, from far fewer neighbours than one list a node and order."""
+    monkeypatch.setattr(neighbors, "BLOCK", 64)
+    monkeypatch.setattr(neighbors, "FEW", 150)
+    vectors = np.random.default_rng(9).standard_normal((1200, 16)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<float>").repartition(3)
+    nodes = neighbors.nodes_of(neighbors.usable(df)).localCheckpoint()
+    turns, most = neighbors.orders(1200), 10
+    assert turns == 20
+    # One part, so that blocks are cut at the same rows however many orders come at once.
+    first = neighbors.first_neighbours
+    monkeypatch.setattr(neighbors, "first_neighbours", lambda nodes, count, most, turns: first(nodes, 1, most, turns))
+    given = lambda orders, least: neighbors.first_neighbours(nodes.withColumn("least", least), 1200, most, orders)
+    listed = defaultdict(dict)
+    for r in given(range(turns), F.lit(-2.0).cast("float")).collect():
+        listed[r.node].update({x.v: x.far for x in r.neighbours if x.v != r.node})
+    start = {r.node: [(x.v, x.far) for x in r.neighbours] for r in neighbors.first_graph(nodes, 1200, most).collect()}
+    assert len(start) == 1200 and all(len({v for v, _ in x}) == most for x in start.values())
+    for node, has in start.items():
+        assert np.allclose([far for _, far in has], sorted(listed[node].values())[:most], atol=1e-5)
+    bound = F.lit(float(-np.median([has[-1][1] for has in start.values()]))).cast("float")
+    entries = lambda rows: rows.select(F.sum(F.size("neighbours"))).first()[0]
+    assert entries(given(range(4, turns), bound)) < 0.3 * entries(given(range(4, turns), F.lit(-2.0).cast("float")))
+
+
+def test_neighbours_are_merged_as_by_full_sorts():
+    draw = np.random.default_rng(2)
+    row = np.sort(draw.integers(0, 40, 6000))
+    v = draw.integers(-(2**62), 2**62, 90)[draw.integers(0, 90, 6000)]
+    far, new = (draw.integers(-9, 9, 6000) / 9).astype(np.float32), draw.random(6000) < 0.5
+    order, whole = neighbors._by_distance(row, far, v), np.lexsort((v, far, row))
+    assert all(np.array_equal(x[order], x[whole]) for x in (row, far, v))
+    for low in (v, v << 44):  # the second: other nodes whose low bits are the same
+        order, whole = neighbors._by_node(row, low, new, far), np.lexsort((far, new, low, row))
+        firsts = []
+        for o in (order, whole):
+            once = np.append(True, (row[o][1:] != row[o][:-1]) | (low[o][1:] != low[o][:-1]))
+            firsts.append(sorted(zip(row[o][once].tolist(), low[o][once].tolist(), new[o][once].tolist())))
+        assert firsts[0] == firsts[1]
+
+
 def test_search_broadcasts_nothing_of_unknown_size(spark, monkeypatch):
     """Rows after an explode are many more than Spark takes them for: with no visits few enough, all joins go by shuffles."""
     plans = []
