@@ -419,24 +419,6 @@ def scored(asks: DataFrame, units: DataFrame, slots: int) -> DataFrame:
     return dealt.mapInArrow(run, f"query bigint, more {_KEPT}")
 
 
-def kept_nearest(state: DataFrame, keep: int) -> DataFrame:
-    """Cuts `kept`, the last column, to the `keep` nearest, in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(batch.num_columns - 1)
-            flat = lists.flatten()
-            far, node = flat.field("far").to_numpy(), flat.field("node").to_numpy()
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            orders_ = [start + np.lexsort((node[start:end], far[start:end]))[:keep] for start, end in zip(ends, ends[1:])]
-            cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in orders_])]), pa.int32()), flat.take(pa.array(np.concatenate(orders_))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], cut], names=batch.schema.names)
-
-    return state.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema))
-
-
 def search(queries: DataFrame, edges: DataFrame, count: int) -> DataFrame:
     """query (a node) and node: of the nodes that a greedy search from the query's own node ends with,
     those that may be among its `wanted` nearest (a column of queries) in double precision.
@@ -458,13 +440,17 @@ def search(queries: DataFrame, edges: DataFrame, count: int) -> DataFrame:
     state, left = write(start.select(F.col("node").alias("query"), F.col("unit").alias("own"), "wanted", own.cast(_KEPT).alias("kept")))
     # A step visits all that a query keeps and has not visited; each node once, as what is dropped never comes back: so there is an end.
     visited = F.transform("kept", lambda x: F.struct(x.far.alias("far"), x.node.alias("node"), F.lit(True).alias("visited")))
+    none_met = F.lit(None).cast("array<bigint>").alias("around")
     while left:
         visits = state.select("query", F.explode(F.filter("kept", lambda x: ~x.visited).getField("node")).alias("node"))
-        met = visits.hint("broadcast" if left <= SENT else "merge").join(around, "node").groupBy("query").agg(F.flatten(F.collect_list("around")).alias("met"))
-        asks = fresh(state.join(met.hint("merge"), "query"), slots, keep)
-        more = scored(asks, units, slots).groupBy("query").agg(F.flatten(F.collect_list("more")).alias("more"))
-        both = F.concat(visited, F.coalesce("more", F.array().cast(_KEPT)))
-        state, left = write(kept_nearest(state.join(more.hint("merge"), "query", "left").select("query", "own", "wanted", both.alias("kept")), keep))
+        lists = visits.hint("broadcast" if left <= SENT else "merge").join(around, "node").select("query", "around")
+        # A query's row and what it meets come together in one exchange.
+        met = state.select("query", "own", "kept", none_met).unionByName(lists, allowMissingColumns=True).groupBy("query")
+        met = met.agg(F.max("own").alias("own"), F.flatten(F.collect_list("kept")).alias("kept"), F.flatten(F.collect_list("around")).alias("met"))
+        more = scored(fresh(met, slots, keep), units, slots).withColumnRenamed("more", "kept")
+        rows = state.select("query", "own", "wanted", visited.alias("kept")).unionByName(more, allowMissingColumns=True).groupBy("query")
+        rows = rows.agg(F.max("own").alias("own"), F.max("wanted").alias("wanted"), F.flatten(F.collect_list("kept")).alias("kept"))
+        state, left = write(rows.withColumn("kept", F.slice(F.array_sort("kept"), 1, keep)))
     last = F.element_at("kept", F.least(F.size("kept"), "wanted")).far
     return state.select("query", F.explode(F.filter("kept", lambda x: x.far <= last + MARGIN).getField("node")).alias("node"))
 
